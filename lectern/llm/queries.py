@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, tokenstore, topk
+from . import bpe, fingerprints, html_extract, packing, tokenstore, topk, toxicity
 from .common import documents
 
 
+#: Score from which a document counts as toxic.
+TOXIC = 0.3
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -23,6 +27,13 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(queries, vectors, k=20)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "n_matches")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -40,11 +51,22 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.digest(tokenstore.read_store(spark, path))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(documents(spark, sf_dir))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op8_token_output": op8_token_output,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_html": op10_html,
 }
 
 ORACLES: dict[str, str] = {
