@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, packing, tokenstore, topk, toxicity
+from . import bpe, fingerprints, html_extract, jaccard, packing, substrings, tokenstore, topk, toxicity
 from .common import documents
 
 
@@ -27,6 +27,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(queries, vectors, k=20)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), n_gram=5, num=80, den=100)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -45,6 +49,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir), rank_file, pattern), rank_file, pattern))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir), width=20)
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenstore.new_path(spark)
     tokenstore.write_store(documents(spark, sf_dir), path, _vocabulary("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
@@ -61,9 +69,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_jaccard": op2_jaccard,
     "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
+    "op7_substrings": op7_substrings,
     "op8_token_output": op8_token_output,
     "op9_fingerprints": op9_fingerprints,
     "op10_html": op10_html,

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,7 +116,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: i
         if not asks.any() or asks.all():
             return _SCHEMA.empty_table()
         ids = group.column("id").to_numpy()
-        width = int(max(pa.compute.max(pa.compute.list_value_length(group.column("weights"))).as_py() or 1, 1))
+        width = int(max(pc.max(pc.list_value_length(group.column("weights"))).as_py() or 1, 1))
         weights = _matrix(group.column("weights"), width)
         shard = Shard(ids[~asks], weights[~asks])
         found = [(i, *shard.best(i, w, k)) for i, w in zip(ids[asks].tolist(), weights[asks], strict=True)]
