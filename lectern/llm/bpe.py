@@ -95,17 +95,21 @@ class BytePairCodec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache = ChunkCache(self._chunks, split_before_spaces)
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        if len(self.pieces) > 200_000:
-            self.pieces = {}
+        if len(self.pieces) > 250_000:
+            self.pieces, self.older = {}, self.pieces
         return [b"".join(map(self._piece, self.pattern.findall(c))) for c in chunks]
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = np.array(merge_ranks(piece.encode("utf-8", "surrogatepass"), self.ranks), dtype="<u4").tobytes()
+            found = self.older.get(piece)
+            if found is None:
+                ids = merge_ranks(piece.encode("utf-8", "surrogatepass"), self.ranks)
+                found = b"".join([x.to_bytes(4, "little") for x in ids])
             if len(piece) < 40:
                 self.pieces[piece] = found
         return found

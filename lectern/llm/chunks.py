@@ -30,12 +30,13 @@ def split_at_white_space(text: str) -> list[str]:
 
 
 class ChunkCache:
-    """encode_many: ids of each of some strings, as packed uint32. limit: chunks kept (memory bound);
-    beyond it the cache starts anew, which costs time but changes no result."""
+    """encode_many: ids of each of some strings, as packed uint32. limit: memory bound; once
+    so many chunks are known, they become the older ones, of which those that are met again are kept."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str] | None], limit: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str] | None], limit: int = 350_000):
         self.encode_many, self.split, self.limit = encode_many, split, limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text is empty."""
@@ -44,10 +45,13 @@ class ChunkCache:
         for at in range(0, len(texts), 64):
             group = texts[at : at + 64]
             parts = [c if (c := self.split(t)) is not None else [t] for t in group]
-            missing = list({c for cs in parts for c in cs if c not in self.known})
+            missing = {c for cs in parts for c in cs if c not in self.known}
             if len(self.known) + len(missing) > self.limit:
-                self.known = {}
-                missing = list({c for cs in parts for c in cs})
-            self.known.update(zip(missing, self.encode_many(missing), strict=True))
+                self.known, self.older = {}, self.known
+                missing = {c for cs in parts for c in cs}
+            again = missing & self.older.keys()
+            self.known.update((c, self.older[c]) for c in again)
+            new = list(missing - again)
+            self.known.update(zip(new, self.encode_many(new), strict=True))
             out += [b"".join(map(self.known.__getitem__, cs)) for cs in parts]
         return out

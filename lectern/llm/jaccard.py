@@ -210,3 +210,23 @@ def join(df: DataFrame, n_gram: int = 5, num: int = 80, den: int = 100) -> DataF
     named = classes.join(comp, "rep")
     out = screened.select("doc_id", "n", "key_a", "key_b").join(named.select("key_a", "key_b", "n", "comp", "n_equal"), key, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
+
+
+def one_of_each(df: DataFrame, n_gram: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The table without the documents that are linked, directly or through others, to one of smaller
+    doc_id; of rows that repeat a doc_id and text one stays. Rows without a doc_id stay. The list of
+    documents to go is broadcast up to broadcast_rows ids, and joined by a shuffle beyond that."""
+    found = join(df, n_gram, num, den)
+    marks = materialize(found.groupBy("doc_id").agg(F.max(F.col("component_id") < F.col("doc_id")).alias("goes"), F.count(F.lit(1)).alias("rows")).filter("doc_id IS NOT NULL AND (goes OR rows > 1)"), "goes")
+    go, twice = marks.filter("goes").select("doc_id"), marks.filter("NOT goes").select("doc_id")
+    sizes = go.count(), twice.count()
+
+    def side(ids: DataFrame, n: int) -> DataFrame:
+        ids = ids.withColumnRenamed("doc_id", "_id")
+        return F.broadcast(ids) if n <= broadcast_rows else ids
+
+    left = df.join(side(go, sizes[0]), F.col("doc_id") == F.col("_id"), "left_anti")
+    if not sizes[1]:
+        return left
+    again = F.col("doc_id") == F.col("_id")
+    return left.join(side(twice, sizes[1]), again, "left_anti").unionByName(left.join(side(twice, sizes[1]), again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +217,7 @@ def digest(df: DataFrame, width: int = 20) -> DataFrame:
 
 def cut(df: DataFrame, width: int = 20) -> DataFrame:
     """The table with repeated words removed from its texts: a text that loses words keeps the others,
-    joined by one space; other texts and all other columns stay as they are."""
+    joined by one space, and a new n_chars if there is such a column; all else stays as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -224,8 +225,13 @@ def cut(df: DataFrame, width: int = 20) -> DataFrame:
             for i, starts in enumerate(part.column("_starts").to_pylist()):
                 if starts:
                     texts[i] = b" ".join(_kept(texts[i], starts, width)[0]).decode("utf-8", "surrogatepass")
-            k = part.schema.get_field_index("text")
-            part = part.set_column(k, "text", pa.array(texts, pa.string()))
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in part.schema.names:
+                changed = pa.array([bool(s) for s in part.column("_starts").to_pylist()])
+                lengths = pc.utf8_length(new["text"]).cast(part.schema.field("n_chars").type)
+                new["n_chars"] = pc.if_else(changed, lengths, part.column("n_chars"))
+            for c, values in new.items():
+                part = part.set_column(part.schema.get_field_index(c), c, values)
             yield part.select([c for c in part.schema.names if c != "_starts"])
 
     marked = _with_repeats(df.withColumn("text", F.col("text").cast("string")), width)

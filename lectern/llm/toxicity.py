@@ -328,3 +328,15 @@ def learn_from(documents: DataFrame, labels: DataFrame, sample: int = 20_000, **
     known = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id IS NOT NULL").dropDuplicates()
     known = F.broadcast(_sampled(known, sample))
     return learn(documents.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id"), sample=2 * sample, **options)
+
+
+def clean(df: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Matcher(model.terms, model.stems)
+        for batch in batches:
+            scores = [model.score(features(own.matches(t), model.weights)) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return df.withColumn("text", F.col("text").cast("string")).mapInArrow(run, df.withColumn("text", F.col("text").cast("string")).schema)
