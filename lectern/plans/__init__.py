@@ -1 +1,4 @@
-"""See README.md for what lives in this subpackage."""
+"""Every query by its key, and its oracle."""
+
+from lectern.plans import catalog_queries, text_queries  # noqa: F401
+from lectern.plans.registry import ORACLES, QUERIES  # noqa: F401
