@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Share of the k-th best score that the bounds of non-essential terms may reach together.
+SPARE = 0.25
 HITS = "query_id long, vec_id long, score long"
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -35,7 +37,7 @@ class Shard:
     """Postings of some documents, in blocks of ascending id. Postings that hold most of a block are
     kept as a dense column, others as positions and weights."""
 
-    def __init__(self, ids: np.ndarray, weights: np.ndarray, block: int = 1024):
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, block: int = 2048):
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
         weights = np.ascontiguousarray(weights[order].T)
@@ -44,6 +46,46 @@ class Shard:
         self.low = np.stack([b.min(axis=1) for _, b in self.blocks])
         self.postings = [[p if len(p := np.flatnonzero(row)) < len(row) // 4 else None for row in b] for _, b in self.blocks]
 
+    def best_of_many(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for many queries against dense postings: those of each query's own essential terms are
+        traversed for all queries of a block together, as one product of matrices."""
+        n = len(query_ids)
+        best_ids, best_scores = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
+        q = queries.astype(np.float64)
+        for (at, weights), high, low in zip(self.blocks, self.high, self.low, strict=True):
+            w = weights.astype(np.float64)
+            bound = np.maximum(0.0, np.where(q > 0, q * high, q * low))
+            order = np.argsort(bound, axis=1, kind="stable")
+            rising = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
+            least = best_scores[:, -1:]
+            # non-essential: terms of least bound that together stay below a share of the k-th best score,
+            # as nearly all documents would have to be probed if they came close to the whole of it
+            spare = np.empty(bound.shape, bool)
+            np.put_along_axis(spare, order, (rising < SPARE * least) & (least > 0), axis=1)
+            ahead = np.where(spare, bound, 0.0).sum(axis=1, keepdims=True)
+            part = np.where(spare, 0.0, q) @ w
+            own = self.ids[at : at + w.shape[1]]
+            part[own[None, :] == query_ids[:, None]] = -np.inf
+            if np.isneginf(least).any() and part.shape[1] > k:  # no k documents yet: the k best of this block, and their ties
+                full = np.isneginf(least[:, 0])
+                least = least.copy()
+                least[full, 0] = np.partition(part[full], part.shape[1] - k, axis=1)[:, part.shape[1] - k]
+            rows, cols = np.nonzero((part + ahead >= least) & (part > -np.inf))
+            scores = part[rows, cols]
+            for lo in range(0, len(rows), 1 << 16):  # probe the non-essential terms
+                r, c = rows[lo : lo + (1 << 16)], cols[lo : lo + (1 << 16)]
+                scores[lo : lo + (1 << 16)] += np.einsum("ij,ij->i", np.where(spare[r], q[r], 0.0), w[:, c].T)
+            keep = scores >= least[rows, 0]
+            rows, cols, scores = rows[keep], cols[keep], scores[keep]
+            for i, (a, b) in enumerate(zip(np.searchsorted(rows, np.arange(n)), np.searchsorted(rows, np.arange(n), side="right"), strict=True)):
+                if a == b:
+                    continue
+                ids, values = np.concatenate([best_ids[i], own[cols[a:b]]]), np.concatenate([best_scores[i], scores[a:b]])
+                first = np.lexsort((ids, -values))[:k]
+                best_ids[i], best_scores[i] = ids[first], values[first]
+        rows, cols = np.nonzero(best_scores > -np.inf)
+        return query_ids[rows], best_ids[rows, cols], best_scores[rows, cols].astype(np.int64)
+
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best (ties to the smaller id), in order."""
         terms = np.flatnonzero(query)
@@ -119,6 +161,10 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: i
         width = int(max(pc.max(pc.list_value_length(group.column("weights"))).as_py() or 1, 1))
         weights = _matrix(group.column("weights"), width)
         shard = Shard(ids[~asks], weights[~asks])
+        exact = np.abs(weights).max(initial=0).astype(float) ** 2 * width < 2**53
+        if exact and width <= 4096 and 4 * np.count_nonzero(weights) > weights.size:
+            many = [shard.best_of_many(ids[asks][lo : lo + 256], weights[asks][lo : lo + 256], k) for lo in range(0, int(asks.sum()), 256)]
+            return pa.table([np.concatenate([m[j] for m in many]) for j in range(3)], schema=_SCHEMA)
         found = [(i, *shard.best(i, w, k)) for i, w in zip(ids[asks].tolist(), weights[asks], strict=True)]
         return pa.table([np.repeat([i for i, _, _ in found], [len(a) for _, a, _ in found]).astype(np.int64), np.concatenate([a for _, a, _ in found]), np.concatenate([b for _, _, b in found])], schema=_SCHEMA)
 
