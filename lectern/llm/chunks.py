@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 
 #: A space in the middle of a white-space run is no break of the byte-level split pattern.
 _INNER_SPACE = re.compile(r"\s \s")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def split_before_spaces(text: str) -> list[str] | None:
@@ -25,8 +26,10 @@ def split_before_spaces(text: str) -> list[str] | None:
 
 
 def split_at_white_space(text: str) -> list[str]:
-    """Chunks between ASCII white space, for tokenizers that drop white space."""
-    return [x for x in re.split(r"[\t-\r ]+", text) if x]
+    """Chunks between white space, for tokenizers that drop white space."""
+    if _SEPARATORS.search(text):  # white space to Python alone
+        return [x for x in re.split(r"[\t-\r ]+", text) if x]
+    return text.split()
 
 
 class ChunkCache:
