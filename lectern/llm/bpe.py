@@ -48,35 +48,32 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
 
-    def put(leaf: int, value: int) -> None:
-        i = size + leaf
-        if tree[i] == value:
-            return
-        tree[i] = value
-        while i > 1:
-            other = tree[i ^ 1]
-            i >>= 1
-            least = value if value < other else other
-            if tree[i] == least:
-                return
-            tree[i] = value = least
-
-    def pair(i: int) -> int:
-        j = after[i]
-        if j >= n or (r := get(piece[i : after[j]])) is None:
-            return _NONE
-        return r << shift | i
-
     while (top := tree[1]) != _NONE:
         i = top & mask
         dead = after[i]
         end = after[i] = after[dead]
+        left, joined, before_joined = before[i], _NONE, _NONE
         if end < n:
             before[end] = i
-        put(dead, _NONE)
-        put(i, pair(i))
-        if (left := before[i]) >= 0:
-            put(left, pair(left))
+            if (r := get(piece[i : after[end]])) is not None:
+                joined = r << shift | i
+        if left >= 0 and (r := get(piece[left:end])) is not None:
+            before_joined = r << shift | left
+        for leaf, value in ((dead, _NONE), (i, joined), (left, before_joined)):
+            if leaf < 0:
+                continue
+            k = size + leaf
+            if tree[k] == value:
+                continue
+            tree[k] = value
+            while k > 1:  # the least of both children, up to where nothing changes
+                other = tree[k ^ 1]
+                k >>= 1
+                if other < value:
+                    value = other
+                if tree[k] == value:
+                    break
+                tree[k] = value
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
