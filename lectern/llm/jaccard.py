@@ -3,18 +3,19 @@
 A document's set holds the hashes of its distinct n-word shingles. Documents link when the Jaccard
 similarity of their sets reaches the threshold t = numerator / denominator.
 
-1. Short prefixes. Of a set of n shingles, the `p = n - ceil(t n) + l` of least hash form its prefix,
-   with l = ceil(n / 20). Two linked sets share at least min(l, l') shingles of their prefixes, so a
-   document needs that many prefix shingles which some other document's prefix holds as well. Shingles
-   met twice or more are set in a bit table of bounded size; a document with too few of them has no
-   link, and goes no further. Most documents end here.
+1. Screening. Of a set of n shingles, the `p = n - ceil(t n) + l` of least hash form its short prefix,
+   with l = ceil(n / 20). Two linked sets share at least min(l, l') shingles of their short prefixes, so
+   a document needs that many which some other short prefix holds as well; most documents end here. Of
+   the others, all shingles are counted: a linked document has ceil(t n) that others have. Shingles met
+   twice or more are set in a bit table of bounded size, so no document needs to meet any other.
 2. Classes. Documents with equal sets are one class, represented by the smallest doc_id.
-3. Adaptive prefixes. The shared prefix shingles of a representative are ordered from rare to frequent.
-   With c of them, and at least k needed, two linked sets share at least m among the c - k + m rarest
-   (m at most k), for the smaller m of both. Each document takes the m for which its postings plus the
-   partners that share m of them by estimate cost least.
-4. Links. In each posting list, members are first compared with one member that stands for the list;
-   connected members count as one component from then on. Lists that still hold several components
+3. Adaptive prefixes. The shared shingles of a representative are ordered from rare to frequent. With c
+   of them, and k = ceil(t n) needed, two linked sets share at least m among the c - k + m rarest, for
+   the smaller m of both. Each document takes the m for which its postings plus the partners that share
+   m of them by estimate cost least: a longer prefix where its shingles are frequent.
+   A place in the order bounds what two sets can share, which rules out most members of a list.
+4. Links. In each posting list, members are first compared with one member that stands for the list
+   (the one whose shingles are met most, as the origin of many copies); connected members count as one component from then on. Lists that still hold several components
    compare their members across these components, all of them, once they share enough shingles. So a
    large group of near copies costs its size, not its square, and no link between components is missed.
    Each comparison intersects the whole sets.
@@ -79,9 +80,9 @@ def _prefixes(df: DataFrame, n_gram: int, num: int, den: int) -> DataFrame:
 
 
 def _screened(df: DataFrame, n_gram: int, num: int, den: int, bits: Bits) -> DataFrame:
-    """Every document with the size of its set; those that may have a link with a key of their set, the
-    prefix shingles that may be shared, and the set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("prefix", pa.list_(pa.int64())), ("whole", pa.list_(pa.int64()))])
+    """Every document with the size of its set; those whose short prefix may be shared enough with a key of
+    their set and the set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("whole", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -89,39 +90,65 @@ def _screened(df: DataFrame, n_gram: int, num: int, den: int, bits: Bits) -> Dat
             rows["doc_id"] = part.column("doc_id").to_pylist()
             for s in _sets(part.column("text").to_pylist(), n_gram):
                 n = len(s)
-                rows["n"].append(n)
-                prefix = s[: _prefix_length(n, num, den)]
-                prefix = prefix[bits.has(prefix)]
-                if not n or len(prefix) < _needed(n, num, den):
-                    for c in ("key_a", "key_b", "prefix", "whole"):
-                        rows[c].append(None)
-                    continue
-                rows["key_a"].append(int(np.sum(mix(s), dtype=np.uint64).view(np.int64)))
-                rows["key_b"].append(int(np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).view(np.int64)))
-                rows["prefix"].append(prefix.view(np.int64))
-                rows["whole"].append(s.view(np.int64))
+                own = (None, None, None)
+                if n and int(bits.has(s[: _prefix_length(n, num, den)]).sum()) >= _needed(n, num, den):
+                    own = (_sum(mix(s)), _sum(mix(s ^ np.uint64(0x5851F42D4C957F2D))), s.view(np.int64))
+                for c, v in zip(("n", "key_a", "key_b", "whole"), (n, *own), strict=True):
+                    rows[c].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    return df.mapInArrow(run, "doc_id long, n long, key_a long, key_b long, prefix array<long>, whole array<long>")
+    return df.mapInArrow(run, "doc_id long, n long, key_a long, key_b long, whole array<long>")
+
+
+def _sum(x: np.ndarray) -> int:
+    return int(np.sum(x, dtype=np.uint64).view(np.int64))
+
+
+def _whole_counts(kept: DataFrame) -> DataFrame:
+    """All shingles of the documents left, added up where a task meets them again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                once, n = np.unique(batch.column("whole").slice(at, 512).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(once), pa.array(n.astype(np.int32))], ["shingle", "n"])
+
+    return kept.select("whole").mapInArrow(run, "shingle long, n int")
+
+
+def _shared_enough(kept: DataFrame, num: int, den: int, bits: Bits) -> DataFrame:
+    """Documents of whose sets a share of num / den may be found in others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column("whole")
+            hits = bits.has(whole.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            sizes = whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = np.concatenate([[0], np.cumsum(hits)])
+            ends = np.cumsum(sizes)
+            yield batch.filter(pa.array(den * (sums[ends] - sums[ends - sizes]) >= num * sizes))
+
+    return kept.mapInArrow(run, kept.schema)
 
 
 def _postings(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """shingle, rep, n, m: the adaptive prefix of each representative."""
-    held = reps.select("rep", "n", F.explode("prefix").alias("shingle"))
+    """shingle, rep, n, m, c, pos, score: the adaptive prefix of each representative. pos: the shingle's place
+    among its c shared ones. score: how often its shingles
+    are met, on average."""
+    held = reps.select("rep", "n", F.explode("whole").alias("shingle"))
     common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = held.join(common, "shingle").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))
-    least = F.expr(f"cast(({num} * n + {den - 1}) div {den} as int)")
-    shared = shared.withColumn("k", ((least + 19) / 20).cast("int")).filter(F.size("own") >= F.col("k"))
-    shared = shared.withColumn("c", F.size("own"))
+    shared = held.join(common, "shingle").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"), F.sum("df").alias("met"))
+    shared = shared.withColumn("k", F.expr(f"cast(({num} * n + {den - 1}) div {den} as int)")).withColumn("c", F.size("own")).filter("c >= k")
 
     def cost(m: int):
-        """Postings read, and partners that are met m times if they are spread over the list."""
+        """Postings read, and partners that are met m times if they are spread over the lists."""
         read = F.aggregate(F.slice("own", 1, F.col("c") - F.col("k") + m), F.lit(0.0), lambda a, x: a + x["df"].cast("double"))
         return F.when(F.col("k") >= m, F.struct((read + 8 * read / m).alias("cost"), F.lit(m).alias("m")))
 
     best = F.array_min(F.array_compact(F.array(*[cost(m) for m in _MATCHES])))
-    shared = shared.withColumn("m", best["m"])
-    return shared.select("rep", "n", "m", F.explode(F.slice("own", 1, F.col("c") - F.col("k") + F.col("m"))).alias("x")).select(F.col("x.shingle").alias("shingle"), "rep", "n", "m")
+    shared = shared.withColumn("m", best["m"]).withColumn("score", F.col("met") / F.col("n"))
+    prefix = F.slice("own", 1, F.col("c") - F.col("k") + F.col("m"))
+    return shared.select("rep", "n", "m", "c", "score", F.posexplode(prefix).alias("pos", "x")).select(F.col("x.shingle").alias("shingle"), "rep", "n", "m", "c", "pos", "score")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -153,17 +180,23 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("u").alias("rep"), "v"), "rep", "left").select("rep", F.coalesce("v", "rep").alias("comp"))
 
 
-def _across(mixed: DataFrame) -> DataFrame:
+def _may_link(x: str, y: str, num: int, den: int):
+    """Whether two members of a list may link: by their sizes, and as they share no more than what both have
+    before this shingle and behind it."""
+    col = lambda side, c: F.col(f"{side}{c}")
+    sizes = (col(x, "n") * den >= col(y, "n") * num) & (col(y, "n") * den >= col(x, "n") * num)
+    behind = F.least(col(x, "c") - col(x, "pos"), col(y, "c") - col(y, "pos"))
+    most = F.least(col(x, "pos"), col(y, "pos")) + behind
+    return sizes & ((num + den) * most >= num * (col(x, "n") + col(y, "n")))
+
+
+def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members in different components, each once for a list: members outside the list's largest
-    component with all others. A skewed list is split by the optimiser."""
+    component with all others that they may link with. A skewed list is split by the optimiser."""
     x, y = mixed.filter("comp <> main").alias("x"), mixed.alias("y")
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & once)
-    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.m", "y.m").alias("m"), F.least("x.n", "y.n").alias("n_low"), F.greatest("x.n", "y.n").alias("n_high"))
-
-
-def _fits(num: int, den: int):
-    return F.col("n_low") * den >= F.col("n_high") * num
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link("x.", "y.", num, den))
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.m", "y.m").alias("m"))
 
 
 def join(df: DataFrame, n_gram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -171,24 +204,26 @@ def join(df: DataFrame, n_gram: int = 5, num: int = 80, den: int = 100) -> DataF
     docs = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bits = repeated(_prefixes(docs, n_gram, num, den), "shingle", "n")
     screened = materialize(_screened(docs, n_gram, num, den, bits), "sets")
-    kept = screened.filter("prefix IS NOT NULL")
+    likely = screened.filter("whole IS NOT NULL")
+    bits = repeated(_whole_counts(likely), "shingle", "n")
+    kept = materialize(_shared_enough(likely, num, den, bits), "kept")
     key = ["key_a", "key_b", "n"]
     classes = materialize(kept.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_equal")).filter("rep IS NOT NULL"), "classes")
     is_rep = [kept[c] == classes[c] for c in key] + [kept["doc_id"] == classes["rep"]]
-    reps = materialize(kept.join(classes, is_rep).select("rep", kept["n"], "prefix", "whole").dropDuplicates(["rep", "n", "whole"]), "reps")
+    reps = materialize(kept.join(classes, is_rep).select("rep", kept["n"], "whole").dropDuplicates(["rep", "n", "whole"]), "reps")
     postings = materialize(_postings(reps, num, den), "postings")
     sets = reps.select("rep", "whole")
     nodes = reps.select("rep")
 
-    # One member stands for each list, first the one with the smallest set, then with the largest. All
-    # others of the list are compared with it, unless they are connected already.
+    # One member stands for each list, first the one that is met most, then the one of the smallest set.
+    # All others of the list are compared with it, unless they are connected already.
     links = None
     comp = nodes.withColumn("comp", F.col("rep"))
-    for pick in (F.min, F.max):
-        heads = postings.groupBy("shingle").agg(pick(F.struct("n", "rep", "m")).alias("h")).select("shingle", "h.*").withColumnsRenamed({"n": "h_n", "rep": "h_rep", "m": "h_m"})
-        met = postings.join(heads, "shingle").filter("rep <> h_rep")
-        pairs = met.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b"), F.least("n", "h_n").alias("n_low"), F.greatest("n", "h_n").alias("n_high"), F.least("m", "h_m").alias("m"))
-        pairs = pairs.groupBy("a", "b", "n_low", "n_high", "m").agg(F.count(F.lit(1)).alias("shared")).filter(_fits(num, den) & (F.col("shared") >= F.col("m"))).select("a", "b")
+    for pick in (F.max(F.struct("score", "rep", "n", "m", "c", "pos")), F.min(F.struct("n", "rep", "m", "c", "pos"))):
+        heads = postings.groupBy("shingle").agg(pick.alias("h")).select("shingle", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("rep", "n", "m", "c", "pos")])
+        met = postings.join(heads, "shingle").filter((F.col("rep") != F.col("h_rep")) & _may_link("", "h_", num, den))
+        pairs = met.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b"), F.least("m", "h_m").alias("m"))
+        pairs = pairs.groupBy("a", "b", "m").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= m").select("a", "b")
         if links is not None:
             apart = comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
             apart_b = comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
@@ -202,8 +237,8 @@ def join(df: DataFrame, n_gram: int = 5, num: int = 80, den: int = 100) -> DataF
     sizes = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("shingle", F.col("top.comp").alias("main"))
     mixed = materialize(placed.join(main, "shingle"), "mixed")
-    shared = _across(mixed).groupBy("a", "b", "n_low", "n_high", "m").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = shared.filter(_fits(num, den) & (F.col("shared") >= F.col("m"))).select("a", "b")
+    shared = _across(mixed, num, den).groupBy("a", "b", "m").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = shared.filter("shared >= m").select("a", "b")
     links = links.unionByName(materialize(_verified(pairs, sets, num, den), "links"))
     comp = components(nodes, links)
 
