@@ -7,6 +7,7 @@ on them alone, so the parse of the inside of a window depends on the window alon
 ends may join outside ones, and are not counted to its inside. After two rounds a window of 20 words
 keeps at least one inner symbol, unless long runs fill it, for which lower rounds serve.
 
+0. A document whose whole text an earlier one has is all repeats, and takes no further part.
 1. Each window names as its anchor the least-hashed inner symbol of its highest round. Anchors are far
    fewer than windows; those met at least twice in the corpus are set in a bit table of bounded size.
 2. Windows whose anchor is in it are verified: the hash of all their words is looked up for its first
@@ -38,105 +39,120 @@ from .shared import repeated
 from .words import Bits, combine, hashes, mix, slices
 
 _ROUNDS = 2
+_CONTEXT = 8
 _INDEX = np.uint64((1 << 26) - 1)
 
 
-def _runs(symbols: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """A name for each run, and the run of each symbol."""
+def _runs(symbols: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A name for each run, which symbols begin one, and the run of each symbol."""
     first = np.concatenate([[True], symbols[1:] != symbols[:-1]])
     number = np.cumsum(first) - 1
     length = np.bincount(number).astype(np.uint64)
     names = symbols[first].copy()
     long = length > 1
     names[long] = mix(names[long] * np.uint64(2 * level + 3) + length[long] * np.uint64(0xA0761D6478BD642F))
-    return names, number
+    return names, first, number
 
 
 def _pairs(symbols: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A name for each pair or single symbol, the pair of each symbol, and which symbols are right ones."""
+    """A name for each pair or single symbol, which symbols are second in a pair, and which are right ones."""
     right = (mix(symbols + np.uint64(0x9E37 * (level + 1))) >> np.uint64(63)).astype(bool)
     second = np.concatenate([[False], right[1:] & ~right[:-1]])
     number = np.cumsum(~second) - 1
     names = symbols[~second].copy()
     heads = np.flatnonzero(second) - 1
     names[number[heads]] = mix(symbols[heads] * np.uint64(0xE7037ED1A0B428DB) + symbols[heads + 1] + np.uint64(level))
-    return names, number, right
+    return names, second, right
 
 
 def anchors(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of `width` words: its anchor's name, and a number that equals for windows which
-    share one occurrence of it."""
+    """For each window of `width` words: its anchor's name, and the word where the anchor begins.
+    The name takes in the words from there on, as short symbols are met everywhere by chance; these words
+    lie within the window, so equal windows still have equal names."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     low, high = np.arange(n), np.arange(width - 1, width - 1 + n)  # inside, as places in the symbols
-    best, place = words[:n].copy(), np.arange(n)
-    symbols = words
+    levels = [(words, np.arange(len(words)), low, low)]
+    symbols, begin = words, np.arange(len(words))
     for level in range(_ROUNDS):
-        symbols, number = _runs(symbols, level)
+        symbols, first, number = _runs(symbols, level)
+        begin = begin[first]
         low, high = number[low] + 1, number[high] - 1
-        best, place = _least(symbols, low, high, best, place, 2 * level + 1)
-        paired, number, right = _pairs(symbols, level)
+        levels.append((symbols, begin, low, high))
+        paired, second, right = _pairs(symbols, level)
+        number = np.cumsum(~second) - 1
         some = low <= high
-        safe_low, safe_high = np.minimum(low, len(symbols) - 1), np.maximum(high, 0)
-        low = np.where(some & right[safe_low], low + 1, low)
-        high = np.where(some & ~right[safe_high], high - 1, high)
+        low = np.where(some & right[np.minimum(low, len(symbols) - 1)], low + 1, low)
+        high = np.where(some & ~right[np.maximum(high, 0)], high - 1, high)
         some = low <= high
-        low, high = np.where(some, number[np.minimum(low, len(symbols) - 1)], 1), np.where(some, number[np.maximum(high, 0)], 0)
-        symbols = paired
-        if level < _ROUNDS - 1:
-            low, high = np.where(low <= high, low, 0), np.where(low <= high, high, 0)
-        else:
-            best, place = _least(symbols, low, high, best, place, 2 * level + 2)
-    return best, place
-
-
-def _least(symbols: np.ndarray, low: np.ndarray, high: np.ndarray, best: np.ndarray, place: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Replaces anchors by the least-hashed symbol from low to high, where there is one."""
-    some = np.flatnonzero(low <= high)
-    if not len(some):
-        return best, place
+        # (0, 0) is empty after the next runs, (1, 0) at once
+        empty = 0 if level < _ROUNDS - 1 else 1
+        low, high = np.where(some, number[np.minimum(low, len(symbols) - 1)], empty), np.where(some, number[np.maximum(high, 0)], 0)
+        symbols, begin = paired, begin[~second]
+    levels.append((symbols, begin, low, high))
+    context = min(_CONTEXT, width)
+    name, start = np.empty(n, np.uint64), np.empty(n, np.int64)
+    todo = np.arange(n)
+    for level in range(len(levels) - 1, -1, -1):
+        symbols, begin, low, high = levels[level]
+        # the words that name it have to end within the window
+        high = np.minimum(high, np.searchsorted(begin, np.arange(n) + (width - context), side="right") - 1)
+        own = todo[low[todo] <= high[todo]]
+        if len(own):
+            at = _least(symbols, low[own], high[own], level)
+            name[own], start[own] = symbols[at] + np.uint64(level), begin[at]
+            todo = todo[low[todo] > high[todo]]
+        if not len(todo):
+            break
+    return mix(name ^ combine(words, context)[start]), start
+
+
+def _least(symbols: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> np.ndarray:
+    """The place of the least-hashed symbol from low to high, the first of equal ones."""
     keys = mix(symbols ^ np.uint64(level)) & ~_INDEX | np.arange(len(symbols), dtype=np.uint64) & _INDEX
-    a, b = low[some], high[some]
-    size = b - a + 1
-    least = np.empty(len(some), np.uint64)
-    power, table = 0, keys
-    top = int(size.max())
+    size = high - low + 1
+    least = np.empty(len(low), np.uint64)
+    power, table, top = 0, keys, int(size.max())
     while True:
-        own = (size >> power == 1)
+        own = size >> power == 1
         if own.any():
-            least[own] = np.minimum(table[a[own]], table[b[own] - (1 << power) + 1])
+            least[own] = np.minimum(table[low[own]], table[high[own] - (1 << power) + 1])
         power += 1
         if 1 << power > top:
             break
         half = 1 << (power - 1)
         table = np.minimum(table[:-half], table[half:])
-    at = (least & _INDEX).astype(np.int64)
-    best, place = best.copy(), place.copy()
-    best[some] = mix(symbols[at] + np.uint64(level))
-    place[some] = at + level * (1 << 40)
-    return best, place
+    return (least & _INDEX).astype(np.int64)
+
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """Adds text_key, which tells rows of one doc_id apart, and is 0 if no doc_id is repeated."""
+    twice = df.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return df.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))) if twice else F.lit(0).cast("long"))
 
-def _documents(df: DataFrame) -> DataFrame:
-    return df.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+def _inside(counts: np.ndarray, width: int) -> np.ndarray:
+    """Which windows of texts laid end to end lie within one text."""
+    n = int(counts.sum()) - width + 1
+    inside = np.ones(max(n, 0), bool)
+    for end in np.cumsum(counts)[:-1]:
+        inside[max(0, end - width + 1) : end] = False
+    return inside
 
 
 def _counted(df: DataFrame, width: int) -> DataFrame:
-    """Anchors of every text, each occurrence once, added up where a task meets them again."""
+    """Anchors of every text, each occurrence once, added up where a task meets them again. As an anchor
+    depends on its window alone, texts are laid end to end and windows across their ends left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found, counts = hashes(part.column("text").to_pylist(), False)
-            names = []
-            for end, n in zip(np.cumsum(counts), counts, strict=True):
-                if n >= width:
-                    best, place = anchors(found[end - n : end], width)
-                    _, first = np.unique(place, return_index=True)
-                    names.append(best[first])
-            if names:
-                once, n = np.unique(np.concatenate(names), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
+            words, counts = hashes(part.column("text").to_pylist(), False)
+            names, start = anchors(words, width)
+            inside = _inside(counts, width)
+            _, first = np.unique(start[inside], return_index=True)
+            once, n = np.unique(names[inside][first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
     return df.select("text").mapInArrow(run, "anchor long, n int")
 
@@ -147,47 +163,65 @@ def _candidates(df: DataFrame, width: int, bits: Bits) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found, counts = hashes(part.column("text").to_pylist(), False)
-            rows = {"doc_id": [], "text_key": [], "start": [], "windows": []}
-            for end, n, doc, key in zip(np.cumsum(counts), counts, part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), strict=True):
-                if n < width:
-                    continue
-                words = found[end - n : end]
-                hit = bits.has(anchors(words, width)[0])
-                edge = np.flatnonzero(np.diff(hit, prepend=False, append=False))
-                if not len(edge):
-                    continue
-                whole = combine(words, width).view(np.int64)
-                for a, b in zip(edge[::2], edge[1::2], strict=True):
-                    rows["doc_id"].append(doc)
-                    rows["text_key"].append(key)
-                    rows["start"].append(int(a))
-                    rows["windows"].append(whole[a:b])
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
-
-    return df.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, start int, windows array<long>")
+            words, counts = hashes(part.column("text").to_pylist(), False)
+            hit = bits.has(anchors(words, width)[0]) & _inside(counts, width)
+            edge = np.flatnonzero(np.diff(hit, prepend=False, append=False))
+            if not len(edge):
+                continue
+            first, last = edge[::2], edge[1::2]
+            ends = np.cumsum(counts)
+            doc = np.searchsorted(ends, first, side="right")
+            whole = combine(words, width).view(np.int64)
+            columns = [part.column(c).take(pa.array(doc)) for c in ("doc_id", "text_key")]
+            runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)), pa.array(whole[hit]))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((first - (ends - counts)[doc]).astype(np.int32)), runs], schema=schema)
+
+    return df.mapInArrow(run, "doc_id long, text_key long, start int, windows array<long>")
 
 
 def repeats(df: DataFrame, width: int = 20) -> DataFrame:
-    """doc_id, text_key, starts: the windows of each document that also start earlier."""
-    docs = _documents(df)
-    bits = repeated(_counted(docs, width), "anchor", "n")
-    runs = materialize(_candidates(docs, width, bits), "windows")
+    """doc_id, text_key, starts: the windows of each document (doc_id, text, text_key) that also start
+    earlier."""
+    bits = repeated(_counted(df, width), "anchor", "n")
+    runs = materialize(_candidates(df, width, bits), "windows")
     windows = runs.select("doc_id", "text_key", "start", F.posexplode("windows").alias("at", "window")).select("window", F.struct("doc_id", "text_key", (F.col("start") + F.col("at")).alias("start")).alias("place"))
     firsts = windows.groupBy("window").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "first")
     later = windows.join(firsts, "window").filter(~F.col("place").eqNullSafe(F.col("first")))
     return later.groupBy("place.doc_id", "place.text_key").agg(F.collect_list("place.start").alias("starts"))
 
 
-def _with_repeats(docs: DataFrame, width: int) -> DataFrame:
-    found = repeats(docs, width).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(found, doc.eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_key")), "left").drop("_doc", "_key").withColumnRenamed("starts", "_starts")
-
-
-def _kept(text: str | None, starts: list[int] | None, width: int) -> tuple[list[bytes], int]:
+def _copies(docs: DataFrame, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Ids of the documents whose whole text a document of smaller doc_id has (all their windows start
+    earlier there), and the others. The ids are broadcast up to broadcast_rows, and joined by a shuffle
+    beyond that."""
+    keyed = docs.select("doc_id", F.md5("text").alias("whole"))
+    firsts = keyed.groupBy("whole").agg(F.min(F.struct("doc_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("whole", F.col("first.doc_id").alias("first"))
+    later = keyed.join(firsts, "whole").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_copy")).distinct()
+    later = materialize(later, "copies")
+    side = F.broadcast(later) if later.count() <= broadcast_rows else later
+    return side, docs.join(side, F.col("doc_id").eqNullSafe(F.col("_copy")), "left_anti")
+
+
+def _with_repeats(docs: DataFrame, width: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs with _starts, the windows to go, and _copy, whether all of a text is a copy. text_key is part
+    of docs; where it tells rows of one doc_id apart, copies are found by their windows alone."""
+    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), "text_key")
+    unique = not plain.filter("text_key <> 0").limit(1).count()
+    side, others = _copies(plain, broadcast_rows) if unique else (None, plain)
+    found = repeats(others, width).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
+    own = F.col("doc_id").cast("long")
+    out = docs.join(found, own.eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left").drop("_doc", "_key").withColumnRenamed("starts", "_starts")
+    if side is None:
+        return out.withColumn("_copy", F.lit(False))
+    marked = out.join(side.withColumn("_is", F.lit(True)), own.eqNullSafe(F.col("_copy")), "left").drop("_copy")
+    return marked.withColumn("_copy", F.coalesce("_is", F.lit(False))).drop("_is")
+
+
+def _kept(text: str | None, starts: list[int] | None, copy: bool, width: int) -> tuple[list[bytes], int]:
     """The words that stay, and how many there were."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
+    if copy and len(words) >= width:
+        return [], len(words)
     if not starts:
         return words, len(words)
     change = np.zeros(len(words) + 1, np.int32)
@@ -204,15 +238,15 @@ def digest(df: DataFrame, width: int = 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out: dict[str, list] = {"doc_id": part.column("doc_id").to_pylist(), "n_words": [], "n_removed": [], "kept_sha256": []}
-            for text, starts in zip(part.column("text").to_pylist(), part.column("_starts").to_pylist(), strict=True):
-                kept, n = _kept(text, starts, width)
+            for text, starts, copy in zip(*(part.column(c).to_pylist() for c in ("text", "_starts", "_copy")), strict=True):
+                kept, n = _kept(text, starts, copy, width)
                 out["n_words"].append(n)
                 out["n_removed"].append(n - len(kept))
                 out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-    return _with_repeats(_documents(df), width).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_repeats(_keyed(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))), width).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(df: DataFrame, width: int = 20) -> DataFrame:
@@ -222,17 +256,19 @@ def cut(df: DataFrame, width: int = 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts = part.column("text").to_pylist()
-            for i, starts in enumerate(part.column("_starts").to_pylist()):
-                if starts:
-                    texts[i] = b" ".join(_kept(texts[i], starts, width)[0]).decode("utf-8", "surrogatepass")
+            changed = [False] * len(texts)
+            for i, (starts, copy) in enumerate(zip(part.column("_starts").to_pylist(), part.column("_copy").to_pylist(), strict=True)):
+                kept, n = _kept(texts[i], starts, copy, width) if starts or copy else ([], 0)
+                if len(kept) < n:
+                    changed[i] = True
+                    texts[i] = b" ".join(kept).decode("utf-8", "surrogatepass")
             new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in part.schema.names:
-                changed = pa.array([bool(s) for s in part.column("_starts").to_pylist()])
                 lengths = pc.utf8_length(new["text"]).cast(part.schema.field("n_chars").type)
-                new["n_chars"] = pc.if_else(changed, lengths, part.column("n_chars"))
+                new["n_chars"] = pc.if_else(pa.array(changed, pa.bool_()), lengths, part.column("n_chars"))
             for c, values in new.items():
                 part = part.set_column(part.schema.get_field_index(c), c, values)
-            yield part.select([c for c in part.schema.names if c != "_starts"])
+            yield part.select([c for c in part.schema.names if c not in ("_starts", "_copy", "text_key")])
 
-    marked = _with_repeats(df.withColumn("text", F.col("text").cast("string")), width)
-    return marked.mapInArrow(run, marked.drop("_starts").schema)
+    marked = _with_repeats(_keyed(df.withColumn("text", F.col("text").cast("string"))), width)
+    return marked.mapInArrow(run, marked.drop("_starts", "_copy", "text_key").schema)
