@@ -45,10 +45,11 @@ def allowed(length: int) -> int:
 
 
 class Automaton:
-    """terms: whole words; stems: beginnings of words. match(word) is (term, distance) or None: the
+    """terms: whole words; stems: beginnings of words; fuzzy: the terms that may be misspelled, else all. match(word) is (term, distance) or None: the
     beginning that the word has, or else its nearest whole term, the first of several in order."""
 
-    def __init__(self, terms: list[str], stems: list[str]):
+    def __init__(self, terms: list[str], stems: list[str], fuzzy: list[str] | None = None):
+        self.fuzzy = frozenset(terms if fuzzy is None else fuzzy)
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
@@ -65,7 +66,7 @@ class Automaton:
                 path.append(self.children[path[-1]][c])
             (self.stem if is_stem else self.term)[path[-1]] = t
             for n in path:
-                self.budget[n] = max(self.budget[n], 0 if is_stem else allowed(len(t)))
+                self.budget[n] = max(self.budget[n], 0 if is_stem else self._edits(t))
         self.alphabet = frozenset(c for kids in self.children for c in kids)
         self.steps: list[dict[str, int]] = []
         self.members: list[frozenset] = []
@@ -74,6 +75,9 @@ class Automaton:
         self.numbers: dict[frozenset, int] = {}
         self.start = self._number(self._closed({(0, 0)}))
 
+    def _edits(self, term: str) -> int:
+        return allowed(len(term)) if term in self.fuzzy else 0
+
     def _closed(self, states: set[tuple[int, int]]) -> frozenset:
         """With letters of the term left out, and without states that another one covers."""
         todo, seen = list(states), set(states)
@@ -96,7 +100,7 @@ class Automaton:
             self.members.append(members)
             stems = [self.stem[n] for n, e in members if e == 0 and self.stem[n]]
             self.hit.append((min(stems), 0) if stems else None)
-            ends = [(e, self.term[n]) for n, e in members if self.term[n] and e <= allowed(len(self.term[n]))]
+            ends = [(e, self.term[n]) for n, e in members if self.term[n] and e <= self._edits(self.term[n])]
             self.end.append((min(ends)[1], min(ends)[0]) if ends else None)
         return k
 
@@ -131,6 +135,7 @@ class Automaton:
 class Model:
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
+    fuzzy: list[str] = field(default_factory=list)
     weights: dict[tuple[str, int], float] = field(default_factory=dict)
     coefficients: list[float] = field(default_factory=lambda: [0.0] * (N_FEATURES + 1))
 
@@ -142,8 +147,8 @@ class Model:
 class Matcher:
     """Matches of whole texts; remembers the words it has met, up to a bound."""
 
-    def __init__(self, terms: list[str], stems: list[str], limit: int = 400_000):
-        self.automaton, self.limit = Automaton(terms, stems), limit
+    def __init__(self, terms: list[str], stems: list[str], fuzzy: list[str] | None = None, limit: int = 400_000):
+        self.automaton, self.limit = Automaton(terms, stems, fuzzy), limit
         self.known: dict[str, tuple[str, int] | None] = {}
 
     def matches(self, text: str | None) -> list[tuple[int, tuple[str, int], bool]]:
@@ -154,8 +159,9 @@ class Matcher:
         words, known = _WORD.findall(lowered), self.known
         if len(known) > self.limit:
             known.clear()
-        for w in {*words} - known.keys():
-            known[w] = self.automaton.match(w)
+        for w in {*words}:
+            if w not in known:
+                known[w] = self.automaton.match(w)
         found = [(i, m) for i, w in enumerate(words) if (m := known[w]) is not None]
         if not found:
             return []
@@ -217,11 +223,12 @@ def _terms_of(text: str) -> set[str]:
     return out
 
 
-def learn(labelled: DataFrame, sample: int = 20_000, least: int = 5, ratio: float = 12.0, terms: int = 2_000) -> Model:
+def learn(labelled: DataFrame, sample: int = 20_000, least: int = 5, share: float = 0.01, ratio: float = 12.0, terms: int = 256, fuzzy: float = 0.03) -> Model:
     """labelled: doc_id, text, toxic (0 or 1). sample: rows learned from at most, dealt by a hash of the
-    id. least: toxic documents that a term occurs in at least. ratio: how much more often it does so than
-    in others. terms: size of the lexicon, the most frequent first."""
-    rows = materialize(_sampled(labelled.filter(F.col("toxic").isin(0, 1)), sample).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int")), "labelled")
+    id. least, share: toxic documents, and share of them, that a term occurs in at least. ratio: how much more often it does so than
+    in others. terms: size of the lexicon, the most frequent first. fuzzy: share of toxic
+    documents from which on a word may be misspelled. Exact copies are learned from once."""
+    rows = materialize(_sampled(labelled.filter(F.col("toxic").isin(0, 1)), sample).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int")).dropDuplicates(), "labelled")
 
     def count_terms(only: frozenset | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +250,7 @@ def learn(labelled: DataFrame, sample: int = 20_000, least: int = 5, ratio: floa
         share = (n_toxic + 1) / (n_toxic + n_other + 2)
         return Model(coefficients=[math.log(share / (1 - share)), *[0.0] * N_FEATURES])
     # Terms in a share of the toxic rows, so their number depends on the sample, which is bounded.
-    toxic = totals(rows.filter("toxic = 1"), None, max(least, n_toxic // 500))
+    toxic = totals(rows.filter("toxic = 1"), None, max(least, math.ceil(share * n_toxic)))
     other = totals(rows.filter("toxic = 0"), frozenset(toxic), 1)
     strong = {t: n for t, n in toxic.items() if (n + 0.5) / (n_toxic + 1) >= ratio * (other.get(t, 0) + 0.5) / (n_other + 1)}
     chosen: list[str] = []
@@ -259,8 +266,10 @@ def learn(labelled: DataFrame, sample: int = 20_000, least: int = 5, ratio: floa
             break
     words, stems = [t for t in chosen if not t.endswith("*")], [t[:-1] for t in chosen if t.endswith("*")]
 
+    often = [w for w in words if strong[w] >= fuzzy * n_toxic]
+
     def match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Matcher(words, stems)
+        own = Matcher(words, stems, often)
         for batch in batches:
             found = [own.matches(t) for t in batch.column("text").to_pylist()]
             kept = [[{"at": i, "term": m[0], "distance": m[1], "quoted": q} for i, m, q in f] for f in found]
@@ -277,7 +286,7 @@ def learn(labelled: DataFrame, sample: int = 20_000, least: int = 5, ratio: floa
     groups: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
     for y, found in docs:
         groups[tuple(features(found, weights))][y] += 1
-    return Model(words, stems, weights, _regression(groups))
+    return Model(words, stems, often, weights, _regression(groups))
 
 
 def _regression(groups: dict[tuple, list[int]], penalty: float = 1.0) -> list[float]:
@@ -300,7 +309,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_matches, matches (the terms found, in order) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Matcher(model.terms, model.stems)
+        own = Matcher(model.terms, model.stems, model.fuzzy)
         for batch in batches:
             found = [own.matches(t) for t in batch.column("text").to_pylist()]
             scores = [model.score(features(f, model.weights)) for f in found]
@@ -334,7 +343,7 @@ def clean(df: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The rows whose text scores below the threshold, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Matcher(model.terms, model.stems)
+        own = Matcher(model.terms, model.stems, model.fuzzy)
         for batch in batches:
             scores = [model.score(features(own.matches(t), model.weights)) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
