@@ -126,7 +126,7 @@ def _in_order(df: DataFrame) -> DataFrame:
     width = shuffle_width(df.sparkSession)
     ids = docs.select("doc_id", place.alias("place"))
     inner = [p for p in ids.approxQuantile("place", [k / width for k in range(1, width)], 0.1 / width) if p > float("-inf")]
-    deal = Bucketizer(splits=[float("-inf"), *sorted({*inner}), float("inf")], inputCol="place", outputCol="bucket")
+    deal = Bucketizer(splits=[float("-inf"), *sorted({*inner} or {0.0}), float("inf")], inputCol="place", outputCol="bucket")
     # one row for each range: as many as the shuffle has partitions
     firsts = sorted((int(r["bucket"]), r["first"]) for r in deal.transform(ids).groupBy("bucket").agg(F.expr("min(struct(doc_id)).doc_id").alias("first")).collect())
     docs = deal.transform(docs.withColumn("place", place)).withColumn("bucket", F.col("bucket").cast("int"))
