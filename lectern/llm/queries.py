@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, jaccard, packing, substrings, tokenstore, topk, toxicity
+from . import bpe, fingerprints, html_extract, jaccard, packing, perspectives, substrings, tokenstore, topk, toxicity
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "n_matches")
 
 
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_jaccard": op2_jaccard,
     "op3_toxicity": op3_toxicity,
+    "op4_perspectives": op4_perspectives,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_substrings": op7_substrings,
@@ -80,6 +85,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_perspectives": """
+        WITH s AS (
+            SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE trim(role) END AS speaker, coalesce(text, '') AS text FROM conversations
+        ), t AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY speaker, text) AS INTEGER) AS place FROM s
+        ), m AS (
+            SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+            FROM t JOIN (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM s WHERE speaker <> 'system') p ON t.conv_id IS NOT DISTINCT FROM p.c
+        ), h AS (
+            SELECT *, '<|' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || '|>' || chr(10) AS head FROM m
+        )
+        SELECT conv_id, perspective, turn, place, role, head || text || '<|end|>' || chr(10) AS segment,
+               CAST(CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END AS INTEGER) AS target_start,
+               CAST(CASE WHEN role = 'assistant' THEN length(text) + 8 ELSE 0 END AS INTEGER) AS target_length
+        FROM h""",
     "op1_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w

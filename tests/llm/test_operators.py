@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import bpe, fingerprints, html_extract, jaccard, labelled_pages, packing, queries, substrings, tokens, tokenstore, topk, toxicity, words
+from lectern.llm import bpe, fingerprints, html_extract, jaccard, labelled_pages, packing, perspectives, queries, substrings, tokens, tokenstore, topk, toxicity, words
 from tests.compare import connect, rows
 from tests.llm import brute
 
@@ -339,3 +339,16 @@ def test_toxicity_learns_misspellings_and_quotation(spark):
     assert toxicity.clean(df, model, 0.3).columns == df.columns
     none = toxicity.learn_from(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(df, none).collect()} == {0.5}
+
+
+def test_perspectives(spark, sf_dir):
+    data = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", "Ho"), (1, 2, "cy", None), (1, None, "", "?"), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (None, 0, "ann", "x")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash"))
+    got = perspectives.rotate(df)
+    assert {(r["conv_id"], r["perspective"]) for r in got.collect()} == {(1, "ann"), (1, "bob"), (1, "cy"), (1, "unknown"), (None, "ann")}
+    bob = got.filter("conv_id = 1 AND perspective = 'bob'").orderBy("turn", "place").collect()
+    assert [r["segment"] for r in bob] == ["<|user name=unknown|>\n?<|end|>\n", "<|system|>\nBe kind<|end|>\n", "<|user name=ann|>\nHi<|end|>\n", "<|assistant|>\nHo<|end|>\n", "<|user name=cy|>\n<|end|>\n"]
+    assert [r["segment"][r["target_start"] : r["target_start"] + r["target_length"]] for r in bob] == ["", "", "", "Ho<|end|>\n", ""]
+    assert got.filter("conv_id IS NULL").count() == 2
+    assert perspectives.rotate(df.limit(0)).count() == 0
+    assert rows(queries.QUERIES["op4_perspectives"](spark, sf_dir).toPandas()) == rows(connect(sf_dir).execute(queries.ORACLES["op4_perspectives"]).df())
