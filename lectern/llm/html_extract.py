@@ -45,13 +45,14 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "label", "parent", "children", "text", "linked", "pieces")
+    __slots__ = ("tag", "words", "label", "parent", "children", "text", "linked", "pieces", "quiet")
 
     def __init__(self, tag: str, parent: int, words: tuple[str, ...] = (), label: int | None = None):
         self.tag, self.parent, self.words, self.label = tag, parent, words, label
         self.children: list[int] = []
         self.text = self.linked = 0
         self.pieces = 0
+        self.quiet = False  # never shown, so no evidence either
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -135,6 +136,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             elif name == "data-main":
                 label = int(a[2])
         nodes.append(Node(tag, stack[-1][1], tuple(words), label))
+        nodes[-1].quiet = bool(silent) or tag in _SILENT
         nodes[nodes[-1].parent].children.append(len(nodes) - 1)
         if tag not in _VOID:
             stack.append((tag, len(nodes) - 1))
@@ -169,6 +171,8 @@ class Model:
             for k, node in enumerate(nodes):
                 own = node.label if node.label is not None else (labels[node.parent] if k else 0)
                 labels.append(own)
+                if node.quiet:
+                    continue
                 self.total[own] += 1
                 self.seen[own].update(_features(node, *sums[k]))
                 if k:
@@ -203,6 +207,10 @@ class Model:
         n, sums = len(nodes), subtree(nodes)
         own, tables = [], []
         for k, node in enumerate(nodes):
+            if node.quiet:
+                own.append((1.0, 1.0))
+                tables.append(((0.5, 0.5), (0.5, 0.5)))
+                continue
             z = max(-30.0, min(30.0, sum(map(self.weight, _features(node, *sums[k])))))
             p = 1 / (1 + math.exp(-z))
             own.append((1 - p, p) if k else (1.0, 1e-6))
