@@ -1,10 +1,11 @@
 """Toxicity of documents: misspelled lexicon terms in context (operator 3).
 
 Training (on labelled rows; `sample` of them at most, a documented bound): words and word beginnings
-that occur in toxic documents far more often than in others form a lexicon. It is kept as a trie; the
-Levenshtein automata of all its terms run over the trie together, determinised step by step as words
-need it, so a word costs one transition a character and finds the terms within its allowed distance
-(none below five letters, one from five, two from nine; beginnings match exactly).
+that occur in toxic documents far more often than in others form a lexicon, all that have enough
+evidence. Every term may be misspelled: it is found within its allowed distance (none below five letters,
+one from five, two from nine), whole words by the whole word and beginnings by the word's beginning. Terms
+are indexed by pieces that edits leave alone; those that share one with a word are run over it as
+Levenshtein automata, a few bit operations a letter. A task looks up each distinct word once.
 
 Scoring: each matched word has a weight learned for its term and distance. A window around each match
 adds up the weights near it; a match within quotation marks or behind a reporting phrase counts apart,
@@ -45,97 +46,97 @@ def allowed(length: int) -> int:
 
 
 class Automaton:
-    """terms: whole words; stems: beginnings of words; fuzzy: the terms that may be misspelled, else all. match(word) is (term, distance) or None: the
-    beginning that the word has, or else its nearest whole term, the first of several in order."""
-
-    def __init__(self, terms: list[str], stems: list[str], fuzzy: list[str] | None = None):
-        self.fuzzy = frozenset(terms if fuzzy is None else fuzzy)
-        self.children: list[dict[str, int]] = [{}]
-        self.term: list[str | None] = [None]
-        self.stem: list[str | None] = [None]
-        self.budget = [0]
-        for t, is_stem in [*((t, False) for t in sorted(terms)), *((t, True) for t in sorted(stems))]:
-            path = [0]
-            for c in t:
-                if c not in self.children[path[-1]]:
-                    self.children[path[-1]][c] = len(self.children)
-                    self.children.append({})
-                    self.term.append(None)
-                    self.stem.append(None)
-                    self.budget.append(0)
-                path.append(self.children[path[-1]][c])
-            (self.stem if is_stem else self.term)[path[-1]] = t
-            for n in path:
-                self.budget[n] = max(self.budget[n], 0 if is_stem else self._edits(t))
-        self.alphabet = frozenset(c for kids in self.children for c in kids)
-        self.steps: list[dict[str, int]] = []
-        self.members: list[frozenset] = []
-        self.hit: list[tuple[str, int] | None] = []  # the word may go on: a beginning was found
-        self.end: list[tuple[str, int] | None] = []  # the word ends here
-        self.numbers: dict[frozenset, int] = {}
-        self.start = self._number(self._closed({(0, 0)}))
-
-    def _edits(self, term: str) -> int:
-        return allowed(len(term)) if term in self.fuzzy else 0
-
-    def _closed(self, states: set[tuple[int, int]]) -> frozenset:
-        """With letters of the term left out, and without states that another one covers."""
-        todo, seen = list(states), set(states)
-        while todo:
-            node, e = todo.pop()
-            for child in self.children[node].values():
-                if e + 1 <= self.budget[child] and (child, e + 1) not in seen:
-                    seen.add((child, e + 1))
-                    todo.append((child, e + 1))
-        least: dict[int, int] = {}
-        for node, e in seen:
-            least[node] = min(e, least.get(node, e))
-        return frozenset(least.items())
-
-    def _number(self, members: frozenset) -> int:
-        k = self.numbers.get(members)
-        if k is None:
-            k = self.numbers[members] = len(self.steps)
-            self.steps.append({})
-            self.members.append(members)
-            stems = [self.stem[n] for n, e in members if e == 0 and self.stem[n]]
-            self.hit.append((min(stems), 0) if stems else None)
-            ends = [(e, self.term[n]) for n, e in members if self.term[n] and e <= self._edits(self.term[n])]
-            self.end.append((min(ends)[1], min(ends)[0]) if ends else None)
-        return k
-
-    def _step(self, state: int, c: str) -> int:
-        out = set()
-        for node, e in self.members[state]:
-            kids = self.children[node]
-            if c in kids:
-                out.add((kids[c], e))
-            if e + 1 <= self.budget[node]:
-                out.add((node, e + 1))
-            out.update((child, e + 1) for child in kids.values() if e + 1 <= self.budget[child])
-        k = self._number(self._closed(out)) if out else -1
-        self.steps[state][c] = k
-        return k
+    """terms: whole words; stems: beginnings of words. match(word) is (term, distance) or None: the shortest
+    beginning that the word has exactly, or else the nearest term or beginning, the first of several in order.
+
+    A term that may be k edits away is cut into k + 1 pieces. One of them is free of edits, and if no outer
+    one is, the edits lie on both sides of it, so it stands at most k - 1 places from its own place. Only the
+    terms of the pieces that a word holds there are run: as Levenshtein automata, all states at once."""
+
+    def __init__(self, terms: list[str], stems: list[str]):
+        self.terms, self.stems = frozenset(terms), frozenset(stems)
+        self.lengths = sorted({len(t) for t in self.stems})
+        self.tables: dict[tuple[int, bool, int], dict[str, list[str]]] = {}  # length, whether a beginning, piece
+        self.masks: dict[str, dict[str, int]] = {}
+        for is_stem, own in ((False, self.terms), (True, self.stems)):
+            for t in sorted(own):
+                if k := allowed(len(t)):
+                    for j in range(k + 1):
+                        a, b = self._piece(len(t), k, j)
+                        self.tables.setdefault((len(t), is_stem, j), {}).setdefault(t[a:b], []).append(t)
+                    self.masks[t] = {c: sum(1 << i for i, x in enumerate(t) if x == c) for c in t}
+        self.letters = {t: frozenset(t) for t in self.masks}
+        self.plans: dict[int, list[tuple[int, int, dict[str, list[tuple[str, bool]]]]]] = {}
+
+    @staticmethod
+    def _piece(length: int, k: int, j: int) -> tuple[int, int]:
+        return j * length // (k + 1), (j + 1) * length // (k + 1)
+
+    def _plan(self, n: int) -> list[tuple[int, int, dict[str, list[tuple[str, bool]]]]]:
+        """Where a word of n letters may hold pieces, and of what."""
+        out: dict[tuple[int, int], dict[str, list[tuple[str, bool]]]] = defaultdict(lambda: defaultdict(list))
+        for (length, is_stem, j), table in self.tables.items():
+            k = allowed(length)
+            a, b = self._piece(length, k, j)
+            if n < length - k or not is_stem and n > length + k:
+                continue
+            if j == 0:
+                shifts = range(1)
+            elif j < k:
+                shifts = range(1 - k, k)
+            else:
+                shifts = range(-k, k + 1) if is_stem else range(n - length, n - length + 1)
+            for x in shifts:
+                if a + x >= 0 and b + x <= n:
+                    for piece, own in table.items():
+                        out[a + x, b + x][piece] += [(t, is_stem) for t in own]
+        return [(a, b, dict(table)) for (a, b), table in sorted(out.items())]
+
+    def _distance(self, term: str, word: str, is_stem: bool) -> int:
+        """Edits from the term to the word, or to the nearest beginning of the word."""
+        masks, m = self.masks[term], len(term)
+        full, top = (1 << m) - 1, 1 << (m - 1)
+        more, less, edits, least = full, 0, m, m
+        for c in word[: m + allowed(m)] if is_stem else word:
+            same = masks.get(c, 0)
+            x = (((same & more) + more) ^ more) | same
+            up, down = less | ~(x | more) & full, more & x
+            if up & top:
+                edits += 1
+            elif down & top:
+                edits -= 1
+            least = min(least, edits)
+            same |= less
+            up, down = (up << 1 | 1) & full, (down << 1) & full
+            more, less = down | ~(same | up) & full, up & same
+        return least if is_stem else edits
 
     def match(self, word: str) -> tuple[str, int] | None:
-        state, alphabet, steps, hit = self.start, self.alphabet, self.steps, self.hit
-        for c in word:
-            if c not in alphabet:
-                c = ""
-            to = steps[state].get(c)
-            state = self._step(state, c) if to is None else to
-            if state < 0:
-                return None
-            if hit[state]:
-                return hit[state]
-        return self.end[state]
+        for n in self.lengths:
+            if word[:n] in self.stems:
+                return word[:n], 0
+        if word in self.terms:
+            return word, 0
+        plan = self.plans.get(len(word))
+        if plan is None:
+            plan = self.plans[len(word)] = self._plan(len(word))
+        met: set[tuple[str, bool]] = set()
+        for a, b, table in plan:
+            if own := table.get(word[a:b]):
+                met.update(own)
+        if not met:
+            return None
+        # Each letter that the word lacks is an edit.
+        has = frozenset(word)
+        near = [(t, is_stem) for t, is_stem in met if len(self.letters[t] - has) <= allowed(len(t))]
+        ends = [(e, t) for t, is_stem in near if (e := self._distance(t, word, is_stem)) <= allowed(len(t))]
+        return min(ends)[::-1] if ends else None
 
 
 @dataclass
 class Model:
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
-    fuzzy: list[str] = field(default_factory=list)
     weights: dict[tuple[str, int], float] = field(default_factory=dict)
     coefficients: list[float] = field(default_factory=lambda: [0.0] * (N_FEATURES + 1))
 
@@ -147,8 +148,8 @@ class Model:
 class Matcher:
     """Matches of whole texts; remembers the words it has met, up to a bound."""
 
-    def __init__(self, terms: list[str], stems: list[str], fuzzy: list[str] | None = None, limit: int = 400_000):
-        self.automaton, self.limit = Automaton(terms, stems, fuzzy), limit
+    def __init__(self, terms: list[str], stems: list[str], limit: int = 400_000):
+        self.automaton, self.limit = Automaton(terms, stems), limit
         self.known: dict[str, tuple[str, int] | None] = {}
 
     def matches(self, text: str | None) -> list[tuple[int, tuple[str, int], bool]]:
@@ -223,11 +224,10 @@ def _terms_of(text: str) -> set[str]:
     return out
 
 
-def learn(labelled: DataFrame, sample: int = 20_000, least: int = 5, share: float = 0.01, ratio: float = 12.0, terms: int = 256, fuzzy: float = 0.03) -> Model:
+def learn(labelled: DataFrame, sample: int = 20_000, least: int = 5, ratio: float = 12.0) -> Model:
     """labelled: doc_id, text, toxic (0 or 1). sample: rows learned from at most, dealt by a hash of the
-    id. least, share: toxic documents, and share of them, that a term occurs in at least. ratio: how much more often it does so than
-    in others. terms: size of the lexicon, the most frequent first. fuzzy: share of toxic
-    documents from which on a word may be misspelled. Exact copies are learned from once."""
+    id. least: toxic documents that a term occurs in at least, as evidence. ratio: how much more often it
+    does so than in others. Every such term is in the lexicon. Exact copies are learned from once."""
     rows = materialize(_sampled(labelled.filter(F.col("toxic").isin(0, 1)), sample).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int")).dropDuplicates(), "labelled")
 
     def count_terms(only: frozenset | None):
@@ -249,27 +249,30 @@ def learn(labelled: DataFrame, sample: int = 20_000, least: int = 5, share: floa
     if not n_toxic or not n_other:
         share = (n_toxic + 1) / (n_toxic + n_other + 2)
         return Model(coefficients=[math.log(share / (1 - share)), *[0.0] * N_FEATURES])
-    # Terms in a share of the toxic rows, so their number depends on the sample, which is bounded.
-    toxic = totals(rows.filter("toxic = 1"), None, max(least, math.ceil(share * n_toxic)))
+    # Their number is bounded as the sample is.
+    toxic = totals(rows.filter("toxic = 1"), None, least)
     other = totals(rows.filter("toxic = 0"), frozenset(toxic), 1)
     strong = {t: n for t, n in toxic.items() if (n + 0.5) / (n_toxic + 1) >= ratio * (other.get(t, 0) + 0.5) / (n_other + 1)}
-    chosen: list[str] = []
+    # How often the most frequent word with a beginning occurs.
+    longest: dict[str, int] = {}
+    for w in strong:
+        if not w.endswith("*"):
+            for n in range(4, min(8, len(w)) + 1):
+                longest[w[:n]] = max(strong[w], longest.get(w[:n], 0))
+    chosen: set[str] = set()
     for t in sorted(strong, key=lambda t: (-strong[t], len(t), t)):
         covered = [c for c in (t[:n] + "*" for n in range(4, len(t.rstrip("*")))) if c in strong and strong[c] >= strong[t]]
-        # A beginning that hardly occurs but in one whole word is that word, which may be misspelled.
-        if t.endswith("*") and any(strong[w] >= 0.8 * strong[t] for w in strong if not w.endswith("*") and w.startswith(t[:-1])):
+        # A beginning that hardly occurs but in one whole word is that word.
+        if t.endswith("*") and longest.get(t[:-1], 0) >= 0.8 * strong[t]:
             continue
-        if any(c in chosen for c in covered):
+        # A word that has a chosen beginning stays, as it may be misspelled there.
+        if t.endswith("*") and any(c in chosen for c in covered):
             continue
-        chosen.append(t)
-        if len(chosen) == terms:
-            break
-    words, stems = [t for t in chosen if not t.endswith("*")], [t[:-1] for t in chosen if t.endswith("*")]
-
-    often = [w for w in words if strong[w] >= fuzzy * n_toxic]
+        chosen.add(t)
+    words, stems = sorted(t for t in chosen if not t.endswith("*")), sorted(t[:-1] for t in chosen if t.endswith("*"))
 
     def match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Matcher(words, stems, often)
+        own = Matcher(words, stems)
         for batch in batches:
             found = [own.matches(t) for t in batch.column("text").to_pylist()]
             kept = [[{"at": i, "term": m[0], "distance": m[1], "quoted": q} for i, m, q in f] for f in found]
@@ -283,10 +286,17 @@ def learn(labelled: DataFrame, sample: int = 20_000, least: int = 5, share: floa
     for y, found in docs:
         seen[y].update({m for _, m, q in found if not q})
     weights = {m: max(0.0, min(6.0, math.log((seen[1][m] + 0.5) / (n_toxic + 1)) - math.log((seen[0][m] + 0.5) / (n_other + 1)))) for m in {*seen[0], *seen[1]}}
+    # A misspelling that was never met weighs as those met once do, and no more than its term.
+    known = {m for _, found in docs for _, m, _ in found}
+    right = Automaton(words, stems)
+    for d in (1, 2):
+        once = [sum(1 for m in seen[y] if m[1] == d and seen[0][m] + seen[1][m] == 1) for y in (0, 1)]
+        unmet = max(0.0, min(6.0, math.log((once[1] + 0.5) / (n_toxic + 1)) - math.log((once[0] + 0.5) / (n_other + 1))))
+        weights |= {(t, d): min(unmet, weights.get(right.match(t), 0.0)) for t in (*words, *stems) if d <= allowed(len(t)) and (t, d) not in known}
     groups: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
     for y, found in docs:
         groups[tuple(features(found, weights))][y] += 1
-    return Model(words, stems, often, weights, _regression(groups))
+    return Model(words, stems, weights, _regression(groups))
 
 
 def _regression(groups: dict[tuple, list[int]], penalty: float = 1.0) -> list[float]:
@@ -309,7 +319,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_matches, matches (the terms found, in order) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Matcher(model.terms, model.stems, model.fuzzy)
+        own = Matcher(model.terms, model.stems)
         for batch in batches:
             found = [own.matches(t) for t in batch.column("text").to_pylist()]
             scores = [model.score(features(f, model.weights)) for f in found]
@@ -343,7 +353,7 @@ def clean(df: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The rows whose text scores below the threshold, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Matcher(model.terms, model.stems, model.fuzzy)
+        own = Matcher(model.terms, model.stems)
         for batch in batches:
             scores = [model.score(features(own.matches(t), model.weights)) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))

@@ -341,6 +341,31 @@ def test_toxicity_learns_misspellings_and_quotation(spark):
     assert {r["score"] for r in toxicity.score(df, none).collect()} == {0.5}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abst", max_size=14))
+def test_misspelled_beginnings_and_long_terms(word):
+    terms, stems = ["abs", "basta", "stabbatta", "tasbatsabat", "bbattass"], ["sabat", "tabbs", "abastts"]
+    exact = [s for s in sorted(stems, key=len) if word.startswith(s)]
+    fits = [(distance(word, t), t) for t in terms] + [(min(distance(word[:n], s) for n in range(len(word) + 1)), s) for s in stems]
+    fits = sorted((d, t) for d, t in fits if d <= toxicity.allowed(len(t)))
+    want = (exact[0], 0) if exact else (fits[0][1], fits[0][0]) if fits else None
+    assert toxicity.Automaton(terms, stems).match(word) == want
+
+
+def test_toxicity_finds_misspellings_of_rare_terms(spark):
+    rng = random.Random(8)
+    slurs = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(7, 11))) for _ in range(300)]
+    plain = ["".join(rng.choice("qrstuvwxyz") for _ in range(7)) for _ in range(300)]
+    text = lambda *w: " ".join([*rng.choices(plain, k=12), *w, *rng.choices(plain, k=12)])
+    docs = [(text(s), 1) for s in slurs for _ in range(12)] + [(text(s[:-2] + "y" + s[-1]), 1) for s in slurs[:200] for _ in range(3)] + [(text(), 0) for _ in range(4200)]
+    labelled = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(docs)], "doc_id long, text string, toxic int")
+    model = toxicity.learn_from(labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic"))
+    asked = [(k, text(s[:3] + "z" + s[4:])) for k, s in enumerate(slurs)] + [(1000 + k, text()) for k in range(300)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert sum(got[k] >= 0.3 for k in range(300)) >= 290
+    assert sum(got[1000 + k] >= 0.3 for k in range(300)) <= 3
+
+
 def test_perspectives(spark, sf_dir):
     data = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", "Ho"), (1, 2, "cy", None), (1, None, "", "?"), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (None, 0, "ann", "x")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash"))
