@@ -1,11 +1,11 @@
 """Hierarchical residual packing of documents into sequences (operator 5).
 
 Every partition cuts its documents into pieces and packs them best-fit by falling length. Sequences
-that are nearly full are done. The others are items of the next round, in which a group of partitions
-is packed best-fit again, and so on up a tree, until one group is left. A group hands up at most its
-bins of at most half the capacity (after best fit there is at most one, as two of them fit together)
-and a fixed number of its emptiest other bins, so the work at the root grows with the number of
-partitions, never with the documents. What is not handed up is a finished sequence; nothing is lost.
+that are nearly full are done. All others are taken apart again, and their pieces, however many, are
+packed best-fit together with those of all other partitions. There are no more lengths than the capacity,
+so that round needs only how many pieces of each length there are: it packs lengths with their numbers
+into patterns, on the driver, and each piece finds its sequence by its rank among those of its length.
+The ranks are sums over partitions, so no task holds the pieces of others, and no piece is left out.
 
 Nulls and edge cases: a null or empty text is one piece with the end id alone; a null doc_id is kept;
 repeated rows are packed as often as they occur; other columns are ignored; an empty table packs into
@@ -16,20 +16,21 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .tokens import encoder
 
-MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-BIN = "part int, sequence_id long, used long, done boolean, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
-_SCHEMA = pa.schema([("part", pa.int32()), ("sequence_id", pa.int64()), ("used", pa.int64()), ("done", pa.bool_()), ("members", pa.list_(MEMBER))])
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, unit long, nth long"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("unit", pa.int64()), ("nth", pa.int64())])
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -59,37 +60,58 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def settle(used: list[int], capacity: int, full: float, handed_up: int, last: bool) -> list[bool]:
-    """Which bins are done."""
-    if last:
-        return [True] * len(used)
-    open_bins = sorted((u, k) for k, u in enumerate(used) if u < full * capacity)
-    small = [k for u, k in open_bins if 2 * u <= capacity]
-    others = [k for u, k in open_bins if 2 * u > capacity][:handed_up]
-    up = {*small, *others}
-    return [k not in up for k in range(len(used))]
-
-
-def _rows(bins: list[list[int]], members: list[list[dict]], sizes: np.ndarray, part: int, level: int, capacity: int, full: float, handed_up: int, last: bool) -> pa.RecordBatch:
-    used = [int(sum(sizes[i] for i in b)) for b in bins]
-    done = settle(used, capacity, full, handed_up, last)
-    first = (level << 58) + (part << 30)
-    rows = [{"part": part, "sequence_id": first + k, "used": used[k], "done": done[k], "members": [m for i in b for m in members[i]]} for k, b in enumerate(bins)]
-    return pa.RecordBatch.from_pylist(rows, _SCHEMA)
-
+def best_fit_counts(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """The same for `sizes[size]` items of each size. Bins of equal contents are one class, so the work grows
+    with the sizes, not the items. Returns rows size, rank, bins, each, bin, offset: the items of that size
+    from that rank on fill as many bins, from that bin on, with `each` items at that offset."""
+    open_at: dict[int, list[tuple[int, int]]] = {}  # residual -> classes: first bin, bins
+    residuals: list[int] = []  # sorted, without repeats
+    out: list[tuple[int, int, int, int, int, int]] = []
+    made = 0
 
-def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, full: float = 0.98, handed_up: int = 32, fan_in: int = 16) -> DataFrame:
+    def put(rest: int, first: int, bins: int) -> None:
+        if rest and bins:
+            if rest not in open_at:
+                open_at[rest] = []
+                bisect.insort(residuals, rest)
+            open_at[rest].append((first, bins))
+
+    for size in sorted(sizes, reverse=True):
+        rank, left = 0, sizes[size]
+        while left:
+            at = bisect.bisect_left(residuals, size)
+            if at < len(residuals):
+                rest = residuals[at]
+                first, bins = open_at[rest].pop()
+                if not open_at[rest]:
+                    del open_at[rest], residuals[at]
+            else:
+                rest, first = capacity, made
+                bins = -(-left // (capacity // size))
+                made += bins
+            most = rest // size
+            filled = min(bins, left // most)
+            for number, each in ((filled, most), (1, left % most if filled < bins else 0)):
+                if number and each:
+                    out.append((size, rank, number, each, first, capacity - rest))
+                    put(rest - each * size, first, number)
+                    rank, left, first, bins = rank + number * each, left - number * each, first + number, bins - number
+            put(rest, first, bins)
+    return out
+
+
+def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, full: float = 0.98, handed_up: int | None = None, fan_in: int | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    full: share of the capacity from which a sequence is nearly full. handed_up: how many of its
-    emptiest bins of over half the capacity a group hands to the next round. fan_in: groups that meet
-    in one of the next round."""
+    full: share of the capacity from which a sequence is nearly full. handed_up, fan_in: without effect, as
+    all that is not nearly full meets in one round. broadcast_rows: numbers of pieces by part and length that
+    are broadcast, and joined by a shuffle beyond that."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(tokenizer_path, True), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
-        pieces: list[dict] = []
-        made = 0
+        pieces: list[tuple] = []
+        unit = part << 30
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
@@ -97,46 +119,59 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int =
                     ids += end
                     for k, a in enumerate(range(0, len(ids), step)):
                         x = ids[a : a + step]
-                        pieces.append({"doc_id": doc, "piece": k, "start": a // 4, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)})
+                        pieces.append((doc, k, a // 4, len(x) // 4, zlib.crc32(x)))
                 if len(pieces) >= 100_000:  # memory of a task stays bounded however large its split is
-                    yield fit(pieces, part, made)
-                    pieces, made = [], made + 100_000 + 10_000_000 // 256
-        yield fit(pieces, part, made)
-
-    def fit(pieces: list[dict], part: int, made: int) -> pa.RecordBatch:
-        sizes = np.array([p["length"] for p in pieces], dtype=np.int64)
-        batch = _rows(best_fit(sizes, capacity), [[p] for p in pieces], sizes, part, 0, capacity, full, handed_up, False)
-        return batch.set_column(1, "sequence_id", pa.array(batch.column("sequence_id").to_numpy() + made)) if made else batch
-
-    def merge(level: int, last: bool):
-        def run(key: tuple, group: pa.Table) -> pa.Table:
-            group = group.sort_by([("used", "descending"), ("sequence_id", "ascending")])
-            sizes = group.column("used").to_numpy()
-            batch = _rows(best_fit(sizes, capacity), group.column("members").to_pylist(), sizes, key[0].as_py(), level, capacity, full, handed_up, last)
-            return pa.Table.from_batches([batch])
-
-        return run
-
-    bins = materialize(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, BIN), "bins")
-    finished = [bins.filter("done")]
-    groups = (bins.agg(F.max("part")).first()[0] or 0) + 1
-    level = 0
-    while True:
-        groups, level = -(-groups // fan_in), level + 1
-        last = groups == 1
-        waiting = bins.filter("NOT done").withColumn("part", F.floor(F.col("part") / fan_in).cast("int"))
-        bins = materialize(waiting.groupBy("part").applyInArrow(merge(level, last), BIN), f"bins-{level}")
-        finished.append(bins.filter("done"))
-        if last:
-            break
-    packed = finished[0]
-    for more in finished[1:]:
-        packed = packed.unionByName(more)
-    placed = packed.select("sequence_id", F.explode(_with_offsets("members")).alias("m"))
-    return placed.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", F.col("m.offset").alias("offset"))
-
-
-def _with_offsets(members: str):
-    """Members with their offset: the lengths of those before."""
-    lengths = F.transform(members, lambda m: m["length"])
-    return F.transform(members, lambda m, i: F.struct(m["doc_id"].alias("doc_id"), m["piece"].alias("piece"), m["start"].alias("start"), m["length"].alias("length"), m["ids_crc32"].alias("ids_crc32"), F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("long"), lambda a, x: a + x).alias("offset")))
+                    yield fit(pieces, unit)
+                    pieces, unit = [], unit + len(pieces)
+        if pieces:
+            yield fit(pieces, unit)
+
+    def fit(pieces: list[tuple], unit: int) -> pa.RecordBatch:
+        """unit: number of the first sequence, which also tells these pieces from others."""
+        sizes = np.array([p[3] for p in pieces], dtype=np.int64)
+        sequence: list[int | None] = [None] * len(pieces)
+        offset: list[int | None] = [None] * len(pieces)
+        nth: list[int | None] = [None] * len(pieces)
+        met: Counter = Counter()
+        for number, members in enumerate(best_fit(sizes, capacity)):
+            lengths = sizes[members].tolist()
+            done, at = sum(lengths) >= full * capacity, 0
+            for i, length in zip(members, lengths, strict=True):
+                if done:
+                    sequence[i], offset[i] = unit + number, at
+                    at += length
+                else:
+                    nth[i] = met[length]
+                    met[length] += 1
+        columns = [*zip(*pieces, strict=True), sequence, offset, [unit] * len(pieces), nth]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+    pieces = materialize(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE), "pieces")
+    done, left = pieces.filter("sequence_id IS NOT NULL"), pieces.filter("sequence_id IS NULL")
+    counts = left.groupBy("unit", "length").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1))
+    counts = materialize(counts.withColumn("before", F.coalesce(earlier, F.lit(0))), "lengths")
+    # At most as many rows as the capacity.
+    sizes = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    classes = np.array(sorted(best_fit_counts(sizes, capacity)), np.int64).reshape(-1, 6)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.append(np.flatnonzero(np.diff(classes[:, 0], prepend=-1)), len(classes))
+        begins = {int(classes[a, 0]): (a, classes[a:b, 1]) for a, b in zip(top[:-1], top[1:], strict=True)}
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            own = np.empty(len(length), np.int64)
+            for size in np.unique(length).tolist():
+                here = length == size
+                first, ranks = begins[size]
+                own[here] = first + np.searchsorted(ranks, rank[here], side="right") - 1
+            _, begin, _, each, number, offset = classes[own].T
+            which, place = np.divmod(rank - begin, each)
+            found = [pa.array((1 << 58) + number + which), pa.array(offset + place * length)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _COLUMNS[:5]), *found], _COLUMNS)
+
+    side = counts.select("unit", "length", "before")
+    side = F.broadcast(side) if counts.count() <= broadcast_rows else side
+    ranked = left.join(side, ["unit", "length"]).select(*_COLUMNS[:5], (F.col("before") + F.col("nth")).alias("rank"))
+    placed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return done.select(*_COLUMNS).unionByName(placed)

@@ -132,6 +132,32 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_of_lengths_clustered_by_partition(spark):
+    data = [(k, "and " * 1299) for k in range(300)] + [(k, "and " * 699) for k in range(300, 600)]
+    got = packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartitionByRange(2, "doc_id"), P.path("word_bpe_49k.json"), 2048, 0).collect()
+    assert sorted({(r["doc_id"] < 300, r["length"]) for r in got}) == [(False, 700), (True, 1300)]
+    used = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    least = -(-300 * 2000 // 2048)
+    assert least <= len(used) <= 1.05 * least
+    assert {tuple(sorted(own)) for own in used.values()} == {((0, 1300), (1300, 700))}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=120))
+def test_packing_of_numbers_equals_packing_of_items(items):
+    sizes = {s: items.count(s) for s in items}
+    used, ranks = {}, {s: [] for s in sizes}
+    for size, rank, bins, each, first, offset in packing.best_fit_counts(sizes, 40):
+        ranks[size] += range(rank, rank + bins * each)
+        for b in range(first, first + bins):
+            assert used.get(b, 0) == offset
+            used[b] = offset + each * size
+    assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in sizes.items()}
+    assert sorted(used.values()) == sorted(sum(items[i] for i in b) for b in packing.best_fit(np.array(items, np.int64), 40))
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(700, 16)) / 4
