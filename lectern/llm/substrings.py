@@ -142,7 +142,7 @@ def _inside(counts: np.ndarray, width: int) -> np.ndarray:
 
 
 def _counted(df: DataFrame, width: int) -> DataFrame:
-    """Anchors of every text, each occurrence once, added up where a task meets them again. As an anchor
+    """Anchors of every text, each name once at each start, added up where a task meets them again. As an anchor
     depends on its window alone, texts are laid end to end and windows across their ends left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +150,13 @@ def _counted(df: DataFrame, width: int) -> DataFrame:
             words, counts = hashes(part.column("text").to_pylist(), False)
             names, start = anchors(words, width)
             inside = _inside(counts, width)
-            _, first = np.unique(start[inside], return_index=True)
-            once, n = np.unique(names[inside][first], return_counts=True)
+            # Windows of one start may differ in the anchor's level, and so in its name.
+            own, at = names[inside], start[inside]
+            order = np.lexsort((own, at))
+            own, at = own[order], at[order]
+            first = np.ones(len(own), bool)
+            first[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
+            once, n = np.unique(own[first], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
     return df.select("text").mapInArrow(run, "anchor long, n int")

@@ -233,6 +233,30 @@ def test_substrings_edges(spark):
     assert substrings.digest(df.limit(0)).count() == 0
 
 
+def runs_and_periods(seed=7):
+    """Passages of 20 words and more, each in two texts, with long runs of a word or a few, amid other words or that run."""
+    rng, out = random.Random(seed), []
+    for _ in range(300):
+        v = [f"v{rng.randrange(200)}" for _ in range(30)]
+        run, some = rng.choice(v), [rng.choice(v) for _ in range(rng.randint(1, 9))]
+        kind, n = rng.randrange(3), rng.randint(10, 19)
+        row = [run] * n if kind < 2 else (rng.sample(v, rng.randint(2, 4)) * 10)[:n]
+        half = len(some) // 2
+        passage = some[:half] + row + some[half:] if kind == 1 else some + row
+        more = [rng.choice(v) for _ in range(max(0, 20 - len(passage)))]
+        passage = passage + more if rng.random() < 0.5 else more + passage
+        for _ in range(2):
+            around = [[f"x{rng.randrange(10**9)}" if rng.random() < 0.5 else run for _ in range(rng.randint(0, 6))] for _ in range(2)]
+            out.append((len(out), " ".join([*around[0], *passage, *around[1]])))
+    return out
+
+
+def test_substrings_with_runs_and_periods(spark):
+    data = runs_and_periods()
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {d: (len(w), len(w) - len(k), brute.sha(k)) for d, (w, k) in brute.without_repeats(data).items()}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), min_size=20, max_size=45), st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30))
 def test_equal_windows_have_equal_anchors(a, same, b, c):
