@@ -22,7 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, split_before_spaces
+from .chunks import ChunkEncoder, Pieces
+from .words import slices
 
 _NONE = 1 << 62
 
@@ -81,44 +82,25 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class BytePairCodec:
+class BytePairCodec(ChunkEncoder):
     """A rank file (base64 of the bytes, then the rank, in each line) and the pattern that splits texts."""
 
     def __init__(self, rank_path: str, pattern: str):
         with open(rank_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pattern = regex.compile(pattern)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.cache = ChunkCache(self._chunks, split_before_spaces)
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        if len(self.pieces) > 250_000:
-            self.pieces, self.older = {}, self.pieces
-        return [b"".join(map(self._piece, self.pattern.findall(c))) for c in chunks]
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = self.older.get(piece)
-            if found is None:
-                ids = merge_ranks(piece.encode("utf-8", "surrogatepass"), self.ranks)
-                found = b"".join([x.to_bytes(4, "little") for x in ids])
-            if len(piece) < 40:
-                self.pieces[piece] = found
-        return found
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        return self.cache.encode(texts)
+        super().__init__(Pieces(regex.compile(pattern).findall, self._piece), drops_white_space=False)
+
+    def _piece(self, piece: str) -> list[int]:
+        return merge_ranks(piece.encode("utf-8", "surrogatepass"), self.ranks)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(rank_path: str, pattern: str) -> BytePairCodec:
     """One for each worker process."""
     return BytePairCodec(rank_path, pattern)
@@ -129,13 +111,13 @@ def encode(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                packed = own.encode(part.column("text").to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
+        try:
+            for part in slices(batches, 4096, 4 << 20):
+                ids, counts = own.encode(part.column("text"))
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))], ["doc_id", "ids"])
+        finally:
+            own.clear()
 
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .tokens import encoder
+from .words import slices
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, unit long, nth long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("unit", pa.int64()), ("nth", pa.int64())])
+#: Pieces that a task packs at a time, which make no more sequences than that.
+FLUSH = 100_000
 _COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
@@ -100,31 +103,33 @@ def best_fit_counts(sizes: dict[int, int], capacity: int) -> list[tuple[int, int
     return out
 
 
-def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, full: float = 0.98, handed_up: int | None = None, fan_in: int | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, full: float = 0.98, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    full: share of the capacity from which a sequence is nearly full. handed_up, fan_in: without effect, as
-    all that is not nearly full meets in one round. broadcast_rows: numbers of pieces by part and length that
-    are broadcast, and joined by a shuffle beyond that."""
+    full: share of the capacity from which a sequence is nearly full. broadcast_rows: numbers of pieces by
+    part and length that are broadcast, and joined by a shuffle beyond that."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(tokenizer_path, True), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        step = 4 * capacity
+        step = capacity
         pieces: list[tuple] = []
         unit = part << 30
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), own.encode(rows.column("text").to_pylist()), strict=True):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), step)):
-                        x = ids[a : a + step]
-                        pieces.append((doc, k, a // 4, len(x) // 4, zlib.crc32(x)))
-                if len(pieces) >= 100_000:  # memory of a task stays bounded however large its split is
-                    yield fit(pieces, unit)
-                    pieces, unit = [], unit + len(pieces)
-        if pieces:
-            yield fit(pieces, unit)
+        try:
+            for rows in slices(batches, 4096, 4 << 20):
+                flat, counts = own.encode(rows.column("text"), end_id)
+                packed, begin = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B"), 0
+                for doc, n in zip(rows.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                    for k, a in enumerate(range(0, n, step)):
+                        length = min(step, n - a)
+                        at = 4 * (begin + a)
+                        pieces.append((doc, k, a, length, zlib.crc32(packed[at : at + 4 * length])))
+                        if len(pieces) == FLUSH:  # memory of a task stays bounded however large its split or a text is
+                            yield fit(pieces, unit)
+                            pieces, unit = [], unit + FLUSH
+                    begin += n
+            if pieces:
+                yield fit(pieces, unit)
+        finally:
+            own.clear()
 
     def fit(pieces: list[tuple], unit: int) -> pa.RecordBatch:
         """unit: number of the first sequence, which also tells these pieces from others."""

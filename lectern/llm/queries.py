@@ -59,7 +59,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenstore.new_path(spark)
-    tokenstore.write_store(documents(spark, sf_dir), path, _vocabulary("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
+    tokenstore.write_store(documents(spark, sf_dir), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
     return tokenstore.digest(tokenstore.read_store(spark, path))
 
 

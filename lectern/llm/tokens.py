@@ -6,10 +6,9 @@ import os
 import re
 from functools import lru_cache
 
-import numpy as np
 import regex
 
-from .chunks import ChunkCache, split_at_white_space, split_before_spaces
+from .chunks import ChunkEncoder, Pieces
 
 #: Fixed values of the byte-level alphabet: bytes that stand for themselves; the others follow from 256.
 _OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -22,47 +21,30 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in _OWN_BYTES}, **{b: chr(256 + k) for k, b in enumerate(others)}}
 
 
-class WordIds:
-    """Ids of chunks. A plain chunk is cut into the tokenizer's own words, whose ids come from its model
-    and are remembered; any other chunk goes through the whole tokenizer."""
-
-    def __init__(self, tokenizer, words: str, lower: bool, limit: int = 350_000):
-        self.tokenizer, self.words, self.lower, self.limit = tokenizer, regex.compile(words), lower, limit
-        self.tokenize = tokenizer.model.tokenize
-        self.letters = str.maketrans(_byte_letters())
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def __call__(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        whole = []
-        for c in chunks:
-            if _PLAIN.fullmatch(c):
-                out.append(b"".join(map(self._word, self.words.findall(c.lower() if self.lower else c))))
-            else:
-                whole.append(len(out))
-                out.append(None)
-        if whole:
-            encoded = self.tokenizer.encode_batch_fast([chunks[k] for k in whole], add_special_tokens=False)
-            for k, e in zip(whole, encoded, strict=True):
-                out[k] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
-
-    def _word(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.older.get(word)
-            if ids is None:
-                tokens = self.tokenize(word.encode().decode("latin-1").translate(self.letters))
-                ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-            if len(self.known) >= self.limit:
-                self.known, self.older = {}, self.known
-            self.known[word] = ids
-        return ids
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str, drops_white_space: bool) -> ChunkCache:
+class TextEncoder(ChunkEncoder):
+    """Ids of whole texts by a tokenizer of `vocabulary` ids. A plain chunk is cut into the tokenizer's own
+    words, whose ids come from its model; any other chunk goes through the whole tokenizer."""
+
+    def __init__(self, tokenizer, words: str, drops_white_space: bool):
+        findall, tokenize, letters = regex.compile(words).findall, tokenizer.model.tokenize, str.maketrans(_byte_letters())
+
+        def cut(chunk: str) -> list[str] | None:
+            if _PLAIN.fullmatch(chunk):
+                return findall(chunk.lower() if drops_white_space else chunk)
+            return None
+
+        def word_ids(word: str) -> list[int]:
+            return [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
+
+        def whole(chunks: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+        super().__init__(Pieces(cut, word_ids, whole), drops_white_space)
+        self.vocabulary = 1 + max(tokenizer.get_vocab(with_added_tokens=True).values())
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, drops_white_space: bool) -> TextEncoder:
     """drops_white_space: a tokenizer of lower-cased words between white space; otherwise a byte-level
     one whose words may begin with one space. Both kinds end in byte-level letters."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -72,7 +54,6 @@ def encoder(path: str, drops_white_space: bool) -> ChunkCache:
     own = Tokenizer.from_file(path)
     own.no_truncation()
     own.no_padding()
-    if drops_white_space:
-        # the split pattern of the file, which drops what it does not match
-        return ChunkCache(WordIds(own, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", True), split_at_white_space)
-    return ChunkCache(WordIds(own, public_tokenizers.PATTERN, False), split_before_spaces)
+    # the split pattern of the file, which drops what it does not match
+    words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if drops_white_space else public_tokenizers.PATTERN
+    return TextEncoder(own, words, drops_white_space)

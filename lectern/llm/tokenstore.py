@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ from pyspark.sql.window import Window
 
 from .common import shared_dir, shuffle_width
 from .tokens import encoder
+from .words import slices
 
 _HEAD = struct.Struct("<4sIIQ")
 _NULL_ID = -(1 << 63)
@@ -43,7 +45,9 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids one after another, least bit first."""
+    """Ids one after another, least bit first. An id that needs more bits is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     out = []
@@ -91,37 +95,42 @@ class Block:
         return unpack(self.packed, self.bits, start, int(self.ends[k]) - start)
 
 
-def write_store(df: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int = 0, block_tokens: int = 1 << 20, partitions: int | None = None) -> None:
+def write_store(df: DataFrame, path: str, tokenizer_path: str, vocabulary: int | None = None, end_id: int = 0, block_tokens: int = 1 << 20, partitions: int | None = None) -> None:
     """Encode every text of df (doc_id, text) and write the store in ascending doc_id order. Texts move
-    once, to ranges of doc_id; their ids never do. A block closes at block_tokens ids."""
-    bits = bits_for(vocabulary)
+    once, to ranges of doc_id; their ids never do. A block closes at block_tokens ids. vocabulary: how many
+    ids there are; the tokenizer's own number if none is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, block, start = encoder(tokenizer_path, False), TaskContext.get().partitionId(), 0, 0
-        docs: list[int] = []
-        held: list[bytes] = []
-        size = 0
-        end = np.array([end_id], "<u4").tobytes()
+        own, part, block, start, size = encoder(tokenizer_path, False), TaskContext.get().partitionId(), 0, 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # doc_ids, numbers of ids, ids
+        bits = bits_for(max(vocabulary or own.vocabulary, end_id + 1))
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            payload = block_bytes(np.array(docs, "<i8"), np.array([len(x) // 4 for x in held]), ids, bits)
-            first, last = (None if x == _NULL_ID else x for x in (docs[0], docs[-1]))
+            docs, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            payload = block_bytes(docs, counts, ids, bits)
+            first, last = (None if x == _NULL_ID else int(x) for x in (docs[0], docs[-1]))
             row = {"part": part, "block": block, "first_doc": first, "last_doc": last, "n_docs": len(docs), "n_tokens": len(ids), "start_in_part": start, "payload": payload}
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc, ids in zip(piece.column("doc_id").to_pylist(), own.encode(piece.column("text").to_pylist()), strict=True):
-                    docs.append(_NULL_ID if doc is None else doc)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
+        try:
+            for piece in slices(batches, 4096, 4 << 20):
+                ids, counts = own.encode(piece.column("text"), end_id)
+                ends = np.cumsum(counts)
+                doc_ids = pc.fill_null(piece.column("doc_id"), _NULL_ID).to_numpy(zero_copy_only=False)
+                at = 0
+                while at < len(doc_ids):  # documents up to the one that fills the block
+                    base = int(ends[at - 1]) if at else 0
+                    upto = min(len(doc_ids), 1 + int(np.searchsorted(ends, base + block_tokens - size)))
+                    held.append((doc_ids[at:upto], counts[at:upto], ids[base : ends[upto - 1]].astype("<u4")))
+                    size += int(ends[upto - 1]) - base
+                    at = upto
                     if size >= block_tokens:
                         yield close()
-                        docs, held, block, start, size = [], [], block + 1, start + size, 0
-        if docs:
-            yield close()
+                        held, block, start, size = [], block + 1, start + size, 0
+            if held:
+                yield close()
+        finally:
+            own.clear()
 
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("start_in_part", pa.int64()), ("payload", pa.binary())])
     n = partitions or shuffle_width(df.sparkSession)

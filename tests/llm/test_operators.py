@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -52,8 +53,11 @@ def copies(spark):
 def test_bpe_equals_library(text):
     own = bpe.codec(RANKS, P.PATTERN)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
-    ids = np.frombuffer(own.encode([text])[0], "<u4")
-    assert ids.tolist() == library.encode_ordinary(text)
+    other = "Ab " + text[::-1]
+    ids, counts = own.encode(pa.array([None, text, other, ""]))
+    assert counts.tolist() == [0, len(library.encode_ordinary(text)), len(library.encode_ordinary(other)), 0]
+    assert ids.tolist() == library.encode_ordinary(text) + library.encode_ordinary(other)
+    ids = ids[: counts[1]]
     assert own.decode(ids) == text.encode()
 
 
@@ -61,7 +65,26 @@ def test_bpe_long_pieces():
     own = bpe.codec(RANKS, P.PATTERN)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
     for text in ("a" * 3000, " " * 500, "ab" * 2000, "x\n" * 100):
-        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+        assert own.encode(pa.array([text]))[0].tolist() == library.encode_ordinary(text)
+
+
+def test_remembered_chunks_stay_within_their_bound():
+    own = bpe.codec(RANKS, P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    own.known.limit = own.pieces.known.limit = 20_000
+    try:
+        for k in range(30):  # white-space runs, many different words, some met again, and a long one
+            text = " ".join(f"w{(k * 200 + j) % 1500}x{j}" for j in range(300)) + " \n  \t" * 50 + "y" * 500
+            ids, counts = own.encode(pa.array([text, "a  b   c"]), end_id=7)
+            want = [*library.encode_ordinary(text), 7]
+            assert ids[: counts[0]].tolist() == want
+            assert ids[counts[0] :].tolist() == [*library.encode_ordinary("a  b   c"), 7]
+            assert own.known.strings.nbytes + 4 * len(own.known.flat) + 16 * len(own.known.sizes) <= 20_000
+            assert max(map(len, own.known.strings.to_pylist())) <= 64
+    finally:
+        own.known.limit, own.pieces.known.limit = 32 << 20, 16 << 20
+    own.clear()
+    assert not len(own.known.strings) and not len(own.pieces.known.strings)
 
 
 def test_bpe_query(spark):
@@ -80,7 +103,9 @@ def test_bpe_query(spark):
 def test_cached_tokenizer_equals_library(name, drops, text):
     text += " Don't ÀÉ <|endoftext|> x"
     library = Tokenizer.from_file(P.path(name))
-    assert np.frombuffer(tokens.encoder(P.path(name), drops).encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    ids, counts = tokens.encoder(P.path(name), drops).encode(pa.array([text, None, "  a   b", text]), end_id=0)
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in (text, None, "  a   b", text)]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 31, 32])
@@ -96,7 +121,7 @@ def test_token_store_round_trip(spark, tmp_path):
     data = [(k, f"Text {k} " * (k % 40)) for k in range(300, 0, -1)] + [(301, None), (302, "")]
     df = spark.createDataFrame(data, "doc_id long, text string")
     path = f"file://{tmp_path}/store"
-    tokenstore.write_store(df, path, P.path("byte_bpe_50k.json"), 50_257, 0, block_tokens=1000)
+    tokenstore.write_store(df, path, P.path("byte_bpe_50k.json"), block_tokens=1000)
     got = {r["doc_id"]: r for r in tokenstore.digest(tokenstore.read_store(spark, path)).collect()}
     library, start = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
     for k, text in sorted(data):
@@ -109,10 +134,44 @@ def test_token_store_round_trip(spark, tmp_path):
     assert block.document(1).tolist() == [*library.encode(dict(data)[int(block.doc_ids[1])], add_special_tokens=False).ids, 0]
 
 
+def test_token_store_edges(spark, tmp_path):
+    with pytest.raises(ValueError):
+        tokenstore.pack(np.array([70_000], np.uint32), 16)
+    assert tokenstore.bits_for(tokens.encoder(P.path("byte_bpe_50k.json"), False).vocabulary) == 16
+    columns = "doc_id long, text string, ids int, start int, part string, payload int"
+    df = spark.createDataFrame([(5, "b c", 1, 2, "x", 3), (None, "nobody", 1, 2, "x", 3), (5, "a", 1, 2, "x", 3), (5, "a", 1, 2, "x", 3), (None, None, 1, 2, "x", 3), (-7, "minus", 1, 2, "x", 3)], columns)
+    path = f"file://{tmp_path}/edges"
+    tokenstore.write_store(df, path, P.path("byte_bpe_50k.json"))
+    got = sorted(tuple(r)[:3] for r in tokenstore.digest(tokenstore.read_store(spark, path)).select("start", "doc_id", "n_tokens").collect())
+    assert [d for _, d, _ in got] == [None, None, -7, 5, 5, 5]
+    assert [s for s, _, _ in got] == np.cumsum([0, *(n for _, _, n in got[:-1])]).tolist()
+    assert [n for _, _, n in got][3:] == [2, 2, 3]
+    empty = f"file://{tmp_path}/empty"
+    tokenstore.write_store(df.limit(0), empty, P.path("byte_bpe_50k.json"))
+    assert tokenstore.digest(tokenstore.read_store(spark, empty)).count() == 0
+
+
+def test_packing_edges(spark, monkeypatch):
+    """Null ids, repeated rows, clashing columns, and a text of more pieces than are packed at a time."""
+    data = [(None, "x", 1, "u"), (1, "and " * 99, 1, "u"), (1, "and " * 99, 1, "u"), (2, "and " * 4095, 1, "u"), (None, None, 1, "u")]
+    df = spark.createDataFrame(data, "doc_id long, text string, length int, unit string").coalesce(1)
+    monkeypatch.setattr(packing, "FLUSH", 3)  # in local mode the workers get it with the closure
+    got = packing.pack(df, P.path("word_bpe_49k.json"), 16, 0).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 2) == 4096
+    assert sorted(r["length"] for r in got if r["doc_id"] is None) == [1, 2]
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == 200
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        assert [o for o, _ in sorted(own)] == np.cumsum([0, *(n for _, n in sorted(own)[:-1])]).tolist()
+        assert sum(n for _, n in own) <= 16
+
+
 def test_packing(spark):
     data = [(k, "word and " * (k % 97) + str(k)) for k in range(400)] + [(1000, "long text " * 5000), (1001, None), (1002, "")]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
-    got = packing.pack(df, P.path("word_bpe_49k.json"), 2048, 0, fan_in=2, handed_up=4).collect()
+    got = packing.pack(df, P.path("word_bpe_49k.json"), 2048, 0).collect()
     library, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), []
     for k, text in data:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
