@@ -7,7 +7,8 @@ similarity of their sets reaches the threshold t = numerator / denominator.
    with l = ceil(n / 20). Two linked sets share at least min(l, l') shingles of their short prefixes, so
    a document needs that many which some other short prefix holds as well; most documents end here. Of
    the others, all shingles are counted: a linked document has ceil(t n) that others have. Shingles met
-   twice or more are set in a bit table of bounded size, so no document needs to meet any other.
+   twice or more are set in a bit table of bounded size, so no document needs to meet any other; where they
+   are too many for it, they are joined instead.
 2. Classes. Documents with equal sets are one class, represented by the smallest doc_id.
 3. Adaptive prefixes. The shared shingles of a representative are ordered from rare to frequent. With c
    of them, and k = ceil(t n) needed, two linked sets share at least m among the c - k + m rarest, for
@@ -15,9 +16,11 @@ similarity of their sets reaches the threshold t = numerator / denominator.
    m of them by estimate cost least: a longer prefix where its shingles are frequent.
    A place in the order bounds what two sets can share, which rules out most members of a list.
 4. Links. In each posting list, members are first compared with one member that stands for the list
-   (the one whose shingles are met most, as the origin of many copies); connected members count as one component from then on. Lists that still hold several components
-   compare their members across these components, all of them, once they share enough shingles. So a
-   large group of near copies costs its size, not its square, and no link between components is missed.
+   (the one whose shingles are met most, as the origin of many copies); connected members count as one
+   component from then on. Lists that still hold several components compare the members outside their
+   largest component with all others, each pair once, if it shares enough of its prefixes. So a large group
+   of near copies costs its size times the members that no head reaches, and no link between components is
+   missed.
    Each comparison intersects the whole sets.
 5. Components of the links, by the smallest doc_id that can be reached.
 
@@ -29,6 +32,7 @@ takes the component of the documents with its set, or null. Other columns are ig
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,9 +83,17 @@ def _prefixes(df: DataFrame, n_gram: int, num: int, den: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "shingle long, n int")
 
 
-def _screened(df: DataFrame, n_gram: int, num: int, den: int, bits: Bits) -> DataFrame:
-    """Every document with the size of its set; those whose short prefix may be shared enough with a key of
-    their set and the set."""
+def _keys(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return _sum(mix(s)), _sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
+
+
+_SET = "doc_id long, n long, key_a long, key_b long, whole array<long>"
+
+
+def _screened(df: DataFrame, n_gram: int, num: int, den: int, bits: Bits | None) -> DataFrame:
+    """Every document with the size of its set; those whose short prefix may be shared enough (all that have
+    words, without bits) with a key of their set and the set."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("whole", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,13 +103,32 @@ def _screened(df: DataFrame, n_gram: int, num: int, den: int, bits: Bits) -> Dat
             for s in _sets(part.column("text").to_pylist(), n_gram):
                 n = len(s)
                 own = (None, None, None)
-                if n and int(bits.has(s[: _prefix_length(n, num, den)]).sum()) >= _needed(n, num, den):
-                    own = (_sum(mix(s)), _sum(mix(s ^ np.uint64(0x5851F42D4C957F2D))), s.view(np.int64))
+                if n and (bits is None or int(bits.has(s[: _prefix_length(n, num, den)]).sum()) >= _needed(n, num, den)):
+                    own = (*_keys(s), s.view(np.int64))
                 for c, v in zip(("n", "key_a", "key_b", "whole"), (n, *own), strict=True):
                     rows[c].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    return df.mapInArrow(run, "doc_id long, n long, key_a long, key_b long, whole array<long>")
+    return df.mapInArrow(run, _SET)
+
+
+def _screened_by_join(df: DataFrame, n_gram: int, num: int, den: int, common: DataFrame) -> DataFrame:
+    """The same where the shingles met twice (common) are too many for a bit table: short prefixes meet them
+    by a join. Sets of one key_a count together, so no set is missed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            for s in {_keys(s)[0]: s for s in _sets(part.column("text").to_pylist(), n_gram) if len(s)}.items():
+                own = s[1][: _prefix_length(len(s[1]), num, den)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), s[0]))], ["shingle", "key_a"])
+
+    held = df.select("text").mapInArrow(run, "shingle long, key_a long")
+    met = held.join(common, "shingle", "left_semi").groupBy("key_a").agg(F.count(F.lit(1)).alias("met"))
+    # ceil(ceil(t n) / 20), as in _needed
+    needed = F.expr(f"(({num} * n + {den - 1}) div {den} + 19) div 20")
+    enough = F.coalesce(F.col("met") >= needed, F.lit(False))
+    found = _screened(df, n_gram, num, den, None).join(met, "key_a", "left")
+    return found.select("doc_id", "n", *[F.when(enough, F.col(c)).alias(c) for c in ("key_a", "key_b", "whole")])
 
 
 def _sum(x: np.ndarray) -> int:
@@ -116,8 +147,11 @@ def _whole_counts(kept: DataFrame) -> DataFrame:
     return kept.select("whole").mapInArrow(run, "shingle long, n int")
 
 
-def _shared_enough(kept: DataFrame, num: int, den: int, bits: Bits) -> DataFrame:
-    """Documents of whose sets a share of num / den may be found in others."""
+def _shared_enough(kept: DataFrame, num: int, den: int, bits: Bits | None) -> DataFrame:
+    """Documents of whose sets a share of num / den may be found in others. Without bits all, as the postings
+    count the same by a join."""
+    if bits is None:
+        return kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,22 +225,26 @@ def _may_link(x: str, y: str, num: int, den: int):
 
 
 def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members in different components, each once for a list: members outside the list's largest
-    component with all others that they may link with. A skewed list is split by the optimiser."""
+    """Pairs of members in different components that share enough of their prefixes (own): members outside the
+    list's largest component with all others that they may link with. A pair is met in the list of the first
+    shingle that both prefixes hold, and in no other. A skewed list is split by the optimiser."""
     x, y = mixed.filter("comp <> main").alias("x"), mixed.alias("y")
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link("x.", "y.", num, den))
-    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.m", "y.m").alias("m"))
+    first = F.expr("NOT arrays_overlap(slice(x.own, 1, x.pos), slice(y.own, 1, y.pos))")
+    enough = F.expr("size(array_intersect(x.own, y.own)) >= least(x.m, y.m)")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link("x.", "y.", num, den) & first & enough)
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
 
 
 def join(df: DataFrame, n_gram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_equal (documents with the same set) of every document."""
     docs = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bits = repeated(_prefixes(docs, n_gram, num, den), "shingle", "n")
-    screened = materialize(_screened(docs, n_gram, num, den, bits), "sets")
+    bits, common = repeated(_prefixes(docs, n_gram, num, den), "shingle", "n")
+    screened = _screened(docs, n_gram, num, den, bits) if bits else _screened_by_join(docs, n_gram, num, den, common)
+    screened = materialize(screened, "sets")
     likely = screened.filter("whole IS NOT NULL")
-    bits = repeated(_whole_counts(likely), "shingle", "n")
-    kept = materialize(_shared_enough(likely, num, den, bits), "kept")
+    # read again from `sets` where it is used: another copy of the sets would cost more
+    kept = _shared_enough(likely, num, den, repeated(_whole_counts(likely), "shingle", "n")[0])
     key = ["key_a", "key_b", "n"]
     classes = materialize(kept.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_equal")).filter("rep IS NOT NULL"), "classes")
     is_rep = [kept[c] == classes[c] for c in key] + [kept["doc_id"] == classes["rep"]]
@@ -236,10 +274,10 @@ def join(df: DataFrame, n_gram: int = 5, num: int = 80, den: int = 100) -> DataF
     placed = postings.join(comp, "rep")
     sizes = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("shingle", F.col("top.comp").alias("main"))
-    mixed = materialize(placed.join(main, "shingle"), "mixed")
-    shared = _across(mixed, num, den).groupBy("a", "b", "m").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = shared.filter("shared >= m").select("a", "b")
-    links = links.unionByName(materialize(_verified(pairs, sets, num, den), "links"))
+    mixed = placed.join(main, "shingle")
+    prefixes = postings.join(mixed.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "shingle"))).alias("own"))
+    mixed = materialize(mixed.join(prefixes.select("rep", F.col("own.shingle").alias("own")), "rep"), "mixed")
+    links = links.unionByName(materialize(_verified(_across(mixed, num, den), sets, num, den), "links"))
     comp = components(nodes, links)
 
     named = classes.join(comp, "rep")
@@ -254,14 +292,14 @@ def one_of_each(df: DataFrame, n_gram: int = 5, num: int = 80, den: int = 100, b
     found = join(df, n_gram, num, den)
     marks = materialize(found.groupBy("doc_id").agg(F.max(F.col("component_id") < F.col("doc_id")).alias("goes"), F.count(F.lit(1)).alias("rows")).filter("doc_id IS NOT NULL AND (goes OR rows > 1)"), "goes")
     go, twice = marks.filter("goes").select("doc_id"), marks.filter("NOT goes").select("doc_id")
-    sizes = go.count(), twice.count()
+    sizes, own = (go.count(), twice.count()), f"id_{uuid.uuid4().hex}"  # a name that no column of df has
 
     def side(ids: DataFrame, n: int) -> DataFrame:
-        ids = ids.withColumnRenamed("doc_id", "_id")
+        ids = ids.withColumnRenamed("doc_id", own)
         return F.broadcast(ids) if n <= broadcast_rows else ids
 
-    left = df.join(side(go, sizes[0]), F.col("doc_id") == F.col("_id"), "left_anti")
+    again = F.col("doc_id") == F.col(own)
+    left = df.join(side(go, sizes[0]), again, "left_anti")
     if not sizes[1]:
         return left
-    again = F.col("doc_id") == F.col("_id")
     return left.join(side(twice, sizes[1]), again, "left_anti").unionByName(left.join(side(twice, sizes[1]), again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -1,4 +1,4 @@
-"""Which 64-bit hashes occur at least twice, as a bit table of bounded size."""
+"""Which 64-bit hashes occur at least twice: a bit table of bounded size, or rows beyond that."""
 
 from __future__ import annotations
 
@@ -15,16 +15,21 @@ from .words import Bits, places
 _PARTS = 6  # log2 of the parts that a table is built in
 
 
-def repeated(df: DataFrame, column: str, count: str, largest: int = 29, sparse: int = 16) -> Bits:
-    """df: hashes with how often each was met. The hashes met twice or more in all are set in a table of
-    at most 2^largest bits (64 MB), else of `sparse` bits for each. A table that would be fuller than one
-    bit in three is not made: then everything may be repeated, which costs time and loses nothing."""
+#: log2 of the bits of the largest table (64 MB).
+LARGEST = 29
+
+
+def repeated(df: DataFrame, column: str, count: str, largest: int | None = None, sparse: int = 16) -> tuple[Bits | None, DataFrame]:
+    """df: hashes with how often each was met. Those met twice or more in all, as a table of at most 2^largest
+    bits, else of `sparse` bits for each, and as rows (column). A table that would be fuller than one bit in
+    three is not made: beyond that size, callers look the hashes up by a join on the rows."""
+    largest = largest or LARGEST
     sums = df.groupBy(column).agg(F.sum(count).alias("n")).filter("n > 1").select(column)
     sums = materialize(sums, "repeated")
     n = sums.count()
     log2 = min(largest, max(16, (sparse * max(1, n) - 1).bit_length()))
     if 2 * n > 2**log2 // 3:
-        return Bits(None, log2)
+        return None, sums
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,4 +48,4 @@ def repeated(df: DataFrame, column: str, count: str, largest: int = 29, sparse:
     width = len(table) >> _PARTS
     for row in made.collect():  # 64 parts of 1 MB at most
         table[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return Bits(table, log2)
+    return Bits(table, log2), sums

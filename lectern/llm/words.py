@@ -101,12 +101,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 128, n_bytes: int = 2
 class Bits:
     """A set of hashes as a bit table of bounded size: it never misses a member, and holds few others."""
 
-    def __init__(self, table: np.ndarray | None, log2: int):
+    def __init__(self, table: np.ndarray, log2: int):
         self.table, self.log2 = table, log2
 
     def has(self, x: np.ndarray) -> np.ndarray:
-        if self.table is None:  # too many for the bound: everything may be a member
-            return np.ones(len(x), bool)
         out = np.ones(len(x), bool)
         for place in places(x, self.log2):
             out &= (self.table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0

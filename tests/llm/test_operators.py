@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import bpe, fingerprints, html_extract, jaccard, labelled_pages, packing, perspectives, queries, substrings, tokens, tokenstore, topk, toxicity, words
+from lectern.llm import bpe, fingerprints, html_extract, jaccard, labelled_pages, packing, perspectives, queries, shared, substrings, tokens, tokenstore, topk, toxicity, words
 from tests.compare import connect, rows
 from tests.llm import brute
 
@@ -262,6 +262,47 @@ def test_jaccard_against_brute_force(copies):
     assert kept == {c for _, c in got.values()}
 
 
+def near_copies_of_one(seed=11, n=150):
+    """A large group of near copies of one text, of many strengths, so that many do not link with the same member."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    out = []
+    for k in range(n):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            own[rng.randrange(len(own))] = f"n{rng.randrange(400)}"
+        out.append((k, " ".join(own[rng.randrange(6) :])))
+    return out
+
+
+def test_jaccard_in_a_large_group_of_near_copies(spark):
+    data = near_copies_of_one()
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()}
+    assert got == brute.jaccard_components(data)
+    assert len({c for _, c in got.values()}) > 3
+
+
+def test_jaccard_where_tables_are_too_small(copies, monkeypatch):
+    monkeypatch.setattr(shared, "LARGEST", 10)
+    data, df = copies
+    bits, common = shared.repeated(jaccard._prefixes(df, 5, 80, 100), "shingle", "n")
+    assert bits is None and common.count() > 200
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()}
+    assert got == brute.jaccard_components(data)
+
+
+def test_jaccard_very_long_text_and_clashing_names(spark):
+    long = " ".join(f"t{i % 20_011}x{i % 7}" for i in range(60_000))
+    names = ("doc_id", "text", "_id", "key_a", "whole", "own", "comp")
+    df = spark.createDataFrame([(k, t, *range(5)) for k, t in ((1, long), (2, long + " end"), (3, "short"), (4, "short"))], ", ".join(f"{c} {'string' if c == 'text' else 'long'}" for c in names))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+    left = jaccard.one_of_each(df)
+    assert left.columns == list(names) and sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(df, broadcast_rows=0).collect()) == [1, 3]
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (3, None)], "doc_id long, text string")
     got = sorted(map(tuple, jaccard.join(df).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
