@@ -10,8 +10,10 @@ keeps at least one inner symbol, unless long runs fill it, for which lower round
 0. A document whose whole text an earlier one has is all repeats, and takes no further part.
 1. Each window names as its anchor the least-hashed inner symbol of its highest round. Anchors are far
    fewer than windows; those met at least twice in the corpus are set in a bit table of bounded size.
-2. Windows whose anchor is in it are verified: the hash of all their words is looked up for its first
-   place (smallest doc_id, then start). All windows that are not at their first place are repeats.
+   Where they are too many for it, documents meet them by a join.
+2. Windows whose anchor is shared are verified: 96 bits of all their words are looked up for their first
+   place (smallest doc_id, then start). All windows that are not at their first place are repeats. Windows
+   with very many places are looked up in a broadcast of bounded size.
 3. Words that a repeat covers are removed.
 
 A window of a text that occurs once never leaves its task (but for the few that the table takes for
@@ -26,6 +28,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,10 +129,15 @@ def _least(symbols: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -
     return (least & _INDEX).astype(np.int64)
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """Adds text_key, which tells rows of one doc_id apart, and is 0 if no doc_id is repeated."""
-    twice = df.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return df.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))) if twice else F.lit(0).cast("long"))
+def _keyed(df: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Adds text_key, which tells rows of one doc_id apart: 0 where the doc_id is not repeated."""
+    twice = materialize(df.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")), "again")
+    n = twice.count()
+    if not n:
+        return df.withColumn("text_key", F.lit(0).cast("long"))
+    side = F.broadcast(twice) if n <= broadcast_rows else twice
+    marked = df.join(side.withColumn("is_again", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("again")), "left")
+    return marked.withColumn("text_key", F.when(F.col("is_again"), F.xxhash64("text")).otherwise(F.lit(0))).drop("again", "is_again")
 
 
 def _inside(counts: np.ndarray, width: int) -> np.ndarray:
@@ -162,64 +170,116 @@ def _counted(df: DataFrame, width: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "anchor long, n int")
 
 
+_RUNS = "doc_id long, text_key long, start int, windows array<long>, checks array<int>"
+_RUNS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("windows", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32()))])
+
+
+def _runs_of_windows(part: pa.RecordBatch, words: np.ndarray, counts: np.ndarray, hit: np.ndarray, width: int) -> pa.RecordBatch | None:
+    """The windows that are hit, as runs of starts with 96 bits for the words of each."""
+    edge = np.flatnonzero(np.diff(hit, prepend=False, append=False))
+    if not len(edge):
+        return None
+    first, last = edge[::2], edge[1::2]
+    ends = np.cumsum(counts)
+    doc = np.searchsorted(ends, first, side="right")
+    offsets = pa.array(np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32))
+    windows = combine(words, width).view(np.int64)[hit]
+    checks = (combine(mix(words ^ np.uint64(0x2545F4914F6CDD1D)), width) >> np.uint64(32)).astype(np.uint32).view(np.int32)[hit]
+    columns = [part.column(c).take(pa.array(doc)) for c in ("doc_id", "text_key")]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (windows, checks)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array((first - (ends - counts)[doc]).astype(np.int32)), *lists], schema=_RUNS_SCHEMA)
+
+
 def _candidates(df: DataFrame, width: int, bits: Bits) -> DataFrame:
     """Windows whose anchor may be repeated: doc_id, text_key, and runs of starts with their hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("windows", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words, counts = hashes(part.column("text").to_pylist(), False)
             hit = bits.has(anchors(words, width)[0]) & _inside(counts, width)
-            edge = np.flatnonzero(np.diff(hit, prepend=False, append=False))
-            if not len(edge):
-                continue
-            first, last = edge[::2], edge[1::2]
-            ends = np.cumsum(counts)
-            doc = np.searchsorted(ends, first, side="right")
-            whole = combine(words, width).view(np.int64)
-            columns = [part.column(c).take(pa.array(doc)) for c in ("doc_id", "text_key")]
-            runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)), pa.array(whole[hit]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array((first - (ends - counts)[doc]).astype(np.int32)), runs], schema=schema)
+            if (found := _runs_of_windows(part, words, counts, hit, width)) is not None:
+                yield found
 
-    return df.mapInArrow(run, "doc_id long, text_key long, start int, windows array<long>")
+    return df.mapInArrow(run, _RUNS)
 
 
-def repeats(df: DataFrame, width: int = 20) -> DataFrame:
+def _candidates_by_join(df: DataFrame, width: int, common: DataFrame) -> DataFrame:
+    """The same where the anchors met twice (common) are too many for a bit table: each document's anchors meet
+    them by a join, and those that are found come back to it."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, rows=1):
+            words, _ = hashes(part.column("text").to_pylist(), False)
+            own = np.unique(anchors(words, width)[0]).view(np.int64)
+            columns = [part.column(c).take(pa.array(np.zeros(len(own), np.int64))) for c in ("doc_id", "text_key")]
+            yield pa.RecordBatch.from_arrays([pa.array(own), *columns], ["anchor", "doc_id", "text_key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, rows=1):
+            words, counts = hashes(part.column("text").to_pylist(), False)
+            met = part.column("met").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            hit = np.isin(anchors(words, width)[0], met)
+            if (found := _runs_of_windows(part, words, counts, hit, width)) is not None:
+                yield found
+
+    docs = df.select("doc_id", "text_key", "text").dropDuplicates(["doc_id", "text_key"])
+    named = docs.mapInArrow(name, "anchor long, doc_id long, text_key long")
+    met = named.join(common, "anchor", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_list("anchor").alias("met"))
+    found = docs.join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("doc_id", "text_key", "text", "met")
+    return found.mapInArrow(run, _RUNS)
+
+
+def repeats(df: DataFrame, width: int = 20, hot: int = 20_000) -> DataFrame:
     """doc_id, text_key, starts: the windows of each document (doc_id, text, text_key) that also start
-    earlier."""
-    bits = repeated(_counted(df, width), "anchor", "n")
-    runs = materialize(_candidates(df, width, bits), "windows")
-    windows = runs.select("doc_id", "text_key", "start", F.posexplode("windows").alias("at", "window")).select("window", F.struct("doc_id", "text_key", (F.col("start") + F.col("at")).alias("start")).alias("place"))
-    firsts = windows.groupBy("window").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "first")
-    later = windows.join(firsts, "window").filter(~F.col("place").eqNullSafe(F.col("first")))
+    earlier. Windows that are met in more than one of `hot` places, of which there are `hot` at most, are
+    broadcast, so that no task gathers the places of a frequent one; the others are joined."""
+    bits, common = repeated(_counted(df, width), "anchor", "n")
+    runs = materialize(_candidates(df, width, bits) if bits else _candidates_by_join(df, width, common), "windows")
+    place = F.struct("doc_id", "text_key", (F.col("start") + F.col("x.pos")).alias("start"))
+    windows = runs.select("doc_id", "text_key", "start", F.explode(F.transform(F.arrays_zip("windows", "checks"), lambda x, i: F.struct(i.alias("pos"), x["windows"].alias("window"), x["checks"].alias("check")))).alias("x"))
+    windows = windows.select(F.col("x.window").alias("window"), F.col("x.check").alias("check"), place.alias("place"))
+    firsts = windows.groupBy("window", "check").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = materialize(firsts, "firsts")
+    total = runs.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0]
+    bound = max(1_000, total // hot)
+    often = F.broadcast(firsts.filter(F.col("n") > bound).select("window", "check", "first"))
+    marked = windows.join(often, ["window", "check"], "left")
+    seldom = marked.filter("first IS NULL").drop("first").join(firsts.filter(F.col("n") <= bound).select("window", "check", "first"), ["window", "check"])
+    later = marked.filter("first IS NOT NULL").unionByName(seldom).filter(~F.col("place").eqNullSafe(F.col("first")))
     return later.groupBy("place.doc_id", "place.text_key").agg(F.collect_list("place.start").alias("starts"))
 
 
 def _copies(docs: DataFrame, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Ids of the documents whose whole text a document of smaller doc_id has (all their windows start
-    earlier there), and the others. The ids are broadcast up to broadcast_rows, and joined by a shuffle
+    """Ids and text_keys of the documents whose whole text a document of smaller doc_id has (all their windows
+    start earlier there), and the others. They are broadcast up to broadcast_rows, and joined by a shuffle
     beyond that."""
-    keyed = docs.select("doc_id", F.md5("text").alias("whole"))
+    keyed = docs.select("doc_id", "text_key", F.md5("text").alias("whole"))
     firsts = keyed.groupBy("whole").agg(F.min(F.struct("doc_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("whole", F.col("first.doc_id").alias("first"))
-    later = keyed.join(firsts, "whole").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_copy")).distinct()
+    later = keyed.join(firsts, "whole").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("copy_id"), F.col("text_key").alias("copy_key")).distinct()
     later = materialize(later, "copies")
     side = F.broadcast(later) if later.count() <= broadcast_rows else later
-    return side, docs.join(side, F.col("doc_id").eqNullSafe(F.col("_copy")), "left_anti")
-
-
-def _with_repeats(docs: DataFrame, width: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs with _starts, the windows to go, and _copy, whether all of a text is a copy. text_key is part
-    of docs; where it tells rows of one doc_id apart, copies are found by their windows alone."""
-    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), "text_key")
-    unique = not plain.filter("text_key <> 0").limit(1).count()
-    side, others = _copies(plain, broadcast_rows) if unique else (None, plain)
-    found = repeats(others, width).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    own = F.col("doc_id").cast("long")
-    out = docs.join(found, own.eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left").drop("_doc", "_key").withColumnRenamed("starts", "_starts")
-    if side is None:
-        return out.withColumn("_copy", F.lit(False))
-    marked = out.join(side.withColumn("_is", F.lit(True)), own.eqNullSafe(F.col("_copy")), "left").drop("_copy")
-    return marked.withColumn("_copy", F.coalesce("_is", F.lit(False))).drop("_is")
+    return side, docs.join(side, F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("text_key") == F.col("copy_key")), "left_anti")
+
+
+def _with_repeats(docs: DataFrame, width: int, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, whose names are given: the windows to go, and whether all of a text is a copy.
+    All own columns have a name that docs does not have."""
+    tag = uuid.uuid4().hex
+    own_key, starts, copy, d, k = (f"{c}_{tag}" for c in ("key", "starts", "copy", "d", "k"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    plain = _keyed(docs.select(F.col("doc_id").cast("long"), text.alias("text")), broadcast_rows)
+    repeated_ids = bool(plain.filter("text_key <> 0").limit(1).count())
+    side, others = _copies(plain, broadcast_rows)
+    found = repeats(others, width)
+    doc_id = F.col("doc_id").cast("long")
+    # A row with its own id has the key 0, any other the hash of its text; a key of one kind is not that of the other.
+    docs = docs.withColumn(own_key, F.xxhash64(text)) if repeated_ids else docs
+    same = (lambda key: key.isin(0) | (key == F.col(own_key))) if repeated_ids else (lambda key: F.lit(True))
+    found = found.select(F.col("doc_id").alias(d), F.col("text_key").alias(k), F.col("starts").alias(starts))
+    out = docs.join(found, doc_id.eqNullSafe(F.col(d)) & same(F.col(k)), "left").drop(d, k)
+    side = side.select(F.col("copy_id").alias(d), F.col("copy_key").alias(k), F.lit(True).alias(copy))
+    out = out.join(side, doc_id.eqNullSafe(F.col(d)) & same(F.col(k)), "left").drop(d, k)
+    return out.withColumn(copy, F.coalesce(copy, F.lit(False))).drop(own_key), starts, copy
 
 
 def _kept(text: str | None, starts: list[int] | None, copy: bool, width: int) -> tuple[list[bytes], int]:
@@ -243,7 +303,7 @@ def digest(df: DataFrame, width: int = 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out: dict[str, list] = {"doc_id": part.column("doc_id").to_pylist(), "n_words": [], "n_removed": [], "kept_sha256": []}
-            for text, starts, copy in zip(*(part.column(c).to_pylist() for c in ("text", "_starts", "_copy")), strict=True):
+            for text, starts, copy in zip(*(part.column(c).to_pylist() for c in ("text", starts_name, copy_name)), strict=True):
                 kept, n = _kept(text, starts, copy, width)
                 out["n_words"].append(n)
                 out["n_removed"].append(n - len(kept))
@@ -251,7 +311,8 @@ def digest(df: DataFrame, width: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-    return _with_repeats(_keyed(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))), width).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    marked, starts_name, copy_name = _with_repeats(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), width)
+    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(df: DataFrame, width: int = 20) -> DataFrame:
@@ -262,7 +323,7 @@ def cut(df: DataFrame, width: int = 20) -> DataFrame:
         for part in slices(batches):
             texts = part.column("text").to_pylist()
             changed = [False] * len(texts)
-            for i, (starts, copy) in enumerate(zip(part.column("_starts").to_pylist(), part.column("_copy").to_pylist(), strict=True)):
+            for i, (starts, copy) in enumerate(zip(part.column(starts_name).to_pylist(), part.column(copy_name).to_pylist(), strict=True)):
                 kept, n = _kept(texts[i], starts, copy, width) if starts or copy else ([], 0)
                 if len(kept) < n:
                     changed[i] = True
@@ -273,7 +334,7 @@ def cut(df: DataFrame, width: int = 20) -> DataFrame:
                 new["n_chars"] = pc.if_else(pa.array(changed, pa.bool_()), lengths, part.column("n_chars"))
             for c, values in new.items():
                 part = part.set_column(part.schema.get_field_index(c), c, values)
-            yield part.select([c for c in part.schema.names if c not in ("_starts", "_copy", "text_key")])
+            yield part.select([c for c in part.schema.names if c not in (starts_name, copy_name)])
 
-    marked = _with_repeats(_keyed(df.withColumn("text", F.col("text").cast("string"))), width)
-    return marked.mapInArrow(run, marked.drop("_starts", "_copy", "text_key").schema)
+    marked, starts_name, copy_name = _with_repeats(df.withColumn("text", F.col("text").cast("string")), width)
+    return marked.mapInArrow(run, marked.drop(starts_name, copy_name).schema)

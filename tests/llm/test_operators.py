@@ -325,6 +325,30 @@ def test_substrings_against_brute_force(copies):
     assert cut.columns == [*df.columns, "n_chars"]
 
 
+def test_substrings_where_tables_are_too_small(copies, monkeypatch):
+    monkeypatch.setattr(shared, "LARGEST", 10)
+    data, df = copies
+    assert shared.repeated(substrings._counted(df.withColumn("text_key", F.lit(0)), 20), "anchor", "n")[0] is None
+    want = brute.without_repeats(data)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.digest(df).collect()}
+    assert got == {d: (len(w), len(w) - len(k), brute.sha(k)) for d, (w, k) in want.items()}
+
+
+def test_substrings_frequent_windows_repeated_ids_and_clashing_names(spark):
+    line = " ".join(f"s{i}" for i in range(25))
+    data = [(k, f"a{k} b{k} {line} c{k}") for k in range(1300)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("text_key", "_starts", "_copy", "_doc", "_key", "starts", "window")})
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.digest(df).collect()}  # 1,300 places are more than the bound
+    assert got == {k: 25 if k else 0 for k in range(1300)}
+    cut = substrings.cut(df)
+    assert cut.columns == df.columns
+    assert {r["text"] for r in cut.filter("doc_id = 7").collect()} == {"a7 b7 c7"} and cut.filter("text_key = 'own' AND _starts = 'own'").count() == 1300
+    whole = " ".join(f"t{i}" for i in range(30))
+    rows = [(1, "own words"), (2, whole), (3, whole), (3, whole), (4, "x " + whole), (4, whole), (4, "other")]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 2, 0), (2, 30, 0), (3, 30, 30), (3, 30, 30), (4, 1, 0), (4, 30, 30), (4, 31, 30)]
+
+
 def test_substrings_edges(spark):
     long = " ".join(f"t{i}" for i in range(30))
     df = spark.createDataFrame([(1, long), (1, long), (None, long), (2, "x " + long), (2, "short"), (3, None)], "doc_id long, text string")
