@@ -38,8 +38,9 @@ _RAW = frozenset("script style textarea title noscript iframe".split())
 #: Start tags that end an open element of these kinds.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 
@@ -55,14 +56,63 @@ class Node:
         self.quiet = False  # never shown, so no evidence either
 
 
-def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
+class Markup:
+    """Tags, comments and declarations of a page, found in time linear in its length whatever is left open."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.asked, self.found, self.searched = 0, -1, False  # the last search for a stop, and its result
+        self.dead: set[int] = set()  # quotes from which on no tag ends
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Where it begins and ends, "/" of an end tag, its name ("" of what is no tag) and its attributes."""
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            for begin, stop in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if html.startswith(begin, at):
+                    end = html.find(stop, at + len(begin))
+                    return at, end + len(stop) if end >= 0 else len(html), "", "", ""
+            if at > self.last:
+                return None
+            if html.startswith(("<!", "<?"), at):
+                return at, html.find(">", at) + 1, "", "", ""
+            if (m := _NAME.match(html, at)) and (end := self._end(m.end())) is not None:
+                return at, end, m[1], m[2].lower(), html[m.end() : end - 1]
+            at += 1
+        return None
+
+    def _stop(self, at: int) -> int:
+        """Place of the next > or quote, or -1."""
+        if at < self.asked or self.found < at and self.found != -1 or not self.searched:
+            m = _STOP.search(self.html, at)
+            self.asked, self.found, self.searched = at, m.start() if m else -1, True
+        return self.found
+
+    def _end(self, at: int) -> int | None:
+        """Place behind the > that ends a tag; a quoted value may hold one."""
+        met = []
+        while (k := self._stop(at)) >= 0 and k not in self.dead:
+            if self.html[k] == ">":
+                return k + 1
+            met.append(k)
+            other = self.html.find(self.html[k], k + 1)
+            if other < 0:
+                break
+            at = other + 1
+        self.dead.update(met)
+        return None
+
+
+def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements as a tree (node 0 is the page) and the blocks of shown text with their element.
-    Inline elements belong to the block around them."""
+    Inline elements belong to the block around them. labelled: whether data-main attributes are read."""
     nodes = [Node("html", -1)]
     blocks: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("#page", 0)]  # open tags, each with the block that text in it belongs to
     run: list[str] = []
     links = silent = linked = 0
+    is_open: Counter = Counter()  # tags on the stack
+    markup = Markup(html)
 
     def flush() -> None:
         nonlocal run, linked
@@ -83,10 +133,13 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag not in _INLINE:
                 flush()
             stack.pop()
+            is_open[tag] -= 1
             links -= tag == "a"
             silent -= tag in _SILENT
 
     def open_tag(tags: set | frozenset, stop: set | frozenset) -> int | None:
+        if not any(is_open[t] for t in tags):
+            return None
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 return k
@@ -96,17 +149,16 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     at, end = 0, len(html)
     while at < end:
-        m = _TAG.search(html, at)
-        if (upto := m.start() if m else end) > at and not silent:
+        found = markup.next(at)
+        if (upto := found[0] if found else end) > at and not silent:
             run.append(html[at:upto])
             linked += (upto - at) * (links > 0)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        _, at, closing, tag, attributes = found
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag == "p" and open_tag({"p"}, frozenset()) is None:
                 continue
             k = open_tag({tag}, {"td", "th", "article", "section", "main", "div"} - {tag} if tag in _INLINE else frozenset())
@@ -123,23 +175,25 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             while (k := open_tag(first, stop)) is not None:
                 close(k)
         if tag in _INLINE:
-            if tag not in _VOID and not (m[3] or "").endswith("/"):
+            if tag not in _VOID and not attributes.endswith("/"):
                 stack.append((tag, stack[-1][1]))
+                is_open[tag] += 1
                 links += tag == "a"
             continue
         flush()
         words, label = [], None
-        for a in _ATTRIBUTE.finditer(m[3] or ""):
+        for a in _ATTRIBUTE.finditer(attributes):
             name = a[1].lower()
             if name in ("class", "id", "role"):
                 words += _WORD.findall((a[2] or a[3] or a[4] or "").lower())
-            elif name == "data-main":
+            elif labelled and name == "data-main":
                 label = int(a[2])
         nodes.append(Node(tag, stack[-1][1], tuple(words), label))
         nodes[-1].quiet = bool(silent) or tag in _SILENT
         nodes[nodes[-1].parent].children.append(len(nodes) - 1)
         if tag not in _VOID:
             stack.append((tag, len(nodes) - 1))
+            is_open[tag] += 1
             silent += tag in _SILENT
             if tag in _RAW:  # its content holds no tags
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -150,7 +204,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 def _features(node: Node, length: int, linked: int) -> list[str]:
     words = sorted(set(node.words))
-    return ["tag " + node.tag, *("word " + w for w in words[:8]), f"linked {round(3 * linked / length) if length else '-'}", f"length {min(6, int(math.log(1 + length, 4)))}", f"classed {bool(words)}"]
+    return ["tag " + node.tag, *("word " + w for w in words), f"linked {round(3 * linked / length) if length else '-'}", f"length {min(6, int(math.log(1 + length, 4)))}", f"classed {bool(words)}"]
 
 
 def _kind(node: Node) -> str:
@@ -165,7 +219,7 @@ class Model:
         self.total = [0, 0]
         self.edges: Counter = Counter()
         for page in pages:
-            nodes, _ = parse(page)
+            nodes, _ = parse(page, labelled=True)
             labels: list[int] = []
             sums = subtree(nodes)
             for k, node in enumerate(nodes):
@@ -211,7 +265,11 @@ class Model:
                 own.append((1.0, 1.0))
                 tables.append(((0.5, 0.5), (0.5, 0.5)))
                 continue
-            z = max(-30.0, min(30.0, sum(map(self.weight, _features(node, *sums[k])))))
+            # words of class, id and role together weigh as eight at most
+            own_features = _features(node, *sums[k])
+            named = [self.weight(f) for f in own_features if f.startswith("word ")]
+            z = sum(self.weight(f) for f in own_features if not f.startswith("word ")) + sum(named) * min(1.0, 8 / max(1, len(named)))
+            z = max(-30.0, min(30.0, z))
             p = 1 / (1 + math.exp(-z))
             own.append((1 - p, p) if k else (1.0, 1e-6))
             tables.append(self.edge(_kind(node)))

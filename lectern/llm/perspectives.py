@@ -10,6 +10,9 @@ the place of the mask within the segment. System turns belong to no participant
 every perspective. The dialogue of a perspective is its segments in the order of (turn, place), so no
 conversation has to be gathered in one task.
 
+What is said holds no marks of its own: in a text "<|" becomes "< |", and in a speaker's name "|>" becomes
+"| >" as well, so no text can forge a turn or a mask.
+
 Nulls and edge cases: a null text is empty; a null or empty role is the speaker "unknown"; rows with a
 null conv_id are one conversation; null turns come first; repeated rows are rendered as often as they
 occur, and rows of equal turn are told apart by `place`, by speaker and text; a conversation of system
@@ -28,8 +31,8 @@ SYSTEM = "system"
 
 def rotate(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, place, role, segment, target_start, target_length."""
-    speaker = F.when(F.coalesce(F.trim("role"), F.lit("")) == "", "unknown").otherwise(F.trim("role"))
-    said = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), speaker.alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    speaker = F.when(F.coalesce(F.trim("role"), F.lit("")) == "", "unknown").otherwise(F.replace(F.replace(F.trim("role"), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")))
+    said = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), speaker.alias("speaker"), F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
     order = Window.partitionBy("conv_id", "turn").orderBy("speaker", "text")
     said = said.withColumn("place", F.row_number().over(order))
     people = said.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()

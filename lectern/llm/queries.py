@@ -87,7 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_perspectives": """
         WITH s AS (
-            SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE trim(role) END AS speaker, coalesce(text, '') AS text FROM conversations
+            SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE replace(replace(trim(role), '<|', '< |'), '|>', '| >') END AS speaker,
+                   replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
         ), t AS (
             SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY speaker, text) AS INTEGER) AS place FROM s
         ), m AS (

@@ -14,7 +14,7 @@ Queries meet shards in blocks: a group is one block of queries and one shard, bo
 
 Nulls and edge cases: vectors that are null, or hold a null or non-finite component, take no part, nor
 do rows without id. Ids that repeat as queries count once (with their least vector); as candidates each
-row counts. Vectors may be empty or differ in length: missing components are zero. Other columns are
+row counts. Weights so large that a score might not fit in 64 bits are an error. Vectors may be empty or differ in length: missing components are zero. Other columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -160,6 +160,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: i
         ids = group.column("id").to_numpy()
         width = int(max(pc.max(pc.list_value_length(group.column("weights"))).as_py() or 1, 1))
         weights = _matrix(group.column("weights"), width)
+        if float(np.abs(weights.astype(float)).max(initial=0)) ** 2 * width >= 2**63:
+            raise ValueError("weights so large that a score may not fit in 64 bits")
         shard = Shard(ids[~asks], weights[~asks])
         exact = np.abs(weights).max(initial=0).astype(float) ** 2 * width < 2**53
         if exact and width <= 4096 and 4 * np.count_nonzero(weights) > weights.size:
