@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.sources.scratch import shared_dir
+
 LISTING = "course struct<id:long,name:string,term:struct<id:long>>, items array<struct<id:long,type:string,content_id:long>>"
 
 
@@ -48,7 +49,6 @@ def course_closure(resources: DataFrame, children: dict[str, DataFrame], course:
 def write_report(report: DataFrame, path: str | None = None) -> DataFrame:
     """Writes JSON to a folder that must not exist, and reads it back."""
     spark = report.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-    path = path or f"{shared}/lectern-report-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/lectern-report-{uuid.uuid4().hex}"
     report.write.mode("errorifexists").json(path)
     return spark.read.schema(report.schema).json(path)

@@ -73,7 +73,3 @@ def embed_words(rows: DataFrame, key: str, words: Column, dimensions: int) -> Da
     counts = dealt.groupBy(key, bucket.alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     pairs = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     return pairs.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
-
-
-def nearest_page(df: DataFrame, by: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("page_number", "chunk_index"))).filter("_n = 1").drop("_n")

@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions import text
 from lectern.operators.pages import FORMULA_RISKS
@@ -23,44 +19,37 @@ MATH = (
     r"|[A-Za-z0-9α-ωΑ-Ω]+[⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉]+"
     r"|[√∑∏∫][A-Za-z0-9α-ωΑ-Ω(){}]*"
 )
-#: What stands for masked mathematics, and hyphenated words that are none.
-OMITTED = "[MATHEMATICAL EXPRESSION OMITTED]"
+#: What stands for masked mathematics, hyphenated words that are none, and signs that are named.
+OMITTED = "[MATHEMATICAL EXPRESSION OMITTED — PDF layout is unreliable]"
 HYPHENATED = r"[A-Za-z]{2,}(?:-[A-Za-z]{2,})+"
-_GROWS = re.compile(r"[=^_+*/−×÷<>≤≥⊕⊗±∓≠≈≡→←↔⇒⇔(){}√∑∏∫-]")
-
-
-def _masked(content: str, pattern: re.Pattern) -> tuple[str, int]:
-    """Mathematics of a text, grown over the signs next to it and merged, replaced by the marker."""
-    spans: list[list[int]] = []
-    for m in pattern.finditer(content):
-        if re.fullmatch(HYPHENATED, m.group()):
-            continue
-        a, b = m.span()
-        while a and _GROWS.match(content[a - 1]):
-            a -= 1
-        while b < len(content) and _GROWS.match(content[b]):
-            b += 1
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(b, spans[-1][1])
-        else:
-            spans.append([a, b])
-    out, at = [], 0
-    for a, b in spans:
-        out += [content[at:a], OMITTED]
-        at = b
-    return "".join([*out, content[at:]]), len(spans)
+NAMED_SIGN = r"(?:sign|symbol|delimiter)\s*=\s*(?:to|for|as|in|is)"
+#: Characters next to mathematics that belong to it.
+ADJACENT = r"[a-zA-Z0-9α-ρσ-ω(){}\[\]^_+\-=*/−×÷<>≤≥]"
+#: Mathematics never crosses a line; these are the line ends, and white space without them.
+_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+_BLANK = r"[ \t\x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+MATH_IN_LINE = MATH.replace(r"\s", _BLANK).replace(r"\n", _BREAKS)
+#: Private-use characters, of which masked text has none, around what was found.
+OPEN, CLOSE = "\ue000", "\ue001"
+GROWN = f"{ADJACENT}*(?:{OPEN}[^{CLOSE}]*{CLOSE}{ADJACENT}*)+"
 
 
 def mask_math(chunks: DataFrame) -> DataFrame:
-    """chunks: doc_id, page_number, content, warned. Adds masked and n_masked; unwarned pages stay."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(MATH)
-        for batch in batches:
-            made = [_masked(t or "", pattern) if w else (t, 0) for t, w in zip(batch.column("content").to_pylist(), batch.column("warned").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page_number"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["doc_id", "page_number", "masked", "n_masked"])
-
-    return chunks.select("doc_id", F.col("page_number").cast("int"), "content", "warned").mapInArrow(run, "doc_id long, page_number int, masked string, n_masked long")
+    """chunks: doc_id, page_number, content, warned. Adds masked and n_masked. Unreadable symbols are masked
+    everywhere; on warned pages mathematics is marked, marks on hyphenated words and on masked symbols are
+    taken back, and what is left is replaced with all that touches it."""
+    content = F.coalesce("content", F.lit(""))
+    readable = text.mask_unreadable(content)
+    marked = F.regexp_replace(readable, MATH_IN_LINE, f"{OPEN}$0{CLOSE}")
+    marked = F.regexp_replace(marked, f"{OPEN}({HYPHENATED}){CLOSE}", "$1")
+    marked = F.regexp_replace(marked, rf"\[{OPEN}(UNREADABLE_SYMBOL){CLOSE}\]", "[$1]")
+    marked = F.regexp_replace(marked, rf"{OPEN}([^{CLOSE}]*\[UNREADABLE_SYMBOL\][^{CLOSE}]*){CLOSE}", "$1")
+    grown = f"(?<!{ADJACENT}){GROWN}"  # from the first character on
+    found = chunks.select("doc_id", F.col("page_number").cast("int").alias("page_number"), "warned", readable.alias("readable"), text.unreadable_count(content).cast("long").alias("n"), marked.alias("marked"))
+    return found.select(
+        "doc_id", "page_number", F.when(F.col("warned"), F.regexp_replace("marked", grown, OMITTED)).otherwise(F.col("readable")).alias("masked"),
+        F.when(F.col("warned"), F.col("n") + F.regexp_count("marked", F.lit(grown))).otherwise(F.col("n")).alias("n_masked"),
+    )
 
 
 def prompt_batches(chunks: DataFrame, limit: int = 12_000, most: int = 20) -> DataFrame:
@@ -121,24 +110,23 @@ def ground(items: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.select("item_id", "doc_id", "category", outcome.alias("outcome"), reason.alias("reason"))
 
 
-def _unsafe_one(body: str | None, contents: list[str] | None) -> bool:
-    flat = ["".join(x.split()) for x in (() if contents is None else contents)]
-    for m in re.finditer(MATH, body or ""):
-        if re.fullmatch(HYPHENATED, m.group()) or re.fullmatch(r"(?:sign|symbol|delimiter)\s*=\s*(?:to|for|as|in|is)", m.group()):
-            continue
-        if not any("".join(m.group().split()) in x for x in flat):
-            return True
-    return False
-
-
-@F.pandas_udf(T.BooleanType())
-def _unsafe(body: pd.Series, contents: pd.Series) -> pd.Series:
-    return pd.Series([_unsafe_one(b, c) for b, c in zip(body, contents, strict=True)], dtype=bool)
+def unsafe_symbols(body: Column, contents: Column, reliable: Column | None = None) -> Column:
+    """Whether a text has unreadable or malformed symbols, or mathematics or operators that none of its
+    reliable sources (all contents, if they are not given) has literally."""
+    reliable = contents if reliable is None else reliable
+    bare = lambda x: F.regexp_replace(x, r"(?U)\s+", "")
+    nowhere = lambda x, y: ~F.exists(y, lambda c: F.contains(c, x))
+    prose = lambda x: x.rlike(f"^(?:{HYPHENATED}|{NAMED_SIGN})$")
+    found = F.regexp_extract_all(body, F.lit(MATH), F.lit(0))
+    unfounded = F.exists(found, lambda x: ~prose(x) & nowhere(bare(x), F.transform(reliable, bare)))
+    operators = F.regexp_extract_all(body, F.lit(r"[\p{Sm}&&[^\x00-\x7f]]"), F.lit(0))
+    plain = F.when(F.exists(contents, _unreadable), F.regexp_extract_all(body, F.lit(r"[=^+/*]"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    alone = F.exists(F.concat(operators, plain), lambda x: nowhere(x, reliable))
+    return _unreadable(body) | text.malformed_math(body) | unfounded | alone
 
 
-def unsafe_symbols(body: Column, contents: Column) -> Column:
-    """Whether a text has symbols that none of its reliable sources has literally."""
-    return (text.unreadable_count(body) > 0) | text.malformed_math(body) | _unsafe(body, contents)
+def _unreadable(x: Column) -> Column:
+    return (text.unreadable_count(x) > 0) | F.contains(x, F.lit(text.UNREADABLE))
 
 
 def attach_evidence(items: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -178,12 +166,11 @@ def counters(outcomes: DataFrame, names: list[str]) -> DataFrame:
 
 
 def week_summary(items: DataFrame) -> DataFrame:
-    """items: course_id, week_id, resource_id, overview, point, pages. Overviews and points of a week in the
-    order of its resources, points with their place."""
+    """items: course_id, week_id, resource_id, idx, overview, point, pages. The overviews and points of a week
+    with their place, a row for each; a week's summary is its rows in the order of (resource_id, idx), so that
+    no task gathers a week."""
     cited = F.concat("point", F.lit(" [Resource "), F.col("resource_id").cast("string"), F.lit(", pages "), F.array_join(F.transform("pages", lambda x: x.cast("string")), ", "), F.lit("]"))
-    own = F.array_sort(F.collect_list(F.struct("resource_id", "overview", cited.alias("point"))))
-    made = items.groupBy("course_id", "week_id").agg(own.alias("own"))
-    return made.select("course_id", "week_id", F.array_join(F.transform("own", lambda x: x["overview"]), "\n").alias("overview"), F.array_join(F.transform("own", lambda x: x["point"]), "\n").alias("points"))
+    return items.select("course_id", "week_id", "resource_id", "idx", "overview", cited.alias("point"))
 
 
 def topic_overview(items: DataFrame, limit: int = 6000, most: int = 6) -> DataFrame:

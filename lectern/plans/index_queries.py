@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text, vectors
 from lectern.operators import evaluate, index, retrieval
-from lectern.plans import oracle
+from lectern.plans import oracle, text_queries
 from lectern.plans.registry import query
 from lectern.sources.corpus import Corpus
+from lectern.sources.scratch import written
 
 _C = F.col
 _MODEL = "m1"
@@ -124,19 +125,19 @@ def source_recheck(c: Corpus) -> DataFrame:
     return index.recheck(_index(c), _current(c), ["content_hash", "source_hash"])
 
 
-@query("hygiene_diagnostics", "SELECT chunk_id, 'outline' AS reason FROM chunk WHERE false", "chunk")
+@query("hygiene_diagnostics", f"SELECT chunk_id, reason FROM ({text_queries._LOW}) WHERE reason IS NOT NULL", "chunk")
 def hygiene_diagnostics(c: Corpus) -> DataFrame:
-    return c.chunk.select("chunk_id", text.low_information(_C("content")).alias("reason")).filter("reason IS NOT NULL")
+    return text_queries.covered(c).select("chunk_id", text.low_information(_C("content")).alias("reason")).filter("reason IS NOT NULL")
 
 
 _TOPK = """
     SELECT * FROM (SELECT q.chunk_id AS query_id, q.course_id, x.chunk_id, round(greatest(-1.0, least(1.0, list_cosine_similarity(q.embedding, x.embedding))), 6) AS score,
         CAST(row_number() OVER (PARTITION BY q.chunk_id ORDER BY round(list_cosine_similarity(q.embedding, x.embedding), 6) DESC, x.chunk_id) AS INTEGER) AS rank
-    FROM vectors q JOIN vectors x ON q.course_id = x.course_id WHERE q.chunk_id < 50) WHERE rank <= {k}"""
+    FROM vectors q JOIN vectors x ON q.course_id = x.course_id WHERE q.chunk_id % 100 = 0) WHERE rank <= {k}"""
 
 
 def _queries(c: Corpus) -> DataFrame:
-    return c.vectors.filter("chunk_id < 50").withColumnRenamed("chunk_id", "query_id")
+    return c.vectors.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
 
 
 @query("topk_cosine", _TOPK.format(k=5), "vectors")
@@ -181,7 +182,7 @@ def hits(c: Corpus, dimensions: int = 64) -> DataFrame:
     asked = _asked(c)
     q = index.embed_words(asked, "item_id", words("question"), dimensions).join(asked.select("item_id", "course_id"), "item_id").withColumnRenamed("item_id", "query_id")
     found = retrieval.top_k(q, placed.select("chunk_id", "course_id", "embedding"), 5).withColumnRenamed("query_id", "item_id").drop("course_id")
-    return found.join(c.chunk, "chunk_id").join(asked.select("item_id", "question", "expected"), "item_id")
+    return written(found.join(c.chunk, "chunk_id").join(asked.select("item_id", "question", "expected"), "item_id"), "hits")
 
 
 def reranked(c: Corpus) -> DataFrame:
@@ -206,9 +207,10 @@ def rerank(c: Corpus) -> DataFrame:
     return reranked(c).select("item_id", "chunk_id", "score", "original_rank", "rank")
 
 
-@query("same_candidates", "SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b")
+@query("same_candidates", f"WITH {_RERANKED}, a AS (SELECT item_id, chunk_id FROM hits WHERE rank <= 3), b AS (SELECT item_id, chunk_id FROM reranked WHERE place <= 3) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_b", *_RETRIEVAL_VIEWS)
 def same_candidates(c: Corpus) -> DataFrame:
-    return evaluate.same_rows(hits(c).select("item_id", "chunk_id"), reranked(c).select("item_id", "chunk_id"))
+    """Of the three best by either score, as all five are the same."""
+    return evaluate.same_rows(hits(c).filter("rank <= 3").select("item_id", "chunk_id"), reranked(c).filter("rank <= 3").select("item_id", "chunk_id"))
 
 
 @query("post_rerank_scope", f"WITH {_RERANKED} SELECT item_id, chunk_id, place AS rank FROM reranked JOIN resource ON resource_id = doc_id WHERE week_id IN ('src0', 'src1', 'src2', 'src3')", *_RETRIEVAL_VIEWS)
@@ -274,9 +276,6 @@ def adjacent_pages(c: Corpus) -> DataFrame:
     return retrieval.adjacent(_first_chunks(c), c.chunk).select("query_id", "chunk_id")
 
 
-_HEAD = lambda x: f"lower(regexp_replace(substr(coalesce(({oracle.lines(x)})[1], ''), 1, 2), '[\\s\\p{{Z}}]+', ' ', 'g'))"
-
-
 @query("bridge_pages", None)
 def bridge_pages(c: Corpus) -> DataFrame:
     """Anchors are the first chunks of a document's pages, all of one question."""

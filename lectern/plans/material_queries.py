@@ -99,16 +99,16 @@ def repeated_margins(c: Corpus) -> DataFrame:
 
 def _spans(c: Corpus) -> DataFrame:
     """Words of each page as spans: the size of every seventh is small and raised."""
-    word = F.posexplode(F.slice(F.split("text", r"\s+"), 1, 30))
-    w = c.pages.select("doc_id", "page_number", word.alias("span_index", "w"))
-    small = _C("span_index") % 7 == 3
+    words = F.split("text", r"\s+")
+    w = c.pages.select("doc_id", "page_number", F.size(words).alias("n"), F.posexplode(words).alias("span_index", "w"))
+    small, line, place = _C("span_index") % 7 == 3, F.floor(_C("span_index") / 10).cast("int"), _C("span_index") % 10
     return w.select(
-        "doc_id", "page_number", F.floor(_C("span_index") / 10).cast("int").alias("line_index"), "span_index", F.when(small, 6.0).otherwise(10.0 + _C("page_number") % 3).alias("size"),
-        (_C("span_index") * 10.0).alias("x0"), (_C("span_index") * 10.0 + 9.0).alias("x1"), F.when(small, 95.0).otherwise(100.0).alias("origin_y"), (_C("span_index") * 20.0).alias("y0"), (_C("span_index") * 20.0 + 10.0).alias("y1"), F.lit(600.0).alias("height"),
+        "doc_id", "page_number", line.alias("line_index"), "span_index", F.when(small, 6.0).otherwise(10.0 + _C("page_number") % 3).alias("size"),
+        (place * 10.0).alias("x0"), (place * 10.0 + 9.0).alias("x1"), (line * 20.0 + F.when(small, 5.0).otherwise(10.0)).alias("origin_y"), (line * 20.0).alias("y0"), (line * 20.0 + 10.0).alias("y1"), (F.ceil(_C("n") / 10) * 20.0).alias("height"),
     )
 
 
-_SPANS = "SELECT doc_id, page_number, i - 1 AS span_index, CASE WHEN (i - 1) % 7 = 3 THEN 6.0 ELSE 10.0 + page_number % 3 END AS size, (i - 1) // 10 AS line_index FROM (SELECT doc_id, page_number, unnest(generate_series(1, least(30, len(regexp_split_to_array(text, '\\s+'))))) AS i FROM page)"
+_SPANS = "SELECT doc_id, page_number, i - 1 AS span_index, CASE WHEN (i - 1) % 7 = 3 THEN 6.0 ELSE 10.0 + page_number % 3 END AS size, (i - 1) // 10 AS line_index, ceil(n / 10) * CAST(20 AS DOUBLE) AS height FROM (SELECT doc_id, page_number, len(regexp_split_to_array(text, '\\s+')) AS n, unnest(generate_series(1, len(regexp_split_to_array(text, '\\s+')))) AS i FROM page)"
 
 
 @query("span_neighbours", f"WITH s AS ({_SPANS}) SELECT a.doc_id, a.page_number, CAST(a.span_index AS INTEGER) AS span, CAST(b.span_index AS INTEGER) AS base, 'super' AS position FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.line_index = b.line_index WHERE a.size = 6 AND b.size > 6 AND abs(a.span_index - b.span_index) = 1", "page")
@@ -116,7 +116,7 @@ def span_neighbours(c: Corpus) -> DataFrame:
     return pages.span_neighbours(_spans(c))
 
 
-@query("margin_medians", f"WITH s AS ({_SPANS}) SELECT doc_id, page_number, CAST(median(size) AS DOUBLE) AS body_font FROM s WHERE span_index * 20.0 >= 48 AND span_index * 20.0 + 10 <= 552 GROUP BY ALL", "page")
+@query("margin_medians", f"WITH s AS ({_SPANS}) SELECT doc_id, page_number, CAST(median(size) AS DOUBLE) AS body_font FROM s WHERE CAST(line_index * 20 AS DOUBLE) >= CAST(0.08 AS DOUBLE) * height AND CAST(line_index * 20 + 10 AS DOUBLE) <= (1 - CAST(0.08 AS DOUBLE)) * height GROUP BY ALL", "page")
 def margin_medians(c: Corpus) -> DataFrame:
     return pages.margin_medians(_spans(c))
 
@@ -249,13 +249,13 @@ def combine_kind(c: Corpus) -> DataFrame:
     return classify.material_kind(materials(c), _PHRASES).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Knowledge items: the first five chunks of a document, one category each, some with bad citations.
+# Knowledge items: the chunks of all documents, one category each, some with bad citations.
 _CATEGORY = "CASE chunk_index % 5 WHEN 0 THEN 'concepts' WHEN 1 THEN 'key_points' WHEN 2 THEN 'formulas' WHEN 3 THEN 'examples' ELSE 'exam_focus' END"
-_ITEMS = f"items AS (SELECT chunk_id AS item_id, doc_id, {_CATEGORY} AS category, chunk_index AS idx, page_number, content FROM chunk WHERE chunk_index < 5)"
+_ITEMS = f"items AS (SELECT chunk_id AS item_id, doc_id, {_CATEGORY} AS category, chunk_index AS idx, page_number, content FROM chunk)"
 
 
 def items(c: Corpus) -> DataFrame:
-    own = c.chunk.filter("chunk_index < 5")
+    own = c.chunk
     ids = F.when(_C("doc_id") % 11 == 0, F.array("chunk_id", "chunk_id")).when(_C("doc_id") % 13 == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array("chunk_id"))
     page = F.when(_C("doc_id") % 17 == 0, _C("page_number") + 1).otherwise(_C("page_number"))
     return own.select(_C("chunk_id").alias("item_id"), "doc_id", F.expr(_CATEGORY).alias("category"), _C("chunk_index").alias("idx"), ids.alias("ids"), F.array(page).alias("source_pages"), F.substring("content", 1, 10).alias("formula"), F.substring("content", 1, 40).alias("name"), F.substring("content", 1, 200).alias("point"), "page_number")
@@ -341,7 +341,7 @@ def first_source_page(c: Corpus) -> DataFrame:
     return items(c).select("item_id", F.try_element_at("source_pages", F.lit(1)).alias("first_page"))
 
 
-@query("topic_overview", f"WITH {_ITEMS}, o AS (SELECT doc_id, list(substr(content, 1, 40) ORDER BY idx) AS names, list(substr(content, 1, 200) ORDER BY idx) AS points FROM items GROUP BY 1) SELECT doc_id, array_to_string(list_filter(names, lambda w, i: list_position(names, w) = i), '; ') AS topic, array_to_string(points, ' ') AS overview FROM o", "chunk")
+@query("topic_overview", f"WITH {_ITEMS}, o AS (SELECT doc_id, list(substr(content, 1, 40) ORDER BY idx) AS names, list(substr(content, 1, 200) ORDER BY idx) AS points FROM items GROUP BY 1) SELECT doc_id, array_to_string((list_filter(names, lambda w, i: list_position(names, w) = i))[1:6], '; ') AS topic, array_to_string(points[1:6], ' ') AS overview FROM o", "chunk")
 def topic_overview(c: Corpus) -> DataFrame:
     return knowledge.topic_overview(items(c).select("doc_id", "idx", "name", "point"))
 
@@ -353,10 +353,10 @@ def merge_outputs(c: Corpus) -> DataFrame:
     return pages.latest(own, ["doc_id", "name"], _C("first_idx").asc())
 
 
-@query("week_summary", "SELECT r.course_id, r.week_id, string_agg(substr(k.content, 1, 40), chr(10) ORDER BY r.resource_id) AS overview, string_agg(concat(substr(k.content, 1, 60), ' [Resource ', r.resource_id, ', pages ', k.page_number, ']'), chr(10) ORDER BY r.resource_id) AS points FROM resource r JOIN chunk k ON k.doc_id = r.resource_id AND k.chunk_index = 0 GROUP BY ALL", "resource", "chunk")
+@query("week_summary", "SELECT r.course_id, r.week_id, r.resource_id, k.chunk_index AS idx, substr(k.content, 1, 40) AS overview, concat(substr(k.content, 1, 200), ' [Resource ', r.resource_id, ', pages ', k.page_number, ']') AS point FROM resource r JOIN chunk k ON k.doc_id = r.resource_id", "resource", "chunk")
 def week_summary(c: Corpus) -> DataFrame:
-    first = c.chunk.filter("chunk_index = 0").join(c.resource.select("resource_id", "course_id", "week_id"), _C("doc_id") == _C("resource_id"))
-    return knowledge.week_summary(first.select("course_id", "week_id", "resource_id", F.substring("content", 1, 40).alias("overview"), F.substring("content", 1, 60).alias("point"), F.array("page_number").alias("pages")))
+    named = items(c).select(_C("doc_id").alias("resource_id"), "idx", _C("name").alias("overview"), "point", F.array("page_number").alias("pages"))
+    return knowledge.week_summary(named.join(c.resource.select("resource_id", "course_id", "week_id"), "resource_id"))
 
 
 @query("week_learning_view", f"WITH {_ITEMS} SELECT course_id, week_id, category, count(*) AS items, count(DISTINCT doc_id) AS resources FROM items JOIN resource ON resource_id = doc_id WHERE category <> 'formulas' OR {_RELIABLE} GROUP BY ALL", "chunk", "resource")

@@ -51,7 +51,7 @@ VIEWS = {
                         THEN back + length(regexp_extract(substr(t, back + 1, stop - back), '(?s)^.*?\\s+')) ELSE back END AS nxt
             FROM (SELECT *, greatest(pos0 + 1, stop - {CHUNK_OVERLAP}) AS back FROM steps WHERE stop < length(t)))""",
     "chunk": """
-        SELECT doc_id * 10000 + chunk_index AS chunk_id, * FROM (
+        SELECT doc_id * 1000000 + chunk_index AS chunk_id, * FROM (
             SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, pos0) - 1 AS INTEGER) AS chunk_index, substr(t, pos0 + 1, stop - pos0) AS content
             FROM steps WHERE regexp_matches(substr(t, pos0 + 1, stop - pos0), '[^\\s\\p{Z}]'))""",
     "vectors": "SELECT vec_id AS chunk_id, label AS course_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings",

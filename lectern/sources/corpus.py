@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import chunking, text
+from lectern.sources.scratch import written
 
 #: Lines of a page, and the chunk size and overlap that split most pages.
 PAGE_LINES, CHUNK_SIZE, CHUNK_OVERLAP = 8, 400, 40
+#: Room for the chunks of a document between the ids of two.
+CHUNKS_EACH = 1_000_000
 #: When the older of two snapshots was taken.
 SNAPSHOT = "2024-01-16"
 
@@ -63,9 +66,9 @@ class Corpus:
 
     @cached_property
     def chunk(self) -> DataFrame:
-        """chunk_id, doc_id, page_number, chunk_index, content."""
+        """chunk_id, doc_id, page_number, chunk_index, content; written once, as most queries use it often."""
         numbered = chunking.number_chunks(chunking.chunk_pages(self.pages, CHUNK_SIZE, CHUNK_OVERLAP))
-        return numbered.select((F.col("doc_id") * 10_000 + F.col("chunk_index")).alias("chunk_id"), "doc_id", "page_number", "chunk_index", "content")
+        return written(numbered.select((F.col("doc_id") * CHUNKS_EACH + F.col("chunk_index")).alias("chunk_id"), "doc_id", "page_number", "chunk_index", "content"), "chunk")
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -96,7 +99,8 @@ class Corpus:
         words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
         asked = self.table("benchmark").select("item_id", F.col("text").alias("question"), F.array_join(F.slice(words, 2, 4), " ").alias("key"))
         spot = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - 3, F.lit(1))))
-        runs = self.documents.select("doc_id", "lang", "text", words.alias("words")).select("doc_id", "lang", "text", "words", spot.alias("i"))
-        runs = runs.select("doc_id", "lang", "text", F.array_join(F.slice("words", F.col("i"), F.lit(4)), " ").alias("key"))
-        met = runs.join(asked, "key").filter(F.contains("text", "question"))
-        return met.select("item_id", "question", F.col("lang").alias("course_id"), F.col("doc_id").alias("expected")).distinct()
+        runs = self.documents.select("doc_id", words.alias("words")).select("doc_id", "words", spot.alias("i"))
+        runs = runs.select("doc_id", F.array_join(F.slice("words", F.col("i"), F.lit(4)), " ").alias("key"))
+        likely = runs.join(asked, "key").select("doc_id", "item_id", "question").distinct()
+        met = likely.join(self.documents.select("doc_id", "lang", "text"), "doc_id").filter(F.contains("text", "question"))
+        return written(met.select("item_id", "question", F.col("lang").alias("course_id"), F.col("doc_id").alias("expected")).distinct(), "gold")

@@ -67,15 +67,15 @@ def test_unit_vectors(spark):
 
 
 def test_split_page_covers_and_bounds():
-    page = ("Alpha beta gamma. " * 40 + "\n\n") * 3
-    parts = chunking.split_page(page, 200, 20)
-    assert all(0 < len(p) <= 200 for p in parts)
+    words = [f"word{i}{'.' if i % 9 == 0 else ''}" for i in range(600)]
+    page = " ".join(words).replace("word100 ", "word100\n\n").replace("word333 ", "word333\n")
     at = 0
-    for p in parts:
-        found = page.find(p, max(0, at - 40))
-        assert found <= at
-        at = found + len(p)
-    assert at >= len(page.rstrip())
+    for a, b in chunking.spans(page, 200, 20):
+        assert 0 < b - a <= 200 and a <= at < b
+        assert a == 0 or page[a - 1].isspace() or not page[a - 1 : a + 1].isalnum()
+        at = b
+    assert at == len(page)
+    assert chunking.split_page(page, 200, 20) == [page[a:b] for a, b in chunking.spans(page, 200, 20)]
     with pytest.raises(ValueError):
         chunking.split_page("x", 10, 10)
     assert chunking.split_page("", 10, 1) == []
@@ -125,12 +125,20 @@ def test_answers(spark):
 
 
 def test_mask_math(spark):
-    df = spark.createDataFrame([(1, 1, "so a = b + 1 holds", True), (1, 2, "a data-link layer", True), (1, 3, "a = b", False), (1, 4, None, True)], "doc_id long, page_number int, content string, warned boolean")
+    data = [
+        (1, 1, "so a = b + 1 holds", True), (1, 2, "a data-link layer", True), (1, 3, "a = b", False), (1, 4, None, True), (1, 5, "a \ue123 b", False),
+        (1, 6, "f(x) = y, and\n= z alone", True), (1, 7, "see \ufffd now, xa=b(c)d-e end", True), (1, 8, "a\n= b", True),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, page_number int, content string, warned boolean")
     got = {r["page_number"]: (r["masked"], r["n_masked"]) for r in knowledge.mask_math(df).collect()}
     assert got[1] == (f"so {knowledge.OMITTED} holds", 1)
     assert got[2] == ("a data-link layer", 0)
     assert got[3] == ("a = b", 0)
     assert got[4] == ("", 0)
+    assert got[5] == ("a [UNREADABLE_SYMBOL] b", 1)
+    assert got[6] == (f"{knowledge.OMITTED}, and\n= z alone", 1)
+    assert got[7] == (f"see [UNREADABLE_SYMBOL] now, {knowledge.OMITTED} end", 2)
+    assert got[8] == ("a\n= b", 0)
 
 
 def test_change_class(spark):
@@ -154,5 +162,6 @@ def test_margins(spark):
 
 
 def test_unsafe_symbols(spark):
-    df = spark.createDataFrame([("a = b", ["so a=b"]), ("a = c", ["so a=b"]), ("data-link", [])], "body string, contents array<string>")
-    assert [r[0] for r in df.select(knowledge.unsafe_symbols(F.col("body"), F.col("contents"))).collect()] == [False, True, False]
+    data = [("a = b", ["so a=b"]), ("a = c", ["so a=b"]), ("data-link", []), ("sign = to", []), ("有 ∈ 无", ["有 无"]), ("有 ∈ 无", ["x ∈ y"]), ("x \ue001", ["x \ue001"]), ("see /", ["see \ufffd"]), ("see /", ["see"])]
+    df = spark.createDataFrame(data, "body string, contents array<string>").coalesce(1)
+    assert [r[0] for r in df.select(knowledge.unsafe_symbols(F.col("body"), F.col("contents"))).collect()] == [False, True, False, False, True, False, True, True, False]
