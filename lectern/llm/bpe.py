@@ -91,7 +91,7 @@ class BytePairCodec(ChunkEncoder):
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        super().__init__(Pieces(regex.compile(pattern).findall, self._piece), drops_white_space=False)
+        super().__init__(Pieces(regex.compile(pattern).findall, self._piece, limit=32 << 20), drops_white_space=False)
 
     def _piece(self, piece: str) -> list[int]:
         return merge_ranks(piece.encode("utf-8", "surrogatepass"), self.ranks)
@@ -117,7 +117,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))], ["doc_id", "ids"])
         finally:
-            own.clear()
+            own.known.clear()  # merged pieces stay for the next task, within their bound
 
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -81,9 +81,9 @@ class Pieces:
     """Ids of chunks that are cut into pieces by `cut`, of which piece_ids gives the ids. Chunks for which cut
     gives None go to `whole`, all at once."""
 
-    def __init__(self, cut: Callable[[str], list[str] | None], piece_ids: Callable[[str], list[int]], whole: Callable[[list[str]], list[list[int]]] | None = None):
+    def __init__(self, cut: Callable[[str], list[str] | None], piece_ids: Callable[[str], list[int]], whole: Callable[[list[str]], list[list[int]]] | None = None, limit: int = 16 << 20):
         self.cut, self.piece_ids, self.whole = cut, piece_ids, whole
-        self.known = Remembered(self._encode, limit=16 << 20)
+        self.known = Remembered(self._encode, limit)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return _flat(list(map(self.piece_ids, pieces)))

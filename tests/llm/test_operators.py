@@ -83,7 +83,7 @@ def test_remembered_chunks_stay_within_their_bound():
             assert own.known.strings.nbytes + 4 * len(own.known.flat) + 16 * len(own.known.sizes) <= 20_000
             assert max(map(len, own.known.strings.to_pylist())) <= 64
     finally:
-        own.known.limit, own.pieces.known.limit = 32 << 20, 16 << 20
+        own.known.limit = own.pieces.known.limit = 32 << 20
     own.clear()
     assert not len(own.known.strings) and not len(own.pieces.known.strings)
 
