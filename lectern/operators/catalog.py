@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,10 +40,42 @@ def upsert(old: DataFrame, new: DataFrame, key: str, immutable: list[str]) -> Da
     return joined.select(*[F.coalesce(*(F.col(f"{side}.{c}") for side in first(c))).alias(c) for c in old.columns])
 
 
-def course_closure(resources: DataFrame, children: dict[str, DataFrame], course: str) -> dict[str, DataFrame]:
-    """One course's resources and the rows of its child tables (by doc_id)."""
-    own = resources.filter(F.col("course_id") == course)
-    return {"resource": own, **{n: t.join(own, t["doc_id"] == own["resource_id"], "left_semi") for n, t in children.items()}}
+#: Parent of each catalog table, and the column by which its rows name it.
+PARENTS = {"course": ("semester", "semester_id"), "week": ("course", "course_id"), "resource": ("week", "week_id"), "chunk": ("resource", "resource_id"), "vector": ("chunk", "chunk_id")}
+
+
+def listing(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """Rows offset + 1 to offset + limit in an order, which should end in a key."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def active_courses(courses: DataFrame, semesters: DataFrame, named: int | None = None) -> DataFrame:
+    """Courses of the active semester, or of the named one whether it is active or not; none if there is none."""
+    wanted = semesters.filter("is_active" if named is None else F.col("semester_id") == named)
+    return courses.join(wanted, "semester_id", "left_semi")
+
+
+def course_closure(tables: dict[str, DataFrame], course: str, vectors: bool = True) -> dict[str, DataFrame]:
+    """One course's rows of semester, course, week, resource, chunk and, if wanted, vector. tables: these,
+    each with its own key (`<name>_id`; a vector has its chunk's) and its parent's."""
+    own = {"course": tables["course"].filter(F.col("course_id") == course)}
+    own["semester"] = tables["semester"].join(own["course"], "semester_id", "left_semi")
+    own["week"] = tables["week"].filter(F.col("course_id") == course)
+    own["resource"] = tables["resource"].filter(F.col("course_id") == course)
+    own["chunk"] = tables["chunk"].join(own["resource"], "resource_id", "left_semi")
+    if vectors:
+        own["vector"] = tables["vector"].join(own["chunk"], "chunk_id", "left_semi")
+    return own
+
+
+def lost_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """tab, key: rows of the catalog tables whose parent is missing; a null key of a parent counts as lost."""
+    found = None
+    for name, (parent, key) in PARENTS.items():
+        if name in tables:
+            lost = tables[name].join(tables[parent].select(key).distinct(), key, "left_anti").select(F.lit(name).alias("tab"), F.col(key).cast("string").alias("key"))
+            found = lost if found is None else found.unionByName(lost)
+    return found
 
 
 def write_report(report: DataFrame, path: str | None = None) -> DataFrame:

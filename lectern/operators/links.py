@@ -2,83 +2,164 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _INACTIVE = frozenset(["script", "style", "form", "template"])
-_BLOCKS = frozenset("p div li td th article section main body blockquote dd dt ul ol table tr h1 h2 h3 h4 h5 h6".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_AROUND = frozenset(["p", "li", "td", "figcaption"])
+#: Paths of a file of the course site, and the query that names one.
+FILE_PATHS = r"^(?:/api/v1)?(?:/courses/[1-9][0-9]*)?/files/([1-9][0-9]{0,17})(?:/.*)?$"
+FILE_QUERY = r"^/courses/[1-9][0-9]*/files$"
+_PREVIEW = re.compile(r"(?:^|&)preview=([1-9][0-9]{0,17})(?:&|$)")
+_LONGEST = 1500
+
+
+def _address(href: str | None, base: str):
+    """The parts of an absolute web address without its fragment; None for anything else."""
+    try:
+        at = urlsplit(urljoin(base, (href or "").strip()))
+        return at._replace(fragment="") if href and at.scheme in ("http", "https") and at.hostname and "@" not in at.netloc else None
+    except ValueError:
+        return None
+
+
+def _file_id(at, site: str) -> int | None:
+    if at is None or at.netloc != site:
+        return None
+    if found := re.match(FILE_PATHS, at.path):
+        return int(found[1])
+    found = _PREVIEW.search(at.query) if re.match(FILE_QUERY, at.path) else None
+    return int(found[1]) if found else None
+
+
+def describe(attrs: dict, base: str) -> dict:
+    """Where a link leads: a file of the page's own site (by canonical address, path or attribute), a document
+    elsewhere, or what cannot be followed."""
+    site, at = urlsplit(base).netloc, _address(attrs.get("href"), base)
+    for one in (_address(attrs.get("data-api-endpoint"), base), at):
+        if (number := _file_id(one, site)) is not None:
+            return {"kind": "file", "file_id": number, "target": one.geturl()}
+    named = attrs.get("data-file-id") or ""
+    if at is not None and at.netloc == site and re.fullmatch("[1-9][0-9]{0,17}", named):
+        return {"kind": "file", "file_id": int(named), "target": at.geturl()}
+    if at is not None and at.path.lower().endswith(".pdf"):
+        return {"kind": "document", "file_id": None, "target": at.geturl()}
+    return {"kind": "unsupported", "file_id": None, "target": None}
+
+
+class _Text:
+    """Text of an element as it comes, up to a bound."""
+
+    def __init__(self, tag: str):
+        self.tag, self.parts, self.size, self.linked = tag, [], 0, False
+
+    def add(self, data: str) -> None:
+        if self.size < _LONGEST:
+            self.parts.append(data[: _LONGEST - self.size])
+            self.size += len(self.parts[-1])
+
+    def __str__(self) -> str:
+        return " ".join("".join(self.parts).split())
 
 
 class _Reader(HTMLParser):
-    """Anchors in page order: href, text, nearest heading before, text of the paragraph before."""
+    """Anchors in page order with their context: the headings above by level, the nearest block, and the
+    paragraph just before, or before the list that holds the anchor."""
 
-    def __init__(self):
+    def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.links: list[dict] = []
-        self.inactive = 0
-        self.open: dict | None = None
-        self.heading, self.before, self.block, self.in_heading = "", "", [], False
+        self.base, self.links = base, []
+        self.hidden: list[str] = []
+        self.levels: dict[int, str] = {}
+        self.blocks: list[_Text] = []
+        self.lists: list[str] = []
+        self.title: _Text | None = None
+        self.anchor: _Text | None = None
+        self.paragraph = ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _INACTIVE:
-            self.inactive += 1
-        if tag in _BLOCKS:
-            self._end_block()
-            self.in_heading = tag in _HEADINGS
-        if tag == "a" and not self.inactive and (href := dict(attrs).get("href")):
-            self.open = {"href": href, "link_text": "", "heading": self.heading, "before": self.before}
+            self.hidden.append(tag)
+        if self.hidden:
+            return
+        if re.fullmatch("h[1-6]", tag):
+            self.title, self.paragraph = _Text(tag), ""
+            self.levels = {k: v for k, v in self.levels.items() if k < int(tag[1])}
+        elif tag in ("ul", "ol"):
+            self.lists.append(self.paragraph)
+            self.paragraph = ""
+        elif tag in _AROUND:
+            self.blocks.append(_Text(tag))
+        elif tag == "a":
+            self._begin({k: v for k, v in attrs if v is not None})
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in _INACTIVE:
-            self.inactive = max(0, self.inactive - 1)
-        if tag == "a" and self.open:
-            if not self.open["href"].startswith("#"):
-                self.links.append(self.open)
-            self.open = None
-        if tag in _BLOCKS:
-            self._end_block()
+    def _begin(self, attrs: dict) -> None:
+        self.anchor = None
+        if self.blocks:
+            self.blocks[-1].linked = True
+        if "href" not in attrs or attrs["href"].startswith("#"):
+            return
+        self.anchor = _Text("a")
+        near = self.blocks[-1] if self.blocks else _Text("")
+        above, before = " ".join(self.levels[k] for k in sorted(self.levels)), self.lists[-1] if self.lists else self.paragraph
+        self.links.append({"href": attrs["href"], "title": attrs.get("title", "")[:500], "text": self.anchor, "heading": above, "before": before, "near": near, **describe(attrs, self.base)})
 
     def handle_data(self, data: str) -> None:
-        if not self.inactive:
-            self.block.append(data)
-            if self.open:
-                self.open["link_text"] += data
+        if not self.hidden:
+            for part in (self.anchor, self.title, self.blocks[-1] if self.blocks else None):
+                if part is not None:
+                    part.add(data)
 
-    def _end_block(self) -> None:
-        text = " ".join("".join(self.block).split())
-        if text:
-            if self.in_heading:
-                self.heading = text
-            else:
-                self.before = text
-        self.block, self.in_heading = [], False
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+        if self.hidden:
+            return
+        if tag == "a":
+            self.anchor = None
+        elif tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
+            self.paragraph = ""
+        elif self.title is not None and tag == self.title.tag:
+            self.levels[int(tag[1])] = str(self.title)
+            self.title = None
+        elif tag in _AROUND and any(b.tag == tag for b in self.blocks):
+            while (block := self.blocks.pop()).tag != tag:
+                pass
+            if tag == "p":
+                self.paragraph = "" if block.linked or len(str(block)) > 500 else str(block)
 
 
 def page_links(pages: DataFrame, most: int = 2000, n_bytes: int = 2_000_000) -> DataFrame:
-    """page_id, pos, href, link_text, heading, before, problem. Links in scripts, styles, forms and templates,
-    and to the page itself, are left out. A page beyond a limit is one row with a problem."""
+    """page_id, pos, href, link_text, title, heading, before, around, kind, file_id, target, problem. pages: page_id,
+    url (the base of relative addresses), html. Links in scripts, styles, forms and templates, and to the page
+    itself, are left out. A page beyond a limit is one row with a problem; null pages have no links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 html = html or ""
-                if len(html.encode()) > n_bytes:
+                if len(html.encode(errors="replace")) > n_bytes:
                     rows.append({"page_id": page, "problem": "size"})
                     continue
-                reader = _Reader()
+                reader = _Reader(url or "")
                 reader.feed(html)
                 reader.close()
                 if len(reader.links) > most:
                     rows.append({"page_id": page, "problem": "links"})
                 else:
-                    rows += [{"page_id": page, "pos": k, "problem": None, **x, "before": x["before"][:500]} for k, x in enumerate(reader.links)]
+                    rows += [{"page_id": page, "pos": k, "problem": None, **x, "link_text": "".join(x["text"].parts), "around": str(x["near"])} for k, x in enumerate(reader.links)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    schema = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("href", pa.string()), ("link_text", pa.string()), ("heading", pa.string()), ("before", pa.string()), ("problem", pa.string())])
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, pos int, href string, link_text string, heading string, before string, problem string")
+    text = ("href", "link_text", "title", "heading", "before", "around", "kind")
+    schema = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), *((c, pa.string()) for c in text), ("file_id", pa.int64()), ("target", pa.string()), ("problem", pa.string())])
+    made = ", ".join(["page_id long", "pos int", *(f"{c} string" for c in text), "file_id long", "target string", "problem string"])
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, made)

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import text
+
 #: Warnings that make a page's formulas unreliable.
 FORMULA_RISKS = ["suspicious_formula_layout", "unusual_symbol_position", "encoding_warning", "possible_scanned_page", "empty_text", "layout_review_recommended"]
+#: Warnings that the text of a page alone gives.
+TEXT_WARNINGS = ["empty_text", "possible_scanned_page", "encoding_warning", "suspicious_formula_layout"]
 #: Warning code, label, explanation, severity.
 ISSUES = [
     ("empty_text", "Empty page", "No text was found on this page.", "warning"),
@@ -29,15 +33,15 @@ def label_issues(issues: DataFrame) -> DataFrame:
     return joined.fillna({"label": "Review recommended", "explanation": "This page has a warning of another kind.", "severity": "info"})
 
 
-def warnings(text: Column, width: Column | None = None) -> Column:
+def warnings(content: Column) -> Column:
     """Codes of the warnings that the text of a page alone gives."""
-    size = F.length(F.trim(text))
+    size = F.length(F.trim(content))
     return F.array_compact(
         F.array(
             F.when(size == 0, F.lit("empty_text")),
             F.when((size > 0) & (size < 40), F.lit("possible_scanned_page")),
-            F.when(F.regexp_count(text, F.lit(r"[�￼\p{Co}]")) > 0, F.lit("encoding_warning")),
-            F.when(text.rlike(r"[=＝]\s*[=＝]"), F.lit("suspicious_formula_layout")),
+            F.when(F.regexp_count(content, F.lit(r"[�￼\p{Co}]")) > 0, F.lit("encoding_warning")),
+            F.when(content.rlike(r"[=＝]\s*[=＝]"), F.lit("suspicious_formula_layout")),
         )
     )
 
@@ -54,19 +58,39 @@ def span_neighbours(spans: DataFrame) -> DataFrame:
     return met.select("s.doc_id", "s.page_number", F.col("s.span_index").alias("span"), F.col("b.span_index").alias("base"), F.when(shift > 0, "super").otherwise("sub").alias("position"))
 
 
-def repeated_margins(pages: DataFrame, share: float = 0.7, least: int = 3) -> DataFrame:
-    """doc_id, zone, line, n_pages: first or last lines that recur on at least max(least, ceil(share * n))
-    pages of a document. Lines are 8 to 100 characters and two words at least; a line that its page has
-    twice is ambiguous there."""
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+def margin_lines(pages: DataFrame) -> DataFrame:
+    """doc_id, page_number, zone, line, key, times: first and last lines (a page of one line has no last) that
+    may be margins. Lines are 8 to 100 characters and two words at least, or number their own page, which is
+    one key for all pages; times: how often the page has the line."""
+    lines = F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
     cut = pages.select("doc_id", "page_number", lines.alias("ls")).filter(F.size("ls") > 0)
-    zones = F.array(F.struct(F.lit("header").alias("zone"), F.trim(F.get("ls", 0)).alias("line")), F.struct(F.lit("footer").alias("zone"), F.trim(F.element_at("ls", -1)).alias("line")))
-    edge = cut.select("doc_id", "page_number", "ls", F.explode(zones).alias("z")).select("doc_id", "page_number", "z.zone", "z.line", F.size(F.filter("ls", lambda x: F.trim(x) == F.col("z.line"))).alias("times"))
-    fit = edge.filter(F.length("line").between(8, 100) & (F.size(F.split("line", r"\s+")) >= 2) & (F.col("times") == 1))
+    zones = F.array_compact(F.array(F.struct(F.lit("header").alias("zone"), F.get("ls", 0).alias("line")), F.when(F.size("ls") > 1, F.struct(F.lit("footer").alias("zone"), F.element_at("ls", -1).alias("line")))))
+    edge = cut.select("doc_id", "page_number", "ls", F.explode(zones).alias("z")).select("doc_id", "page_number", "z.zone", "z.line", F.size(F.filter("ls", lambda x: x == F.col("z.line"))).alias("times"))
+    number = F.regexp_extract("line", r"^(?i:page\s+)?([0-9]+)$", 1)
+    own = F.when(number == "", None).otherwise(F.ltrim(number, F.lit("0")) == F.col("page_number").cast("string"))
+    prose = F.length("line").between(8, 100) & (F.size(F.split("line", r"\s+")) >= 2)
+    return edge.withColumn("key", F.when(own, F.lit("<page number>")).when(own.isNull() & prose, F.col("line"))).filter("key IS NOT NULL")
+
+
+def repeated_margins(pages: DataFrame, share: float = 0.7, least: int = 3) -> DataFrame:
+    """doc_id, zone, line, n_pages: margins that recur on at least max(least, ceil(share * n)) pages of a
+    document."""
     counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    seen = fit.groupBy("doc_id", "zone", "line").agg(F.countDistinct("page_number").alias("n_pages"))
+    seen = margin_lines(pages).groupBy("doc_id", "zone", "key").agg(F.countDistinct("page_number").alias("n_pages"))
     need = F.greatest(F.lit(least), F.ceil(F.col("n") * share).cast("int"))
-    return seen.join(counts, "doc_id").filter(F.col("n_pages") >= need).select("doc_id", "zone", "line", "n_pages")
+    return seen.join(counts, "doc_id").filter(F.col("n_pages") >= need).select("doc_id", "zone", F.col("key").alias("line"), "n_pages")
+
+
+def strip_margins(pages: DataFrame, share: float = 0.7, least: int = 3) -> DataFrame:
+    """doc_id, page_number, text, headers_removed, footers_removed: pages without their repeated margins. A
+    line that its page has twice is kept there, as it may belong to the text; null texts are empty."""
+    pages = pages.withColumn("text", F.coalesce("text", F.lit("")))
+    accepted = repeated_margins(pages, share, least).select("doc_id", "zone", F.col("line").alias("key"))
+    own = margin_lines(pages).filter("times = 1").join(accepted, ["doc_id", "zone", "key"], "left_semi")
+    gone = own.groupBy("doc_id", "page_number").agg(F.max(F.when(F.col("zone") == "header", F.col("line"))).alias("header"), F.max(F.when(F.col("zone") == "footer", F.col("line"))).alias("footer"))
+    left = F.filter(F.split("text", "\n", -1), lambda x: ~F.coalesce(F.trim(x) == F.col("header"), F.lit(False)) & ~F.coalesce(F.trim(x) == F.col("footer"), F.lit(False)))
+    joined = pages.select("doc_id", "page_number", "text").join(gone, ["doc_id", "page_number"], "left")
+    return joined.select("doc_id", "page_number", text.clean_text(F.array_join(left, "\n")).alias("text"), F.col("header").isNotNull().cast("int").alias("headers_removed"), F.col("footer").isNotNull().cast("int").alias("footers_removed"))
 
 
 def margin_medians(spans: DataFrame, margin: float = 0.08) -> DataFrame:
@@ -76,14 +100,19 @@ def margin_medians(spans: DataFrame, margin: float = 0.08) -> DataFrame:
 
 
 def document_totals(pages: DataFrame) -> DataFrame:
-    """Pages, pages with text, empty pages, characters and pages with warnings of each document."""
+    """Pages, pages with text, empty pages, characters, pages with warnings (in all and of each kind) and
+    removed headers and footers (columns that strip_margins adds; 0 without them) of each document."""
     codes = warnings(F.col("text"))
+    removed = lambda c: F.sum(c).cast("long") if c in pages.columns else F.lit(0).cast("long")
     return pages.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_if(F.length(F.trim("text")) > 0).alias("pages_with_text"),
         F.count_if(F.length(F.trim("text")) == 0).alias("empty_pages"),
         F.sum(F.length("text")).cast("long").alias("characters"),
         F.count_if(F.size(codes) > 0).alias("warning_pages"),
+        *[F.count_if(F.array_contains(codes, k)).alias(k) for k in TEXT_WARNINGS],
+        removed("headers_removed").alias("headers_removed"),
+        removed("footers_removed").alias("footers_removed"),
     )
 
 

@@ -40,55 +40,56 @@ def rerank(hits: DataFrame, score: Column, keep: int = 5) -> DataFrame:
 
 def adjacent(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, anchor_rank, chunk_id: chunks with body on the pages next to an anchor whose headings share
-    the query's terms. anchors: query_id, question, rank, doc_id, page_number, content."""
+    the query's terms, exercises left out. anchors: query_id, question, rank, doc_id, page_number, content,
+    title; chunks: those that may be searched."""
     own = anchors.withColumn("terms", text.section_terms(F.col("content"), F.col("question"))).filter(F.size("terms") > 0)
-    near = own.select("query_id", "question", "terms", "rank", "doc_id", F.explode(F.array(F.col("page_number") - 1, F.col("page_number") + 1)).alias("page_number"))
+    near = own.select("query_id", "question", "title", "terms", "rank", "doc_id", F.explode(F.array(F.col("page_number") - 1, F.col("page_number") + 1)).alias("page_number"))
     met = near.join(chunks.select("doc_id", "page_number", "chunk_id", "chunk_index", "content"), ["doc_id", "page_number"])
     fits = text.has_body(F.col("content")) & F.arrays_overlap("terms", text.section_terms(F.col("content"), F.col("question")))
-    return met.filter(fits).select("query_id", F.col("rank").alias("anchor_rank"), "doc_id", "page_number", "chunk_index", "chunk_id")
+    return met.filter(fits & ~text.exercise_prompt(F.col("content"), F.col("title"))).select("query_id", F.col("rank").alias("anchor_rank"), "doc_id", "page_number", "chunk_index", "chunk_id")
 
 
 def bridges(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id: chunks of equal heading on pages strictly between two anchors of one document
-    that are two or three pages apart."""
-    own = anchors.withColumn("heading", text.section_heading(F.col("content"))).filter("heading <> ''").select("query_id", "doc_id", "page_number", "heading", "rank")
-    l, r = own.alias("l"), own.alias("r")
+    """query_id, chunk_id: chunks of equal heading, exercises left out, on pages strictly between two anchors
+    of one document that are two or three pages apart; the heading of the first shares the query's terms.
+    anchors and chunks as for `adjacent`."""
+    own = anchors.select("query_id", "doc_id", "page_number", "rank", "title", text.section_heading(F.col("content")).alias("heading"), F.size(text.section_terms(F.col("content"), F.col("question"))).alias("terms")).filter("heading <> ''")
+    l, r = own.filter("terms > 0").alias("l"), own.alias("r")
     met = l.join(r, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("query_id", "doc_id", "heading")] + [(F.col("r.page_number") - F.col("l.page_number")).between(2, 3)])
-    gaps = met.select("l.query_id", "l.doc_id", "l.heading", F.col("l.rank").alias("anchor_rank"), F.explode(F.sequence(F.col("l.page_number") + 1, F.col("r.page_number") - 1)).alias("page_number"))
+    gaps = met.select("l.query_id", "l.doc_id", "l.heading", "l.title", F.struct(F.col("l.rank"), F.col("r.rank").alias("other")).alias("anchor_rank"), F.explode(F.sequence(F.col("l.page_number") + 1, F.col("r.page_number") - 1)).alias("page_number"))
     found = gaps.join(chunks.select("doc_id", "page_number", "chunk_id", "chunk_index", "content"), ["doc_id", "page_number"])
-    keep = (text.section_heading(F.col("content")) == F.col("heading")) & text.has_body(F.col("content")) & text.low_information(F.col("content")).isNull()
-    return found.filter(keep).select("query_id", "anchor_rank", "doc_id", "page_number", "chunk_index", "chunk_id").distinct()
+    keep = (text.section_heading(F.col("content")) == F.col("heading")) & text.has_body(F.col("content")) & text.low_information(F.col("content")).isNull() & ~text.exercise_prompt(F.col("content"), F.col("title"))
+    return found.filter(keep).groupBy("query_id", "doc_id", "page_number", "chunk_index", "chunk_id").agg(F.min("anchor_rank").alias("anchor_rank"))
 
 
 def select_context(ranked: DataFrame, chunks: DataFrame, limit: int = 3, most: int = 5, additions: int = 2) -> DataFrame:
     """query_id, place, chunk_id, added: balanced evidence. ranked: query_id, question, rank, chunk_id, doc_id,
     page_number, content, title, role. Where there are both explanations and an exercise, explanations come
-    first and one exercise stays; neighbours of anchors and bridges between them follow."""
+    first, one exercise stays, and neighbours of anchors follow, those of explanations before others. Then
+    pages between two of the chosen follow, one chunk of each."""
     prompt = text.exercise_prompt(F.col("content"), F.col("title"))
     explains = ~prompt & text.has_body(F.col("content")) & ((F.col("role") == "lecture") | (F.size(text.section_terms(F.col("content"), F.col("question"))) > 0))
     marked = ranked.withColumn("prompt", prompt).withColumn("explains", explains)
     of_query = Window.partitionBy("query_id")
     marked = marked.withColumn("balanced", F.max("prompt").over(of_query) & F.max("explains").over(of_query))
-    nth_prompt = F.row_number().over(Window.partitionBy("query_id", "prompt").orderBy("rank"))
-    marked = marked.withColumn("nth", nth_prompt)
+    marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "prompt").orderBy("rank")))
     first = marked.filter(~F.col("balanced") | F.col("explains") | (F.col("prompt") & (F.col("nth") == 1)))
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("balanced") & F.col("prompt"), 1).otherwise(0), "rank")
     chosen = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
     base = chosen.select("query_id", "place", "chunk_id", F.lit(False).alias("added"))
-    near = adjacent(marked.filter("balanced AND NOT prompt"), chunks)
-    seen = base.select(F.col("query_id").alias("q"), F.col("chunk_id").alias("c"))
+    anchors = marked.filter("balanced AND NOT prompt").withColumn("rank", F.struct(~F.col("explains"), F.col("rank")))
 
-    def more(found: DataFrame, seen: DataFrame, by: str) -> DataFrame:
+    def more(found: DataFrame, so_far: DataFrame, by: list[str], after: int) -> DataFrame:
+        seen = so_far.select(F.col("query_id").alias("q"), F.col("chunk_id").alias("c"))
         new = found.join(seen, (F.col("query_id") == F.col("q")) & (F.col("chunk_id") == F.col("c")), "left_anti")
-        once = new.groupBy("query_id", by).agg(F.min(F.struct("anchor_rank", "page_number", "chunk_index", "chunk_id")).alias("f"))
+        once = new.groupBy("query_id", *by).agg(F.min(F.struct("anchor_rank", "page_number", "chunk_index", F.col("chunk_id").alias("id"))).alias("f"))
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy("f"))
-        return once.withColumn("nth", nth).filter(F.col("nth") <= additions).select("query_id", "nth", F.col("f.chunk_id").alias("chunk_id"))
+        best = once.withColumn("nth", nth).filter(F.col("nth") <= additions)
+        return so_far.unionByName(best.select("query_id", (after + F.col("nth")).alias("place"), F.col("f.id").alias("chunk_id"), F.lit(True).alias("added")))
 
-    added = more(near, seen, "chunk_id").select("query_id", (limit + F.col("nth")).alias("place"), "chunk_id", F.lit(True).alias("added"))
-    so_far = base.unionByName(added)
-    seen = so_far.select(F.col("query_id").alias("q"), F.col("chunk_id").alias("c"))
-    over = more(bridges(chosen, chunks), seen, "page_number").select("query_id", (limit + additions + F.col("nth")).alias("place"), "chunk_id", F.lit(True).alias("added"))
-    together = so_far.unionByName(over).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+    near = more(adjacent(anchors, chunks), base, ["chunk_id"], limit)
+    over = more(bridges(chosen.withColumn("rank", F.col("place")), chunks), near, ["doc_id", "page_number"], limit + additions)
+    together = over.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
     return together.filter(F.col("place") <= most)
 
 

@@ -12,9 +12,20 @@ from lectern.sources.corpus import Corpus
 _C = F.col
 
 
-@query("catalog_scan", "SELECT course_id, week_id, resource_id, filename FROM resource ORDER BY course_id, week_id, resource_id LIMIT 200 OFFSET 100", "resource")
+@query("catalog_scan", """
+    SELECT 'semester' AS level, CAST(NULL AS VARCHAR) AS parent, CAST(semester_id AS VARCHAR) AS key FROM (SELECT * FROM semester ORDER BY semester_id DESC LIMIT 2 OFFSET 0)
+    UNION ALL SELECT 'course', CAST(semester_id AS VARCHAR), course_id FROM (SELECT * FROM course ORDER BY course_id LIMIT 100 OFFSET 1)
+    UNION ALL SELECT 'week', course_id, week_id FROM (SELECT * FROM week ORDER BY course_id NULLS FIRST, week_number NULLS FIRST, week_id NULLS FIRST LIMIT 50 OFFSET 10)
+    UNION ALL SELECT 'resource', week_id, CAST(resource_id AS VARCHAR) FROM (SELECT * FROM resource ORDER BY course_id NULLS FIRST, week_id NULLS FIRST, resource_id LIMIT 200 OFFSET 100)""", "semester", "course", "week", "resource")
 def catalog_scan(c: Corpus) -> DataFrame:
-    return c.resource.select("course_id", "week_id", "resource_id", "filename").orderBy("course_id", "week_id", "resource_id").offset(100).limit(200)
+    """A page of each listing: semesters by year from the last, courses by code, weeks by number, resources."""
+    text = lambda x: _C(x).cast("string")
+    level = lambda name, df, parent, key: df.select(F.lit(name).alias("level"), parent.alias("parent"), text(key).alias("key"))
+    semesters = level("semester", catalog.listing(c.semester, [F.desc("semester_id")], 0, 2), F.lit(None).cast("string"), "semester_id")
+    courses = level("course", catalog.listing(c.course, [_C("course_id")], 1, 100), text("semester_id"), "course_id")
+    weeks = level("week", catalog.listing(c.week, [_C("course_id"), _C("week_number"), _C("week_id")], 10, 50), text("course_id"), "week_id")
+    resources = level("resource", catalog.listing(c.resource, [_C("course_id"), _C("week_id"), _C("resource_id")], 100, 200), text("week_id"), "resource_id")
+    return semesters.unionByName(courses).unionByName(weeks).unionByName(resources)
 
 
 @query("chunk_listing", "SELECT doc_id, chunk_index, content FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS n FROM chunk) WHERE n > 2 AND n <= 7", "chunk")
@@ -60,19 +71,29 @@ def upsert_by_key(c: Corpus) -> DataFrame:
 
 
 @query("course_snapshot", """
-    SELECT 'resource' AS tab, count(*) AS n, 0 AS orphans FROM resource WHERE course_id = 'de'
-    UNION ALL SELECT 'page', count(*), 0 FROM page WHERE doc_id IN (SELECT resource_id FROM resource WHERE course_id = 'de')
-    UNION ALL SELECT 'chunk', count(*), 0 FROM chunk WHERE doc_id IN (SELECT resource_id FROM resource WHERE course_id = 'de')""", "resource", "page", "chunk")
+    WITH own AS (SELECT * FROM resource WHERE course_id = 'de'), kids AS (SELECT chunk.* FROM chunk JOIN own ON doc_id = resource_id)
+    SELECT 'semester' AS tab, CAST(semester_id AS VARCHAR) AS key, 0 AS lost FROM course WHERE course_id = 'de'
+    UNION ALL SELECT 'course', c.course_id, CAST(s.semester_id IS NULL AS INTEGER) FROM course c LEFT JOIN semester s ON s.semester_id = c.semester_id WHERE course_id = 'de'
+    UNION ALL SELECT 'week', w.week_id, CAST(c.course_id IS NULL AS INTEGER) FROM week w LEFT JOIN course c ON c.course_id = w.course_id WHERE w.course_id = 'de'
+    UNION ALL SELECT 'resource', CAST(resource_id AS VARCHAR), CAST(w.week_id IS NULL AS INTEGER) FROM own r LEFT JOIN week w ON w.week_id = r.week_id AND w.course_id = 'de'
+    UNION ALL SELECT 'chunk', CAST(chunk_id AS VARCHAR), 0 FROM kids
+    UNION ALL SELECT 'vector', CAST(v.chunk_id AS VARCHAR), 0 FROM chunk_vec v JOIN kids k ON k.chunk_id = v.chunk_id""", "semester", "course", "week", "resource", "chunk", "chunk_vec")
 def course_snapshot(c: Corpus) -> DataFrame:
-    own = catalog.course_closure(c.resource, {"page": c.pages, "chunk": c.chunk}, "de")
-    counted = [t.agg(F.lit(n).alias("tab"), F.count(F.lit(1)).alias("n"), F.lit(0).alias("orphans")) for n, t in own.items() if n == "resource"]
-    for n in ("page", "chunk"):
-        orphans = own[n].join(own["resource"], own[n]["doc_id"] == own["resource"]["resource_id"], "left_anti").agg(F.count(F.lit(1)).cast("int").alias("orphans"))
-        counted.append(own[n].agg(F.lit(n).alias("tab"), F.count(F.lit(1)).alias("n")).join(F.broadcast(orphans)))  # one row each
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
-
-
-@query("report_sink", None)
+    """All rows of one course; lost: a row's parent is not among them."""
+    tables = {"semester": c.semester, "course": c.course, "week": c.week, "resource": c.resource, "chunk": c.chunk.withColumnRenamed("doc_id", "resource_id"), "vector": c.chunk_vec}
+    own = catalog.course_closure(tables, "de")
+    keys = {n: t.select(F.lit(n).alias("tab"), _C("chunk_id" if n == "vector" else f"{n}_id").cast("string").alias("key"), *([_C(catalog.PARENTS[n][1]).cast("string")] if n in catalog.PARENTS and n != "vector" else [])) for n, t in own.items()}
+    lost = catalog.lost_rows(own).distinct().withColumn("lost", F.lit(1))
+    out = None
+    for n, t in keys.items():
+        parent = t.columns[2] if len(t.columns) > 2 else "key"
+        gone = lost.select(_C("tab").alias("_t"), _C("key").alias("_k"), "lost")
+        made = t.join(gone, (_C("tab") == _C("_t")) & (_C(parent) == _C("_k")), "left").select("tab", "key", F.coalesce("lost", F.lit(0)).alias("lost"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@query("report_sink", "SELECT course_id, count(*) AS resources FROM resource GROUP BY 1", "resource")
 def report_sink(c: Corpus) -> DataFrame:
     """Writes the report to a new folder of the shared place, where an existing one is an error, and reads it."""
     report = c.resource.groupBy("course_id").agg(F.count(F.lit(1)).alias("resources"))
@@ -91,10 +112,9 @@ def scope_exclusion(c: Corpus) -> DataFrame:
     return courses.select(sync.exclusion(F.lit(1)).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("active_scope", "SELECT resource_id, course_id FROM resource WHERE course_id = (SELECT min(course_id) FROM resource)", "resource")
+@query("active_scope", "SELECT resource_id, r.course_id FROM resource r JOIN course c ON c.course_id = r.course_id JOIN semester s ON s.semester_id = c.semester_id WHERE is_active", "resource", "course", "semester")
 def active_scope(c: Corpus) -> DataFrame:
-    active = c.resource.agg(F.min("course_id").alias("course_id"))
-    return c.resource.join(active, "course_id", "left_semi").select("resource_id", "course_id")
+    return c.resource.join(catalog.active_courses(c.course, c.semester), "course_id", "left_semi").select("resource_id", "course_id")
 
 
 @query("request_scope", """
@@ -118,14 +138,18 @@ def week_health(c: Corpus) -> DataFrame:
 
 
 @query("dashboard_cards", """
-    SELECT course_id, count(DISTINCT week_id) AS modules, max(week_id) AS last_module, count(*) FILTER (WHERE status IN ('parsed', 'completed')) AS parsed, count(*) FILTER (WHERE stage = 'knowledge' AND status = 'completed') AS current_knowledge
-    FROM resource GROUP BY 1 ORDER BY 1""", "resource")
+    SELECT c.course_id, w.modules, w.last_module, coalesce(r.parsed, 0) AS parsed, coalesce(r.current_knowledge, 0) AS current_knowledge
+    FROM course c JOIN semester s ON s.semester_id = c.semester_id AND is_active
+    LEFT JOIN (SELECT course_id, count(*) AS modules, first(title ORDER BY week_number DESC NULLS LAST, title DESC) AS last_module FROM week GROUP BY 1) w ON w.course_id = c.course_id
+    LEFT JOIN (SELECT course_id, count(*) FILTER (WHERE status IN ('parsed', 'completed')) AS parsed, count(k.resource_id) AS current_knowledge FROM resource r LEFT JOIN knowledge k ON k.resource_id = r.resource_id AND k.revision = r.revision GROUP BY 1) r ON r.course_id = c.course_id""", "course", "semester", "week", "resource", "knowledge")
 def dashboard_cards(c: Corpus) -> DataFrame:
-    made = c.resource.groupBy("course_id").agg(
-        F.countDistinct("week_id").alias("modules"), F.max_by("week_id", "week_id").alias("last_module"),
-        F.count_if(_C("status").isin("parsed", "completed")).alias("parsed"), F.count_if((_C("stage") == "knowledge") & (_C("status") == "completed")).alias("current_knowledge"),
-    )
-    return made.orderBy("course_id")
+    """Courses of the active semester by code: modules, the last one, parsed resources and those whose
+    knowledge is of the present revision."""
+    known = c.knowledge.select("resource_id", "revision", F.lit(1).alias("known"))
+    counts = c.resource.join(known, ["resource_id", "revision"], "left").groupBy("course_id").agg(F.count_if(_C("status").isin("parsed", "completed")).alias("parsed"), F.count("known").alias("current_knowledge"))
+    modules = c.week.groupBy("course_id").agg(F.count(F.lit(1)).alias("modules"), F.max_by("title", F.struct("week_number", "title")).alias("last_module"))
+    cards = catalog.active_courses(c.course, c.semester).join(modules, "course_id", "left").join(counts, "course_id", "left")
+    return cards.select("course_id", "modules", "last_module", F.coalesce("parsed", F.lit(0).cast("long")).alias("parsed"), F.coalesce("current_knowledge", F.lit(0).cast("long")).alias("current_knowledge")).orderBy("course_id")
 
 
 @query("sync_counters", """

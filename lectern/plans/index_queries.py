@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import text, vectors
 from lectern.operators import evaluate, index, retrieval
@@ -219,26 +220,77 @@ def post_rerank_scope(c: Corpus) -> DataFrame:
     return reranked(c).join(weeks, "doc_id", "left_semi").select("item_id", "chunk_id", "rank")
 
 
-def _context(c: Corpus) -> DataFrame:
-    titled = reranked(c).join(c.resource.select(_C("resource_id").alias("doc_id"), _C("filename").alias("title"), "role"), "doc_id").withColumnRenamed("item_id", "query_id")
-    return retrieval.select_context(titled, c.chunk, 3)
+# Chunks below headings, so that exercises, neighbours and bridges occur: every third is an exercise, every
+# fifth page has a heading of its own, all others share their document's.
+_HEADING = "CASE WHEN chunk_index % 3 = 1 THEN 'Exercise 1 on the topic' WHEN page_number % 5 = 4 THEN 'Further notes' ELSE concat('Topic ', doc_id % 5) END"
+_ASKED = "concat('Which topic? ', {})"
+_MAY = "(status IN ('parsed', 'completed') OR (status = 'failed' AND stage = 'knowledge'))"
+_LINE1 = lambda x: f"coalesce(({oracle.lines(x)})[1], '')"
+_SHARED = lambda x, q: f"list_filter(list_intersect(regexp_extract_all(lower({_LINE1(x)}), '[a-z][a-z0-9]+'), regexp_extract_all(lower({q}), '[a-z][a-z0-9]+')), lambda w: NOT list_contains({'[' + ', '.join(repr(w) for w in text.STOP_WORDS) + ']'}, w))"
+_HEAD = lambda x: f"CASE WHEN length({_LINE1(x)}) > 120 THEN '' ELSE regexp_replace(replace(lower({_LINE1(x)}), 'ß', 'ss'), '[\\s\\p{{Z}}]+', ' ', 'g') END"
+_EXERCISE = lambda x, title: f"(NOT regexp_matches({x}, '(?im)^\\s*(?:worked\\s+)?(?:solution|answer)\\b') AND (regexp_matches({x}, '(?i)^\\s*(?:question|exercise|problem)\\s*\\d') OR (regexp_matches({title}, '(?i)assignment|homework|exercise') AND regexp_matches({x}, '(?i)\\b(?:calculate|determine|give an example|what is)\\b'))))"
+_WORDS = lambda x: f"len(list_filter(string_split(regexp_replace({x}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: regexp_full_match(w, '[A-Za-z]+'))) >= 25"
+_CANDIDATES = f"cand AS (SELECT chunk_id, doc_id, page_number, chunk_index, content, {_WORDS('content')} AS body, {_HEAD('content')} AS heading FROM (SELECT chunk_id, doc_id, page_number, chunk_index, concat({_HEADING}, chr(10), content) AS content FROM chunk JOIN resource ON resource_id = doc_id WHERE {_MAY}))"
+_PAIRS = f"""pairs AS (SELECT l.query_id, l.doc_id, l.place AS lp, r.place AS rp, k.page_number, k.chunk_index, k.chunk_id FROM chosen l JOIN chosen r ON r.query_id = l.query_id AND r.doc_id = l.doc_id AND r.heading = l.heading AND r.page_number - l.page_number BETWEEN 2 AND 3
+        JOIN cand k ON k.doc_id = l.doc_id AND k.page_number > l.page_number AND k.page_number < r.page_number WHERE l.heading <> '' AND len(l.terms) > 0 AND k.heading = l.heading AND k.body AND NOT {_EXERCISE('k.content', 'l.title')})"""
+#: The rule over `ranked`: query_id, question, rank, chunk_id, doc_id, page_number, content, title, role.
+_SELECTED = f"""{_CANDIDATES}, m AS (SELECT *, {_EXERCISE('content', 'title')} AS prompt, {_SHARED('content', 'question')} AS terms, {_HEAD('content')} AS heading, {_WORDS('content')} AS body FROM ranked),
+    m2 AS (SELECT *, NOT prompt AND body AND (role = 'lecture' OR len(terms) > 0) AS explains FROM m),
+    m3 AS (SELECT *, bool_or(prompt) OVER (PARTITION BY query_id) AND bool_or(explains) OVER (PARTITION BY query_id) AS balanced, row_number() OVER (PARTITION BY query_id, prompt ORDER BY rank) AS nth FROM m2),
+    chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN balanced AND prompt THEN 1 ELSE 0 END, rank) AS place FROM m3 WHERE NOT balanced OR explains OR (prompt AND nth = 1)) WHERE place <= 3),
+    near AS (SELECT a.query_id, CASE WHEN a.explains THEN 0 ELSE 1 END AS late, a.rank, k.page_number, k.chunk_index, k.chunk_id FROM m3 a JOIN cand k ON k.doc_id = a.doc_id AND abs(k.page_number - a.page_number) = 1
+        WHERE a.balanced AND NOT a.prompt AND k.body AND NOT {_EXERCISE('k.content', 'a.title')} AND list_has_any(a.terms, {_SHARED('k.content', 'a.question')}) AND (a.query_id, k.chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM chosen)),
+    near1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY late, rank) AS one FROM near) WHERE one = 1),
+    near2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, rank, page_number, chunk_index, chunk_id) AS n FROM near1) WHERE n <= 2),
+    {_PAIRS},
+    fresh AS (SELECT * FROM pairs p WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM chosen) AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM near2)),
+    over1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, page_number ORDER BY lp, rp, chunk_index) AS one FROM fresh) WHERE one = 1),
+    over2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lp, rp, page_number, chunk_index, chunk_id) AS n FROM over1) WHERE n <= 2),
+    context AS (SELECT query_id, CAST(place AS INTEGER) AS place, chunk_id, added FROM (SELECT query_id, chunk_id, added, row_number() OVER (PARTITION BY query_id ORDER BY p) AS place FROM (
+        SELECT query_id, chunk_id, place AS p, false AS added FROM chosen UNION ALL SELECT query_id, chunk_id, 3 + n, true FROM near2 UNION ALL SELECT query_id, chunk_id, 5 + n, true FROM over2)) WHERE place <= 5)"""
+_RANKED = f"{_RERANKED}, ranked AS (SELECT item_id AS query_id, {_ASKED.format('question')} AS question, place AS rank, chunk_id, doc_id, page_number, concat({_HEADING}, chr(10), content) AS content, filename AS title, role FROM reranked JOIN resource ON resource_id = doc_id)"
+#: A question to each document, whose hits are its five longest chunks.
+_OWN = f"""ranked AS (SELECT * FROM (SELECT doc_id AS query_id, 'Which topic?' AS question, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, chunk_index) AS rank, chunk_id, doc_id, page_number, concat({_HEADING}, chr(10), content) AS content, filename AS title, role
+    FROM chunk JOIN resource ON resource_id = doc_id) WHERE rank <= 5)"""
+
+
+def _sectioned(df: DataFrame) -> DataFrame:
+    return df.withColumn("content", F.concat(F.expr(_HEADING), F.lit("\n"), "content"))
+
+
+def _candidates(c: Corpus) -> DataFrame:
+    """Chunks below headings that may be searched."""
+    own = c.resource.select(_C("resource_id").alias("doc_id"), "status", "stage")
+    return _sectioned(c.chunk.join(own, "doc_id").filter(retrieval.usable(_C("content"), _C("status"), _C("stage"))))
+
+
+def _titled(c: Corpus, df: DataFrame) -> DataFrame:
+    return _sectioned(df.join(c.resource.select(_C("resource_id").alias("doc_id"), _C("filename").alias("title"), "role"), "doc_id"))
+
+
+@query("context_select", f"WITH {_OWN}, {_SELECTED} SELECT query_id, place, chunk_id, added FROM context", "chunk", "resource")
+def context_select(c: Corpus) -> DataFrame:
+    """A question to each document, whose hits are its five longest chunks."""
+    longest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("content")), "chunk_index"))
+    own = c.chunk.withColumn("rank", longest).filter("rank <= 5").withColumn("query_id", _C("doc_id")).withColumn("question", F.lit("Which topic?"))
+    return retrieval.select_context(_titled(c, own), _candidates(c), 3)
 
 
-@query("context_select", f"WITH {_RERANKED} SELECT item_id AS query_id, place, chunk_id, false AS added FROM reranked WHERE place <= 3", *_RETRIEVAL_VIEWS)
-def context_select(c: Corpus) -> DataFrame:
-    return _context(c)
+def _context(c: Corpus) -> DataFrame:
+    asked = reranked(c).withColumnRenamed("item_id", "query_id").withColumn("question", F.expr(_ASKED.format("question")))
+    return retrieval.select_context(_titled(c, asked), _candidates(c), 3)
 
 
-@query("citation_numbers", f"WITH {_RERANKED} SELECT item_id AS query_id, chunk_id, place AS citation_id FROM reranked WHERE place <= 3", *_RETRIEVAL_VIEWS)
+@query("citation_numbers", f"WITH {_RANKED}, {_SELECTED} SELECT query_id, chunk_id, place AS citation_id FROM context", *_RETRIEVAL_VIEWS)
 def citation_numbers(c: Corpus) -> DataFrame:
     return _context(c).select("query_id", "chunk_id", _C("place").alias("citation_id"))
 
 
 def _evidence(c: Corpus) -> DataFrame:
-    return _context(c).join(c.chunk.select("chunk_id", "doc_id", "page_number", "content"), "chunk_id").join(_asked(c).select(_C("item_id").alias("query_id"), "question"), "query_id")
+    return _context(c).join(_sectioned(c.chunk).select("chunk_id", "doc_id", "page_number", "content"), "chunk_id").join(_asked(c).select(_C("item_id").alias("query_id"), "question"), "query_id")
 
 
-@query("evidence_payload", f"WITH {_RERANKED} SELECT item_id AS query_id, any_value(question) AS question, string_agg(chunk_id || ':' || content, '|' ORDER BY place) AS evidence, false AS rejected FROM reranked WHERE place <= 3 GROUP BY 1", *_RETRIEVAL_VIEWS)
+@query("evidence_payload", f"WITH {_RANKED}, {_SELECTED} SELECT x.query_id, any_value(a.question) AS question, string_agg(x.chunk_id || ':' || concat({_HEADING}, chr(10), k.content), '|' ORDER BY place) AS evidence, false AS rejected FROM context x JOIN chunk k ON k.chunk_id = x.chunk_id JOIN asked a ON a.item_id = x.query_id GROUP BY 1", *_RETRIEVAL_VIEWS)
 def evidence_payload(c: Corpus) -> DataFrame:
     made = retrieval.payload(_evidence(c))
     parsed = made.withColumn("p", F.from_json("payload", "question string, evidence array<struct<citation_id:int,chunk_id:long,text:string>>"))
@@ -246,7 +298,7 @@ def evidence_payload(c: Corpus) -> DataFrame:
     return parsed.select("query_id", _C("p.question").alias("question"), listed.alias("evidence"), "rejected")
 
 
-@query("qa_evidence", f"WITH {_RERANKED} SELECT item_id AS query_id, place AS citation_id, r.chunk_id, doc_id, page_number, CASE WHEN path IS NOT NULL THEN concat('/api/resources/', doc_id, '/file#page=', page_number) END AS link FROM reranked r JOIN resource ON resource_id = doc_id WHERE place <= 3", *_RETRIEVAL_VIEWS)
+@query("qa_evidence", f"WITH {_RANKED}, {_SELECTED} SELECT query_id, place AS citation_id, x.chunk_id, k.doc_id, k.page_number, CASE WHEN path IS NOT NULL THEN concat('/api/resources/', k.doc_id, '/file#page=', k.page_number) END AS link FROM context x JOIN chunk k ON k.chunk_id = x.chunk_id JOIN resource ON resource_id = k.doc_id", *_RETRIEVAL_VIEWS)
 def qa_evidence(c: Corpus) -> DataFrame:
     linked = _evidence(c).join(c.resource.select(_C("resource_id").alias("doc_id"), "path"), "doc_id")
     return linked.select("query_id", _C("place").alias("citation_id"), "chunk_id", "doc_id", "page_number", F.when(_C("path").isNotNull(), F.concat(F.lit("/api/resources/"), "doc_id", F.lit("/file#page="), "page_number")).alias("link"))
@@ -260,26 +312,27 @@ def page_warnings(c: Corpus) -> DataFrame:
     return reranked(c).join(codes, ["doc_id", "page_number"], "left").select("item_id", "chunk_id", F.coalesce("warnings", F.lit("")).alias("warnings"))
 
 
-_FIRST = "anchors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY chunk_index) AS f FROM chunk) WHERE f = 1)"
-_TERMS = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower(coalesce(({oracle.lines(x)})[1], '')), '[a-z][a-z0-9]+')), lambda w: NOT list_contains({'[' + ', '.join(repr(w) for w in text.STOP_WORDS) + ']'}, w))"
-_BODY = lambda x: f"len(list_filter(string_split(regexp_replace({x}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: regexp_full_match(w, '[A-Za-z]+'))) >= 25"
+_FIRST = f"chosen AS (SELECT *, page_number AS place, filename AS title, {_HEAD('content')} AS heading, {_SHARED('content', 'question')} AS terms FROM (SELECT * EXCLUDE (content), doc_id AS query_id, concat({_HEADING}, chr(10), content) AS content, 'Which topic?' AS question FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY chunk_index) AS f FROM chunk) JOIN resource ON resource_id = doc_id WHERE f = 1))"
 
 
 def _first_chunks(c: Corpus) -> DataFrame:
-    """The first chunk of every page as an anchor whose question is its own text."""
-    first = c.chunk.groupBy("doc_id", "page_number").agg(F.min_by(F.struct("chunk_id", "content"), "chunk_index").alias("f"))
-    return first.select(_C("f.chunk_id").alias("query_id"), _C("f.content").alias("question"), F.lit(1).alias("rank"), "doc_id", "page_number", _C("f.content").alias("content"))
+    """The first chunk of every page as an anchor of a question to its document."""
+    first = c.chunk.groupBy("doc_id", "page_number").agg(F.min_by(F.struct("chunk_id", "chunk_index", "content"), "chunk_index").alias("f"))
+    own = first.select("doc_id", "page_number", "f.*", _C("doc_id").alias("query_id"), F.lit("Which topic?").alias("question"), _C("page_number").alias("rank"))
+    return _titled(c, own)
 
 
-@query("adjacent_pages", f"WITH {_FIRST}, a AS (SELECT chunk_id AS query_id, doc_id, page_number, {_TERMS('content')} AS terms FROM anchors), k AS (SELECT *, {_TERMS('content')} AS own, {_BODY('content')} AS body FROM chunk) SELECT query_id, k.chunk_id FROM a JOIN k ON k.doc_id = a.doc_id AND abs(k.page_number - a.page_number) = 1 WHERE body AND list_has_any(terms, own)", "chunk")
+@query("adjacent_pages", f"WITH {_FIRST}, {_CANDIDATES} SELECT query_id, a.chunk_id AS anchor, k.chunk_id FROM chosen a JOIN cand k ON k.doc_id = a.doc_id AND abs(k.page_number - a.page_number) = 1 WHERE k.body AND NOT {_EXERCISE('k.content', 'a.title')} AND list_has_any(a.terms, {_SHARED('k.content', 'a.question')})", "chunk", "resource")
 def adjacent_pages(c: Corpus) -> DataFrame:
-    return retrieval.adjacent(_first_chunks(c), c.chunk).select("query_id", "chunk_id")
+    anchors = _first_chunks(c)
+    found = retrieval.adjacent(anchors, _candidates(c))
+    of = anchors.select("query_id", _C("rank").alias("anchor_rank"), _C("chunk_id").alias("anchor"))
+    return found.join(of, ["query_id", "anchor_rank"]).select("query_id", "anchor", "chunk_id")
 
 
-@query("bridge_pages", None)
+@query("bridge_pages", f"WITH {_FIRST}, {_CANDIDATES}, {_PAIRS} SELECT DISTINCT query_id, chunk_id FROM pairs", "chunk", "resource")
 def bridge_pages(c: Corpus) -> DataFrame:
-    """Anchors are the first chunks of a document's pages, all of one question."""
-    return retrieval.bridges(_first_chunks(c).withColumn("query_id", _C("doc_id")), c.chunk).select("query_id", "chunk_id")
+    return retrieval.bridges(_first_chunks(c), _candidates(c)).select("query_id", "chunk_id")
 
 
 _GOLD_PAGES = "gp AS (SELECT a.item_id, a.expected, CASE WHEN a.item_id % 5 <> 0 THEN list_sort(list_distinct(list(k.page_number))) END AS pages FROM asked a LEFT JOIN chunk k ON k.doc_id = a.expected AND contains(k.content, substr(a.question, 1, 20)) GROUP BY a.item_id, a.expected)"

@@ -39,15 +39,24 @@ def opening_text(c: Corpus) -> DataFrame:
     return openings(c)
 
 
-@query("page_links", "SELECT page_id, pos, href, link_text FROM link", "link")
+# Pages whose links lead to files of the course (words from a to f) and to documents elsewhere (g to m).
+_MATERIAL = "SELECT page_id, url, regexp_replace(regexp_replace(html, 'href=\"/[a-f][^\"]*\"', concat('href=\"/files/', page_id + 1, '/download\"'){g}), 'href=\"/([g-m][^\"]*)\"', 'href=\"https://public.test/{one}.pdf\"'{g}) AS html FROM {pages}"
+_LINKED = f"linked AS ({oracle.VIEWS['link'].replace('FROM pages', 'FROM (' + _MATERIAL.format(g=", 'g'", one=chr(92) + '1', pages='pages') + ')')}), described AS (SELECT page_id, pos, href, link_text, CASE WHEN starts_with(href, '/files/') THEN 'file' WHEN ends_with(href, '.pdf') THEN 'document' ELSE 'unsupported' END AS kind FROM linked)"
+
+
+def material_links(c: Corpus) -> DataFrame:
+    return links.page_links(c.sql(_MATERIAL.format(g="", one="$1", pages="{pages}"), pages=c.table("pages")))
+
+
+@query("page_links", f"WITH {_LINKED} SELECT page_id, pos, href, link_text, kind, CASE WHEN kind = 'file' THEN page_id + 1 END AS file_id FROM described")
 def page_links(c: Corpus) -> DataFrame:
-    return links.page_links(c.table("pages")).filter("problem IS NULL").select("page_id", "pos", "href", "link_text")
+    return material_links(c).filter("problem IS NULL").select("page_id", "pos", "href", "link_text", "kind", "file_id")
 
 
-@query("inactive_links", "SELECT page_id, count(*) AS links, count(*) > 2000 AS too_many FROM link GROUP BY 1", "link")
+@query("inactive_links", f"WITH {_LINKED} SELECT page_id, count(*) FILTER (WHERE kind <> 'unsupported') AS links, count(*) FILTER (WHERE kind = 'unsupported') AS unsupported, count(*) > 2000 AS too_many FROM described GROUP BY 1")
 def inactive_links(c: Corpus) -> DataFrame:
-    found = links.page_links(c.table("pages"))
-    return found.groupBy("page_id").agg(F.count_if(_C("problem").isNull()).alias("links"), F.bool_or(_C("problem").isNotNull()).alias("too_many"))
+    followed = _C("kind") != "unsupported"
+    return material_links(c).groupBy("page_id").agg(F.count_if(followed).alias("links"), F.count_if(~followed).alias("unsupported"), F.bool_or(_C("problem").isNotNull()).alias("too_many"))
 
 
 _CODES = "list_filter([CASE WHEN length(trim(text)) = 0 THEN 'empty_text' END, CASE WHEN length(trim(text)) > 0 AND length(trim(text)) < 40 THEN 'possible_scanned_page' END, CASE WHEN regexp_matches(text, '[\\x{FFFD}\\x{FFFC}\\p{Co}]') THEN 'encoding_warning' END, CASE WHEN regexp_matches(text, '[=＝]\\s*[=＝]') THEN 'suspicious_formula_layout' END], lambda w: w IS NOT NULL)"
@@ -73,30 +82,46 @@ def issues_by_page(c: Corpus) -> DataFrame:
     return pages.issues_by_page(pages.issues(c.pages))
 
 
-_TOTALS = f"SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE length(trim(text)) > 0) AS pages_with_text, count(*) FILTER (WHERE length(trim(text)) = 0) AS empty_pages, CAST(sum(length(text)) AS BIGINT) AS characters, count(*) FILTER (WHERE len({_CODES}) > 0) AS warning_pages FROM page GROUP BY 1"
+# Pages below a header in every third document, and above their number in every second one.
+_MARGINS = ("CASE WHEN doc_id % 3 = 0 THEN concat('Notes of course ', doc_id % 10, {nl}) ELSE '' END", "CASE WHEN doc_id % 2 = 0 AND page_number % 9 <> 8 THEN concat({nl}, 'Page ', page_number) ELSE '' END")
+_FRAMED = f"SELECT doc_id, page_number, concat({_MARGINS[0].format(nl='chr(10)')}, text, {_MARGINS[1].format(nl='chr(10)')}) AS text FROM page"
+_EDGES = f"""framed AS ({_FRAMED}), cut AS (SELECT doc_id, page_number, list_transform(list_filter(string_split(text, chr(10)), lambda w: trim(w) <> ''), lambda w: trim(w)) AS ls FROM framed),
+    edge AS (SELECT doc_id, page_number, ls, 'header' AS zone, ls[1] AS line FROM cut WHERE len(ls) > 0 UNION ALL SELECT doc_id, page_number, ls, 'footer', ls[len(ls)] FROM cut WHERE len(ls) > 1),
+    fit AS (SELECT * FROM (SELECT *, len(list_filter(ls, lambda w: w = line)) AS times, CASE WHEN regexp_full_match(line, '(?i)(page\\s+)?[0-9]+') THEN CASE WHEN ltrim(regexp_extract(line, '[0-9]+$'), '0') = CAST(page_number AS VARCHAR) THEN '<page number>' END WHEN length(line) BETWEEN 8 AND 100 AND len(regexp_split_to_array(line, '\\s+')) >= 2 THEN line END AS key FROM edge) WHERE key IS NOT NULL),
+    n AS (SELECT doc_id, count(*) AS n FROM framed GROUP BY 1),
+    often AS (SELECT f.doc_id, zone, key, count(DISTINCT page_number) AS n_pages FROM fit f JOIN n ON n.doc_id = f.doc_id GROUP BY f.doc_id, zone, key, n.n HAVING count(DISTINCT page_number) >= greatest(3, ceil(n.n * 0.7)))"""
+_STRIPPED = f"""SELECT doc_id, page_number, {oracle.clean("array_to_string(list_filter(string_split(text, chr(10)), lambda w: trim(w) IS DISTINCT FROM header AND trim(w) IS DISTINCT FROM footer), chr(10))")} AS text, CAST(header IS NOT NULL AS INTEGER) AS headers_removed, CAST(footer IS NOT NULL AS INTEGER) AS footers_removed
+    FROM framed LEFT JOIN (SELECT fit.doc_id, fit.page_number, max(line) FILTER (WHERE fit.zone = 'header') AS header, max(line) FILTER (WHERE fit.zone = 'footer') AS footer FROM fit JOIN often o ON o.doc_id = fit.doc_id AND o.zone = fit.zone AND o.key = fit.key WHERE times = 1 GROUP BY ALL) g USING (doc_id, page_number)"""
+
+
+def framed(c: Corpus) -> DataFrame:
+    top, bottom = (F.expr(x.format(nl="char(10)")) for x in _MARGINS)
+    return c.pages.withColumn("text", F.concat(top, "text", bottom))
+
+
+@query("repeated_margins", f"WITH {_EDGES} SELECT doc_id, zone, key AS line, n_pages FROM often", "page")
+def repeated_margins(c: Corpus) -> DataFrame:
+    return pages.repeated_margins(framed(c))
+
+
+@query("strip_margins", f"WITH {_EDGES} {_STRIPPED}", "page")
+def strip_margins(c: Corpus) -> DataFrame:
+    return pages.strip_margins(framed(c))
+
 
+_TOTALS = f"SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE length(trim(text)) > 0) AS pages_with_text, count(*) FILTER (WHERE length(trim(text)) = 0) AS empty_pages, CAST(sum(length(text)) AS BIGINT) AS characters, count(*) FILTER (WHERE len({_CODES}) > 0) AS warning_pages, {', '.join(f"count(*) FILTER (WHERE list_contains({_CODES}, '{k}')) AS {k}" for k in pages.TEXT_WARNINGS)}"
 
-@query("document_totals", _TOTALS, "page")
+
+@query("document_totals", f"WITH {_EDGES} {_TOTALS}, CAST(sum(headers_removed) AS BIGINT) AS headers_removed, CAST(sum(footers_removed) AS BIGINT) AS footers_removed FROM ({_STRIPPED}) GROUP BY 1", "page")
 def document_totals(c: Corpus) -> DataFrame:
-    return pages.document_totals(c.pages)
+    return pages.document_totals(pages.strip_margins(framed(c)))
 
 
-@query("scanned_flag", f"SELECT doc_id, pages_with_text <= 0.1 * pages AS needs_ocr FROM ({_TOTALS})", "page")
+@query("scanned_flag", f"SELECT doc_id, pages_with_text <= 0.1 * pages AS needs_ocr FROM ({_TOTALS} FROM page GROUP BY 1)", "page")
 def scanned_flag(c: Corpus) -> DataFrame:
     return pages.scanned(pages.document_totals(c.pages)).select("doc_id", "needs_ocr")
 
 
-@query("repeated_margins", """
-    WITH cut AS (SELECT doc_id, page_number, list_filter(string_split(text, chr(10)), lambda w: trim(w) <> '') AS ls FROM page),
-         edge AS (SELECT doc_id, page_number, ls, 'header' AS zone, trim(ls[1]) AS line FROM cut WHERE len(ls) > 0 UNION ALL SELECT doc_id, page_number, ls, 'footer', trim(ls[len(ls)]) FROM cut WHERE len(ls) > 0),
-         fit AS (SELECT * FROM edge WHERE length(line) BETWEEN 8 AND 100 AND len(regexp_split_to_array(line, '\\s+')) >= 2 AND len(list_filter(ls, lambda w: trim(w) = line)) = 1),
-         n AS (SELECT doc_id, count(*) AS n FROM page GROUP BY 1)
-    SELECT f.doc_id, zone, line, count(DISTINCT page_number) AS n_pages FROM fit f JOIN n ON n.doc_id = f.doc_id GROUP BY f.doc_id, zone, line, n.n HAVING count(DISTINCT page_number) >= greatest(2, ceil(n.n * 0.5))""", "page")
-def repeated_margins(c: Corpus) -> DataFrame:
-    """With a lower bar than the default, which few documents here would meet."""
-    return pages.repeated_margins(c.pages, share=0.5, least=2)
-
-
 def _spans(c: Corpus) -> DataFrame:
     """Words of each page as spans: the size of every seventh is small and raised."""
     words = F.split("text", r"\s+")

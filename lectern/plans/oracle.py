@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.sources.corpus import CHUNK_OVERLAP, CHUNK_SIZE, PAGE_LINES, RESOURCE, SNAPSHOT
+from lectern.sources.corpus import CHUNK_OVERLAP, CHUNK_SIZE, COURSE, KNOWLEDGE, PAGE_LINES, RESOURCE, SEMESTER, SNAPSHOT, WEEK
 
 _WHITE = r"[\t\x0B\f\r \x{1c}-\x{1f}\x{85}\p{Z}]"
 
@@ -39,6 +39,11 @@ def _stop(at: str) -> str:
 
 VIEWS = {
     "resource": RESOURCE.format(documents="documents"),
+    "semester": SEMESTER.format(documents="documents"),
+    "course": COURSE.format(documents="documents"),
+    "week": WEEK.format(documents="documents"),
+    "knowledge": KNOWLEDGE.format(documents="documents"),
+    "chunk_vec": "SELECT vec_id * 1000000 AS chunk_id, embedding FROM embeddings",
     "doc_lines": "SELECT doc_id, lang, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, lang, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents))",
     "doc_pages": f"SELECT doc_id, CAST(pos // {PAGE_LINES} + 1 AS INTEGER) AS page_number, string_agg(line, chr(10) ORDER BY pos) AS raw_text FROM doc_lines GROUP BY ALL",
     "page": f"SELECT doc_id, page_number, {clean('raw_text')} AS text FROM doc_pages",

@@ -30,6 +30,13 @@ RESOURCE = """
            CASE WHEN doc_id % 4 <> 3 THEN concat('/files/', doc_id) END AS path
     FROM {documents}"""
 
+WEEK = """
+    SELECT DISTINCT lang AS course_id, source AS week_id, try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS week_number, concat('Module ', source) AS title FROM {documents}"""
+COURSE = "SELECT DISTINCT lang AS course_id, 2020 + ascii(lang) % 3 AS semester_id FROM {documents}"
+SEMESTER = "SELECT DISTINCT 2020 + ascii(lang) % 3 AS semester_id, 2020 + ascii(lang) % 3 = 2022 AS is_active FROM {documents}"
+KNOWLEDGE = """
+    SELECT doc_id AS resource_id, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE concat('r', doc_id % 11) END AS revision FROM {documents} WHERE doc_id % 3 <> 0"""
+
 
 class Corpus:
     """Tables of one folder, each read when it is first asked for."""
@@ -51,6 +58,23 @@ class Corpus:
     def resource(self) -> DataFrame:
         return self.sql(RESOURCE, documents=self.documents)
 
+    @cached_property
+    def semester(self) -> DataFrame:
+        return self.sql(SEMESTER, documents=self.documents)
+
+    @cached_property
+    def course(self) -> DataFrame:
+        return self.sql(COURSE, documents=self.documents)
+
+    @cached_property
+    def week(self) -> DataFrame:
+        return self.sql(WEEK, documents=self.documents)
+
+    @cached_property
+    def knowledge(self) -> DataFrame:
+        """Resources that were read, with the revision that was."""
+        return self.sql(KNOWLEDGE, documents=self.documents)
+
     @cached_property
     def doc_pages(self) -> DataFrame:
         """doc_id, page_number, raw_text; cut within the row, so nothing is shuffled."""
@@ -75,6 +99,11 @@ class Corpus:
         """chunk_id, course_id, embedding."""
         return self.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("course_id"), "embedding")
 
+    @cached_property
+    def chunk_vec(self) -> DataFrame:
+        """chunk_id, embedding: vectors of the first chunks of documents; some have none."""
+        return self.table("embeddings").select((F.col("vec_id") * CHUNKS_EACH).alias("chunk_id"), "embedding")
+
     @cached_property
     def snap_old(self) -> DataFrame:
         return self.table("events").filter(F.col("ts") < SNAPSHOT).groupBy(F.col("user_id").alias("resource_id")).agg(F.max("ts").alias("updated_at"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import chunking, text, urls, vectors
-from lectern.operators import classify, evaluate, index, knowledge, pages, retrieval, sync
+from lectern.operators import catalog, classify, evaluate, index, knowledge, links, pages, retrieval, sync
 
 
 def one(spark, column, *values):
@@ -161,6 +161,85 @@ def test_margins(spark):
     assert [(r["zone"], r["line"], r["n_pages"]) for r in got] == [("header", "Course of Networks", 5)]
 
 
+def test_strip_margins(spark):
+    """Page numbers go where they number their own page; a line that a page has twice stays there; a page of
+    one line has a header only."""
+    lines = [(1, p, f"Course of Networks\nbody {p}\nPage {p}") for p in range(1, 5)] + [(1, 5, "Course of Networks\nCourse of Networks\n9"), (1, 6, "Course of Networks"), (2, 1, None), (2, 2, "")]
+    got = pages.strip_margins(spark.createDataFrame(lines, "doc_id long, page_number int, text string"), share=0.6)
+    rows = {(r["doc_id"], r["page_number"]): (r["text"], r["headers_removed"], r["footers_removed"]) for r in got.collect()}
+    assert rows[1, 2] == ("body 2", 1, 1)
+    assert rows[1, 5] == ("Course of Networks\nCourse of Networks\n9", 0, 0)
+    assert rows[1, 6] == ("", 1, 0)
+    assert rows[2, 1] == rows[2, 2] == ("", 0, 0)
+    totals = {r["doc_id"]: r.asDict() for r in pages.document_totals(got).collect()}
+    assert (totals[1]["headers_removed"], totals[1]["footers_removed"], totals[2]["empty_pages"], totals[2]["empty_text"]) == (5, 4, 2, 2)
+
+
+def test_active_courses(spark):
+    courses = spark.createDataFrame([("a", 1), ("b", 2)], "course_id string, semester_id int")
+    semesters = spark.createDataFrame([(1, True), (2, False)], "semester_id int, is_active boolean")
+    ids = lambda df: sorted(r["course_id"] for r in df.collect())
+    assert ids(catalog.active_courses(courses, semesters)) == ["a"]
+    assert ids(catalog.active_courses(courses, semesters, named=2)) == ["b"]
+    assert ids(catalog.active_courses(courses, semesters.filter("NOT is_active"))) == []
+
+
+def test_course_closure(spark):
+    make = spark.createDataFrame
+    tables = {
+        "semester": make([(1,), (2,)], "semester_id int"), "course": make([("a", 1), ("b", 2), ("c", 9)], "course_id string, semester_id int"), "week": make([("w", "a"), ("v", "b")], "week_id string, course_id string"),
+        "resource": make([(1, "w", "a"), (2, "v", "b"), (3, "gone", "a")], "resource_id long, week_id string, course_id string"), "chunk": make([(10, 1), (20, 2)], "chunk_id long, resource_id long"), "vector": make([(10,), (20,), (30,)], "chunk_id long"),
+    }
+    own = catalog.course_closure(tables, "a")
+    assert {n: t.count() for n, t in own.items()} == {"course": 1, "semester": 1, "week": 1, "resource": 2, "chunk": 1, "vector": 1}
+    assert [tuple(r) for r in catalog.lost_rows(own).collect()] == [("resource", "gone")]
+    assert "vector" not in catalog.course_closure(tables, "a", vectors=False)
+    assert catalog.course_closure(tables, "nobody")["semester"].count() == 0
+
+
+def test_report_is_never_overwritten(spark, tmp_path):
+    report = spark.range(2)
+    assert catalog.write_report(report, f"file://{tmp_path}/r").count() == 2
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        catalog.write_report(report, f"file://{tmp_path}/r")
+
+
+def test_bridges_and_neighbours_of_two_documents(spark):
+    """Bridges between the chosen: pages of one number in two documents are two pages; exercises never added;
+    neighbours of explanations come before those of other anchors."""
+    body = lambda h: f"{h}\n" + "word " * 30
+    data = [(d * 100 + p, d, p, body("Routing tables")) for d in (1, 2) for p in (1, 2, 3)] + [(301, 3, 2, "Question 1 on routing\n" + "word " * 30)]
+    chunks = spark.createDataFrame(data, "chunk_id long, doc_id long, page_number int, content string").withColumn("chunk_index", F.col("page_number"))
+    def ranked(ids):
+        own = chunks.filter(F.col("chunk_id").isin(ids)).withColumn("rank", F.array_position(F.array(*map(F.lit, ids)), F.col("chunk_id")).cast("int"))
+        return own.withColumn("query_id", F.lit(1)).withColumn("question", F.lit("what is routing")).withColumn("title", F.lit("x.pdf")).withColumn("role", F.lit("other"))
+    context = lambda ids, limit=3: [(r["chunk_id"], r["added"]) for r in retrieval.select_context(ranked(ids), chunks, limit).orderBy("place").collect()]
+    assert context([101, 103, 203]) == [(101, False), (103, False), (203, False), (102, True)]
+    assert context([101, 103, 201, 203], limit=4) == [(101, False), (103, False), (201, False), (203, False), (102, True)]
+    assert context([301, 102]) == [(102, False), (301, False), (101, True), (103, True)]
+    assert context([301]) == [(301, False)]
+
+
+PAGE = """<h1>Course</h1><h2>Week 1</h2><p>Read these</p><ul><li>First <a href="/files/31/download" title="Slides">part one</a> of two</li><li><a href="#top">up</a></li></ul>
+<h2>Week 2</h2><p>Far away <a HREF="/ignored" data-api-endpoint="/api/v1/courses/1/files/7">seven</a></p><a href="https://public.test/a.pdf?x=1&amp;y=2#page=3">PDF</a>
+<form><a href="/files/9">no</a></form><script><a href="/files/8">no</a></script><a href="javascript:alert(1)">bad</a><a href="https://evil.test/files/4">other</a><a href="/attachment" data-file-id="5">five</a>"""
+
+
+def test_page_links_and_context(spark):
+    df = spark.createDataFrame([(1, "https://canvas.test/courses/1/pages/x", PAGE), (2, None, None), (3, None, "")], "page_id long, url string, html string")
+    rows = [r.asDict() for r in links.page_links(df).orderBy("pos").collect()]
+    assert [(r["link_text"], r["kind"], r["file_id"]) for r in rows] == [("part one", "file", 31), ("seven", "file", 7), ("PDF", "document", None), ("bad", "unsupported", None), ("other", "unsupported", None), ("five", "file", 5)]
+    assert [rows[0][k] for k in ("heading", "before", "around", "title")] == ["Course Week 1", "Read these", "First part one of two", "Slides"]
+    assert [rows[1][k] for k in ("heading", "before", "around", "title")] == ["Course Week 2", "", "Far away seven", ""]
+    assert rows[2]["target"] == "https://public.test/a.pdf?x=1&y=2"
+
+
+def test_page_limits(spark):
+    df = spark.createDataFrame([(1, "https://a.test/", "x" * 2_000_001), (2, "https://a.test/", '<a href="/files/1">x</a>' * 2001), (3, "https://a.test/", '<a href="/files/1">x</a>' * 2000)], "page_id long, url string, html string")
+    found = links.page_links(df).groupBy("page_id").agg(F.max("problem").alias("p"), F.count(F.lit(1)).alias("n")).orderBy("page_id").collect()
+    assert [tuple(r) for r in found] == [(1, "size", 1), (2, "links", 1), (3, None, 2000)]
+
+
 def test_unsafe_symbols(spark):
     data = [("a = b", ["so a=b"]), ("a = c", ["so a=b"]), ("data-link", []), ("sign = to", []), ("有 ∈ 无", ["有 无"]), ("有 ∈ 无", ["x ∈ y"]), ("x \ue001", ["x \ue001"]), ("see /", ["see \ufffd"]), ("see /", ["see"])]
     df = spark.createDataFrame(data, "body string, contents array<string>").coalesce(1)
