@@ -88,8 +88,12 @@ DROPPED = ["examples", "exam_focus"]
 
 
 def ground(items: DataFrame, chunks: DataFrame) -> DataFrame:
-    """items: item_id, doc_id, category, ids (cited chunk_ids), source_pages, formula, body; chunks: chunk_id,
-    doc_id, page_number, content, warnings. Adds outcome (keep, drop, fail) and reason of each item."""
+    """items: item_id, doc_id, category, ids (cited chunk_ids), source_pages, formula, name, body; chunks: chunk_id,
+    doc_id, page_number, content, warnings. Adds outcome (keep, reduce, drop, fail) and reason of each item. An
+    item with symbols that its sources lack is dropped; a concept whose name is safe is reduced to it and to
+    what else is safe (here, if `also`, a second text, is). Columns name, body and also may be missing or null."""
+    for column in ("name", "body", "also"):
+        items = items if column in items.columns else items.withColumn(column, F.lit(None).cast("string"))
     long = items.select("item_id", "doc_id", F.explode_outer("ids").alias("cited"))
     found = long.join(chunks.select(F.col("doc_id").alias("d"), "chunk_id", "page_number", "content", "warnings"), (F.col("cited") == F.col("chunk_id")) & (F.col("doc_id") == F.col("d")), "left")
     known = found.groupBy("item_id").agg(
@@ -98,15 +102,20 @@ def ground(items: DataFrame, chunks: DataFrame) -> DataFrame:
         F.bool_and(text.symbol_source_ok(F.col("content"), F.col("warnings"), FORMULA_RISKS)).alias("reliable"),
         F.bool_or(text.exam_cue(F.col("content"))).alias("cue"),
         F.collect_list("content").alias("contents"),
+        F.collect_list(F.when(text.symbol_source_ok(F.col("content"), F.col("warnings"), FORMULA_RISKS), F.col("content"))).alias("trusted"),
     )
     joined = items.join(known, "item_id", "left")
+    unsafe = lambda c: F.coalesce(unsafe_symbols(F.col(c), F.col("contents"), F.col("trusted")), F.lit(False))
+    left = F.coalesce((F.trim("also") != "") & ~unsafe("also"), F.lit(False)) | F.coalesce((F.trim("body") != "") & ~unsafe("body"), F.lit(False))
+    reduced = (F.col("category") == "concepts") & ~unsafe("name") & left
+    symbols = unsafe("name") | unsafe("body") | unsafe("also")
     ids_ok = (F.size("ids") > 0) & (F.size(F.array_distinct("ids")) == F.size("ids")) & (F.col("missing") == 0)
     pages_ok = (F.array_sort(F.array_distinct("source_pages")) == F.col("real_pages")) & (F.size(F.array_distinct("source_pages")) == F.size("source_pages"))
     literal = F.exists("contents", lambda x: F.contains(x, F.col("formula")))
     formula_ok = F.coalesce(F.col("reliable"), F.lit(False)) & (F.trim("formula") != "") & literal
     bad = F.when(~F.coalesce(ids_ok, F.lit(False)), "ids").when(~F.coalesce(pages_ok, F.lit(False)), "pages")
-    reason = F.coalesce(bad, F.when((F.col("category") == "formulas") & ~F.coalesce(formula_ok, F.lit(False)), "formula").when((F.col("category") == "exam_focus") & ~F.coalesce("cue", F.lit(False)), "cue"))
-    outcome = F.when(reason.isNull(), "keep").when(bad.isNotNull() & ~F.col("category").isin(DROPPED), "fail").otherwise("drop")
+    reason = F.coalesce(bad, F.when((F.col("category") == "formulas") & ~F.coalesce(formula_ok, F.lit(False)), "formula").when(symbols, "symbols").when((F.col("category") == "exam_focus") & ~F.coalesce("cue", F.lit(False)), "cue"))
+    outcome = F.when(reason.isNull(), "keep").when((reason == "symbols") & reduced, "reduce").when(bad.isNotNull() & ~F.col("category").isin(DROPPED), "fail").otherwise("drop")
     return joined.select("item_id", "doc_id", "category", outcome.alias("outcome"), reason.alias("reason"))
 
 

@@ -276,6 +276,8 @@ def combine_kind(c: Corpus) -> DataFrame:
 
 # Knowledge items: the chunks of all documents, one category each, some with bad citations.
 _CATEGORY = "CASE chunk_index % 5 WHEN 0 THEN 'concepts' WHEN 1 THEN 'key_points' WHEN 2 THEN 'formulas' WHEN 3 THEN 'examples' ELSE 'exam_focus' END"
+#: Every ninth document states what its source does not have.
+_BODY = "CASE WHEN doc_id % 9 = 4 THEN 'x ∯ y' ELSE 'Some words' END"
 _ITEMS = f"items AS (SELECT chunk_id AS item_id, doc_id, {_CATEGORY} AS category, chunk_index AS idx, page_number, content FROM chunk)"
 
 
@@ -283,7 +285,7 @@ def items(c: Corpus) -> DataFrame:
     own = c.chunk
     ids = F.when(_C("doc_id") % 11 == 0, F.array("chunk_id", "chunk_id")).when(_C("doc_id") % 13 == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array("chunk_id"))
     page = F.when(_C("doc_id") % 17 == 0, _C("page_number") + 1).otherwise(_C("page_number"))
-    return own.select(_C("chunk_id").alias("item_id"), "doc_id", F.expr(_CATEGORY).alias("category"), _C("chunk_index").alias("idx"), ids.alias("ids"), F.array(page).alias("source_pages"), F.substring("content", 1, 10).alias("formula"), F.substring("content", 1, 40).alias("name"), F.substring("content", 1, 200).alias("point"), "page_number")
+    return own.select(_C("chunk_id").alias("item_id"), "doc_id", F.expr(_CATEGORY).alias("category"), _C("chunk_index").alias("idx"), ids.alias("ids"), F.array(page).alias("source_pages"), F.substring("content", 1, 10).alias("formula"), F.substring("content", 1, 40).alias("name"), F.substring("content", 1, 200).alias("point"), F.expr(_BODY).alias("body"), F.when(_C("doc_id") % 2 == 0, "A plain text").alias("also"), "page_number")
 
 
 def _warned_chunks(c: Corpus) -> DataFrame:
@@ -292,8 +294,8 @@ def _warned_chunks(c: Corpus) -> DataFrame:
 
 _RELIABLE = "NOT regexp_matches(content, '[\\x{FFFD}\\x{FFFC}\\p{Co}]') AND NOT contains(content, '[UNREADABLE_SYMBOL]') AND NOT regexp_matches(content, '[=＝]\\s*(?:\\.{2,}|…+|⋯+|\\[MATHEMATICAL EXPRESSION OMITTED[^\\]\\n]*\\])\\s*[=＝]')"
 _CUE = f"len(list_filter(string_split(content, chr(10)), lambda w: regexp_matches(w, '{text.EXAM_CUES}') AND NOT regexp_matches(w, '{text.NEGATED_CUES}'))) > 0"
-_GROUND = f"""{_ITEMS}, grounded AS (SELECT item_id, doc_id, category, idx, reason, CASE WHEN reason IS NULL THEN 'keep' WHEN reason IN ('ids', 'pages') AND category NOT IN ('examples', 'exam_focus') THEN 'fail' ELSE 'drop' END AS outcome FROM (
-    SELECT *, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'ids' WHEN doc_id % 17 = 0 THEN 'pages' WHEN category = 'formulas' AND NOT ({_RELIABLE} AND trim(substr(content, 1, 10)) <> '') THEN 'formula' WHEN category = 'exam_focus' AND NOT ({_CUE}) THEN 'cue' END AS reason FROM items))"""
+_GROUND = f"""{_ITEMS}, grounded AS (SELECT item_id, doc_id, category, idx, reason, CASE WHEN reason IS NULL THEN 'keep' WHEN reason IN ('ids', 'pages') AND category NOT IN ('examples', 'exam_focus') THEN 'fail' WHEN reason = 'symbols' AND category = 'concepts' AND doc_id % 2 = 0 THEN 'reduce' ELSE 'drop' END AS outcome FROM (
+    SELECT *, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'ids' WHEN doc_id % 17 = 0 THEN 'pages' WHEN category = 'formulas' AND NOT ({_RELIABLE} AND trim(substr(content, 1, 10)) <> '') THEN 'formula' WHEN doc_id % 9 = 4 THEN 'symbols' WHEN category = 'exam_focus' AND NOT ({_CUE}) THEN 'cue' END AS reason FROM items))"""
 
 
 @query("grounding", f"WITH {_GROUND} SELECT item_id, doc_id, category, outcome, reason FROM grounded", "chunk")
@@ -301,9 +303,9 @@ def grounding(c: Corpus) -> DataFrame:
     return knowledge.ground(items(c), _warned_chunks(c))
 
 
-@query("filter_counters", f"WITH {_GROUND} SELECT category, count(*) FILTER (WHERE outcome = 'keep') AS keep, count(*) FILTER (WHERE outcome = 'drop') AS \"drop\", count(*) FILTER (WHERE outcome = 'fail') AS fail FROM grounded GROUP BY 1", "chunk")
+@query("filter_counters", f"WITH {_GROUND} SELECT category, count(*) FILTER (WHERE outcome = 'keep') AS keep, count(*) FILTER (WHERE outcome = 'reduce') AS reduce, count(*) FILTER (WHERE outcome = 'drop') AS \"drop\", count(*) FILTER (WHERE outcome = 'fail') AS fail FROM grounded GROUP BY 1", "chunk")
 def filter_counters(c: Corpus) -> DataFrame:
-    return knowledge.counters(knowledge.ground(items(c), _warned_chunks(c)), ["keep", "drop", "fail"])
+    return knowledge.counters(knowledge.ground(items(c), _warned_chunks(c)), ["keep", "reduce", "drop", "fail"])
 
 
 @query("evidence_attach", f"WITH {_ITEMS} SELECT item_id, content || CASE WHEN doc_id % 11 = 0 THEN '|' || content ELSE '' END AS quotes FROM items WHERE doc_id % 11 = 0 OR doc_id % 13 <> 0", "chunk")

@@ -240,6 +240,18 @@ def test_page_limits(spark):
     assert [tuple(r) for r in found] == [(1, "size", 1), (2, "links", 1), (3, None, 2000)]
 
 
+def test_grounding_reduces_and_drops(spark):
+    chunks = spark.createDataFrame([(1, 1, 3, "a = b holds. Some text", [])], "chunk_id long, doc_id long, page_number int, content string, warnings array<string>")
+    item = lambda k, category, name, body, also=None, ids=(1,), pages=(3,): (k, 1, category, list(ids), list(pages), "a = b", name, body, also)
+    data = [
+        item(1, "concepts", "plain", "so a = b"), item(2, "concepts", "plain", "so a ∮ b", "safe words"), item(3, "concepts", "plain", "so a ∮ b"), item(4, "concepts", "a ∮ b", "fine", "fine"),
+        item(5, "key_points", None, "so a ∮ b", "safe words"), item(6, "formulas", None, None), item(7, "exam_focus", None, "plain"), item(8, "concepts", "plain", "plain", ids=(1, 1)), item(9, "examples", None, "plain", ids=(2,)), item(10, "concepts", "plain", None, pages=(4,)),
+    ]
+    items = spark.createDataFrame(data, "item_id long, doc_id long, category string, ids array<long>, source_pages array<int>, formula string, name string, body string, also string")
+    got = {r["item_id"]: (r["outcome"], r["reason"]) for r in knowledge.ground(items, chunks).collect()}
+    assert got == {1: ("keep", None), 2: ("reduce", "symbols"), 3: ("drop", "symbols"), 4: ("drop", "symbols"), 5: ("drop", "symbols"), 6: ("keep", None), 7: ("drop", "cue"), 8: ("fail", "ids"), 9: ("drop", "ids"), 10: ("fail", "pages")}
+
+
 def test_unsafe_symbols(spark):
     data = [("a = b", ["so a=b"]), ("a = c", ["so a=b"]), ("data-link", []), ("sign = to", []), ("有 ∈ 无", ["有 无"]), ("有 ∈ 无", ["x ∈ y"]), ("x \ue001", ["x \ue001"]), ("see /", ["see \ufffd"]), ("see /", ["see"])]
     df = spark.createDataFrame(data, "body string, contents array<string>").coalesce(1)
