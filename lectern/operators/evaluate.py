@@ -25,6 +25,34 @@ def compare_reports(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.filter(~F.col("before").eqNullSafe(F.col("after"))).withColumn("regressed", F.col("after") < F.col("before"))
 
 
+def question_report(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """A row for each question: item_id, question, course_id, expected, pages, and whether its document
+    (resource_hit_at_k) and one of its pages (evidence_hit_at_k; null without pages) are among the first k."""
+    right = F.col("doc_id") == F.col("expected")
+    ranks = gold.select("item_id", "expected", "pages").join(hits, "item_id").groupBy("item_id").agg(
+        F.min(F.when(right, F.col("rank"))).alias("r"), F.min(F.when(right & F.array_contains("pages", F.col("page_number")), F.col("rank"))).alias("e"))
+    within = lambda c, k: F.coalesce(F.col(c) <= k, F.lit(False))
+    flags = [within("r", k).alias(f"resource_hit_at_{k}") for k in ks] + [F.when(F.col("pages").isNotNull(), within("e", k)).alias(f"evidence_hit_at_{k}") for k in ks]
+    return gold.join(ranks, "item_id", "left").select("item_id", *GOLD, *flags)
+
+
+GOLD = ["question", "course_id", "expected", "pages"]
+
+
+def pair_reports(before: DataFrame, after: DataFrame) -> DataFrame:
+    """item_id, metric, before, after, regressed of every question's metrics that differ between two question
+    reports. It is an error if a question is in one report only, or their gold differs."""
+    metrics = [c for c in before.columns if "_hit_at_" in c]
+    b, a = before.alias("b"), after.alias("a")
+    same = F.col("b.item_id").isNotNull() & F.col("a.item_id").isNotNull()
+    for c in GOLD:
+        same &= F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}"))
+    both = b.join(a, F.col("b.item_id") == F.col("a.item_id"), "full_outer")
+    alike = F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("the gold of the two reports differs")).cast("boolean"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"b.{m}").alias("before"), F.col(f"a.{m}").alias("after")) for m in metrics]))
+    return both.select(alike.alias("alike"), F.col("b.item_id"), each.alias("x")).filter("alike AND x.before <> x.after").select("item_id", "x.*").withColumn("regressed", F.col("before") & ~F.col("after"))
+
+
 def label_accuracy(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """expected (null: all), total, correct, accuracy of expected and predicted; a label without rows has no
     accuracy."""
@@ -46,11 +74,6 @@ def repeated(df: DataFrame, rule: str, keys: list[str]) -> DataFrame:
     return counted.select(F.lit(rule).alias("rule"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"))
 
 
-def table_digest(df: DataFrame) -> DataFrame:
-    """n_rows and an order-free digest of a table: the XOR of a hash of each row."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest"))
-
-
 def ordered_digest(df: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
     """by, digest: SHA-256 over the rows of each group in order; a group is one document's rows."""
     row = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)

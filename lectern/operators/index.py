@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def index_diff(current: DataFrame, index: DataFrame, model: str) -> DataFrame:
@@ -42,11 +41,37 @@ def fleet_summary(diff: DataFrame) -> DataFrame:
     )
 
 
-def index_apply(current: DataFrame, index: DataFrame, diff: DataFrame, model: str) -> DataFrame:
-    """The new index: unchanged rows as they are, new and changed ones from the current chunks."""
-    kept = index.join(diff.filter("action = 'skipped'").select("chunk_id"), "chunk_id", "left_semi")
-    made = current.join(diff.filter("action IN ('new', 'updated')").select("chunk_id"), "chunk_id", "left_semi")
-    return kept.unionByName(made.select("chunk_id", F.lit(model).alias("model"), "content_hash", "source_hash", F.lit(True).alias("valid")))
+_HASHES = ["content_hash", "source_hash"]
+
+
+def planned(current: DataFrame, diff: DataFrame, batch_ids: int = 64) -> DataFrame:
+    """Chunks to embed, in batches: those of one course whose ids share a range of batch_ids."""
+    pending = diff.filter("action IN ('new', 'updated')").select("chunk_id")
+    return current.join(pending, "chunk_id", "left_semi").withColumn("batch", F.floor(F.col("chunk_id") / batch_ids))
+
+
+def refused(plan: DataFrame, live: DataFrame) -> DataFrame:
+    """course_id, batch of the batches with a chunk that, in the live table, is gone, no longer usable, of another
+    course or of other hashes than when it was planned."""
+    now = live.filter("usable").select("chunk_id", F.col("course_id").alias("now_course"), *[F.col(h).alias(f"now_{h}") for h in _HASHES])
+    joined = plan.join(now, "chunk_id", "left")
+    same = F.col("course_id").eqNullSafe(F.col("now_course"))
+    for h in _HASHES:
+        same &= F.col(h).eqNullSafe(F.col(f"now_{h}"))
+    return joined.filter(~same).select("course_id", "batch").distinct()
+
+
+def index_apply(index: DataFrame, diff: DataFrame, plan: DataFrame, vectors: DataFrame, live: DataFrame, model: str) -> DataFrame:
+    """The new index: unchanged rows as they are, planned ones with their new vectors (chunk_id, embedding), those
+    of refused batches as they were. A planned chunk without a vector, or with one of length zero, is not valid."""
+    p, r = plan.alias("p"), refused(plan, live).alias("r")
+    met = p.join(r, F.col("p.course_id").eqNullSafe(F.col("r.course_id")) & (F.col("p.batch") == F.col("r.batch")), "left")
+    marked = met.select("p.*", F.col("r.batch").isNotNull().alias("refused"))
+    old = diff.filter("action = 'skipped'").select("chunk_id").unionByName(marked.filter("refused").select("chunk_id"))
+    kept = index.join(old, "chunk_id", "left_semi")
+    made = marked.filter("NOT refused").join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
+    some = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    return kept.unionByName(made.select("chunk_id", F.lit(model).alias("model"), *_HASHES, some.alias("valid"), "embedding"))
 
 
 def orphans(current: DataFrame, index: DataFrame) -> DataFrame:

@@ -53,34 +53,40 @@ def mask_math(chunks: DataFrame) -> DataFrame:
 
 
 def prompt_batches(chunks: DataFrame, limit: int = 12_000, most: int = 20) -> DataFrame:
-    """chunks: doc_id, chunk_index, content. Ordered chunks packed into batches whose JSON has at most
-    `limit` characters; a chunk that alone is longer is halved until it fits. More than `most` batches are
-    flagged by `too_many`. One document is one group, which its own length bounds."""
-
-    def cost(index: int, content: str) -> int:
-        return len(json.dumps({"source_chunk_id": index, "content": content}, ensure_ascii=False))
-
-    def halves(index: int, content: str) -> list[str]:
-        if cost(index, content) + 2 <= limit or len(content) < 2:
-            return [content]
+    """chunks: chunk_id, doc_id, page_number, chunk_index, content, warnings. Ordered chunks packed into batches
+    whose JSON has at most `limit` characters; a chunk that alone is longer is halved until it fits (one
+    character that does not fit stays). n_json: characters of a part's JSON. More than `most` batches are flagged
+    by `too_many`. One document is one group, which its own length bounds."""
+    fixed = len(json.dumps({"chunks": []}, separators=(",", ":")))
+
+    def size(row: dict, content: str) -> int:
+        fields = {"source_chunk_id": row["chunk_id"], "resource_id": row["doc_id"], "page_number": row["page_number"], "chunk_index": row["chunk_index"], "content": content, "warnings": row["warnings"] or []}
+        label = f"[CHUNK_ID={row['chunk_id']} | PAGE={row['page_number']}]"
+        return len(json.dumps({**fields, "label": label}, ensure_ascii=False, separators=(",", ":")))
+
+    def parts(row: dict, content: str) -> list[tuple[int, int]]:
+        """Characters and JSON characters of each part."""
+        own = size(row, content)
+        if fixed + own <= limit or len(content) < 2:
+            return [(len(content), own)]
         middle = len(content) // 2
-        return halves(index, content[:middle]) + halves(index, content[middle:])
+        return parts(row, content[:middle]) + parts(row, content[middle:])
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        rows, batch, used = [], 0, 2
-        for index, content in sorted(zip(group.column("chunk_index").to_pylist(), group.column("content").to_pylist(), strict=True)):
-            for k, part in enumerate(halves(index, content)):
-                size = cost(index, part)
-                if used > 2 and used + 2 + size > limit:
-                    batch, used = batch + 1, 2
-                used += size + (2 if used > 2 else 0)
-                rows.append({"doc_id": key[0].as_py(), "batch": batch, "chunk_index": index, "part": k, "n_chars": len(part)})
+        rows, batch, room = [], -1, 0
+        for row in sorted(group.to_pylist(), key=lambda r: (r["chunk_index"], r["chunk_id"])):
+            for k, (n, own) in enumerate(parts(row, row["content"] or "")):
+                if batch < 0 or own + 1 > room:
+                    batch, room = batch + 1, limit - fixed + 1
+                room -= own + 1  # with a comma, which the first has no need of
+                rows.append({"doc_id": row["doc_id"], "batch": batch, "chunk_index": row["chunk_index"], "part": k, "n_chars": n, "n_json": own})
         for r in rows:
             r["too_many"] = batch + 1 > most
         return pa.Table.from_pylist(rows, schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("batch", pa.int32()), ("chunk_index", pa.int32()), ("part", pa.int32()), ("n_chars", pa.int64()), ("too_many", pa.bool_())])
-    return chunks.select("doc_id", "chunk_index", "content").groupBy("doc_id").applyInArrow(run, "doc_id long, batch int, chunk_index int, part int, n_chars long, too_many boolean")
+    schema = pa.schema([("doc_id", pa.int64()), ("batch", pa.int32()), ("chunk_index", pa.int32()), ("part", pa.int32()), ("n_chars", pa.int64()), ("n_json", pa.int64()), ("too_many", pa.bool_())])
+    own = chunks.select("chunk_id", "doc_id", "page_number", "chunk_index", "content", "warnings")
+    return own.groupBy("doc_id").applyInArrow(run, "doc_id long, batch int, chunk_index int, part int, n_chars long, n_json long, too_many boolean")
 
 
 #: Categories whose bad citations are dropped; those of others fail the batch.
@@ -182,6 +188,16 @@ def week_summary(items: DataFrame) -> DataFrame:
     return items.select("course_id", "week_id", "resource_id", "idx", "overview", cited.alias("point"))
 
 
+def invalidate(items: DataFrame, resources: DataFrame, updated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What updated documents (doc_id) leave valid: the concepts of all others, and the summaries of the weeks that
+    have one, rebuilt from their other documents. items: as for week_summary, with doc_id and category;
+    resources: doc_id, course_id, week_id."""
+    others = items.join(updated, "doc_id", "left_anti")
+    weeks = resources.join(updated, "doc_id", "left_semi").select("course_id", "week_id").distinct()
+    own = others.join(resources, "doc_id").join(weeks, ["course_id", "week_id"], "left_semi")
+    return others.filter("category = 'concepts'"), week_summary(own.withColumn("resource_id", F.col("doc_id")))
+
+
 def topic_overview(items: DataFrame, limit: int = 6000, most: int = 6) -> DataFrame:
     """items: doc_id, idx, name, point. topic: the first distinct names; overview: the first points as long
     as they fit together."""

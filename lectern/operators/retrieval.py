@@ -101,14 +101,45 @@ def payload(evidence: DataFrame, limit: int = 30_000) -> DataFrame:
     return made.withColumn("rejected", F.length("payload") > limit)
 
 
+#: Fixed value: the answer where the evidence does not suffice.
+INSUFFICIENT = "当前课程材料中没有足够信息回答这个问题。"
+_DRAFT = "struct<answerable: boolean, answer: string, citation_ids: array<int>>"
+
+
+def parse_drafts(raw: DataFrame) -> DataFrame:
+    """raw: query_id, draft (JSON). query_id, answerable, answer, citation_ids; all null where the JSON is not
+    an object of just these three of just these types, the answer has no or more than 8,000 characters, or
+    more than five are cited."""
+    listed = F.try_parse_json(F.concat(F.lit("["), "draft", F.lit("]")))  # so that nothing may follow the object
+    v = F.try_variant_get(listed, "$[0]", "variant")
+    d = F.try_variant_get(v, "$", _DRAFT)
+    typed = F.schema_of_variant(v).isin([f"OBJECT<answer: STRING, answerable: BOOLEAN, citation_ids: ARRAY<{t}>>" for t in ("BIGINT", "VOID")])
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.col("draft").rlike(r"\}\s*$")
+    fits = typed & alone & d.isNotNull() & ~F.exists(d["citation_ids"], lambda x: x.isNull()) & F.length(d["answer"]).between(1, 8_000) & (F.size(d["citation_ids"]) <= 5)
+    return raw.select("query_id", *[F.when(fits, d[c]).alias(c) for c in ("answerable", "answer", "citation_ids")])
+
+
+def answers(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """query_id, answerable, answer, sources of the drafts that pass: the evidence they cite, ascending (all its columns, none
+    of which a draft states). An abstention has the fixed answer and no source. evidence: query_id, place, ..."""
+    good = drafts.join(check_answers(drafts, evidence).filter("error IS NULL").select("query_id"), "query_id", "left_semi")
+    facts = F.struct(*[c for c in evidence.columns if c != "query_id"])
+    cited = good.select("query_id", F.explode("citation_ids").alias("place")).join(evidence, ["query_id", "place"])
+    sources = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(facts)).alias("sources"))
+    return good.join(sources, "query_id", "left").select("query_id", "answerable", F.when(F.col("answerable"), F.col("answer")).otherwise(F.lit(INSUFFICIENT)).alias("answer"), "sources")
+
+
 def check_answers(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """drafts: query_id, answerable, answer, citation_ids; evidence: query_id, place. Adds error (null if the
-    citations are unique, exist, are those named in the text, and are empty just for abstentions)."""
+    """drafts: query_id, answerable, answer, citation_ids; evidence: query_id, place. Adds error (null if the draft
+    was parsed, its answer is not blank, and its citations are unique, exist, are those named in the text,
+    and are empty just for abstentions)."""
     known = evidence.groupBy("query_id").agg(F.collect_set("place").alias("places"))
     inline = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))))
     declared = F.array_sort("citation_ids")
     error = (
-        F.when(F.size(F.array_distinct("citation_ids")) != F.size("citation_ids"), "repeated")
+        F.when(F.col("answerable").isNull() | F.col("answer").isNull() | F.col("citation_ids").isNull(), "json")
+        .when(F.regexp_replace("answer", r"(?U)\s+", "") == "", "blank")
+        .when(F.size(F.array_distinct("citation_ids")) != F.size("citation_ids"), "repeated")
         .when(F.size(F.array_except("citation_ids", F.coalesce("places", F.array().cast("array<int>")))) > 0, "unknown")
         .when(declared != inline, "inline")
         .when(F.col("answerable") == (F.size("citation_ids") == 0), "abstention")

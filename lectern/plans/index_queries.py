@@ -23,6 +23,8 @@ _INDEX = f"""
     UNION ALL SELECT doc_id + 1000000, 'm1', sha256(text), {_SOURCE}, true FROM documents d WHERE doc_id % 50 = 0"""
 oracle.VIEWS["current"], oracle.VIEWS["idx"] = _CURRENT, _INDEX
 oracle._NEEDS["current"] = ["resource"]
+#: The built-in embedder: how many words of each key fall to each of d dimensions.
+_BUCKETS = lambda k, x, t, d: f"SELECT {k}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {d} AS b, count(*) AS n FROM (SELECT {k}, unnest(string_split({oracle.normalized(x)}, ' ')) AS w FROM {t}) WHERE w <> '' GROUP BY ALL"
 _DIFF = """
     SELECT coalesce(c.chunk_id, i.chunk_id) AS chunk_id, course_id, CASE WHEN c.chunk_id IS NULL THEN 'removed' WHEN NOT usable THEN CASE WHEN i.chunk_id IS NULL THEN 'unusable' ELSE 'removed' END WHEN i.chunk_id IS NULL THEN 'new'
         WHEN model = 'm1' AND c.content_hash = i.content_hash AND c.source_hash = i.source_hash AND valid THEN 'skipped' ELSE 'updated' END AS action
@@ -86,11 +88,26 @@ def index_diff(c: Corpus) -> DataFrame:
     return _diff(c)
 
 
-@query("index_apply", """
-    SELECT i.chunk_id, i.content_hash FROM idx i JOIN diff d ON d.chunk_id = i.chunk_id WHERE action = 'skipped'
-    UNION ALL SELECT c.chunk_id, c.content_hash FROM current c JOIN diff d ON d.chunk_id = c.chunk_id WHERE action IN ('new', 'updated')""", "diff")
+@query("index_apply", f"""
+    WITH plan AS (SELECT c.*, c.chunk_id // 64 AS batch FROM current c JOIN diff d ON d.chunk_id = c.chunk_id WHERE action IN ('new', 'updated')),
+    refused AS (SELECT DISTINCT course_id, batch FROM plan WHERE chunk_id % 31 = 5),
+    marked AS (SELECT plan.*, refused.batch IS NOT NULL AS refused FROM plan LEFT JOIN refused ON refused.batch = plan.batch AND refused.course_id IS NOT DISTINCT FROM plan.course_id),
+    counted AS ({_BUCKETS('doc_id', 'text', "(SELECT doc_id, text FROM documents)", 64)}),
+    made AS (SELECT doc_id, CAST(sum(n) AS DOUBLE) AS words, CAST(sum(n * (b + 1)) AS DOUBLE) AS weighted FROM counted GROUP BY 1)
+    SELECT i.chunk_id, i.content_hash, i.valid, CAST(i.chunk_id - 1 AS DOUBLE) AS words, CAST(2 * i.chunk_id - 1 AS DOUBLE) AS weighted FROM idx i JOIN diff d ON d.chunk_id = i.chunk_id LEFT JOIN marked m ON m.chunk_id = i.chunk_id WHERE action = 'skipped' OR refused
+    UNION ALL SELECT chunk_id, content_hash, words IS NOT NULL, coalesce(words, 0), coalesce(weighted, 0) FROM marked LEFT JOIN made ON doc_id = chunk_id WHERE NOT refused""", "diff")
 def index_apply(c: Corpus) -> DataFrame:
-    return index.index_apply(_current(c), _index(c), _diff(c), _MODEL).select("chunk_id", "content_hash")
+    """Stored vectors are (-1, chunk_id), so that kept ones are told from new ones; every 31st document changes while
+    the others are embedded."""
+    current, diff = _current(c), _diff(c)
+    plan = index.planned(current, diff)
+    wanted = c.documents.select(_C("doc_id").alias("chunk_id"), "text").join(plan.select("chunk_id"), "chunk_id", "left_semi")
+    made = index.embed_words(wanted, "chunk_id", F.split(text.normalize_words(_C("text")), " "), 64)
+    live = current.withColumn("content_hash", F.when(_C("chunk_id") % 31 == 5, "changed").otherwise(_C("content_hash")))
+    stored = _index(c).withColumn("embedding", F.array(F.lit(-1.0), _C("chunk_id").cast("double")))
+    new = index.index_apply(stored, diff, plan, made, live, _MODEL)
+    total = lambda weight: F.aggregate(F.transform("embedding", weight), F.lit(0.0), lambda a, x: a + x)
+    return new.select("chunk_id", "content_hash", "valid", F.coalesce(total(lambda x: x), F.lit(0.0)).alias("words"), F.coalesce(total(lambda x, i: x * (i + 1)), F.lit(0.0)).alias("weighted"))
 
 
 _STATS = "SELECT course_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE action = '{a}') AS {a}" for a in ("new", "updated", "skipped", "removed", "unusable")) + " FROM diff GROUP BY 1"
@@ -152,8 +169,7 @@ def course_isolation(c: Corpus) -> DataFrame:
 
 
 def _embedded_sql(d: int) -> str:
-    bucket = f"CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {d}"
-    words = lambda k, x, t: f"SELECT {k}, {bucket} AS b, count(*) AS n FROM (SELECT {k}, unnest(string_split({oracle.normalized(x)}, ' ')) AS w FROM {t}) WHERE w <> '' GROUP BY ALL"
+    words = lambda k, x, t: _BUCKETS(k, x, t, d)
     return f"""cw AS ({words('chunk_id', 'content', 'chunk')}), cn AS (SELECT chunk_id, sqrt(sum(n * n)) AS z FROM cw GROUP BY 1),
         qw AS ({words('item_id', 'question', '(SELECT DISTINCT item_id, question FROM gold)')}), qn AS (SELECT item_id, sqrt(sum(n * n)) AS z FROM qw GROUP BY 1),
         asked AS (SELECT item_id, any_value(question) AS question, min(course_id) AS course_id, min(expected) AS expected FROM gold GROUP BY 1),
@@ -370,10 +386,18 @@ _LONG = "SELECT metric, before, after, after < before AS regressed FROM (SELECT
 _SECOND = _embedded_sql(16).replace("cw AS", "cw2 AS").replace("cn AS", "cn2 AS").replace("qw AS", "qw2 AS").replace("qn AS", "qn2 AS").replace("scored AS", "scored2 AS").replace("hits AS", "hits2 AS").replace("FROM cw ", "FROM cw2 ").replace("FROM qw ", "FROM qw2 ").replace("JOIN qw ON", "JOIN qw2 qw ON").replace("JOIN cw ON", "JOIN cw2 cw ON").replace("JOIN cn ON", "JOIN cn2 cn ON").replace("JOIN qn ON", "JOIN qn2 qn ON").replace("FROM scored)", "FROM scored2)").replace("asked AS (SELECT item_id, any_value(question) AS question, min(course_id) AS course_id, min(expected) AS expected FROM gold GROUP BY 1),", "")
 
 
-@query("ab_pair", f"WITH {_RERANKED}, {_GOLD_PAGES}, x AS ({_metrics_sql('hits', 'rank')}), y AS ({_metrics_sql('reranked', 'place')}) {_LONG}", *_RETRIEVAL_VIEWS)
+_RANKS = lambda h: f"SELECT gp.item_id, min(CASE WHEN h.doc_id = gp.expected THEN rank END) AS r, min(CASE WHEN h.doc_id = gp.expected AND list_contains(gp.pages, h.page_number) THEN rank END) AS e, bool_or(gp.pages IS NOT NULL) AS resolved FROM gp LEFT JOIN {h} h ON h.item_id = gp.item_id GROUP BY 1"
+
+
+@query("ab_pair", f"""WITH {_HITS}, {_SECOND}, {_GOLD_PAGES}, x AS ({_RANKS('hits')}), y AS ({_RANKS('hits2')})
+    SELECT item_id, metric, before, after, before AND NOT after AS regressed FROM (
+        SELECT x.item_id, kind || '_hit_at_' || k AS metric, coalesce(CASE kind WHEN 'resource' THEN x.r ELSE x.e END <= k, false) AS before, coalesce(CASE kind WHEN 'resource' THEN y.r ELSE y.e END <= k, false) AS after
+        FROM x JOIN y ON y.item_id = x.item_id, (VALUES ('resource'), ('evidence')) AS m(kind), (VALUES (1), (3), (5)) AS n(k) WHERE kind = 'resource' OR x.resolved) WHERE before <> after""", *_RETRIEVAL_VIEWS)
 def ab_pair(c: Corpus) -> DataFrame:
-    gold = gold_pages(c)
-    return evaluate.compare_reports(evaluate.hit_at_k(hits(c).drop("expected"), gold), evaluate.hit_at_k(reranked(c).drop("expected"), gold))
+    """Question by question, vectors of 64 and of 16 dimensions."""
+    gold = gold_pages(c).join(_asked(c).select("item_id", "question", "course_id"), "item_id")
+    report = lambda h: evaluate.question_report(h.select("item_id", "rank", "doc_id", "page_number"), gold)
+    return evaluate.pair_reports(report(hits(c)), report(hits(c, 16)))
 
 
 @query("ab_eval", f"WITH {_HITS}, {_SECOND}, {_GOLD_PAGES}, x AS ({_metrics_sql('hits', 'rank')}), y AS ({_metrics_sql('hits2', 'rank')}) {_LONG}", *_RETRIEVAL_VIEWS)

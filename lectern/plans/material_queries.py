@@ -314,9 +314,18 @@ def evidence_attach(c: Corpus) -> DataFrame:
     return made.select("item_id", F.array_join(F.transform("evidence", lambda e: e["quote"]), "|").alias("quotes"))
 
 
-@query("prompt_batches", None)
+_JSON = "'{\"source_chunk_id\":' || chunk_id || ',\"resource_id\":' || doc_id || ',\"page_number\":' || page_number || ',\"chunk_index\":' || chunk_index || ',\"content\":' || to_json(content)::VARCHAR || ',\"warnings\":[],\"label\":\"[CHUNK_ID=' || chunk_id || ' | PAGE=' || page_number || ']\"}'"
+
+
+@query("prompt_batches", f"""
+    WITH sized AS (SELECT doc_id, chunk_index, length(content) AS n_chars, length({_JSON}) AS n_json FROM chunk),
+    packed AS (
+        SELECT doc_id, chunk_index, n_chars, n_json, 0 AS batch, 13 + n_json AS used FROM sized WHERE chunk_index = 0
+        UNION ALL SELECT s.doc_id, s.chunk_index, s.n_chars, s.n_json, CASE WHEN used + 1 + s.n_json > 12000 THEN batch + 1 ELSE batch END, CASE WHEN used + 1 + s.n_json > 12000 THEN 13 + s.n_json ELSE used + 1 + s.n_json END
+        FROM packed p JOIN sized s ON s.doc_id = p.doc_id AND s.chunk_index = p.chunk_index + 1)
+    SELECT doc_id, batch, chunk_index, 0 AS part, n_chars, n_json, max(batch) OVER (PARTITION BY doc_id) + 1 > 20 AS too_many FROM packed""", "chunk")
 def prompt_batches(c: Corpus) -> DataFrame:
-    return knowledge.prompt_batches(c.chunk, 12_000, 20)
+    return knowledge.prompt_batches(_warned_chunks(c), 12_000, 20)
 
 
 _CLAIMS = f"{_ITEMS}, claims AS (SELECT doc_id, category, idx, field, CASE field WHEN 'name' THEN substr(content, 1, 40) ELSE substr(content, 1, 200) END AS claim, CASE WHEN doc_id % 11 = 0 THEN item_id || ',' || item_id WHEN doc_id % 13 = 0 THEN '-1' ELSE CAST(item_id AS VARCHAR) END AS ids FROM items, (VALUES ('name'), ('point')) AS f(field))"
@@ -414,10 +423,17 @@ def current_siblings(c: Corpus) -> DataFrame:
     return live.join(_stored(c), ["doc_id", "fingerprint"], "left_semi").select("course_id", "week_id", "doc_id")
 
 
-@query("invalidate_projections", f"WITH {_ITEMS} SELECT item_id FROM items WHERE category = 'concepts' AND doc_id % 4 <> 0", "chunk")
+@query("invalidate_projections", f"""
+    WITH {_ITEMS} SELECT 'concept' AS tab, CAST(NULL AS VARCHAR) AS week_id, doc_id, idx, substr(content, 1, 40) AS line FROM items WHERE category = 'concepts' AND doc_id % 12 <> 0
+    UNION ALL SELECT 'summary', week_id, k.doc_id, k.chunk_index, concat(substr(k.content, 1, 200), ' [Resource ', k.doc_id, ', pages ', k.page_number, ']')
+    FROM resource r JOIN chunk k ON k.doc_id = r.resource_id WHERE k.doc_id % 12 <> 0 AND EXISTS (SELECT 1 FROM resource u WHERE u.course_id = r.course_id AND u.week_id = r.week_id AND u.resource_id % 12 = 0)""", "chunk", "resource")
 def invalidate_projections(c: Corpus) -> DataFrame:
-    updated = c.documents.filter("doc_id % 4 = 0").select("doc_id")
-    return items(c).filter("category = 'concepts'").join(updated, "doc_id", "left_anti").select("item_id")
+    """Every twelfth document is updated: the concepts that stay, and the summaries that are made anew."""
+    updated = c.documents.filter("doc_id % 12 = 0").select("doc_id")
+    own = items(c).withColumn("overview", _C("name")).withColumn("pages", F.array("page_number"))
+    left, summaries = knowledge.invalidate(own, c.resource.select(_C("resource_id").alias("doc_id"), "course_id", "week_id"), updated)
+    concepts = left.select(F.lit("concept").alias("tab"), F.lit(None).cast("string").alias("week_id"), "doc_id", "idx", _C("name").alias("line"))
+    return concepts.unionByName(summaries.select(F.lit("summary").alias("tab"), "week_id", _C("resource_id").alias("doc_id"), "idx", _C("point").alias("line")))
 
 
 # Drafts: an answer for each gold passage that cites in its text and in its list.
@@ -440,8 +456,25 @@ def citation_sets(c: Corpus) -> DataFrame:
     return retrieval.check_answers(_drafts(c), _places(c))
 
 
-@query("answer_check", f"WITH {_DRAFTS} SELECT item_id AS query_id, 1 AS citation_id FROM drafts WHERE error IS NULL")
+_ANSWER = f"""
+    WITH asked AS (SELECT item_id, any_value(question) AS question, min(course_id) AS course_id, min(expected) AS expected FROM gold GROUP BY 1),
+    evidence AS (SELECT item_id, CAST(chunk_index + 1 AS INTEGER) AS place, chunk_id, doc_id, page_number FROM asked JOIN chunk ON doc_id = expected WHERE chunk_index < 2)
+    SELECT item_id AS query_id, false AS answerable, '{retrieval.INSUFFICIENT}' AS answer, CAST(NULL AS INTEGER) AS citation_id, CAST(NULL AS BIGINT) AS chunk_id, CAST(NULL AS INTEGER) AS page_number FROM benchmark WHERE item_id % 8 = 6
+    UNION ALL SELECT item_id, true, 'Both [2] and [1].', place, chunk_id, page_number FROM evidence WHERE item_id % 8 IN (5, 7) AND (SELECT count(*) FROM evidence e WHERE e.item_id = evidence.item_id) = 2"""
+
+
+@query("answer_check", _ANSWER, "chunk", "gold")
 def answer_check(c: Corpus) -> DataFrame:
-    """Sources of the answers that pass."""
-    good = retrieval.check_answers(_drafts(c), _places(c)).filter("error IS NULL")
-    return _drafts(c).join(good.select("query_id"), "query_id", "left_semi").select("query_id", F.explode("citation_ids").alias("citation_id"))
+    """A draft for each benchmark passage, with the first two chunks of its document as evidence. Two of eight drafts
+    cite them rightly, one abstains, and the others err, three of them in their JSON."""
+    k = _C("item_id") % 8
+    draft = (
+        F.when(k == 0, '{"answerable": true, "answer": "A [1].", "citation_ids": [1, 1]}').when(k == 1, '{"answerable": true, "answer": "A [7].", "citation_ids": [7]}')
+        .when(k == 2, '{"answerable": true, "answer": "A [1].", "citation_ids": ["1"]}').when(k == 3, '{"answerable": true, "answer": "A [1].", "citation_ids": [1], "title": "x"}')
+        .when(k == 4, "so A [1].").when(k == 6, '{"answerable": false, "answer": "None.", "citation_ids": []}').otherwise('{"answerable": true, "answer": "Both [2] and [1].", "citation_ids": [2, 1]}')
+    )
+    raw = c.table("benchmark").select(_C("item_id").alias("query_id"), draft.alias("draft"))
+    asked = c.gold.groupBy("item_id").agg(F.min("expected").alias("doc_id"))
+    evidence = c.chunk.filter("chunk_index < 2").join(asked, "doc_id").select(_C("item_id").alias("query_id"), (_C("chunk_index") + 1).alias("place"), "chunk_id", "page_number")
+    made = retrieval.answers(retrieval.parse_drafts(raw), evidence)
+    return made.select("query_id", "answerable", "answer", F.explode_outer("sources").alias("s")).select("query_id", "answerable", "answer", _C("s.place").alias("citation_id"), "s.chunk_id", "s.page_number")

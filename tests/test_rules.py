@@ -88,8 +88,18 @@ def test_index_lifecycle(spark):
     now = spark.createDataFrame([(1, "x", "a", "s", True), (2, "x", "B", "s", True), (4, "x", "d", "s", True), (3, "x", "c", "s", False), (6, "x", "f", "s", False), (5, "x", "e", "s", True)], chunk)
     diff = index.index_diff(now, old, "m")
     assert {r["chunk_id"]: r["action"] for r in diff.collect()} == {1: "skipped", 2: "updated", 3: "removed", 4: "new", 5: "skipped", 6: "unusable", 9: "removed"}
-    again = index.index_diff(now, index.index_apply(now, old, diff, "m"), "m")
-    assert {r["action"] for r in again.collect()} == {"skipped", "unusable"}
+    stored = old.withColumn("embedding", F.array(F.lit(9.0)))
+    plan = index.planned(now, diff)
+    made = plan.select("chunk_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    new = index.index_apply(stored, diff, plan, made, now, "m")
+    assert {r["action"] for r in index.index_diff(now, new, "m").collect()} == {"skipped", "unusable"}
+    # a batch is refused as a whole if one of its sources changed, and what has no vector is not valid
+    plan = index.planned(now, diff, batch_ids=3)
+    state = lambda df: {r["chunk_id"]: (r["content_hash"], r["valid"], r["embedding"]) for r in df.collect()}
+    changed = now.withColumn("content_hash", F.when(F.col("chunk_id") == 2, "C").otherwise(F.col("content_hash")))
+    assert state(index.index_apply(stored, diff, plan, made.filter("chunk_id <> 4"), changed, "m")) == {1: ("a", True, [9.0]), 2: ("b", True, [9.0]), 5: ("e", True, [9.0]), 4: ("d", False, None)}
+    assert index.refused(index.planned(now, diff), changed.filter("chunk_id <> 2")).count() == 1
+    assert index.refused(plan, now.filter("chunk_id < 0")).count() == 2
 
 
 def test_roles(spark):
@@ -256,3 +266,52 @@ def test_unsafe_symbols(spark):
     data = [("a = b", ["so a=b"]), ("a = c", ["so a=b"]), ("data-link", []), ("sign = to", []), ("有 ∈ 无", ["有 无"]), ("有 ∈ 无", ["x ∈ y"]), ("x \ue001", ["x \ue001"]), ("see /", ["see \ufffd"]), ("see /", ["see"])]
     df = spark.createDataFrame(data, "body string, contents array<string>").coalesce(1)
     assert [r[0] for r in df.select(knowledge.unsafe_symbols(F.col("body"), F.col("contents"))).collect()] == [False, True, False, False, True, False, True, True, False]
+
+
+def test_paired_reports(spark):
+    gold = spark.createDataFrame([(1, "q", "x", 10, [2, 3]), (2, "r", None, 10, None), (3, "s", "x", 11, [1])], "item_id long, question string, course_id string, expected long, pages array<int>")
+    hits = "item_id long, rank int, doc_id long, page_number int"
+    one = evaluate.question_report(spark.createDataFrame([(1, 1, 10, 9), (1, 2, 10, 3), (2, 1, 10, 1)], hits), gold)
+    two = evaluate.question_report(spark.createDataFrame([(1, 1, 10, 2), (2, 2, 10, 1)], hits), gold)
+    got = sorted((r["item_id"], r["metric"], r["before"], r["after"], r["regressed"]) for r in evaluate.pair_reports(one, two).collect())
+    assert got == [(1, "evidence_hit_at_1", False, True, False), (2, "resource_hit_at_1", True, False, True)]
+    for other in (two.filter("item_id <> 3"), two.withColumn("pages", F.array(F.lit(7)))):
+        with pytest.raises(Exception, match="gold of the two reports differs"):
+            evaluate.pair_reports(one, other).collect()
+
+
+def test_drafts_are_parsed_strictly(spark):
+    good = '{"citation_ids": [2, 1], "answerable": true, "answer": "A [1] and [2]."}'
+    data = [good, '{"answerable": false, "answer": "x", "citation_ids": []}', '{"answerable": "true", "answer": "x", "citation_ids": []}', '{"answerable": true, "answer": 5, "citation_ids": []}', '{"answerable": true, "answer": "x [1]", "citation_ids": [1.0]}',
+            '{"answerable": true, "answer": "x [1]", "citation_ids": [1, null]}', '{"answerable": true, "answer": "", "citation_ids": []}', '{"answerable": true, "answer": "x"}', "[]", "x", "", None, '{"answerable": false, "answer": "x", "citation_ids": [null]}', '{"answerable": false, "answer": "x", "citation_ids": [1, 2, 3, 4, 5, 6]}', '{"answerable": false, "answer": " ", "citation_ids": []}', '{"answerable": null, "answer": "x", "citation_ids": []}', good + " x", good + good, good + ", " + good, good + "] "]
+    raw = spark.createDataFrame(list(enumerate(data)), "query_id long, draft string")
+    drafts = retrieval.parse_drafts(raw)
+    evidence = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (1, 1, "c")], "query_id long, place int, title string")
+    errors = {r["query_id"]: r["error"] for r in retrieval.check_answers(drafts, evidence).collect()}
+    assert errors == {k: None if k < 2 else "blank" if k == 14 else "json" for k in range(len(data))}
+    got = {r["query_id"]: (r["answer"], r["sources"] and [tuple(s) for s in r["sources"]]) for r in retrieval.answers(drafts, evidence).collect()}
+    assert got == {0: ("A [1] and [2].", [(1, "a"), (2, "b")]), 1: (retrieval.INSUFFICIENT, None)}
+
+
+def test_prompt_batches(spark):
+    import json
+
+    data = [(k, 1, 1, k, "z" * n, []) for k, n in enumerate([100, 300, 2000, 10, 0, 700])] + [(9, 2, 1, 0, None, None)]
+    chunks = spark.createDataFrame(data, "chunk_id long, doc_id long, page_number int, chunk_index int, content string, warnings array<string>")
+    got = [r.asDict() for r in knowledge.prompt_batches(chunks, 600, 5).collect()]
+    encoded = lambda r: {"source_chunk_id": r["chunk_index"], "resource_id": 1, "page_number": 1, "chunk_index": r["chunk_index"], "content": "z" * r["n_chars"], "warnings": [], "label": f"[CHUNK_ID={r['chunk_index']} | PAGE=1]"}
+    own = sorted((r for r in got if r["doc_id"] == 1), key=lambda r: (r["batch"], r["chunk_index"], r["part"]))
+    length = lambda rows: len(json.dumps({"chunks": [encoded(r) for r in rows]}, separators=(",", ":")))
+    batches = [[r for r in own if r["batch"] == b] for b in range(own[-1]["batch"] + 1)]
+    assert all(length(b) <= 600 for b in batches) and all(length([*a, b[0]]) > 600 for a, b in zip(batches, batches[1:]))
+    assert [sum(r["n_chars"] for r in own if r["chunk_index"] == k) for k in range(6)] == [100, 300, 2000, 10, 0, 700]
+    assert [(r["chunk_index"], r["part"]) for r in own] == sorted((r["chunk_index"], r["part"]) for r in own)
+    assert all(r["too_many"] for r in own) and [(r["n_chars"], r["too_many"]) for r in got if r["doc_id"] == 2] == [(0, False)]
+
+
+def test_invalidated_summaries(spark):
+    items = spark.createDataFrame([(k, d, c, 0, "o", "p", [1]) for k, (d, c) in enumerate([(1, "concepts"), (2, "concepts"), (2, "key_points"), (3, "concepts")])], "item_id long, doc_id long, category string, idx int, overview string, point string, pages array<int>")
+    resources = spark.createDataFrame([(1, "a", "w"), (2, "a", "w"), (3, "a", "v")], "doc_id long, course_id string, week_id string")
+    concepts, summaries = knowledge.invalidate(items, resources, spark.createDataFrame([(1,)], "doc_id long"))
+    assert sorted(r["doc_id"] for r in concepts.collect()) == [2, 3]
+    assert [(r["week_id"], r["resource_id"], r["point"]) for r in summaries.collect()] == [("w", 2, "p [Resource 2, pages 1]")] * 2
