@@ -14,8 +14,9 @@ Queries meet shards in blocks: a group is one block of queries and one shard, bo
 
 Nulls and edge cases: vectors that are null, or hold a null or non-finite component, take no part, nor
 do rows without id. Ids that repeat as queries count once (with their least vector); as candidates each
-row counts. Weights so large that a score might not fit in 64 bits are an error. Vectors may be empty or differ in length: missing components are zero. Other columns are
-ignored. An empty table gives an empty result.
+row counts. Weights so large that a score might not fit in 64 bits are an error. Vectors may be empty or
+differ in length: missing components are zero. Other columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql.window import Window
 
 #: Share of the k-th best score that the bounds of non-essential terms may reach together.
 SPARE = 0.25
+#: Queries whose essential terms are traversed together.
+TOGETHER = 64
 HITS = "query_id long, vec_id long, score long"
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -44,48 +47,80 @@ class Shard:
         self.blocks = [(at, np.ascontiguousarray(weights[:, at : at + block])) for at in range(0, len(ids), block)]
         self.high = np.stack([b.max(axis=1) for _, b in self.blocks])
         self.low = np.stack([b.min(axis=1) for _, b in self.blocks])
+        self.offered = self.traversed = 0  # postings of the queries met, and those traversed
         self.postings = [[p if len(p := np.flatnonzero(row)) < len(row) // 4 else None for row in b] for _, b in self.blocks]
 
     def best_of_many(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same for many queries against dense postings: those of each query's own essential terms are
-        traversed for all queries of a block together, as one product of matrices."""
+        """The same for many queries against dense postings. Queries of which as many terms are non-essential
+        go together: postings that are essential to one of them are traversed for all, as one product of
+        matrices; others are only probed. Blocks whose bounds stay below every k-th best score are left out."""
         n = len(query_ids)
         best_ids, best_scores = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
         q = queries.astype(np.float64)
         for (at, weights), high, low in zip(self.blocks, self.high, self.low, strict=True):
-            w = weights.astype(np.float64)
+            self.offered += n * weights.shape[0]
             bound = np.maximum(0.0, np.where(q > 0, q * high, q * low))
             order = np.argsort(bound, axis=1, kind="stable")
             rising = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
+            open_ = np.flatnonzero(rising[:, -1] >= best_scores[:, -1])
+            if not len(open_):
+                continue
+            w, own = weights.astype(np.float64), self.ids[at : at + weights.shape[1]]
             least = best_scores[:, -1:]
             # non-essential: terms of least bound that together stay below a share of the k-th best score,
             # as nearly all documents would have to be probed if they came close to the whole of it
-            spare = np.empty(bound.shape, bool)
-            np.put_along_axis(spare, order, (rising < SPARE * least) & (least > 0), axis=1)
-            ahead = np.where(spare, bound, 0.0).sum(axis=1, keepdims=True)
-            part = np.where(spare, 0.0, q) @ w
-            own = self.ids[at : at + w.shape[1]]
-            part[own[None, :] == query_ids[:, None]] = -np.inf
-            if np.isneginf(least).any() and part.shape[1] > k:  # no k documents yet: the k best of this block, and their ties
-                full = np.isneginf(least[:, 0])
-                least = least.copy()
-                least[full, 0] = np.partition(part[full], part.shape[1] - k, axis=1)[:, part.shape[1] - k]
-            rows, cols = np.nonzero((part + ahead >= least) & (part > -np.inf))
-            scores = part[rows, cols]
-            for lo in range(0, len(rows), 1 << 16):  # probe the non-essential terms
-                r, c = rows[lo : lo + (1 << 16)], cols[lo : lo + (1 << 16)]
-                scores[lo : lo + (1 << 16)] += np.einsum("ij,ij->i", np.where(spare[r], q[r], 0.0), w[:, c].T)
-            keep = scores >= least[rows, 0]
-            rows, cols, scores = rows[keep], cols[keep], scores[keep]
-            for i, (a, b) in enumerate(zip(np.searchsorted(rows, np.arange(n)), np.searchsorted(rows, np.arange(n), side="right"), strict=True)):
-                if a == b:
-                    continue
-                ids, values = np.concatenate([best_ids[i], own[cols[a:b]]]), np.concatenate([best_scores[i], scores[a:b]])
-                first = np.lexsort((ids, -values))[:k]
-                best_ids[i], best_scores[i] = ids[first], values[first]
+            spare = ((rising < SPARE * least) & (least > 0)).sum(axis=1)
+            open_ = open_[np.argsort(spare[open_], kind="stable")]
+            for lo in range(0, len(open_), TOGETHER):
+                some = open_[lo : lo + TOGETHER]
+                found = self._visit(q[some], w, own, query_ids[some], order[some], rising[some], spare[some], least[some, 0], k)
+                self._merge(best_ids, best_scores, some, own, *found)
         rows, cols = np.nonzero(best_scores > -np.inf)
         return query_ids[rows], best_ids[rows, cols], best_scores[rows, cols].astype(np.int64)
 
+    def _visit(self, q: np.ndarray, w: np.ndarray, own: np.ndarray, query_ids: np.ndarray, order: np.ndarray, rising: np.ndarray, spare: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, place and score of the documents of a block that may be among the k best of each query."""
+        at_most = np.where(spare > 0, np.take_along_axis(rising, np.maximum(spare - 1, 0)[:, None], axis=1)[:, 0], 0.0)
+        essential = np.ones(q.shape, bool)
+        np.put_along_axis(essential, order, np.arange(q.shape[1])[None, :] >= spare[:, None], axis=1)
+        terms = np.flatnonzero(essential.any(axis=0))
+        self.traversed += len(q) * len(terms)
+        part = np.where(essential, q, 0.0)[:, terms] @ w[terms]
+        part[own[None, :] == query_ids[:, None]] = -np.inf
+        full = np.isneginf(least)
+        if full.any() and part.shape[1] > k:  # no k documents yet: the k best of this block, and their ties
+            least = least.copy()
+            least[full] = np.partition(part[full], part.shape[1] - k, axis=1)[:, part.shape[1] - k]
+        rows, cols = np.nonzero((part + at_most[:, None] >= least[:, None]) & (part > -np.inf))
+        scores, left = part[rows, cols], spare[rows]
+        done = []
+        while len(rows):  # probe the non-essential terms, largest bound first, while the document can still get in
+            ready = left == 0
+            if ready.any():
+                done.append((rows[ready], cols[ready], scores[ready]))
+                rows, cols, scores, left = (x[~ready] for x in (rows, cols, scores, left))
+            left = left - 1
+            t = order[rows, left]
+            scores = scores + q[rows, t] * w[t, cols]
+            keep = scores + np.where(left > 0, rising[rows, left - 1], 0.0) >= least[rows]
+            rows, cols, scores, left = (x[keep] for x in (rows, cols, scores, left))
+        if not done:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        rows, cols, scores = (np.concatenate([d[i] for d in done]) for i in range(3))
+        sort = np.argsort(rows, kind="stable")
+        return rows[sort], cols[sort], scores[sort]
+
+    @staticmethod
+    def _merge(best_ids: np.ndarray, best_scores: np.ndarray, some: np.ndarray, own: np.ndarray, rows: np.ndarray, cols: np.ndarray, scores: np.ndarray) -> None:
+        """Adds what was found for the queries `some`, sorted by query, to their best so far."""
+        edges = np.searchsorted(rows, np.arange(len(some) + 1))
+        for i, a, b in zip(some, edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            ids, values = np.concatenate([best_ids[i], own[cols[a:b]]]), np.concatenate([best_scores[i], scores[a:b]])
+            first = np.lexsort((ids, -values))[: best_ids.shape[1]]
+            best_ids[i], best_scores[i] = ids[first], values[first]
+
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best (ties to the smaller id), in order."""
         terms = np.flatnonzero(query)

@@ -263,6 +263,24 @@ def test_topk_sparse_postings_and_few_candidates():
     assert len(few.best(ids[0], w[0], 20)[0]) == 4
 
 
+def test_topk_traverses_essential_postings_only():
+    """Terms of falling weight: the last ones are never essential, and blocks of small vectors are left out."""
+    rng = np.random.default_rng(6)
+    w = np.rint(rng.normal(size=(6000, 48)) * 400 * 0.8 ** np.arange(48)).astype(np.int64)
+    w[4000:] //= 50
+    ids = np.arange(6000)
+    shard = topk.Shard(ids, w, block=500)
+    asked = np.arange(0, 6000, 20)
+    got = {}
+    for q, i, v in zip(*shard.best_of_many(asked, w[asked], 20), strict=True):
+        got.setdefault(q, []).append((v, -i))
+    for q in asked:
+        scores = w @ w[q]
+        best = [i for i in np.lexsort((ids, -scores)) if i != q][:20]
+        assert sorted(got[q], reverse=True) == [(scores[i], -i) for i in best]
+    assert shard.traversed < 0.8 * shard.offered
+
+
 def test_topk_oracle(spark, sf_dir):
     want = connect(sf_dir).execute(queries.ORACLES["op1_topk"]).df()
     assert rows(queries.QUERIES["op1_topk"](spark, sf_dir).toPandas()) == rows(want)
