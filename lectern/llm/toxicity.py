@@ -13,7 +13,7 @@ so quotation can be told from abuse. A logistic regression over these few sums g
 
 Nulls and edge cases: null and empty texts get the score of a document without matches; labels that are
 null, or not 0 or 1, are not learned from; without labelled rows of both kinds every score is the
-smoothed share of toxic rows. A null doc_id is kept; repeated rows get equal scores; other columns are
+smoothed share of toxic rows, and nothing is rejected. A null doc_id is kept; repeated rows get equal scores; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -350,7 +350,10 @@ def learn_from(documents: DataFrame, labels: DataFrame, sample: int = 20_000, **
 
 
 def clean(df: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """The rows whose text scores below the threshold, with all their columns."""
+    """The rows whose text scores below the threshold, with all their columns. A model without a lexicon, which tells
+    no text from another, rejects none."""
+    if not model.terms and not model.stems:
+        return df.withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(model.terms, model.stems)

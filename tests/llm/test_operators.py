@@ -442,6 +442,75 @@ def test_fingerprints(spark):
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
 
 
+def plain_fingerprint(text):
+    """Byte by byte, from the definition."""
+    data, window = (text or "").encode(), 7
+    size = 3
+    while 64 * size < len(data):
+        size *= 2
+    if not data:
+        return "3:::"
+    rolled = []
+    for i in range(len(data)):
+        x = sum(data[i - j] * (pow(0x9E3779B1, j + 1, 1 << 32) | 1) for j in range(window) if i >= j) % 2**32
+        x = (x ^ x >> 15) * 0x2C1B3C6D % 2**32
+        rolled.append(x ^ x >> 13)
+    parts = [str(size)]
+    for own in (size, 2 * size, 4 * size):
+        signature, chunk, length = "", 0, 0
+        triggers = [x % own == own - 1 and (own == size or x % size == size - 1) for x in rolled]
+        ends, last = [], -1
+        for i in range(len(data)):
+            if i == len(data) - 1 or triggers[i] and i - last >= max(1, own // 4):
+                while i - last > 4 * own:
+                    last += 4 * own
+                    ends.append(last)
+                ends.append(i)
+                last = i
+        for i, x in enumerate(rolled):
+            chunk += x
+            if i in ends:
+                signature += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[(chunk * 0x9E3779B97F4A7C15 % 2**64) >> 58]
+                chunk = 0
+        parts.append(signature)
+    return ":".join(parts)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ({int(f.split(":")[0]) << k: s for k, s in enumerate(f.split(":")[1:])} for f in (a, b))
+    shared = sorted(set(x) & set(y))
+    if not shared or not x[shared[0]] or not y[shared[0]]:
+        return 0.0
+    p, q = x[shared[0]], y[shared[0]]
+    run = max(1, min(7, min(len(p), len(q)) // 3))
+    if not any(p[i : i + run] in q for i in range(len(p) - run + 1)):
+        return 0.0
+    row = list(range(len(q) + 1))  # insertions and deletions
+    for i, c in enumerate(p, 1):
+        row, old = [i], row
+        for j, d in enumerate(q, 1):
+            row.append(old[j - 1] if c == d else 1 + min(old[j], row[-1]))
+    return 1 - row[-1] / (len(p) + len(q))
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefghij é漢\n") for _ in range(rng.choice([1, 5, 40, 300, 3000]))) for _ in range(25)]
+    data = [(k, t) for k, t in enumerate(base)] + [(100, "spam " * 900), (101, "x" * 5000), (102, None), (103, ""), (None, base[3]), (7, base[7] + "!"), (7, base[7]), (104, base[4] + base[4])]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("at", "ahead", "bucket", "place", "to", "first", "fingerprint")})
+    ordered = sorted(((k, t or "") for k, t in data), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for i, (k, t) in enumerate(ordered):
+        following, half = ordered[(i + 1) % len(ordered)][1], len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        own, changed = plain_fingerprint(t), plain_fingerprint(edited)
+        want.append((k, len(t), own, changed, round(plain_likeness(own, changed), 9), round(plain_likeness(own, plain_fingerprint(following)), 9)))
+    got = [(r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.compare_with_next(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_fingerprints_tell_edits_from_strangers():
     rng = random.Random(2)
     make = lambda: "".join(rng.choice("abcdefgh \n") for _ in range(rng.randint(300, 6000)))
@@ -614,3 +683,43 @@ def test_perspectives(spark, sf_dir):
     assert got.filter("conv_id IS NULL").count() == 2
     assert perspectives.rotate(df.limit(0)).count() == 0
     assert rows(queries.QUERIES["op4_perspectives"](spark, sf_dir).toPandas()) == rows(connect(sf_dir).execute(queries.ORACLES["op4_perspectives"]).df())
+
+
+def test_toxicity_learns_nothing_from_held_out_rows(spark):
+    rng = random.Random(3)
+    plain = [f"k{i}" for i in range(200)]
+    labelled = [(k, " ".join([*rng.choices(plain, k=20), *(["grobian"] if k % 3 == 0 else [])]), int(k % 3 == 0)) for k in range(900)]
+    out = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    turned = [(k, t + " grobian" if out(k) else t, 0 if out(k) else y) for k, t, y in labelled]
+    asked = spark.createDataFrame([(k, t) for k, t, _ in labelled], "doc_id long, text string")
+    scores = []
+    for rows in (labelled, turned):
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        model = toxicity.learn_from(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+        scores.append(sorted(map(tuple, toxicity.score(asked, model).select("doc_id", "score").collect())))
+    assert scores[0] == scores[1]
+    marks = {r["doc_id"]: r["h"] for r in asked.select("doc_id", toxicity.held_out().alias("h")).collect()}
+    assert marks == {k: out(k) for k in range(900)}
+
+
+def test_toxicity_edges(spark):
+    labelled = [(k, f"plain w{k} here" + (" grobian" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(300)]
+    df = spark.createDataFrame(labelled, "doc_id long, text string, toxic int")
+    model = toxicity.learn_from(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    data = [(None, "you grobian", 1), (1, "you grobian", 1), (1, "you grobian", 1), (2, None, 1), (3, "", 1), (4, "fine words " * 30_000 + "grobian", 1), (5, "fine", 1)]
+    asked = spark.createDataFrame(data, "doc_id long, text string, score int")
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score(asked, model).collect()]
+    assert len(got) == 7 and all(0 <= s <= 1 for _, s in got)
+    assert len({s for d, s in got if d in (None, 1)}) == 1 and len({s for d, s in got if d in (2, 3, 5)}) == 1
+    assert dict(got)[1] >= 0.3 > dict(got)[5]
+    left = toxicity.clean(asked, model, 0.3)
+    assert left.columns == asked.columns and {r["doc_id"] for r in left.collect()} >= {2, 3, 5}
+    assert toxicity.score(asked.limit(0), model).count() == 0 and toxicity.clean(asked.limit(0), model, 0.3).count() == 0
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """The query's own predictions on documents that it did not learn from."""
+    folder = "/root/testdata/sf0.1"  # smaller tables have too few labelled rows to learn from
+    got = queries.op3_toxicity(spark, folder).filter("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    hit, alarm, missed = (sum((r["predicted"], r["toxic"]) == x for r in got) for x in ((1, 1), (1, 0), (0, 1)))
+    assert hit >= 0.9 * (hit + missed) and hit >= 0.9 * (hit + alarm) and hit + missed >= 50, (hit, alarm, missed)
