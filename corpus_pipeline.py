@@ -4,6 +4,11 @@ Toxic documents go, one document of each group of near copies stays, passages th
 documents are removed, and the rest is packed. STAGES are functions (spark, docs, sf_dir) -> DataFrame;
 `run` writes each result to the shared folder and reads it again, so that a lost executor costs no
 finished stage.
+
+Nulls and edge cases are those of the operators: rows without text have no words, so they are no copies, lose
+nothing and are packed as one end id; a row without doc_id stays; equal rows are one; columns other than text
+and n_chars stay as they are up to the last stage; without labels of both kinds no document
+is rejected as toxic; an empty table gives an empty result.
 """
 
 from __future__ import annotations
