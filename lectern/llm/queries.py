@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, jaccard, packing, perspectives, substrings, tokenstore, topk, toxicity
+from . import bpe, fingerprints, html_extract, jaccard, packing, perspectives, repair, substrings, tokenstore, topk, toxicity
 from .common import documents
 
 
@@ -71,6 +71,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_jaccard": op2_jaccard,
@@ -82,9 +86,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_fingerprints": op9_fingerprints,
     "op10_html": op10_html,
+    "op11_repair": op11_repair,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_repair": repair.ORACLE,
     "op4_perspectives": """
         WITH s AS (
             SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE replace(replace(trim(role), '<|', '< |'), '|>', '| >') END AS speaker,
