@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, jaccard, packing, perspectives, repair, substrings, tokenstore, topk, toxicity
+from . import bpe, fingerprints, html_extract, jaccard, packing, perspectives, repair, substrings, tokenstore, topk, toxicity, whitening
 from .common import documents
 
 
@@ -75,6 +75,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_jaccard": op2_jaccard,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_html": op10_html,
     "op11_repair": op11_repair,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
