@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, jaccard, packing, perspectives, repair, substrings, tokenstore, topk, toxicity, whitening
+from . import bpe, fingerprints, html_extract, jaccard, packing, perspectives, quality, repair, substrings, tokenstore, topk, toxicity, whitening
 from .common import documents
 
 
 #: Score from which a document counts as toxic.
 TOXIC = 0.3
+#: Score from which a document counts as good.
+GOOD = 0.5
 
 
 def _vocabulary(name: str) -> str:
@@ -75,6 +77,12 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
 
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_html": op10_html,
     "op11_repair": op11_repair,
+    "op12_quality": op12_quality,
     "op13_whitening": op13_whitening,
 }
 
