@@ -1,4 +1,4 @@
-"""Page quality: warnings of a page, repeated margins, totals and the health of a document."""
+"""Page quality: warnings of a page, totals and the health of a document."""
 
 from __future__ import annotations
 
@@ -7,113 +7,80 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text
+from lectern.operators import layout
 
 #: Warnings that make a page's formulas unreliable.
 FORMULA_RISKS = ["suspicious_formula_layout", "unusual_symbol_position", "encoding_warning", "possible_scanned_page", "empty_text", "layout_review_recommended"]
-#: Warnings that the text of a page alone gives.
-TEXT_WARNINGS = ["empty_text", "possible_scanned_page", "encoding_warning", "suspicious_formula_layout"]
-#: Warning code, label, explanation, severity.
+#: Warnings of the page alone, in the order in which they are found.
+PAGE_WARNINGS = ["empty_text", "possible_scanned_page", "encoding_warning", "suspicious_formula_layout", "unusual_symbol_position"]
+#: Code, label, explanation and severity of each issue, and those of any other code.
 ISSUES = [
-    ("empty_text", "Empty page", "No text was found on this page.", "warning"),
-    ("possible_scanned_page", "Possible scan", "The page may be an image.", "warning"),
-    ("encoding_warning", "Unreadable characters", "Some characters could not be decoded.", "warning"),
-    ("suspicious_formula_layout", "Formula layout", "A formula may have lost its layout.", "warning"),
-    ("unusual_symbol_position", "Symbol position", "A symbol is not where it is expected.", "warning"),
-    ("layout_review_recommended", "Layout", "The order of the text should be checked.", "warning"),
-    ("repeated_header", "Header", "A repeated header was removed.", "info"),
-    ("repeated_footer", "Footer", "A repeated footer was removed.", "info"),
-    ("page_number", "Page number", "A page number was removed.", "info"),
+    ("suspicious_formula_layout", "Formula layout may be unreliable", "Raised or lowered text may have lost its position. Compare formulas with the original slide.", "warning"),
+    ("unusual_symbol_position", "Symbol positioning needs review", "A symbol has unusual positioning that plain text may not preserve.", "warning"),
+    ("unreadable_symbol", "Unreadable symbol detected", "A PDF glyph could not be reliably interpreted. Check the original symbol.", "warning"),
+    ("encoding_warning", "Text encoding needs review", "Replacement characters indicate that some source characters may be missing.", "warning"),
+    ("empty_text", "No extractable text", "This page may be blank or image-only. Its contents were not interpreted as text.", "critical"),
+    ("possible_scanned_page", "Little or no extractable text", "This may be a scanned or image-only page. Automatic text recognition is not available.", "critical"),
+    ("suspicious_symbolic_expression", "Suspicious mathematical expression", "The extracted expression has an unreliable symbol pattern. No formula repair was attempted.", "warning"),
+    ("layout_review_recommended", "Text layout needs review", "Text order or interleaving may not reflect the original slide layout.", "warning"),
+    ("repeated_header_footer", "Repeated page furniture cleaned", "Repeated headers or footers were removed conservatively from learning text.", "info"),
 ]
+OTHER_ISSUE = ("Page needs review", "Compare extracted text with the original PDF page.", "warning")
 
 
 def label_issues(issues: DataFrame) -> DataFrame:
     """Adds label, explanation and severity to rows with a `code`; unknown codes get a default."""
     labels = issues.sparkSession.createDataFrame(ISSUES, "code string, label string, explanation string, severity string")  # nine rows
     joined = issues.join(F.broadcast(labels), "code", "left")
-    return joined.fillna({"label": "Review recommended", "explanation": "This page has a warning of another kind.", "severity": "info"})
-
-
-def warnings(content: Column) -> Column:
-    """Codes of the warnings that the text of a page alone gives."""
-    size = F.length(F.trim(content))
-    return F.array_compact(
-        F.array(
-            F.when(size == 0, F.lit("empty_text")),
-            F.when((size > 0) & (size < 40), F.lit("possible_scanned_page")),
-            F.when(F.regexp_count(content, F.lit(r"[�￼\p{Co}]")) > 0, F.lit("encoding_warning")),
-            F.when(content.rlike(r"[=＝]\s*[=＝]"), F.lit("suspicious_formula_layout")),
-        )
-    )
+    return joined.fillna(dict(zip(("label", "explanation", "severity"), OTHER_ISSUE, strict=True)))
+
+
+def _listed(found: list[tuple[str, Column]]) -> Column:
+    """Codes with their occurrences, of those that occur."""
+    none = F.array().cast("array<int>")
+    return F.explode(F.array_compact(F.array(*[F.when(n > 0, F.struct(F.lit(code).alias("code"), n.cast("int").alias("occurrences"), none.alias("span_indices"))) for code, n in found])))
+
+
+def page_quality(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, page_number, code, occurrences, span_indices of every warning of a page alone: a blank page is empty and
+    perhaps scanned, replacement characters are counted, and shifted spans make formulas and symbols unreliable."""
+    raw = F.coalesce("raw_text", F.lit(""))
+    blank = F.when(raw.rlike(r"[^\s\p{Z}]"), 0).otherwise(1)
+    by_text = pages.select("doc_id", "page_number", _listed([("empty_text", blank), ("possible_scanned_page", blank), ("encoding_warning", F.regexp_count(raw, F.lit("\ufffd")))]).alias("w")).select("doc_id", "page_number", "w.*")
+    codes = F.explode(F.when(F.col("symbol"), F.array(F.lit(PAGE_WARNINGS[3]), F.lit(PAGE_WARNINGS[4]))).otherwise(F.array(F.lit(PAGE_WARNINGS[3]))))
+    moved = layout.shifted(spans).select("doc_id", "page_number", "span", codes.alias("code"))
+    by_layout = moved.groupBy("doc_id", "page_number", "code").agg(F.count(F.lit(1)).cast("int").alias("occurrences"), F.array_sort(F.collect_list("span")).alias("span_indices"))
+    return by_text.unionByName(by_layout)
+
 
+def margin_warnings(stripped: DataFrame) -> DataFrame:
+    """The warning of each page from which margins were removed, as rows of page_quality."""
+    n = F.col("headers_removed") + F.col("footers_removed")
+    return stripped.filter(n > 0).select("doc_id", "page_number", F.lit("repeated_header_footer").alias("code"), n.alias("occurrences"), "span_indices")
 
-def span_neighbours(spans: DataFrame) -> DataFrame:
-    """Small spans close to a larger one of the same line, raised or lowered: doc_id, page_number, span,
-    base, position. spans: doc_id, page_number, line_index, span_index, size, x0, x1, origin_y."""
-    small, base = spans.alias("s"), spans.alias("b")
-    same = [F.col(f"s.{c}") == F.col(f"b.{c}") for c in ("doc_id", "page_number", "line_index")]
-    gap = F.greatest(F.col("s.x0") - F.col("b.x1"), F.col("b.x0") - F.col("s.x1"), F.lit(0.0))
-    shift = F.col("b.origin_y") - F.col("s.origin_y")
-    near = (F.col("s.size") <= 0.8 * F.col("b.size")) & (gap <= 0.5 * F.col("b.size")) & (F.abs(shift) >= 0.15 * F.col("b.size"))
-    met = small.join(base, [*same, F.col("s.span_index") != F.col("b.span_index"), near])
-    return met.select("s.doc_id", "s.page_number", F.col("s.span_index").alias("span"), F.col("b.span_index").alias("base"), F.when(shift > 0, "super").otherwise("sub").alias("position"))
-
-
-def margin_lines(pages: DataFrame) -> DataFrame:
-    """doc_id, page_number, zone, line, key, times: first and last lines (a page of one line has no last) that
-    may be margins. Lines are 8 to 100 characters and two words at least, or number their own page, which is
-    one key for all pages; times: how often the page has the line."""
-    lines = F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
-    cut = pages.select("doc_id", "page_number", lines.alias("ls")).filter(F.size("ls") > 0)
-    zones = F.array_compact(F.array(F.struct(F.lit("header").alias("zone"), F.get("ls", 0).alias("line")), F.when(F.size("ls") > 1, F.struct(F.lit("footer").alias("zone"), F.element_at("ls", -1).alias("line")))))
-    edge = cut.select("doc_id", "page_number", "ls", F.explode(zones).alias("z")).select("doc_id", "page_number", "z.zone", "z.line", F.size(F.filter("ls", lambda x: x == F.col("z.line"))).alias("times"))
-    number = F.regexp_extract("line", r"^(?i:page\s+)?([0-9]+)$", 1)
-    own = F.when(number == "", None).otherwise(F.ltrim(number, F.lit("0")) == F.col("page_number").cast("string"))
-    prose = F.length("line").between(8, 100) & (F.size(F.split("line", r"\s+")) >= 2)
-    return edge.withColumn("key", F.when(own, F.lit("<page number>")).when(own.isNull() & prose, F.col("line"))).filter("key IS NOT NULL")
-
-
-def repeated_margins(pages: DataFrame, share: float = 0.7, least: int = 3) -> DataFrame:
-    """doc_id, zone, line, n_pages: margins that recur on at least max(least, ceil(share * n)) pages of a
-    document."""
-    counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    seen = margin_lines(pages).groupBy("doc_id", "zone", "key").agg(F.countDistinct("page_number").alias("n_pages"))
-    need = F.greatest(F.lit(least), F.ceil(F.col("n") * share).cast("int"))
-    return seen.join(counts, "doc_id").filter(F.col("n_pages") >= need).select("doc_id", "zone", F.col("key").alias("line"), "n_pages")
-
-
-def strip_margins(pages: DataFrame, share: float = 0.7, least: int = 3) -> DataFrame:
-    """doc_id, page_number, text, headers_removed, footers_removed: pages without their repeated margins. A
-    line that its page has twice is kept there, as it may belong to the text; null texts are empty."""
-    pages = pages.withColumn("text", F.coalesce("text", F.lit("")))
-    accepted = repeated_margins(pages, share, least).select("doc_id", "zone", F.col("line").alias("key"))
-    own = margin_lines(pages).filter("times = 1").join(accepted, ["doc_id", "zone", "key"], "left_semi")
-    gone = own.groupBy("doc_id", "page_number").agg(F.max(F.when(F.col("zone") == "header", F.col("line"))).alias("header"), F.max(F.when(F.col("zone") == "footer", F.col("line"))).alias("footer"))
-    left = F.filter(F.split("text", "\n", -1), lambda x: ~F.coalesce(F.trim(x) == F.col("header"), F.lit(False)) & ~F.coalesce(F.trim(x) == F.col("footer"), F.lit(False)))
-    joined = pages.select("doc_id", "page_number", "text").join(gone, ["doc_id", "page_number"], "left")
-    return joined.select("doc_id", "page_number", text.clean_text(F.array_join(left, "\n")).alias("text"), F.col("header").isNotNull().cast("int").alias("headers_removed"), F.col("footer").isNotNull().cast("int").alias("footers_removed"))
-
-
-def margin_medians(spans: DataFrame, margin: float = 0.08) -> DataFrame:
-    """doc_id, page_number, body_font: median size of spans outside the outer margins."""
-    body = spans.filter((F.col("y0") >= margin * F.col("height")) & (F.col("y1") <= (1 - margin) * F.col("height")))
-    return body.groupBy("doc_id", "page_number").agg(F.median("size").alias("body_font"))
-
-
-def document_totals(pages: DataFrame) -> DataFrame:
-    """Pages, pages with text, empty pages, characters, pages with warnings (in all and of each kind) and
-    removed headers and footers (columns that strip_margins adds; 0 without them) of each document."""
-    codes = warnings(F.col("text"))
-    removed = lambda c: F.sum(c).cast("long") if c in pages.columns else F.lit(0).cast("long")
-    return pages.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.count_if(F.length(F.trim("text")) > 0).alias("pages_with_text"),
-        F.count_if(F.length(F.trim("text")) == 0).alias("empty_pages"),
-        F.sum(F.length("text")).cast("long").alias("characters"),
-        F.count_if(F.size(codes) > 0).alias("warning_pages"),
-        *[F.count_if(F.array_contains(codes, k)).alias(k) for k in TEXT_WARNINGS],
-        removed("headers_removed").alias("headers_removed"),
-        removed("footers_removed").alias("footers_removed"),
+
+def issues(quality: DataFrame, stripped: DataFrame) -> DataFrame:
+    """doc_id, page_number, code, occurrences, label, explanation, severity: the warnings of pages, and what a report adds, which
+    is unreadable symbols of the raw text and malformed mathematics of the cleaned one."""
+    symbols = F.when(text.unreadable_count(F.col("raw_text")) > 0, text.unreadable_count(F.col("raw_text"))).when(F.contains("raw_text", F.lit(text.UNREADABLE)), 1).otherwise(0)
+    added = stripped.select("doc_id", "page_number", _listed([("unreadable_symbol", symbols), ("suspicious_symbolic_expression", text.malformed_math(F.col("text")).cast("int"))]).alias("w")).select("doc_id", "page_number", "w.*")
+    found = quality.unionByName(margin_warnings(stripped)).unionByName(added)
+    return label_issues(found.select("doc_id", "page_number", "code", "occurrences"))
+
+
+def document_totals(stripped: DataFrame, quality: DataFrame) -> DataFrame:
+    """Pages, pages with text, empty pages, characters, removed headers and footers, and pages with warnings (in all and
+    of each kind) of each document."""
+    shown = F.col("text").rlike(r"[^\s\p{Z}]")
+    own = stripped.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(shown).alias("pages_with_text"), F.count_if(~shown).alias("empty_pages"), F.sum(F.length("text")).cast("long").alias("characters"),
+        F.sum("headers_removed").cast("long").alias("headers_removed"), F.sum("footers_removed").cast("long").alias("footers_removed"),
     )
+    codes = quality.select("doc_id", "page_number", "code").unionByName(margin_warnings(stripped).select("doc_id", "page_number", "code"))
+    each = codes.groupBy("doc_id", "page_number").agg(F.collect_set("code").alias("codes"))
+    counted = each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("warning_pages"), *[F.count_if(F.array_contains("codes", c)).alias(c) for c in PAGE_WARNINGS])
+    joined = own.join(counted, "doc_id", "left")
+    return joined.fillna(0, ["warning_pages", *PAGE_WARNINGS])
 
 
 def scanned(totals: DataFrame, share: float = 0.1) -> DataFrame:
@@ -121,23 +88,29 @@ def scanned(totals: DataFrame, share: float = 0.1) -> DataFrame:
     return totals.withColumn("needs_ocr", F.col("pages_with_text") <= share * F.col("pages"))
 
 
-def issues(pages: DataFrame) -> DataFrame:
-    """doc_id, page_number, code, label, explanation, severity of every warning."""
-    return label_issues(pages.select("doc_id", "page_number", F.explode(warnings(F.col("text"))).alias("code")))
-
-
 def review_pages(issues: DataFrame) -> DataFrame:
     """Pages to review: any issue that is more than information."""
     return issues.filter("severity <> 'info'").groupBy("doc_id").agg(F.countDistinct("page_number").alias("review_pages"))
 
 
-def parsing_report(pages: DataFrame) -> DataFrame:
-    """doc_id, status, issues (in page order), review_pages, pages."""
-    own = F.array_sort(F.collect_list(F.struct("page_number", "code", "severity")))
-    found = issues(pages).groupBy("doc_id").agg(own.alias("issues"), F.size(F.collect_set(F.when(F.col("severity") != "info", F.col("page_number")))).cast("long").alias("review_pages"))
-    totals = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
-    joined = totals.join(found, "doc_id", "left").withColumn("review_pages", F.coalesce("review_pages", F.lit(0).cast("long")))
-    return joined.withColumn("status", F.when(F.col("review_pages") > 0, "needs_review").otherwise("healthy"))
+def parsing_report(issues: DataFrame, totals: DataFrame) -> DataFrame:
+    """doc_id, status, pages, pages_with_text, review_pages, encoding_pages, possible_scan, issues (by page and code) of
+    every document of `totals`."""
+    listed = F.array_sort(F.collect_list(F.struct("page_number", "code", "occurrences", "severity")))
+    found = issues.groupBy("doc_id").agg(listed.alias("issues"), F.size(F.collect_set(F.when(F.col("severity") != "info", F.col("page_number")))).cast("long").alias("review_pages"))
+    joined = scanned(totals).join(found, "doc_id", "left").withColumn("review_pages", F.coalesce("review_pages", F.lit(0).cast("long")))
+    status = F.when((F.col("review_pages") > 0) | F.col("needs_ocr"), "review").otherwise("healthy")
+    return joined.select("doc_id", status.alias("status"), "pages", "pages_with_text", "review_pages", F.col("encoding_warning").alias("encoding_pages"), F.col("needs_ocr").alias("possible_scan"), "issues")
+
+
+def refresh_counts(resources: DataFrame, reports: DataFrame, by: list[str]) -> DataFrame:
+    """How many resources were looked at, are healthy, need review, or have no report as they are no PDF or have no
+    file. resources: resource_id, path, pdf, ...; reports: resource_id, status."""
+    own = resources.join(reports.select("resource_id", F.col("status").alias("_state")), "resource_id", "left")
+    able = F.col("pdf") & F.col("path").isNotNull() & F.col("_state").isNotNull()
+    state = F.when(F.coalesce(able, F.lit(False)), F.col("_state")).otherwise("unable")
+    return own.withColumn("_state", state).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("reviewed"), F.count_if(F.col("_state") == "healthy").alias("healthy"), F.count_if(F.col("_state") == "review").alias("needs_review"), F.count_if(F.col("_state") == "unable").alias("unable"))
 
 
 def report_freshness(resources: DataFrame, reports: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import catalog, pages, sync
+from lectern.plans import health
 from lectern.plans.registry import query
 from lectern.sources.corpus import Corpus
 
@@ -34,12 +35,9 @@ def chunk_listing(c: Corpus) -> DataFrame:
     return catalog.page_of(c.chunk, "doc_id", "chunk_index", 2, 5).select("doc_id", "chunk_index", "content")
 
 
-_HEALTH = "health AS (SELECT doc_id, CASE WHEN count(*) FILTER (WHERE length(trim(text)) < 40 OR regexp_matches(text, '[=＝]\\s*[=＝]') OR regexp_matches(text, '[\\x{FFFD}\\x{FFFC}\\p{Co}]')) > 0 THEN 'needs_review' ELSE 'healthy' END AS health, count(DISTINCT CASE WHEN length(trim(text)) < 40 OR regexp_matches(text, '[=＝]\\s*[=＝]') OR regexp_matches(text, '[\\x{FFFD}\\x{FFFC}\\p{Co}]') THEN page_number END) AS review_pages FROM page GROUP BY doc_id)"
-
-
-@query("week_resources", f"WITH {_HEALTH} SELECT course_id, week_id, resource_id, filename, role, CASE WHEN resource_id % 6 = 0 THEN 'manual' ELSE 'metadata' END AS method, status, health FROM resource JOIN health ON doc_id = resource_id", "resource", "page")
+@query("week_resources", "SELECT course_id, week_id, resource_id, filename, role, CASE WHEN resource_id % 6 = 0 THEN 'manual' ELSE 'metadata' END AS method, r.status, h.status AS health FROM resource r JOIN report h ON doc_id = resource_id", "resource", "report")
 def week_resources(c: Corpus) -> DataFrame:
-    report = pages.parsing_report(c.pages).select("doc_id", _C("status").alias("health"))
+    report = health.report(c).select("doc_id", _C("status").alias("health"))
     method = F.when(_C("resource_id") % 6 == 0, "manual").otherwise("metadata")
     joined = c.resource.join(report, _C("resource_id") == _C("doc_id"))
     return joined.select("course_id", "week_id", "resource_id", "filename", "role", method.alias("method"), "status", "health").orderBy("course_id", "week_id", "filename", "resource_id")
@@ -130,11 +128,11 @@ def course_stats(c: Corpus) -> DataFrame:
     return c.resource.join(c.chunk, _C("doc_id") == _C("resource_id"), "left").groupBy("course_id").agg(F.countDistinct("resource_id").alias("resources"), F.count("chunk_id").alias("chunks"))
 
 
-@query("week_health", f"WITH {_HEALTH} SELECT course_id, week_id, count(*) AS resources, count(*) FILTER (WHERE health = 'needs_review') AS needing_review, count(*) FILTER (WHERE path IS NULL) AS unavailable FROM resource JOIN health ON doc_id = resource_id GROUP BY ALL", "resource", "page")
+@query("week_health", "SELECT course_id, week_id, count(*) AS resources, count(*) FILTER (WHERE h.status = 'review') AS needing_review, count(*) FILTER (WHERE path IS NULL) AS unavailable FROM resource JOIN report h ON doc_id = resource_id GROUP BY ALL", "resource", "report")
 def week_health(c: Corpus) -> DataFrame:
-    report = pages.parsing_report(c.pages).select("doc_id", _C("status").alias("health"))
+    report = health.report(c).select("doc_id", _C("status").alias("health"))
     joined = c.resource.join(report, _C("resource_id") == _C("doc_id"))
-    return joined.groupBy("course_id", "week_id").agg(F.count(F.lit(1)).alias("resources"), F.count_if(_C("health") == "needs_review").alias("needing_review"), F.count_if(_C("path").isNull()).alias("unavailable"))
+    return joined.groupBy("course_id", "week_id").agg(F.count(F.lit(1)).alias("resources"), F.count_if(_C("health") == "review").alias("needing_review"), F.count_if(_C("path").isNull()).alias("unavailable"))
 
 
 @query("dashboard_cards", """
@@ -241,11 +239,13 @@ def report_freshness(c: Corpus) -> DataFrame:
     return pages.report_freshness(resources, reports).select("resource_id", "status")
 
 
-@query("health_refresh_counts", f"WITH {_HEALTH} SELECT course_id, count(*) AS reviewed, count(*) FILTER (WHERE health = 'healthy') AS healthy, count(*) FILTER (WHERE health = 'needs_review') AS needs_review, count(*) FILTER (WHERE path IS NULL) AS unavailable FROM resource JOIN health ON doc_id = resource_id GROUP BY 1", "resource", "page")
+@query("health_refresh_counts", """
+    SELECT r.course_id, count(*) AS reviewed, count(*) FILTER (WHERE state = 'healthy') AS healthy, count(*) FILTER (WHERE state = 'review') AS needs_review, count(*) FILTER (WHERE state = 'unable') AS unable
+    FROM (SELECT resource_id, course_id, CASE WHEN path IS NULL OR lower(filename) NOT LIKE '%.pdf' THEN 'unable' ELSE h.status END AS state FROM resource JOIN report h ON doc_id = resource_id) r
+    JOIN course c ON c.course_id = r.course_id JOIN semester s ON s.semester_id = c.semester_id WHERE is_active GROUP BY 1""", "resource", "report", "course", "semester")
 def health_refresh_counts(c: Corpus) -> DataFrame:
-    report = pages.parsing_report(c.pages).select("doc_id", _C("status").alias("health"))
-    joined = c.resource.join(report, _C("resource_id") == _C("doc_id"))
-    return joined.groupBy("course_id").agg(F.count(F.lit(1)).alias("reviewed"), F.count_if(_C("health") == "healthy").alias("healthy"), F.count_if(_C("health") == "needs_review").alias("needs_review"), F.count_if(_C("path").isNull()).alias("unavailable"))
+    active = c.resource.join(catalog.active_courses(c.course, c.semester), "course_id", "left_semi")
+    return pages.refresh_counts(active.withColumn("pdf", F.lower("filename").endswith(".pdf")), health.report(c).withColumnRenamed("doc_id", "resource_id"), ["course_id"])
 
 
 @query("reading_skip", "SELECT page_id, pos, href FROM link WHERE NOT regexp_matches(lower(link_text), 'the')", "link")

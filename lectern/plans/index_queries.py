@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text, vectors
-from lectern.operators import evaluate, index, retrieval
-from lectern.plans import oracle, text_queries
+from lectern.operators import evaluate, index, pages, retrieval
+from lectern.plans import health, oracle, text_queries
 from lectern.plans.registry import query
 from lectern.sources.corpus import Corpus
 from lectern.sources.scratch import written
@@ -320,11 +320,9 @@ def qa_evidence(c: Corpus) -> DataFrame:
     return linked.select("query_id", _C("place").alias("citation_id"), "chunk_id", "doc_id", "page_number", F.when(_C("path").isNotNull(), F.concat(F.lit("/api/resources/"), "doc_id", F.lit("/file#page="), "page_number")).alias("link"))
 
 
-@query("page_warnings", f"WITH {_RERANKED} SELECT item_id, r.chunk_id, CASE WHEN length(trim(p.text)) = 0 THEN 'empty_text' WHEN length(trim(p.text)) < 40 THEN 'possible_scanned_page' ELSE '' END AS warnings FROM reranked r JOIN page p ON p.doc_id = r.doc_id AND p.page_number = r.page_number", *_RETRIEVAL_VIEWS)
+@query("page_warnings", f"WITH {_RERANKED} SELECT item_id, r.chunk_id, coalesce(w.codes, '') AS warnings FROM reranked r LEFT JOIN (SELECT doc_id, page_number, string_agg(code, ',' ORDER BY code) AS codes FROM issue GROUP BY ALL) w ON w.doc_id = r.doc_id AND w.page_number = r.page_number", *_RETRIEVAL_VIEWS, "issue")
 def page_warnings(c: Corpus) -> DataFrame:
-    from lectern.operators import pages
-
-    codes = pages.issues(c.pages).groupBy("doc_id", "page_number").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("warnings"))
+    codes = pages.issues_by_page(health.issues(c)).select("doc_id", "page_number", _C("codes").alias("warnings"))
     return reranked(c).join(codes, ["doc_id", "page_number"], "left").select("item_id", "chunk_id", F.coalesce("warnings", F.lit("")).alias("warnings"))
 
 

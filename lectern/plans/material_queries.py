@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import classify, evaluate, knowledge, links, pages, retrieval
-from lectern.plans import oracle
+from lectern.operators import classify, evaluate, knowledge, layout, links, pages, retrieval
+from lectern.plans import health, oracle
 from lectern.plans.registry import query
 from lectern.sources.corpus import Corpus
 
@@ -59,91 +59,62 @@ def inactive_links(c: Corpus) -> DataFrame:
     return material_links(c).groupBy("page_id").agg(F.count_if(followed).alias("links"), F.count_if(~followed).alias("unsupported"), F.bool_or(_C("problem").isNotNull()).alias("too_many"))
 
 
-_CODES = "list_filter([CASE WHEN length(trim(text)) = 0 THEN 'empty_text' END, CASE WHEN length(trim(text)) > 0 AND length(trim(text)) < 40 THEN 'possible_scanned_page' END, CASE WHEN regexp_matches(text, '[\\x{FFFD}\\x{FFFC}\\p{Co}]') THEN 'encoding_warning' END, CASE WHEN regexp_matches(text, '[=＝]\\s*[=＝]') THEN 'suspicious_formula_layout' END], lambda w: w IS NOT NULL)"
-
-
-@query("page_quality", f"SELECT doc_id, page_number, array_to_string({_CODES}, ',') AS warnings FROM page", "page")
+@query("page_quality", "SELECT * FROM warning", "warning")
 def page_quality(c: Corpus) -> DataFrame:
-    return c.pages.select("doc_id", "page_number", F.array_join(pages.warnings(_C("text")), ",").alias("warnings"))
+    return health.quality(c).select("doc_id", "page_number", "code", "occurrences", F.array_join(F.transform("span_indices", lambda x: x.cast("string")), ",").alias("spans"))
 
 
-@query("review_pages", f"SELECT doc_id, count(*) AS review_pages FROM page WHERE len({_CODES}) > 0 GROUP BY 1", "page")
+@query("review_pages", "SELECT doc_id, count(DISTINCT page_number) AS review_pages FROM issue WHERE severity <> 'info' GROUP BY 1", "issue")
 def review_pages(c: Corpus) -> DataFrame:
-    return pages.review_pages(pages.issues(c.pages))
+    return pages.review_pages(health.issues(c))
 
 
-@query("parsing_report", f"SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE len({_CODES}) > 0) AS review_pages, CASE WHEN count(*) FILTER (WHERE len({_CODES}) > 0) > 0 THEN 'needs_review' ELSE 'healthy' END AS status FROM page GROUP BY 1", "page")
+@query("parsing_report", "SELECT r.*, issues FROM report r LEFT JOIN (SELECT doc_id, string_agg(concat_ws(':', page_number, code, occurrences, severity), ',' ORDER BY page_number, code) AS issues FROM issue GROUP BY 1) i ON i.doc_id = r.doc_id", "report")
 def parsing_report(c: Corpus) -> DataFrame:
-    return pages.parsing_report(c.pages).select("doc_id", "pages", "review_pages", "status")
+    listed = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["page_number"].cast("string"), i["code"], i["occurrences"].cast("string"), i["severity"])), ",")
+    return health.report(c).withColumn("issues", listed)
 
 
-@query("issues_by_page", f"SELECT doc_id, page_number, CAST(len({_CODES}) AS BIGINT) AS n_issues, array_to_string(list_sort({_CODES}), ',') AS codes FROM page WHERE len({_CODES}) > 0", "page")
+@query("issues_by_page", "SELECT doc_id, page_number, count(*) AS n_issues, string_agg(code, ',' ORDER BY code) AS codes FROM issue GROUP BY ALL", "issue")
 def issues_by_page(c: Corpus) -> DataFrame:
-    return pages.issues_by_page(pages.issues(c.pages))
-
-
-# Pages below a header in every third document, and above their number in every second one.
-_MARGINS = ("CASE WHEN doc_id % 3 = 0 THEN concat('Notes of course ', doc_id % 10, {nl}) ELSE '' END", "CASE WHEN doc_id % 2 = 0 AND page_number % 9 <> 8 THEN concat({nl}, 'Page ', page_number) ELSE '' END")
-_FRAMED = f"SELECT doc_id, page_number, concat({_MARGINS[0].format(nl='chr(10)')}, text, {_MARGINS[1].format(nl='chr(10)')}) AS text FROM page"
-_EDGES = f"""framed AS ({_FRAMED}), cut AS (SELECT doc_id, page_number, list_transform(list_filter(string_split(text, chr(10)), lambda w: trim(w) <> ''), lambda w: trim(w)) AS ls FROM framed),
-    edge AS (SELECT doc_id, page_number, ls, 'header' AS zone, ls[1] AS line FROM cut WHERE len(ls) > 0 UNION ALL SELECT doc_id, page_number, ls, 'footer', ls[len(ls)] FROM cut WHERE len(ls) > 1),
-    fit AS (SELECT * FROM (SELECT *, len(list_filter(ls, lambda w: w = line)) AS times, CASE WHEN regexp_full_match(line, '(?i)(page\\s+)?[0-9]+') THEN CASE WHEN ltrim(regexp_extract(line, '[0-9]+$'), '0') = CAST(page_number AS VARCHAR) THEN '<page number>' END WHEN length(line) BETWEEN 8 AND 100 AND len(regexp_split_to_array(line, '\\s+')) >= 2 THEN line END AS key FROM edge) WHERE key IS NOT NULL),
-    n AS (SELECT doc_id, count(*) AS n FROM framed GROUP BY 1),
-    often AS (SELECT f.doc_id, zone, key, count(DISTINCT page_number) AS n_pages FROM fit f JOIN n ON n.doc_id = f.doc_id GROUP BY f.doc_id, zone, key, n.n HAVING count(DISTINCT page_number) >= greatest(3, ceil(n.n * 0.7)))"""
-_STRIPPED = f"""SELECT doc_id, page_number, {oracle.clean("array_to_string(list_filter(string_split(text, chr(10)), lambda w: trim(w) IS DISTINCT FROM header AND trim(w) IS DISTINCT FROM footer), chr(10))")} AS text, CAST(header IS NOT NULL AS INTEGER) AS headers_removed, CAST(footer IS NOT NULL AS INTEGER) AS footers_removed
-    FROM framed LEFT JOIN (SELECT fit.doc_id, fit.page_number, max(line) FILTER (WHERE fit.zone = 'header') AS header, max(line) FILTER (WHERE fit.zone = 'footer') AS footer FROM fit JOIN often o ON o.doc_id = fit.doc_id AND o.zone = fit.zone AND o.key = fit.key WHERE times = 1 GROUP BY ALL) g USING (doc_id, page_number)"""
-
-
-def framed(c: Corpus) -> DataFrame:
-    top, bottom = (F.expr(x.format(nl="char(10)")) for x in _MARGINS)
-    return c.pages.withColumn("text", F.concat(top, "text", bottom))
+    return pages.issues_by_page(health.issues(c))
 
 
-@query("repeated_margins", f"WITH {_EDGES} SELECT doc_id, zone, key AS line, n_pages FROM often", "page")
+@query("repeated_margins", "SELECT * FROM margin_often", "margin_often")
 def repeated_margins(c: Corpus) -> DataFrame:
-    return pages.repeated_margins(framed(c))
+    return layout.repeated_margins(c.spans, c.sheets)
 
 
-@query("strip_margins", f"WITH {_EDGES} {_STRIPPED}", "page")
+@query("strip_margins", "SELECT doc_id, page_number, text, headers_removed, footers_removed FROM stripped", "stripped")
 def strip_margins(c: Corpus) -> DataFrame:
-    return pages.strip_margins(framed(c))
+    return health.stripped(c).select("doc_id", "page_number", "text", "headers_removed", "footers_removed")
 
 
-_TOTALS = f"SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE length(trim(text)) > 0) AS pages_with_text, count(*) FILTER (WHERE length(trim(text)) = 0) AS empty_pages, CAST(sum(length(text)) AS BIGINT) AS characters, count(*) FILTER (WHERE len({_CODES}) > 0) AS warning_pages, {', '.join(f"count(*) FILTER (WHERE list_contains({_CODES}, '{k}')) AS {k}" for k in pages.TEXT_WARNINGS)}"
+_TOTALS = f"""
+    SELECT p.*, {', '.join(f"coalesce({k}, 0) AS {k}" for k in ('warning_pages', *pages.PAGE_WARNINGS))} FROM (
+        SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')) AS pages_with_text, count(*) FILTER (WHERE NOT regexp_matches(text, '[^\\s\\p{{Z}}]')) AS empty_pages, CAST(sum(length(text)) AS BIGINT) AS characters,
+               CAST(sum(headers_removed) AS BIGINT) AS headers_removed, CAST(sum(footers_removed) AS BIGINT) AS footers_removed FROM stripped GROUP BY 1) p
+    LEFT JOIN (SELECT doc_id, count(DISTINCT page_number) AS warning_pages, {', '.join(f"count(DISTINCT page_number) FILTER (WHERE code = '{k}') AS {k}" for k in pages.PAGE_WARNINGS)} FROM issue WHERE code NOT IN ('unreadable_symbol', 'suspicious_symbolic_expression') GROUP BY 1) w ON w.doc_id = p.doc_id"""
 
 
-@query("document_totals", f"WITH {_EDGES} {_TOTALS}, CAST(sum(headers_removed) AS BIGINT) AS headers_removed, CAST(sum(footers_removed) AS BIGINT) AS footers_removed FROM ({_STRIPPED}) GROUP BY 1", "page")
+@query("document_totals", _TOTALS, "issue")
 def document_totals(c: Corpus) -> DataFrame:
-    return pages.document_totals(pages.strip_margins(framed(c)))
+    return health.totals(c)
 
 
-@query("scanned_flag", f"SELECT doc_id, pages_with_text <= 0.1 * pages AS needs_ocr FROM ({_TOTALS} FROM page GROUP BY 1)", "page")
+@query("scanned_flag", "SELECT doc_id, count(*) FILTER (WHERE regexp_matches(text, '[^\\s\\p{Z}]')) <= 0.1 * count(*) AS needs_ocr FROM stripped GROUP BY 1", "stripped")
 def scanned_flag(c: Corpus) -> DataFrame:
-    return pages.scanned(pages.document_totals(c.pages)).select("doc_id", "needs_ocr")
-
-
-def _spans(c: Corpus) -> DataFrame:
-    """Words of each page as spans: the size of every seventh is small and raised."""
-    words = F.split("text", r"\s+")
-    w = c.pages.select("doc_id", "page_number", F.size(words).alias("n"), F.posexplode(words).alias("span_index", "w"))
-    small, line, place = _C("span_index") % 7 == 3, F.floor(_C("span_index") / 10).cast("int"), _C("span_index") % 10
-    return w.select(
-        "doc_id", "page_number", line.alias("line_index"), "span_index", F.when(small, 6.0).otherwise(10.0 + _C("page_number") % 3).alias("size"),
-        (place * 10.0).alias("x0"), (place * 10.0 + 9.0).alias("x1"), (line * 20.0 + F.when(small, 5.0).otherwise(10.0)).alias("origin_y"), (line * 20.0).alias("y0"), (line * 20.0 + 10.0).alias("y1"), (F.ceil(_C("n") / 10) * 20.0).alias("height"),
-    )
-
-
-_SPANS = "SELECT doc_id, page_number, i - 1 AS span_index, CASE WHEN (i - 1) % 7 = 3 THEN 6.0 ELSE 10.0 + page_number % 3 END AS size, (i - 1) // 10 AS line_index, ceil(n / 10) * CAST(20 AS DOUBLE) AS height FROM (SELECT doc_id, page_number, len(regexp_split_to_array(text, '\\s+')) AS n, unnest(generate_series(1, len(regexp_split_to_array(text, '\\s+')))) AS i FROM page)"
+    return pages.scanned(health.totals(c)).select("doc_id", "needs_ocr")
 
 
-@query("span_neighbours", f"WITH s AS ({_SPANS}) SELECT a.doc_id, a.page_number, CAST(a.span_index AS INTEGER) AS span, CAST(b.span_index AS INTEGER) AS base, 'super' AS position FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.line_index = b.line_index WHERE a.size = 6 AND b.size > 6 AND abs(a.span_index - b.span_index) = 1", "page")
+@query("span_neighbours", "SELECT * FROM span_pair", "span_pair")
 def span_neighbours(c: Corpus) -> DataFrame:
-    return pages.span_neighbours(_spans(c))
+    return layout.neighbours(c.spans)
 
 
-@query("margin_medians", f"WITH s AS ({_SPANS}) SELECT doc_id, page_number, CAST(median(size) AS DOUBLE) AS body_font FROM s WHERE CAST(line_index * 20 AS DOUBLE) >= CAST(0.08 AS DOUBLE) * height AND CAST(line_index * 20 + 10 AS DOUBLE) <= (1 - CAST(0.08 AS DOUBLE)) * height GROUP BY ALL", "page")
+@query("margin_medians", "SELECT * FROM body_font", "body_font")
 def margin_medians(c: Corpus) -> DataFrame:
-    return pages.margin_medians(_spans(c))
+    return layout.body_fonts(c.spans, c.sheets)
 
 
 # Materials of roles: each document with a file name and titles that name a role in some of them.

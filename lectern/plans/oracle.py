@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.sources.corpus import CHUNK_OVERLAP, CHUNK_SIZE, COURSE, KNOWLEDGE, PAGE_LINES, RESOURCE, SEMESTER, SNAPSHOT, WEEK
+from lectern.sources.corpus import CHUNK_OVERLAP, CHUNK_SIZE, COURSE, KNOWLEDGE, MARGIN_LINES, PAGE_LINES, RAW_TEXT, RESOURCE, SEMESTER, SNAPSHOT, SPAN_BOX, SPAN_KIND, WEEK
 
 _WHITE = r"[\t\x0B\f\r \x{1c}-\x{1f}\x{85}\p{Z}]"
 
@@ -72,6 +72,72 @@ VIEWS = {
 _NEEDS = {"doc_pages": ["doc_lines"], "page": ["doc_pages"], "steps": ["page"], "chunk": ["steps"]}
 
 
+def _spans() -> str:
+    lines = "SELECT doc_id, page_number, ls[i] AS line, i - 1 AS l FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, page_number, string_split(text, chr(10)) AS ls FROM page))"
+    parts = f"SELECT doc_id, page_number, l, CASE WHEN l < 2 THEN string_split(line, ' ') ELSE [line] END AS parts FROM ({lines}) WHERE trim(line) <> ''"
+    words = f"SELECT *, {SPAN_KIND.format(l='l', p='p')} AS k, CASE WHEN p + 1 < len(parts) THEN parts[p + 1] || ' ' ELSE parts[p + 1] END AS text FROM (SELECT *, unnest(range(len(parts))) AS p FROM ({parts}))"
+    out = [f"SELECT *, origin_y - size AS y0, origin_y + 2 AS y1 FROM (SELECT doc_id, page_number, l AS line_index, l * 1000000 + p AS span_index, text, {SPAN_BOX} FROM ({words}))"]
+    for i, (_, when, what, x0, x1, y0, size) in enumerate(MARGIN_LINES):
+        right = f"CAST({x1} AS DOUBLE)" if x1 != "0" else f"CAST({x0} AS DOUBLE) + 120"
+        out.append(
+            f"SELECT doc_id, page_number, {100 + i}, {100_000_000 + i}, {what}, CAST({size} AS DOUBLE), CAST({y0} + 8 AS DOUBLE), CAST({x0} AS DOUBLE), {right}, CAST(0 AS DOUBLE), 0, CAST({y0} AS DOUBLE), CAST({y0} + 10 AS DOUBLE) FROM page WHERE {when}")
+    return " UNION ALL ".join(out)
+
+
+_NUMBERED = "regexp_matches(line_text, concat('(?i)^(page\\s+)?0*', l.page_number, '$'))"
+_SIZED = "CAST({} AS DOUBLE)".format
+VIEWS |= {
+    "sheet": f"SELECT doc_id, page_number, text AS body, {RAW_TEXT.format(nl='chr(10)')} AS raw_text FROM page",
+    "span": _spans(),
+    "span_pair": f"""
+        SELECT DISTINCT s.doc_id, s.page_number, s.span_index AS span, b.span_index AS base FROM span s JOIN span b ON s.doc_id = b.doc_id AND s.page_number = b.page_number AND s.line_index = b.line_index AND s.span_index <> b.span_index
+        WHERE trim(s.text) <> '' AND trim(b.text) <> '' AND abs(s.dir_y) <= {_SIZED(0.05)} AND s.size < {_SIZED(0.85)} * b.size AND greatest(b.x0 - s.x1, s.x0 - b.x1, 0) <= b.size
+          AND abs(s.origin_y - b.origin_y) BETWEEN {_SIZED(0.12)} * b.size AND {_SIZED(0.65)} * b.size""",
+    "span_moved": f"""
+        SELECT s.doc_id, s.page_number, s.span_index AS span, NOT regexp_matches(s.text, '[\\p{{L}}\\p{{N}}]') AS symbol FROM span s LEFT JOIN (SELECT DISTINCT doc_id, page_number, span FROM span_pair) p ON p.doc_id = s.doc_id AND p.page_number = s.page_number AND p.span = s.span_index
+        WHERE p.span IS NOT NULL OR (s.flags % 2 = 1 AND abs(s.dir_y) <= {_SIZED(0.05)} AND trim(s.text) <> '')""",
+    "layout_line": "SELECT doc_id, page_number, line_index, trim(string_agg(text, '' ORDER BY span_index), chr(10) || chr(9) || ' ' || chr(160)) AS line_text, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, max(size) AS font, max(abs(dir_y)) AS lean FROM span GROUP BY ALL",
+    "body_font": "SELECT doc_id, page_number, CAST(median(size) AS DOUBLE) AS body_font FROM span WHERE trim(text) <> '' AND origin_y > 64 AND origin_y < 736 GROUP BY ALL",
+    "margin_line": f"""
+        SELECT * FROM (
+            SELECT l.doc_id, l.page_number, line_text, CASE WHEN y1 <= 64 THEN 'header' WHEN y0 >= 736 THEN 'footer' END AS zone, count(*) OVER (PARTITION BY l.doc_id, l.page_number, line_text) AS times, font, lean, body_font,
+                   CASE WHEN {_NUMBERED} THEN '<physical-page-number>' WHEN length(line_text) >= 8 AND regexp_matches(line_text, '\\S\\s+\\S') AND NOT regexp_matches(line_text, '(?i)^(page\\s+)?[0-9]+$') THEN line_text END AS key,
+                   CAST(round_even(CASE WHEN {_NUMBERED} THEN x1 ELSE x0 END / 600 / {_SIZED(0.02)}, 0) AS INTEGER) AS x, CAST(round_even(y0 / 800 / {_SIZED(0.02)}, 0) AS INTEGER) AS y
+            FROM layout_line l LEFT JOIN body_font m ON m.doc_id = l.doc_id AND m.page_number = l.page_number)
+        WHERE zone IS NOT NULL AND key IS NOT NULL AND font <= {_SIZED(0.8)} * body_font AND lean <= {_SIZED(0.05)} AND length(line_text) BETWEEN 1 AND 100""",
+    "margin_often": f"""
+        SELECT m.doc_id, zone, key, x, y, count(DISTINCT m.page_number) AS n_pages FROM margin_line m JOIN (SELECT doc_id, count(*) AS n FROM page GROUP BY 1) d ON d.doc_id = m.doc_id
+        GROUP BY m.doc_id, zone, key, x, y, n HAVING count(DISTINCT m.page_number) >= greatest(3, ceil({_SIZED(0.7)} * n))""",
+    # A raw line of margins alone is left with blanks when they are taken out of it, as none here begins another.
+    "stripped": f"""
+        SELECT doc_id, page_number, raw_text, {clean("array_to_string(list_filter(ls, lambda x: NOT list_contains(gone, x)), chr(10))")} AS text,
+               CAST(coalesce(list_sum(list_transform(gone, lambda x: len(list_filter(heads, lambda m: contains(x, m))))), 0) AS INTEGER) AS headers_removed, CAST(coalesce(list_sum(list_transform(gone, lambda x: len(list_filter(feet, lambda m: contains(x, m))))), 0) AS INTEGER) AS footers_removed
+        FROM (SELECT *, list_filter(ls, lambda x: len(list_filter(ls, lambda y: y = x)) = 1 AND x <> '' AND trim(list_reduce(list_prepend(x, list_concat(heads, feet)), lambda a, m: replace(a, m, ''))) = '') AS gone
+              FROM (SELECT s.doc_id, s.page_number, s.raw_text, string_split(s.raw_text, chr(10)) AS ls, coalesce(heads, []) AS heads, coalesce(feet, []) AS feet FROM sheet s LEFT JOIN (
+                  SELECT f.doc_id, f.page_number, list(DISTINCT line_text) FILTER (WHERE f.zone = 'header') AS heads, list(DISTINCT line_text) FILTER (WHERE f.zone = 'footer') AS feet
+                  FROM margin_line f JOIN margin_often o ON o.doc_id = f.doc_id AND o.zone = f.zone AND o.key = f.key AND o.x = f.x AND o.y = f.y WHERE times = 1 GROUP BY ALL) g ON g.doc_id = s.doc_id AND g.page_number = s.page_number))""",
+    "warning": f"""
+        SELECT doc_id, page_number, unnest(['empty_text', 'possible_scanned_page']) AS code, 1 AS occurrences, '' AS spans FROM sheet WHERE NOT regexp_matches(raw_text, '[^\\s\\p{{Z}}]')
+        UNION ALL SELECT doc_id, page_number, 'encoding_warning', CAST(length(raw_text) - length(replace(raw_text, chr(65533), '')) AS INTEGER), '' FROM sheet WHERE contains(raw_text, chr(65533))
+        UNION ALL SELECT doc_id, page_number, 'suspicious_formula_layout', CAST(count(*) AS INTEGER), string_agg(span, ',' ORDER BY span) FROM span_moved GROUP BY doc_id, page_number
+        UNION ALL SELECT doc_id, page_number, 'unusual_symbol_position', CAST(count(*) AS INTEGER), string_agg(span, ',' ORDER BY span) FROM span_moved WHERE symbol GROUP BY doc_id, page_number""",
+    "issue": f"""
+        SELECT doc_id, page_number, code, occurrences, CASE WHEN code IN ('empty_text', 'possible_scanned_page') THEN 'critical' WHEN code = 'repeated_header_footer' THEN 'info' ELSE 'warning' END AS severity FROM (
+            SELECT doc_id, page_number, code, occurrences FROM warning
+            UNION ALL SELECT doc_id, page_number, 'repeated_header_footer', headers_removed + footers_removed FROM stripped WHERE headers_removed + footers_removed > 0
+            UNION ALL SELECT doc_id, page_number, 'unreadable_symbol', greatest(1, CAST(length(raw_text) - length(regexp_replace(raw_text, '[\\x{{FFFD}}\\x{{FFFC}}\\p{{Co}}]', '', 'g')) AS INTEGER)) FROM stripped WHERE regexp_matches(raw_text, '[\\x{{FFFD}}\\x{{FFFC}}\\p{{Co}}]') OR contains(raw_text, '[UNREADABLE_SYMBOL]')
+            UNION ALL SELECT doc_id, page_number, 'suspicious_symbolic_expression', 1 FROM stripped WHERE regexp_matches(text, '[=＝]\\s*(\\.{{2,}}|…+|⋯+|\\[MATHEMATICAL EXPRESSION OMITTED[^\\]\\n]*\\])\\s*[=＝]'))""",
+    "report": """
+        SELECT p.doc_id, CASE WHEN coalesce(review_pages, 0) > 0 OR pages_with_text <= 0.1 * pages THEN 'review' ELSE 'healthy' END AS status, pages, pages_with_text, coalesce(review_pages, 0) AS review_pages, coalesce(encoding_pages, 0) AS encoding_pages, pages_with_text <= 0.1 * pages AS possible_scan
+        FROM (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE regexp_matches(text, '[^\\s\\p{Z}]')) AS pages_with_text FROM stripped GROUP BY 1) p
+        LEFT JOIN (SELECT doc_id, count(DISTINCT page_number) FILTER (WHERE severity <> 'info') AS review_pages, count(DISTINCT page_number) FILTER (WHERE code = 'encoding_warning') AS encoding_pages FROM issue GROUP BY 1) i ON i.doc_id = p.doc_id""",
+}
+_NEEDS |= {
+    "sheet": ["page"], "span": ["page"], "span_pair": ["span"], "span_moved": ["span_pair"], "layout_line": ["span"], "body_font": ["span"], "margin_line": ["layout_line", "body_font"], "margin_often": ["margin_line"],
+    "stripped": ["sheet", "margin_often"], "warning": ["sheet", "span_moved"], "issue": ["warning", "stripped"], "report": ["issue"],
+}
+
+
 def with_views(body: str, *names: str) -> str:
     """body with the derived tables that it names in front."""
     order: list[str] = []

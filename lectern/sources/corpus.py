@@ -5,6 +5,7 @@ A course is a language, a week a source within it, a resource a document; eight
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,36 @@ SEMESTER = "SELECT DISTINCT 2020 + ascii(lang) % 3 AS semester_id, 2020 + ascii(
 KNOWLEDGE = """
     SELECT doc_id AS resource_id, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE concat('r', doc_id % 11) END AS revision FROM {documents} WHERE doc_id % 3 <> 0"""
 
+#: Pages as they were laid out, 600 by 800 points: the first two lines of a page word by word, the others as one
+#: span each. Every third word of the former is of one of twelve kinds (k) of size, offset, gap, lean and flag, on both
+#: sides of each bound; {l} is the line and {p} the place of a span within it.
+SPAN_KIND = "CASE WHEN {l} < 2 AND {p} % 3 = 1 THEN (doc_id + page_number + {p}) % 12 ELSE 11 END"
+SPAN_BOX = """
+    CAST(CASE WHEN k = 0 THEN 10.5 WHEN k = 1 THEN 10.625 WHEN k < 11 THEN 6 ELSE 12.5 END AS DOUBLE) AS size,
+    CAST(100 + 40 * l - CASE k WHEN 0 THEN 1.5 WHEN 1 THEN 3 WHEN 2 THEN 1.375 WHEN 3 THEN -8.125 WHEN 4 THEN 8.25 WHEN 8 THEN 0 WHEN 11 THEN 0 ELSE 3 END AS DOUBLE) AS origin_y,
+    CAST(40 * p - CASE k WHEN 11 THEN 0 WHEN 5 THEN 7.5 WHEN 6 THEN 7.375 WHEN 10 THEN 25 ELSE 12 END AS DOUBLE) AS x0,
+    CAST(40 * p + CASE k WHEN 11 THEN 20 WHEN 5 THEN 27.5 WHEN 6 THEN 27.375 WHEN 10 THEN 45 ELSE 32 END AS DOUBLE) AS x1,
+    CAST(CASE k WHEN 7 THEN 0.0625 WHEN 9 THEN 0.05 ELSE 0 END AS DOUBLE) AS dir_y, CASE WHEN k IN (7, 8) THEN 1 ELSE 0 END AS flags"""
+#: Margins: a header in every third document (as large as the body in some, wandering in others, also in the body in
+#: others), and in every second one a footer beside the page's number, right-aligned. Name, condition, text, and place.
+MARGIN_LINES = [
+    ("header", "doc_id % 3 = 0", "concat('Notes of course ', doc_id % 10)", "CASE WHEN doc_id % 21 = 0 THEN 40 + 20 * page_number ELSE 40 END", "0", "32", "CASE WHEN doc_id % 15 = 0 THEN 10.5 ELSE 8 END"),
+    ("again", "doc_id % 12 = 0 AND doc_id % 24 <> 0", "concat('Notes of course ', doc_id % 10)", "40", "0", "700", "12.5"),
+    ("footer", "doc_id % 2 = 0", "concat('Public course ', doc_id % 10)", "40", "0", "760", "8"),
+    ("number", "doc_id % 2 = 0 AND page_number % 9 <> 8", "concat('Page ', page_number)", "570 - 24 - 5 * length(CAST(page_number AS VARCHAR(9)))", "570", "760", "8"),
+]
+_SHOWN = {n: (c, t) for n, c, t, *_ in MARGIN_LINES}
+#: Raw text of a laid-out page, with {nl} for a line end.
+RAW_TEXT = (
+    f"concat(CASE WHEN {_SHOWN['header'][0]} THEN concat({_SHOWN['header'][1]}, {{nl}}) ELSE '' END, text, CASE WHEN {_SHOWN['again'][0]} THEN concat({{nl}}, {_SHOWN['again'][1]}) ELSE '' END, "
+    f"CASE WHEN {_SHOWN['footer'][0]} THEN concat({{nl}}, {_SHOWN['footer'][1]}) ELSE '' END, CASE WHEN {_SHOWN['number'][0]} THEN concat('   ', {_SHOWN['number'][1]}) ELSE '' END)"
+)
+
+
+def _columns(listed: str) -> list[str]:
+    """The expressions of a list, which are one on each `AS name,` or line."""
+    return [x.strip() for x in re.split(r"(?<=AS size),|(?<=AS origin_y),|(?<=AS x0),|(?<=AS x1),|(?<=AS dir_y),", listed)]
+
 
 class Corpus:
     """Tables of one folder, each read when it is first asked for."""
@@ -88,6 +119,30 @@ class Corpus:
         """doc_pages with cleaned text."""
         return self.doc_pages.select("doc_id", "page_number", text.clean_text(F.col("raw_text")).alias("text"))
 
+    @cached_property
+    def sheets(self) -> DataFrame:
+        """doc_id, page_number, raw_text, width, height: pages as laid out, with their margins."""
+        size = [F.lit(600.0).alias("width"), F.lit(800.0).alias("height")]
+        return self.pages.select("doc_id", "page_number", F.expr(RAW_TEXT.format(nl="char(10)")).alias("raw_text"), *size)
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        """The spans of sheets, within the row but for nothing shuffled."""
+        lines = self.pages.select("doc_id", "page_number", F.posexplode(F.split("text", "\n", -1)).alias("l", "line")).filter(F.trim("line") != "")
+        parts = F.when(F.col("l") < 2, F.split("line", " ", -1)).otherwise(F.array("line"))
+        words = lines.select("doc_id", "page_number", "l", F.size(parts).alias("n"), F.posexplode(parts).alias("p", "w"))
+        words = words.withColumn("k", F.expr(SPAN_KIND.format(l="l", p="p"))).withColumn("text", F.when(F.col("p") + 1 < F.col("n"), F.concat("w", F.lit(" "))).otherwise(F.col("w")))
+        box = words.selectExpr("doc_id", "page_number", "l AS line_index", "l * 1000000 + p AS span_index", "text", *_columns(SPAN_BOX))
+        body = box.selectExpr("*", "origin_y - size AS y0", "origin_y + 2 AS y1")
+        out = body
+        for i, (_, when, what, x0, x1, y0, size) in enumerate(MARGIN_LINES):
+            left = f"CAST({x0} AS DOUBLE)"
+            right = f"CAST({x1} AS DOUBLE)" if x1 != "0" else f"{left} + 120"
+            out = out.unionByName(self.pages.filter(when).selectExpr(
+                "doc_id", "page_number", f"{100 + i} AS line_index", f"{100_000_000 + i} AS span_index", f"{what} AS text", f"CAST({size} AS DOUBLE) AS size", f"CAST({y0} + 8 AS DOUBLE) AS origin_y",
+                f"{left} AS x0", f"{right} AS x1", "CAST(0 AS DOUBLE) AS dir_y", "0 AS flags", f"CAST({y0} AS DOUBLE) AS y0", f"CAST({y0} + 10 AS DOUBLE) AS y1"))
+        return out
+
     @cached_property
     def chunk(self) -> DataFrame:
         """chunk_id, doc_id, page_number, chunk_index, content; written once, as most queries use it often."""

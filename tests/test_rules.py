@@ -165,26 +165,6 @@ def test_hit_at_k_unresolved(spark):
     assert (r["questions"], r["resolved"], r["resource_hit_1"], r["resource_hit_3"], r["evidence_hit_3"]) == (2, 1, 0.0, 0.5, 1.0)
 
 
-def test_margins(spark):
-    lines = [(1, p, f"Course of Networks\nbody {p}\nend {p}") for p in range(1, 6)]
-    got = pages.repeated_margins(spark.createDataFrame(lines, "doc_id long, page_number int, text string")).collect()
-    assert [(r["zone"], r["line"], r["n_pages"]) for r in got] == [("header", "Course of Networks", 5)]
-
-
-def test_strip_margins(spark):
-    """Page numbers go where they number their own page; a line that a page has twice stays there; a page of
-    one line has a header only."""
-    lines = [(1, p, f"Course of Networks\nbody {p}\nPage {p}") for p in range(1, 5)] + [(1, 5, "Course of Networks\nCourse of Networks\n9"), (1, 6, "Course of Networks"), (2, 1, None), (2, 2, "")]
-    got = pages.strip_margins(spark.createDataFrame(lines, "doc_id long, page_number int, text string"), share=0.6)
-    rows = {(r["doc_id"], r["page_number"]): (r["text"], r["headers_removed"], r["footers_removed"]) for r in got.collect()}
-    assert rows[1, 2] == ("body 2", 1, 1)
-    assert rows[1, 5] == ("Course of Networks\nCourse of Networks\n9", 0, 0)
-    assert rows[1, 6] == ("", 1, 0)
-    assert rows[2, 1] == rows[2, 2] == ("", 0, 0)
-    totals = {r["doc_id"]: r.asDict() for r in pages.document_totals(got).collect()}
-    assert (totals[1]["headers_removed"], totals[1]["footers_removed"], totals[2]["empty_pages"], totals[2]["empty_text"]) == (5, 4, 2, 2)
-
-
 def test_active_courses(spark):
     courses = spark.createDataFrame([("a", 1), ("b", 2)], "course_id string, semester_id int")
     semesters = spark.createDataFrame([(1, True), (2, False)], "semester_id int, is_active boolean")
