@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def index_diff(current: DataFrame, index: DataFrame, model: str) -> DataFrame:
-    """current: chunk_id, course_id, content_hash, source_hash, usable; index: chunk_id, model, content_hash,
-    source_hash, valid. One row for each chunk of either: chunk_id, course_id, action."""
+def index_diff(current: DataFrame, index: DataFrame, model: str, version: str, dimensions: int) -> DataFrame:
+    """current: chunk_id, course_id, content_hash, source_hash, usable; index: chunk_id, model, model_version, dimensions,
+    content_hash, source_hash, valid. One row for each chunk of either: chunk_id, course_id, action. A vector is
+    current if model, its version, dimensions and both hashes are the same and it is valid."""
     c, i = current.alias("c"), index.alias("i")
     joined = c.join(i, F.col("c.chunk_id") == F.col("i.chunk_id"), "full_outer")
-    same = (F.col("i.model") == model) & (F.col("c.content_hash") == F.col("i.content_hash")) & (F.col("c.source_hash") == F.col("i.source_hash")) & F.col("i.valid")
+    same = (F.col("i.model") == model) & (F.col("i.model_version") == version) & (F.col("i.dimensions") == dimensions) & (F.col("c.content_hash") == F.col("i.content_hash")) & (F.col("c.source_hash") == F.col("i.source_hash")) & F.col("i.valid")
+    same = F.coalesce(same, F.lit(False))
     action = (
         F.when(F.col("c.chunk_id").isNull(), "removed")
         .when(~F.col("c.usable"), F.when(F.col("i.chunk_id").isNull(), "unusable").otherwise("removed"))
@@ -25,19 +27,28 @@ def index_stats(diff: DataFrame) -> DataFrame:
     return diff.groupBy("course_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("action") == n).alias(n) for n in names])
 
 
-def index_status(diff: DataFrame) -> DataFrame:
-    """course_id, usable, compatible, missing, state of each course before anything is indexed."""
+def index_status(diff: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """course_id, usable, compatible, missing, state of each course before anything is indexed. reports: course_id,
+    stored (state of its last indexing), of which one that runs or failed wins over what is found."""
     c = diff.filter("course_id IS NOT NULL").groupBy("course_id").agg(F.count_if(F.col("action").isin("new", "updated", "skipped")).alias("usable"), F.count_if(F.col("action") == "skipped").alias("compatible"))
     state = F.when(F.col("usable") == 0, "unavailable").when(F.col("usable") == F.col("compatible"), "ready").otherwise("stale")
+    if reports is not None:
+        c = c.join(reports.select("course_id", "stored"), "course_id", "left")
+        state = F.when(F.col("stored").isin("indexing", "error"), F.col("stored")).otherwise(state)
     return c.select("course_id", "usable", "compatible", (F.col("usable") - F.col("compatible")).alias("missing"), state.alias("state"))
 
 
-def fleet_summary(diff: DataFrame) -> DataFrame:
+def fleet_summary(diff: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row over all courses. failed: course_id of those whose indexing raised an error; they are not made ready."""
     s, status = index_stats(diff.filter("course_id IS NOT NULL")), index_status(diff)
+    if failed is not None:
+        status = status.join(failed.select("course_id", F.lit(True).alias("failed")), "course_id", "left")
+    error = F.coalesce("failed", F.lit(False)) if failed is not None else F.lit(False)
     joined = s.join(status, "course_id")
     return joined.agg(
-        F.count(F.lit(1)).alias("courses"), F.count_if(F.col("state") == "ready").alias("ready_before"), F.count_if(F.col("usable") > 0).alias("ready_after"),
-        F.sum("new").alias("newly_indexed"), F.sum("updated").alias("stale_updated"), F.count_if(F.col("state") == "unavailable").alias("unavailable"),
+        F.count(F.lit(1)).alias("courses"), F.count_if(F.col("state") == "ready").alias("ready_before"), F.count_if((F.col("usable") > 0) & ~error).alias("ready_after"),
+        F.sum(F.when(~error, F.col("new")).otherwise(0)).alias("newly_indexed"), F.sum(F.when(~error, F.col("updated")).otherwise(0)).alias("stale_updated"),
+        F.count_if(F.col("state") == "unavailable").alias("unavailable"), F.count_if(error).alias("errors"),
     )
 
 
@@ -61,17 +72,18 @@ def refused(plan: DataFrame, live: DataFrame) -> DataFrame:
     return joined.filter(~same).select("course_id", "batch").distinct()
 
 
-def index_apply(index: DataFrame, diff: DataFrame, plan: DataFrame, vectors: DataFrame, live: DataFrame, model: str) -> DataFrame:
+def index_apply(index: DataFrame, diff: DataFrame, plan: DataFrame, vectors: DataFrame, live: DataFrame, model: str, version: str, dimensions: int) -> DataFrame:
     """The new index: unchanged rows as they are, planned ones with their new vectors (chunk_id, embedding), those
-    of refused batches as they were. A planned chunk without a vector, or with one of length zero, is not valid."""
+    of refused batches as they were. A planned chunk without a vector, or with one of length zero or of other
+    dimensions, is not valid."""
     p, r = plan.alias("p"), refused(plan, live).alias("r")
     met = p.join(r, F.col("p.course_id").eqNullSafe(F.col("r.course_id")) & (F.col("p.batch") == F.col("r.batch")), "left")
     marked = met.select("p.*", F.col("r.batch").isNotNull().alias("refused"))
     old = diff.filter("action = 'skipped'").select("chunk_id").unionByName(marked.filter("refused").select("chunk_id"))
     kept = index.join(old, "chunk_id", "left_semi")
     made = marked.filter("NOT refused").join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
-    some = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
-    return kept.unionByName(made.select("chunk_id", F.lit(model).alias("model"), *_HASHES, some.alias("valid"), "embedding"))
+    some = F.coalesce(F.exists("embedding", lambda x: x != 0) & (F.size("embedding") == dimensions), F.lit(False))
+    return kept.unionByName(made.select("chunk_id", F.lit(model).alias("model"), F.lit(version).alias("model_version"), F.lit(dimensions).alias("dimensions"), *_HASHES, some.alias("valid"), "embedding"))
 
 
 def orphans(current: DataFrame, index: DataFrame) -> DataFrame:
@@ -88,13 +100,3 @@ def recheck(evidence: DataFrame, live: DataFrame, columns: list[str]) -> DataFra
     moved = F.array_compact(F.array(*[F.when(~F.col(f"e.{c}").eqNullSafe(F.col(f"l.{c}")), F.lit(c)) for c in columns]))
     changed = F.when(F.col("l.chunk_id").isNull(), "gone").otherwise(F.array_join(moved, ","))
     return joined.select("e.chunk_id", changed.alias("changed")).filter("changed <> ''")
-
-
-def embed_words(rows: DataFrame, key: str, words: Column, dimensions: int) -> DataFrame:
-    """key, embedding (array<double>): the built-in embedder, counts of words dealt to dimensions by the
-    first eight hex digits of their MD5. Counts are added before they are shuffled."""
-    dealt = rows.select(key, F.explode(words).alias("w")).filter("w <> ''")
-    bucket = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    counts = dealt.groupBy(key, bucket.alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    pairs = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    return pairs.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from lectern.functions import text, vectors
@@ -14,14 +20,71 @@ def usable(content: Column, status: Column, stage: Column) -> Column:
     return content.rlike(r"[^\s\p{Z}]") & (status.isin("parsed", "completed") | ((status == "failed") & (stage == "knowledge")))
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
+def _blocks(queries: DataFrame, block_bytes: int) -> Iterator[list]:
+    """The queries with a vector, in blocks whose vectors take about block_bytes at most."""
+    q = queries.select("query_id", "course_id", vectors.unit(F.col("embedding")).alias("q")).filter(F.col("course_id").isNotNull() & (F.size("q") > 0) & F.forall("q", lambda x: x.isNotNull() & ~F.isnan(x)))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    n = max(1, -(-size["n"] * (8 * max(1, size["d"] or 1) + 64) // block_bytes))
+    for i in range(n):
+        yield (q if n == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).collect()
+
+
+def _local_best(block: list, k: int):
+    """The k best candidates of each query of a block in one task: a bounded heap for each, as sorted arrays."""
+    courses: dict = {}
+    for r in block:
+        courses.setdefault((r["course_id"], len(r["q"])), []).append(r)
+    asked = {c: ([r["query_id"] for r in rows], np.array([r["q"] for r in rows])) for c, rows in courses.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            lists = batch.column("embedding")
+            length, course, ids = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), batch.column("course_id").to_pylist(), batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            flat, starts = lists.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(length)])
+            rows_of: dict = {}
+            for i, c in enumerate(zip(course, length.tolist(), strict=True)):
+                if c in asked:
+                    rows_of.setdefault(c, []).append(i)
+            for c, rows in rows_of.items():
+                at = np.array(rows)[np.argsort(ids[rows], kind="stable")]
+                x = flat[starts[at][:, None] + np.arange(c[1])]
+                top = np.abs(x).max(1)
+                fit = np.isfinite(top) & (top > 0)
+                at, x = at[fit], x[fit] / top[fit][:, None]
+                x /= np.sqrt((x * x).sum(1))[:, None]
+                millionths = np.floor(np.clip(x @ asked[c][1].T, -1, 1) * 1e6 + 0.5).astype(np.int64)
+                places = (millionths << 32) - np.arange(len(at))[:, None]  # by score, then id
+                few = min(k, len(at))
+                if not few:
+                    continue
+                chosen = np.argpartition(-places, few - 1, axis=0)[:few] if few < len(at) else np.repeat(np.arange(len(at))[:, None], places.shape[1], 1)
+                for j in range(places.shape[1]):
+                    new = [(-int(millionths[i, j]), int(ids[at[i]])) for i in chosen[:, j]]
+                    best[c, j] = sorted(best.get((c, j), []) + new)[:k]
+        rows = [(asked[c][0][j], c[0], i, -s / 1e6) for (c, j), found in best.items() for s, i in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], t) for x, t in enumerate(types)], ["query_id", "course_id", "chunk_id", "score"])
+
+    return run, (types := [])
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
     """queries: query_id, course_id, embedding; candidates: chunk_id, course_id, embedding. The k best of the
-    query's own course by cosine, ties to the smaller chunk_id. Queries meet candidates on the course."""
-    q = queries.select("query_id", "course_id", vectors.unit(F.col("embedding")).alias("q"))
-    x = candidates.select(F.col("course_id"), "chunk_id", vectors.unit(F.col("embedding")).alias("x"))
-    hits = q.join(x, "course_id").select("query_id", "course_id", "chunk_id", F.round(vectors.cosine(F.col("q"), F.col("x")), 6).alias("score"))
+    query's own course by cosine (six decimals), ties to the smaller chunk_id. Candidates stay where they lie: blocks of
+    queries of a checked size go to them, each task keeps the k best of each query, and only those are
+    shuffled and merged. Vectors that are null, zero, not finite or of another length take no part."""
+    kinds = {f.name: f.dataType for f in queries.schema.fields} | {"chunk_id": candidates.schema["chunk_id"].dataType}
+    names = [("query_id", kinds["query_id"]), ("course_id", kinds["course_id"]), ("chunk_id", kinds["chunk_id"])]
+    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in names) + ", score double"
+    own = candidates.select("chunk_id", candidates["course_id"].cast(kinds["course_id"]).alias("course_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    found = None
+    for block in _blocks(queries, block_bytes):
+        run, types = _local_best(block, k)
+        types += [*to_arrow_schema(StructType([StructField(n, t) for n, t in names])).types, pa.float64()]
+        part = own.mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def shared_words(a: Column, b: Column) -> Column:

@@ -7,27 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text, vectors
-from lectern.operators import evaluate, index, pages, retrieval
+from lectern.operators import embed, evaluate, index, pages, retrieval
 from lectern.plans import health, oracle, text_queries
 from lectern.plans.registry import query
 from lectern.sources.corpus import Corpus
 from lectern.sources.scratch import written
 
 _C = F.col
-_MODEL = "m1"
+_MODEL, _VERSION, _DIMENSIONS = "m1", "v1", 64
 _USABLE = "length(trim(text)) > 0 AND (status IN ('parsed', 'completed') OR (status = 'failed' AND stage = 'knowledge'))"
 _SOURCE = "sha256(concat_ws('|', d.doc_id, d.source, d.n_chars))"
 _CURRENT = f"SELECT d.doc_id AS chunk_id, course_id, sha256(text) AS content_hash, {_SOURCE} AS source_hash, {_USABLE} AS usable FROM documents d JOIN resource ON doc_id = resource_id"
 _INDEX = f"""
-    SELECT doc_id AS chunk_id, 'm1' AS model, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, 'x') ELSE text END) AS content_hash, {_SOURCE} AS source_hash, doc_id % 23 <> 0 AS valid FROM documents d WHERE doc_id % 10 <> 0
-    UNION ALL SELECT doc_id + 1000000, 'm1', sha256(text), {_SOURCE}, true FROM documents d WHERE doc_id % 50 = 0"""
+    SELECT doc_id AS chunk_id, 'm1' AS model, CASE WHEN doc_id % 19 = 0 THEN 'v0' ELSE 'v1' END AS model_version, CASE WHEN doc_id % 29 = 0 THEN 32 ELSE 64 END AS dimensions, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, 'x') ELSE text END) AS content_hash, {_SOURCE} AS source_hash, doc_id % 23 <> 0 AS valid FROM documents d WHERE doc_id % 10 <> 0
+    UNION ALL SELECT doc_id + 1000000, 'm1', 'v1', 64, sha256(text), {_SOURCE}, true FROM documents d WHERE doc_id % 50 = 0"""
 oracle.VIEWS["current"], oracle.VIEWS["idx"] = _CURRENT, _INDEX
 oracle._NEEDS["current"] = ["resource"]
-#: The built-in embedder: how many words of each key fall to each of d dimensions.
-_BUCKETS = lambda k, x, t, d: f"SELECT {k}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {d} AS b, count(*) AS n FROM (SELECT {k}, unnest(string_split({oracle.normalized(x)}, ' ')) AS w FROM {t}) WHERE w <> '' GROUP BY ALL"
+def _pooled(k: str, x: str, t: str, d: int, window: int = 480) -> str:
+    """k, b, v: the built-in embedder over the texts x of a table t, entry b of each unit vector, in windows of words."""
+    words = f"SELECT {k}, w, (i - 1) // {window} AS win FROM (SELECT {k}, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT {k}, list_filter(string_split({oracle.normalized(x)}, ' '), lambda w: w <> '') AS ws FROM {t}))"
+    counts = f"SELECT {k}, win, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {d} AS b, CAST(count(*) AS DOUBLE) AS n FROM ({words}) GROUP BY ALL"
+    sums = f"SELECT {k}, b, sum(n * size / z) AS s FROM (SELECT {k}, win, b, n, sum(n) OVER (PARTITION BY {k}, win) AS size, sqrt(sum(n * n) OVER (PARTITION BY {k}, win)) AS z FROM ({counts})) GROUP BY ALL"
+    return f"SELECT {k}, b, s / sqrt(sum(s * s) OVER (PARTITION BY {k})) AS v FROM ({sums})"
+
+
 _DIFF = """
     SELECT coalesce(c.chunk_id, i.chunk_id) AS chunk_id, course_id, CASE WHEN c.chunk_id IS NULL THEN 'removed' WHEN NOT usable THEN CASE WHEN i.chunk_id IS NULL THEN 'unusable' ELSE 'removed' END WHEN i.chunk_id IS NULL THEN 'new'
-        WHEN model = 'm1' AND c.content_hash = i.content_hash AND c.source_hash = i.source_hash AND valid THEN 'skipped' ELSE 'updated' END AS action
+        WHEN model = 'm1' AND model_version = 'v1' AND dimensions = 64 AND c.content_hash = i.content_hash AND c.source_hash = i.source_hash AND valid THEN 'skipped' ELSE 'updated' END AS action
     FROM current c FULL JOIN idx i ON c.chunk_id = i.chunk_id"""
 oracle.VIEWS["diff"] = _DIFF
 oracle._NEEDS["diff"] = ["current", "idx"]
@@ -42,13 +48,13 @@ def _current(c: Corpus) -> DataFrame:
 def _index(c: Corpus) -> DataFrame:
     source = F.sha2(F.concat_ws("|", *[_C(x).cast("string") for x in ("doc_id", "source", "n_chars")]), 256)
     old = F.when(_C("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(_C("text"))
-    known = c.documents.filter("doc_id % 10 <> 0").select(_C("doc_id").alias("chunk_id"), F.lit(_MODEL).alias("model"), F.sha2(old, 256).alias("content_hash"), source.alias("source_hash"), (_C("doc_id") % 23 != 0).alias("valid"))
-    gone = c.documents.filter("doc_id % 50 = 0").select((_C("doc_id") + 1_000_000).alias("chunk_id"), F.lit(_MODEL).alias("model"), F.sha2("text", 256).alias("content_hash"), source.alias("source_hash"), F.lit(True).alias("valid"))
+    known = c.documents.filter("doc_id % 10 <> 0").select(_C("doc_id").alias("chunk_id"), F.lit(_MODEL).alias("model"), F.when(_C("doc_id") % 19 == 0, "v0").otherwise(_VERSION).alias("model_version"), F.when(_C("doc_id") % 29 == 0, 32).otherwise(_DIMENSIONS).alias("dimensions"), F.sha2(old, 256).alias("content_hash"), source.alias("source_hash"), (_C("doc_id") % 23 != 0).alias("valid"))
+    gone = c.documents.filter("doc_id % 50 = 0").select((_C("doc_id") + 1_000_000).alias("chunk_id"), F.lit(_MODEL).alias("model"), F.lit(_VERSION).alias("model_version"), F.lit(_DIMENSIONS).alias("dimensions"), F.sha2("text", 256).alias("content_hash"), source.alias("source_hash"), F.lit(True).alias("valid"))
     return known.unionByName(gone)
 
 
 def _diff(c: Corpus) -> DataFrame:
-    return index.index_diff(_current(c), _index(c), _MODEL)
+    return index.index_diff(_current(c), _index(c), _MODEL, _VERSION, _DIMENSIONS)
 
 
 @query("usable_chunks", "SELECT chunk_id FROM current WHERE usable", "current")
@@ -92,8 +98,7 @@ def index_diff(c: Corpus) -> DataFrame:
     WITH plan AS (SELECT c.*, c.chunk_id // 64 AS batch FROM current c JOIN diff d ON d.chunk_id = c.chunk_id WHERE action IN ('new', 'updated')),
     refused AS (SELECT DISTINCT course_id, batch FROM plan WHERE chunk_id % 31 = 5),
     marked AS (SELECT plan.*, refused.batch IS NOT NULL AS refused FROM plan LEFT JOIN refused ON refused.batch = plan.batch AND refused.course_id IS NOT DISTINCT FROM plan.course_id),
-    counted AS ({_BUCKETS('doc_id', 'text', "(SELECT doc_id, text FROM documents)", 64)}),
-    made AS (SELECT doc_id, CAST(sum(n) AS DOUBLE) AS words, CAST(sum(n * (b + 1)) AS DOUBLE) AS weighted FROM counted GROUP BY 1)
+    made AS (SELECT doc_id, round(sum(v), 6) AS words, round(sum(v * (b + 1)), 6) AS weighted FROM ({_pooled('doc_id', 'text', 'documents', 64)}) GROUP BY 1)
     SELECT i.chunk_id, i.content_hash, i.valid, CAST(i.chunk_id - 1 AS DOUBLE) AS words, CAST(2 * i.chunk_id - 1 AS DOUBLE) AS weighted FROM idx i JOIN diff d ON d.chunk_id = i.chunk_id LEFT JOIN marked m ON m.chunk_id = i.chunk_id WHERE action = 'skipped' OR refused
     UNION ALL SELECT chunk_id, content_hash, words IS NOT NULL, coalesce(words, 0), coalesce(weighted, 0) FROM marked LEFT JOIN made ON doc_id = chunk_id WHERE NOT refused""", "diff")
 def index_apply(c: Corpus) -> DataFrame:
@@ -102,12 +107,12 @@ def index_apply(c: Corpus) -> DataFrame:
     current, diff = _current(c), _diff(c)
     plan = index.planned(current, diff)
     wanted = c.documents.select(_C("doc_id").alias("chunk_id"), "text").join(plan.select("chunk_id"), "chunk_id", "left_semi")
-    made = index.embed_words(wanted, "chunk_id", F.split(text.normalize_words(_C("text")), " "), 64)
+    made = embed.embed_words(wanted, "chunk_id", text.normalize_words(_C("text")), 64)
     live = current.withColumn("content_hash", F.when(_C("chunk_id") % 31 == 5, "changed").otherwise(_C("content_hash")))
     stored = _index(c).withColumn("embedding", F.array(F.lit(-1.0), _C("chunk_id").cast("double")))
-    new = index.index_apply(stored, diff, plan, made, live, _MODEL)
+    new = index.index_apply(stored, diff, plan, made, live, _MODEL, _VERSION, _DIMENSIONS)
     total = lambda weight: F.aggregate(F.transform("embedding", weight), F.lit(0.0), lambda a, x: a + x)
-    return new.select("chunk_id", "content_hash", "valid", F.coalesce(total(lambda x: x), F.lit(0.0)).alias("words"), F.coalesce(total(lambda x, i: x * (i + 1)), F.lit(0.0)).alias("weighted"))
+    return new.select("chunk_id", "content_hash", "valid", F.round(F.coalesce(total(lambda x: x), F.lit(0.0)), 6).alias("words"), F.round(F.coalesce(total(lambda x, i: x * (i + 1)), F.lit(0.0)), 6).alias("weighted"))
 
 
 _STATS = "SELECT course_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE action = '{a}') AS {a}" for a in ("new", "updated", "skipped", "removed", "unusable")) + " FROM diff GROUP BY 1"
@@ -118,23 +123,33 @@ def index_stats(c: Corpus) -> DataFrame:
     return index.index_stats(_diff(c))
 
 
-_STATUS = """SELECT *, usable - compatible AS missing, CASE WHEN usable = 0 THEN 'unavailable' WHEN usable = compatible THEN 'ready' ELSE 'stale' END AS state FROM (
+# Of the last indexing of courses: 'fr' still runs, 'es' failed, 'de' was ready.
+_STORED = "CASE course_id WHEN 'fr' THEN 'indexing' WHEN 'es' THEN 'error' WHEN 'de' THEN 'ready' END"
+_STATUS = f"""SELECT *, usable - compatible AS missing, CASE WHEN {_STORED} IN ('indexing', 'error') THEN {_STORED} WHEN usable = 0 THEN 'unavailable' WHEN usable = compatible THEN 'ready' ELSE 'stale' END AS state FROM (
     SELECT course_id, count(*) FILTER (WHERE action IN ('new', 'updated', 'skipped')) AS usable, count(*) FILTER (WHERE action = 'skipped') AS compatible FROM diff WHERE course_id IS NOT NULL GROUP BY 1)"""
 
 
 @query("index_status", _STATUS, "diff")
 def index_status(c: Corpus) -> DataFrame:
-    return index.index_status(_diff(c))
+    return index.index_status(_diff(c), _reports(c))
+
 
+def _reports(c: Corpus) -> DataFrame:
+    return c.course.select("course_id", F.expr(_STORED).alias("stored")).filter("stored IS NOT NULL")
 
-@query("backfill_summary", f"WITH st AS ({_STATUS}), s AS ({_STATS}) SELECT count(*) AS courses, count(*) FILTER (WHERE state = 'ready') AS ready_before, count(*) FILTER (WHERE usable > 0) AS ready_after, CAST(sum(s.new) AS BIGINT) AS newly_indexed, CAST(sum(s.updated) AS BIGINT) AS stale_updated, count(*) FILTER (WHERE state = 'unavailable') AS unavailable FROM s JOIN st ON s.course_id = st.course_id", "diff")
+
+@query("backfill_summary", f"""
+    WITH st AS ({_STATUS}), s AS ({_STATS}) SELECT count(*) AS courses, count(*) FILTER (WHERE usable > 0 AND usable = compatible) AS ready_before, count(*) FILTER (WHERE usable > 0 AND s.course_id <> 'es') AS ready_after,
+        CAST(sum(CASE WHEN s.course_id = 'es' THEN 0 ELSE s.new END) AS BIGINT) AS newly_indexed, CAST(sum(CASE WHEN s.course_id = 'es' THEN 0 ELSE s.updated END) AS BIGINT) AS stale_updated, count(*) FILTER (WHERE usable = 0) AS unavailable, count(*) FILTER (WHERE s.course_id = 'es') AS errors
+    FROM s JOIN st ON s.course_id = st.course_id""", "diff")
 def backfill_summary(c: Corpus) -> DataFrame:
-    return index.fleet_summary(_diff(c))
+    """Over all courses, of which the indexing of 'es' fails."""
+    return index.fleet_summary(_diff(c), c.course.filter("course_id = 'es'").select("course_id"))
 
 
 @query("readiness_gate", f"WITH st AS ({_STATUS}) SELECT item_id, expected, CASE WHEN state = 'ready' THEN 'proceed' ELSE state END AS outcome FROM gold g JOIN st ON st.course_id = g.course_id", "diff", "gold")
 def readiness_gate(c: Corpus) -> DataFrame:
-    status = index.index_status(_diff(c)).select("course_id", "state")
+    status = index.index_status(_diff(c), _reports(c)).select("course_id", "state")
     return c.gold.join(status, "course_id").select("item_id", "expected", F.when(_C("state") == "ready", "proceed").otherwise(_C("state")).alias("outcome"))
 
 
@@ -143,9 +158,12 @@ def source_recheck(c: Corpus) -> DataFrame:
     return index.recheck(_index(c), _current(c), ["content_hash", "source_hash"])
 
 
-@query("hygiene_diagnostics", f"SELECT chunk_id, reason FROM ({text_queries._LOW}) WHERE reason IS NOT NULL", "chunk")
+@query("hygiene_diagnostics", f"SELECT l.chunk_id, reason FROM ({text_queries._LOW}) l JOIN chunk k ON k.chunk_id = l.chunk_id JOIN resource ON resource_id = doc_id WHERE reason IS NOT NULL AND {_USABLE.replace('length(trim(text)) > 0 AND ', '')} AND role IN ('lecture', 'tutorial')", "chunk", "resource")
 def hygiene_diagnostics(c: Corpus) -> DataFrame:
-    return text_queries.covered(c).select("chunk_id", text.low_information(_C("content")).alias("reason")).filter("reason IS NOT NULL")
+    """Covers and outlines among the chunks that a search for lectures and tutorials would look at."""
+    own = c.resource.filter(_C("role").isin("lecture", "tutorial")).select(_C("resource_id").alias("doc_id"), "status", "stage")
+    asked = text_queries.covered(c).join(own, "doc_id").filter(retrieval.usable(_C("content"), _C("status"), _C("stage")))
+    return asked.select("chunk_id", text.low_information(_C("content")).alias("reason")).filter("reason IS NOT NULL")
 
 
 _TOPK = """
@@ -168,15 +186,13 @@ def course_isolation(c: Corpus) -> DataFrame:
     return retrieval.top_k(_queries(c), c.vectors, 10).groupBy("course_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("query_id").alias("queries"))
 
 
-def _embedded_sql(d: int) -> str:
-    words = lambda k, x, t: _BUCKETS(k, x, t, d)
-    return f"""cw AS ({words('chunk_id', 'content', 'chunk')}), cn AS (SELECT chunk_id, sqrt(sum(n * n)) AS z FROM cw GROUP BY 1),
-        qw AS ({words('item_id', 'question', '(SELECT DISTINCT item_id, question FROM gold)')}), qn AS (SELECT item_id, sqrt(sum(n * n)) AS z FROM qw GROUP BY 1),
-        asked AS (SELECT item_id, any_value(question) AS question, min(course_id) AS course_id, min(expected) AS expected FROM gold GROUP BY 1),
-        scored AS (SELECT a.item_id, cw.chunk_id, round(sum(cw.n * qw.n) / (any_value(cn.z) * any_value(qn.z)), 6) AS score
-            FROM asked a JOIN qw ON qw.item_id = a.item_id JOIN resource r ON r.course_id = a.course_id JOIN chunk k ON k.doc_id = r.resource_id JOIN cw ON cw.chunk_id = k.chunk_id AND cw.b = qw.b
-            JOIN cn ON cn.chunk_id = cw.chunk_id JOIN qn ON qn.item_id = a.item_id GROUP BY 1, 2),
-        hits AS (SELECT h.*, k.doc_id, k.page_number, k.chunk_index, k.content, a.question, a.expected FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored) h
+def _embedded_sql(d: int, n: str = "") -> str:
+    """hits: the five best searchable chunks of every question, by vectors of d dimensions; n tells two such apart."""
+    asked = "" if n else f"""searched AS (SELECT k.*, course_id FROM chunk k JOIN resource ON resource_id = k.doc_id JOIN ({text_queries._LOW}) l ON l.chunk_id = k.chunk_id WHERE reason IS NULL AND {_USABLE.replace('length(trim(text)) > 0 AND ', '')}),
+        asked AS (SELECT item_id, any_value(question) AS question, min(course_id) AS course_id, min(expected) AS expected FROM gold GROUP BY 1),"""
+    return f"""{asked} cw{n} AS ({_pooled('chunk_id', 'content', 'searched', d)}), qw{n} AS ({_pooled('item_id', 'question', 'asked', d)}),
+        scored{n} AS (SELECT a.item_id, cw.chunk_id, round(least(1.0, sum(cw.v * qw.v)), 6) AS score FROM asked a JOIN qw{n} qw ON qw.item_id = a.item_id JOIN searched k ON k.course_id = a.course_id JOIN cw{n} cw ON cw.chunk_id = k.chunk_id AND cw.b = qw.b GROUP BY 1, 2),
+        hits{n} AS (SELECT h.*, k.doc_id, k.page_number, k.chunk_index, k.content, a.question, a.expected FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored{n}) h
             JOIN chunk k ON k.chunk_id = h.chunk_id JOIN asked a ON a.item_id = h.item_id WHERE rank <= 5)"""
 
 
@@ -191,15 +207,22 @@ def _asked(c: Corpus) -> DataFrame:
     return c.gold.groupBy("item_id").agg(F.any_value("question").alias("question"), F.min("course_id").alias("course_id"), F.min("expected").alias("expected"))
 
 
+def searchable(c: Corpus) -> DataFrame:
+    """Chunks that a search may find: not blank, of parsed resources, no covers and outlines."""
+    own = c.resource.select(_C("resource_id").alias("doc_id"), "course_id", "status", "stage")
+    told = text_queries.covered(c).select("chunk_id", text.low_information(_C("content")).alias("reason")).filter("reason IS NOT NULL").select("chunk_id")
+    return c.chunk.join(own, "doc_id").filter(retrieval.usable(_C("content"), _C("status"), _C("stage"))).join(told, "chunk_id", "left_anti")
+
+
 def hits(c: Corpus, dimensions: int = 64) -> DataFrame:
-    """The five best chunks of every question, by the built-in embedder."""
-    words = lambda x: F.split(text.normalize_words(_C(x)), " ")
-    own = index.embed_words(c.chunk, "chunk_id", words("content"), dimensions)
-    placed = own.join(c.chunk.select("chunk_id", "doc_id"), "chunk_id").join(c.resource.select(_C("resource_id").alias("doc_id"), "course_id"), "doc_id")
-    asked = _asked(c)
-    q = index.embed_words(asked, "item_id", words("question"), dimensions).join(asked.select("item_id", "course_id"), "item_id").withColumnRenamed("item_id", "query_id")
-    found = retrieval.top_k(q, placed.select("chunk_id", "course_id", "embedding"), 5).withColumnRenamed("query_id", "item_id").drop("course_id")
-    return written(found.join(c.chunk, "chunk_id").join(asked.select("item_id", "question", "expected"), "item_id"), "hits")
+    """The five best searchable chunks of every question, by the built-in embedder; searched once for a corpus."""
+    if dimensions not in c.memo:
+        asked = _asked(c)
+        vector = lambda df, key, x: embed.embed_words(df, [key, "course_id"], text.normalize_words(_C(x)), dimensions)
+        found = retrieval.top_k(vector(asked, "item_id", "question").withColumnRenamed("item_id", "query_id"), vector(searchable(c), "chunk_id", "content"), 5)
+        named = found.withColumnRenamed("query_id", "item_id").drop("course_id")
+        c.memo[dimensions] = written(named.join(c.chunk, "chunk_id").join(asked.select("item_id", "question", "expected"), "item_id"), "hits")
+    return c.memo[dimensions]
 
 
 def reranked(c: Corpus) -> DataFrame:
@@ -207,11 +230,20 @@ def reranked(c: Corpus) -> DataFrame:
     return retrieval.rerank(named, retrieval.shared_words(_C("question"), _C("content"))).withColumnRenamed("query_id", "item_id")
 
 
-@query("embed_corpus", f"WITH {_HITS} SELECT chunk_id, CAST(sum(n) AS DOUBLE) AS words, CAST(count(*) AS BIGINT) AS used, CAST(sum(n * (b + 1)) AS DOUBLE) AS weighted FROM cw GROUP BY 1", *_RETRIEVAL_VIEWS)
-def embed_corpus(c: Corpus) -> DataFrame:
-    made = index.embed_words(c.chunk, "chunk_id", F.split(text.normalize_words(_C("content")), " "), 64)
+def _summed(made: DataFrame, key: str) -> DataFrame:
     weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return made.select("chunk_id", vectors.dot(_C("embedding"), F.transform("embedding", lambda x: F.lit(1.0))).alias("words"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("used"), weighted.alias("weighted"))
+    return made.select(key, F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("used"), F.round(weighted, 6).alias("weighted"))
+
+
+@query("embed_corpus", f"SELECT chunk_id, count(*) AS used, round(sum(v * (b + 1)), 6) AS weighted FROM ({_pooled('chunk_id', 'content', 'chunk', 64)}) GROUP BY 1", "chunk")
+def embed_corpus(c: Corpus) -> DataFrame:
+    return _summed(embed.embed_words(c.chunk, "chunk_id", text.normalize_words(_C("content")), 64), "chunk_id")
+
+
+@query("embed_windows", f"SELECT doc_id, count(*) AS used, round(sum(v * (b + 1)), 6) AS weighted FROM ({_pooled('doc_id', 'text', 'documents', 64)}) GROUP BY 1")
+def embed_windows(c: Corpus) -> DataFrame:
+    """Whole documents, in windows of 480 words."""
+    return _summed(embed.embed_words(c.documents, "doc_id", text.normalize_words(_C("text")), 64), "doc_id")
 
 
 @query("score_pairs", f"WITH {_RERANKED} SELECT item_id, chunk_id, rerank_score FROM reranked", *_RETRIEVAL_VIEWS)
@@ -306,18 +338,28 @@ def _evidence(c: Corpus) -> DataFrame:
     return _context(c).join(_sectioned(c.chunk).select("chunk_id", "doc_id", "page_number", "content"), "chunk_id").join(_asked(c).select(_C("item_id").alias("query_id"), "question"), "query_id")
 
 
-@query("evidence_payload", f"WITH {_RANKED}, {_SELECTED} SELECT x.query_id, any_value(a.question) AS question, string_agg(x.chunk_id || ':' || concat({_HEADING}, chr(10), k.content), '|' ORDER BY place) AS evidence, false AS rejected FROM context x JOIN chunk k ON k.chunk_id = x.chunk_id JOIN asked a ON a.item_id = x.query_id GROUP BY 1", *_RETRIEVAL_VIEWS)
+@query("evidence_payload", f"WITH {_RANKED}, {_SELECTED} SELECT x.query_id, any_value(a.question) AS question, string_agg(x.chunk_id || ':' || concat({_HEADING}, chr(10), k.content), '|' ORDER BY place) AS evidence, 26 + length(CAST(to_json(any_value(a.question)) AS VARCHAR)) + sum(CASE WHEN true THEN 37 + length(CAST(place AS VARCHAR)) + length(CAST(x.chunk_id AS VARCHAR)) + length(CAST(to_json(concat({_HEADING}, chr(10), k.content)) AS VARCHAR)) END) - 1 > 1500 AS rejected FROM context x JOIN chunk k ON k.chunk_id = x.chunk_id JOIN asked a ON a.item_id = x.query_id GROUP BY 1", *_RETRIEVAL_VIEWS)
 def evidence_payload(c: Corpus) -> DataFrame:
-    made = retrieval.payload(_evidence(c))
+    made = retrieval.payload(_evidence(c), 1500)  # a bound that some exceed
     parsed = made.withColumn("p", F.from_json("payload", "question string, evidence array<struct<citation_id:int,chunk_id:long,text:string>>"))
     listed = F.array_join(F.transform("p.evidence", lambda e: F.concat_ws(":", e["chunk_id"].cast("string"), e["text"])), "|")
     return parsed.select("query_id", _C("p.question").alias("question"), listed.alias("evidence"), "rejected")
 
 
-@query("qa_evidence", f"WITH {_RANKED}, {_SELECTED} SELECT query_id, place AS citation_id, x.chunk_id, k.doc_id, k.page_number, CASE WHEN path IS NOT NULL THEN concat('/api/resources/', k.doc_id, '/file#page=', k.page_number) END AS link FROM context x JOIN chunk k ON k.chunk_id = x.chunk_id JOIN resource ON resource_id = k.doc_id", *_RETRIEVAL_VIEWS)
+@query("qa_evidence", f"""WITH {_RANKED}, {_SELECTED}, own AS (SELECT x.query_id, x.place, x.chunk_id, k.doc_id, k.page_number, path, concat({_HEADING}, chr(10), k.content) AS content, question FROM context x JOIN chunk k ON k.chunk_id = x.chunk_id JOIN resource ON resource_id = k.doc_id JOIN asked a ON a.item_id = x.query_id)
+    SELECT query_id, place AS citation_id, chunk_id, o.doc_id, o.page_number, CASE WHEN path IS NOT NULL THEN concat('/api/resources/', o.doc_id, '/file#page=', o.page_number) END AS link, coalesce(w.codes, '') AS warnings,
+        length(question) + sum(length(content)) OVER (PARTITION BY query_id) > 1200 AS long
+    FROM own o LEFT JOIN (SELECT doc_id, page_number, string_agg(code, ',' ORDER BY code) AS codes FROM warning GROUP BY ALL) w ON w.doc_id = o.doc_id AND w.page_number = o.page_number""", *_RETRIEVAL_VIEWS, "warning")
 def qa_evidence(c: Corpus) -> DataFrame:
-    linked = _evidence(c).join(c.resource.select(_C("resource_id").alias("doc_id"), "path"), "doc_id")
-    return linked.select("query_id", _C("place").alias("citation_id"), "chunk_id", "doc_id", "page_number", F.when(_C("path").isNotNull(), F.concat(F.lit("/api/resources/"), "doc_id", F.lit("/file#page="), "page_number")).alias("link"))
+    """Evidence of every question, with the warnings of its pages and whether question and texts exceed 1,200 characters."""
+    own = written(_evidence(c).join(c.resource.select(_C("resource_id").alias("doc_id"), "path"), "doc_id"), "evidence")
+    met = own.select("doc_id", "page_number").distinct()
+    there = lambda df: df.join(F.broadcast(met), ["doc_id", "page_number"], "left_semi") if own.count() <= 1_000_000 else df.join(met, ["doc_id", "page_number"], "left_semi")
+    shown = there(c.pages)
+    found = pages.page_quality(c.sheets_of(shown), c.spans_of(shown)).groupBy("doc_id", "page_number").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("warnings"))
+    size = F.length("question") + F.sum(F.length("content")).over(Window.partitionBy("query_id"))
+    link = F.when(_C("path").isNotNull(), F.concat(F.lit("/api/resources/"), "doc_id", F.lit("/file#page="), "page_number"))
+    return own.join(found, ["doc_id", "page_number"], "left").select("query_id", _C("place").alias("citation_id"), "chunk_id", "doc_id", "page_number", link.alias("link"), F.coalesce("warnings", F.lit("")).alias("warnings"), (size > 1200).alias("long"))
 
 
 @query("page_warnings", f"WITH {_RERANKED} SELECT item_id, r.chunk_id, coalesce(w.codes, '') AS warnings FROM reranked r LEFT JOIN (SELECT doc_id, page_number, string_agg(code, ',' ORDER BY code) AS codes FROM issue GROUP BY ALL) w ON w.doc_id = r.doc_id AND w.page_number = r.page_number", *_RETRIEVAL_VIEWS, "issue")
@@ -349,16 +391,14 @@ def bridge_pages(c: Corpus) -> DataFrame:
     return retrieval.bridges(_first_chunks(c), _candidates(c)).select("query_id", "chunk_id")
 
 
-_GOLD_PAGES = "gp AS (SELECT a.item_id, a.expected, CASE WHEN a.item_id % 5 <> 0 THEN list_sort(list_distinct(list(k.page_number))) END AS pages FROM asked a LEFT JOIN chunk k ON k.doc_id = a.expected AND contains(k.content, substr(a.question, 1, 20)) GROUP BY a.item_id, a.expected)"
+_GOLD_PAGES = "gp AS (SELECT a.item_id, a.expected, CASE WHEN a.item_id % 5 <> 0 THEN g.pages END AS pages FROM asked a JOIN gold g ON g.item_id = a.item_id AND g.expected = a.expected)"
 
 
 def gold_pages(c: Corpus) -> DataFrame:
-    """item_id, expected, pages: those of the expected document where the question begins; unresolved (null)
-    for every fifth question."""
-    asked = _asked(c)
-    found = asked.join(c.chunk, (_C("expected") == _C("doc_id")) & F.contains("content", F.substring("question", 1, 20)), "left")
-    made = found.groupBy("item_id", "expected").agg(F.array_sort(F.collect_set("page_number")).alias("pages"))
-    return made.withColumn("pages", F.when(_C("item_id") % 5 != 0, _C("pages")))
+    """item_id, expected, pages: those of the expected document that hold the question; unresolved (null) for every
+    fifth one."""
+    own = c.gold.select("item_id", "expected", F.when(_C("item_id") % 5 != 0, _C("pages")).alias("pages"))
+    return own.join(_asked(c).select("item_id", "expected"), ["item_id", "expected"], "left_semi")
 
 
 def _metrics_sql(source: str, rank: str) -> str:
@@ -381,7 +421,7 @@ def retrieval_eval(c: Corpus) -> DataFrame:
 
 
 _LONG = "SELECT metric, before, after, after < before AS regressed FROM (SELECT unnest(['resource_hit_1', 'resource_hit_3', 'resource_hit_5', 'evidence_hit_1', 'evidence_hit_3', 'evidence_hit_5']) AS metric, unnest([x.resource_hit_1, x.resource_hit_3, x.resource_hit_5, x.evidence_hit_1, x.evidence_hit_3, x.evidence_hit_5]) AS before, unnest([y.resource_hit_1, y.resource_hit_3, y.resource_hit_5, y.evidence_hit_1, y.evidence_hit_3, y.evidence_hit_5]) AS after FROM x, y) WHERE before IS DISTINCT FROM after"
-_SECOND = _embedded_sql(16).replace("cw AS", "cw2 AS").replace("cn AS", "cn2 AS").replace("qw AS", "qw2 AS").replace("qn AS", "qn2 AS").replace("scored AS", "scored2 AS").replace("hits AS", "hits2 AS").replace("FROM cw ", "FROM cw2 ").replace("FROM qw ", "FROM qw2 ").replace("JOIN qw ON", "JOIN qw2 qw ON").replace("JOIN cw ON", "JOIN cw2 cw ON").replace("JOIN cn ON", "JOIN cn2 cn ON").replace("JOIN qn ON", "JOIN qn2 qn ON").replace("FROM scored)", "FROM scored2)").replace("asked AS (SELECT item_id, any_value(question) AS question, min(course_id) AS course_id, min(expected) AS expected FROM gold GROUP BY 1),", "")
+_SECOND = _embedded_sql(16, "2")
 
 
 _RANKS = lambda h: f"SELECT gp.item_id, min(CASE WHEN h.doc_id = gp.expected THEN rank END) AS r, min(CASE WHEN h.doc_id = gp.expected AND list_contains(gp.pages, h.page_number) THEN rank END) AS e, bool_or(gp.pages IS NOT NULL) AS resolved FROM gp LEFT JOIN {h} h ON h.item_id = gp.item_id GROUP BY 1"

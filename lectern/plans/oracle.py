@@ -67,7 +67,9 @@ VIEWS = {
             SELECT page_id, url, unnest(generate_series(1, len(hrefs))) AS i, hrefs, texts FROM (
                 SELECT page_id, url, regexp_extract_all(b, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(b, '<a href="([^"]*)">([^<]*)</a>', 2) AS texts
                 FROM (SELECT page_id, url, regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g') AS b FROM pages)))""",
-    "gold": "SELECT item_id, b.text AS question, d.lang AS course_id, doc_id AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
+    "gold": f"""SELECT DISTINCT item_id, question, course_id, expected, generate_series(CAST(seen // {PAGE_LINES} + 1 AS INTEGER), CAST((seen + own) // {PAGE_LINES} + 1 AS INTEGER)) AS pages FROM (
+        SELECT item_id, b.text AS question, d.lang AS course_id, doc_id AS expected, len(string_split(substr(d.text, 1, strpos(d.text, b.text) - 1), chr(10))) - 1 AS seen, len(string_split(b.text, chr(10))) - 1 AS own
+        FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text))""",
 }
 _NEEDS = {"doc_pages": ["doc_lines"], "page": ["doc_pages"], "steps": ["page"], "chunk": ["steps"]}
 

@@ -74,6 +74,7 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.memo: dict = {}  # tables that were written for this corpus
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -119,29 +120,37 @@ class Corpus:
         """doc_pages with cleaned text."""
         return self.doc_pages.select("doc_id", "page_number", text.clean_text(F.col("raw_text")).alias("text"))
 
-    @cached_property
-    def sheets(self) -> DataFrame:
+    @staticmethod
+    def sheets_of(pages: DataFrame) -> DataFrame:
         """doc_id, page_number, raw_text, width, height: pages as laid out, with their margins."""
         size = [F.lit(600.0).alias("width"), F.lit(800.0).alias("height")]
-        return self.pages.select("doc_id", "page_number", F.expr(RAW_TEXT.format(nl="char(10)")).alias("raw_text"), *size)
+        return pages.select("doc_id", "page_number", F.expr(RAW_TEXT.format(nl="char(10)")).alias("raw_text"), *size)
 
-    @cached_property
-    def spans(self) -> DataFrame:
-        """The spans of sheets, within the row but for nothing shuffled."""
-        lines = self.pages.select("doc_id", "page_number", F.posexplode(F.split("text", "\n", -1)).alias("l", "line")).filter(F.trim("line") != "")
+    @staticmethod
+    def spans_of(pages: DataFrame) -> DataFrame:
+        """The spans of the sheets of some pages."""
+        lines = pages.select("doc_id", "page_number", F.posexplode(F.split("text", "\n", -1)).alias("l", "line")).filter(F.trim("line") != "")
         parts = F.when(F.col("l") < 2, F.split("line", " ", -1)).otherwise(F.array("line"))
         words = lines.select("doc_id", "page_number", "l", F.size(parts).alias("n"), F.posexplode(parts).alias("p", "w"))
         words = words.withColumn("k", F.expr(SPAN_KIND.format(l="l", p="p"))).withColumn("text", F.when(F.col("p") + 1 < F.col("n"), F.concat("w", F.lit(" "))).otherwise(F.col("w")))
         box = words.selectExpr("doc_id", "page_number", "l AS line_index", "l * 1000000 + p AS span_index", "text", *_columns(SPAN_BOX))
         body = box.selectExpr("*", "origin_y - size AS y0", "origin_y + 2 AS y1")
-        out = body
+        margins = []
         for i, (_, when, what, x0, x1, y0, size) in enumerate(MARGIN_LINES):
-            left = f"CAST({x0} AS DOUBLE)"
-            right = f"CAST({x1} AS DOUBLE)" if x1 != "0" else f"{left} + 120"
-            out = out.unionByName(self.pages.filter(when).selectExpr(
-                "doc_id", "page_number", f"{100 + i} AS line_index", f"{100_000_000 + i} AS span_index", f"{what} AS text", f"CAST({size} AS DOUBLE) AS size", f"CAST({y0} + 8 AS DOUBLE) AS origin_y",
-                f"{left} AS x0", f"{right} AS x1", "CAST(0 AS DOUBLE) AS dir_y", "0 AS flags", f"CAST({y0} AS DOUBLE) AS y0", f"CAST({y0} + 10 AS DOUBLE) AS y1"))
-        return out
+            right = f"CAST({x1} AS DOUBLE)" if x1 != "0" else f"CAST({x0} AS DOUBLE) + 120"
+            values = [f"{100 + i}", f"{100_000_000 + i}", what, f"CAST({size} AS DOUBLE)", f"CAST({y0} + 8 AS DOUBLE)", f"CAST({x0} AS DOUBLE)", right, "CAST(0 AS DOUBLE)", "0", f"CAST({y0} AS DOUBLE)", f"CAST({y0} + 10 AS DOUBLE)"]
+            margins.append(f"CASE WHEN {when} THEN named_struct({', '.join(f"'{n}', {v}" for n, v in zip(body.columns[2:], values, strict=True))}) END")
+        made = pages.selectExpr("doc_id", "page_number", f"explode(array_compact(array({', '.join(margins)}))) AS m").select("doc_id", "page_number", "m.*")
+        return body.unionByName(made)
+
+    @cached_property
+    def sheets(self) -> DataFrame:
+        return self.sheets_of(self.pages)
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        """The spans of all sheets; written once, as pages are judged by them in several ways."""
+        return written(self.spans_of(self.pages), "spans")
 
     @cached_property
     def chunk(self) -> DataFrame:
@@ -178,13 +187,26 @@ class Corpus:
 
     @cached_property
     def gold(self) -> DataFrame:
-        """item_id, question, course_id, expected (document) where a benchmark passage occurs. Documents
-        meet passages on four words of each, so only likely pairs are compared in full."""
+        """item_id, question, course_id, expected (document), pages: where a benchmark passage occurs, and the pages that its
+        first place lies on. Documents meet passages on whole words from within the passage, as many as it has, four at
+        most, so only likely pairs are compared in full; passages without such a word are compared as they are."""
         words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-        asked = self.table("benchmark").select("item_id", F.col("text").alias("question"), F.array_join(F.slice(words, 2, 4), " ").alias("key"))
-        spot = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - 3, F.lit(1))))
-        runs = self.documents.select("doc_id", words.alias("words")).select("doc_id", "words", spot.alias("i"))
-        runs = runs.select("doc_id", F.array_join(F.slice("words", F.col("i"), F.lit(4)), " ").alias("key"))
-        likely = runs.join(asked, "key").select("doc_id", "item_id", "question").distinct()
-        met = likely.join(self.documents.select("doc_id", "lang", "text"), "doc_id").filter(F.contains("text", "question"))
-        return written(met.select("item_id", "question", F.col("lang").alias("course_id"), F.col("doc_id").alias("expected")).distinct(), "gold")
+        asked = self.table("benchmark").filter("text <> ''").select("item_id", F.col("text").alias("question"), words.alias("words"))
+        asked = asked.withColumn("inner", F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))).withColumn("key", F.array_join(F.slice("inner", 1, 4), " ")).withColumn("width", F.least(F.size("inner"), F.lit(4)))
+        widths = [r["width"] for r in asked.select("width").distinct().collect()]  # 0 to 4
+        docs = self.documents.select("doc_id", "text", words.alias("words"))
+        likely = None
+        for width in widths:
+            own = asked.filter(F.col("width") == width).select("item_id", "question", "key")
+            if width == 0:
+                part = docs.join(own, F.contains("text", "question")).select("doc_id", "item_id", "question")
+            else:
+                run = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice("words", i, F.lit(width)), " "))))
+                part = docs.select("doc_id", run.alias("key")).join(own, "key").select("doc_id", "item_id", "question")
+            likely = part if likely is None else likely.unionByName(part)
+        met = likely.distinct().join(self.documents.select("doc_id", "lang", "text"), "doc_id").filter(F.contains("text", "question"))
+        lines = lambda x: F.regexp_count(x, F.lit("\n"))
+        page = lambda n: F.floor(n / PAGE_LINES).cast("int") + 1
+        before = lines(F.substring("text", F.lit(1), F.instr("text", F.col("question")) - 1))
+        pages = F.sequence(page(before), page(before + lines("question")))
+        return written(met.select("item_id", "question", F.col("lang").alias("course_id"), F.col("doc_id").alias("expected"), pages.alias("pages")).distinct(), "gold")

@@ -85,19 +85,30 @@ def test_split_page_covers_and_bounds():
 def test_index_lifecycle(spark):
     chunk = "chunk_id long, course_id string, content_hash string, source_hash string, usable boolean"
     old = spark.createDataFrame([(1, "m", "a", "s", True), (2, "m", "b", "s", True), (3, "m", "c", "s", True), (9, "m", "z", "s", True), (5, "m", "e", "s", True)], "chunk_id long, model string, content_hash string, source_hash string, valid boolean")
+    old = old.select("chunk_id", "model", F.lit("v1").alias("model_version"), F.lit(2).alias("dimensions"), "content_hash", "source_hash", "valid")
     now = spark.createDataFrame([(1, "x", "a", "s", True), (2, "x", "B", "s", True), (4, "x", "d", "s", True), (3, "x", "c", "s", False), (6, "x", "f", "s", False), (5, "x", "e", "s", True)], chunk)
-    diff = index.index_diff(now, old, "m")
+    diff = index.index_diff(now, old, "m", "v1", 2)
     assert {r["chunk_id"]: r["action"] for r in diff.collect()} == {1: "skipped", 2: "updated", 3: "removed", 4: "new", 5: "skipped", 6: "unusable", 9: "removed"}
     stored = old.withColumn("embedding", F.array(F.lit(9.0)))
     plan = index.planned(now, diff)
     made = plan.select("chunk_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
-    new = index.index_apply(stored, diff, plan, made, now, "m")
-    assert {r["action"] for r in index.index_diff(now, new, "m").collect()} == {"skipped", "unusable"}
+    new = index.index_apply(stored, diff, plan, made, now, "m", "v1", 2)
+    assert {r["action"] for r in index.index_diff(now, new, "m", "v1", 2).collect()} == {"skipped", "unusable"}
+    # another version of the model, or vectors of another length, are not current
+    assert {r["chunk_id"] for r in index.index_diff(now, old, "m", "v2", 2).filter("action = 'updated'").collect()} == {1, 2, 5} == {r["chunk_id"] for r in index.index_diff(now, old, "m", "v1", 3).filter("action = 'updated'").collect()}
+    short = made.withColumn("embedding", F.array(F.lit(1.0)))
+    assert {r["chunk_id"] for r in index.index_apply(stored, diff, plan, short, now, "m", "v1", 2).filter("NOT valid").collect()} == {2, 4}
+    # a stored state wins where indexing runs or failed, and a course that failed is not made ready
+    reports = spark.createDataFrame([("x", "indexing")], "course_id string, stored string")
+    assert [r["state"] for r in index.index_status(diff, reports).collect()] == ["indexing"]
+    assert [r["state"] for r in index.index_status(diff, reports.withColumn("stored", F.lit("ready"))).collect()] == ["stale"]
+    fleet = index.fleet_summary(diff, reports.select("course_id")).first()
+    assert (fleet["ready_after"], fleet["newly_indexed"], fleet["errors"]) == (0, 0, 1) and index.fleet_summary(diff).first()["ready_after"] == 1
     # a batch is refused as a whole if one of its sources changed, and what has no vector is not valid
     plan = index.planned(now, diff, batch_ids=3)
     state = lambda df: {r["chunk_id"]: (r["content_hash"], r["valid"], r["embedding"]) for r in df.collect()}
     changed = now.withColumn("content_hash", F.when(F.col("chunk_id") == 2, "C").otherwise(F.col("content_hash")))
-    assert state(index.index_apply(stored, diff, plan, made.filter("chunk_id <> 4"), changed, "m")) == {1: ("a", True, [9.0]), 2: ("b", True, [9.0]), 5: ("e", True, [9.0]), 4: ("d", False, None)}
+    assert state(index.index_apply(stored, diff, plan, made.filter("chunk_id <> 4"), changed, "m", "v1", 2)) == {1: ("a", True, [9.0]), 2: ("b", True, [9.0]), 5: ("e", True, [9.0]), 4: ("d", False, None)}
     assert index.refused(index.planned(now, diff), changed.filter("chunk_id <> 2")).count() == 1
     assert index.refused(plan, now.filter("chunk_id < 0")).count() == 2
 
