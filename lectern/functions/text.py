@@ -140,3 +140,13 @@ def file_type(name: Column) -> Column:
     """Lower-case suffix with its dot, or unknown."""
     suffix = F.regexp_extract(F.lower(name), r"[^./](\.[^./]+)$", 1)
     return F.when(F.coalesce(suffix, F.lit("")) == "", F.lit("unknown")).otherwise(suffix)
+
+
+def canonical_json(**fields: Column) -> Column:
+    """JSON of named fields in the order of their names; nulls are written, so that no two identities look alike."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def json_length(text: Column) -> Column:
+    """Characters of a text within JSON quotation marks, without these."""
+    return F.length(text) + F.regexp_count(text, F.lit(r'["\\\x08\x0c\n\r\t]')) + 5 * F.regexp_count(text, F.lit(r"[\x00-\x07\x0b\x0e-\x1f]"))

@@ -32,6 +32,37 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: DataFrame, key: str) ->
     return old.join(keys, key, "left_anti").unionByName(new.join(keys, key, "left_semi"))
 
 
+BUCKET = "_bucket"
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """A new table in folders by a hash of its key, which replace_on_disk can replace one by one."""
+    df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition(BUCKET).write.partitionBy(BUCKET).mode("errorifexists").parquet(path)
+
+
+def replace_on_disk(path: str, new: DataFrame, keys: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Replaces all rows of the given keys of a table that write_bucketed wrote, in place; gives the table. Only folders
+    that hold one of the keys are written, by dynamic partition overwrite; all others keep their files. New rows
+    of other keys are an error, before anything is written. Running it again has the same result."""
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    wanted = keys.select(key).distinct()
+    if not new.join(wanted, key, "left_anti").isEmpty():
+        raise ValueError("new rows belong to keys that are not replaced")
+    touched = [r[0] for r in wanted.select(bucket).distinct().collect()]  # as many as there are buckets, at most
+    old = spark.read.parquet(path)
+    kept = old.filter(F.col(BUCKET).isin(touched)).join(wanted, key, "left_anti")
+    made = kept.unionByName(new.select(*[c for c in old.columns if c != BUCKET]).withColumn(BUCKET, bucket))
+    filled = {r[0] for r in made.select(BUCKET).distinct().collect()}
+    made.repartition(BUCKET).write.option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).mode("overwrite").parquet(path)
+    # A folder that is left without a row is not overwritten, so it goes.
+    jvm = spark._jvm
+    for b in set(touched) - filled:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={b}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.schema(old.schema).parquet(path).drop(BUCKET)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, immutable: list[str]) -> DataFrame:
     """Insert or update by key; immutable columns of known rows stay."""
     o, n = old.alias("o"), new.alias("n")

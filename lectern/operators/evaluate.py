@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import text
+
 
 def hit_at_k(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """One row: questions, resolved, resource_hit_k and evidence_hit_k. hits: item_id, rank, doc_id,
@@ -74,11 +76,25 @@ def repeated(df: DataFrame, rule: str, keys: list[str]) -> DataFrame:
     return counted.select(F.lit(rule).alias("rule"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"))
 
 
-def ordered_digest(df: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
-    """by, digest: SHA-256 over the rows of each group in order; a group is one document's rows."""
-    row = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
-    made = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, row.alias("h")))).alias("rows"))
-    return made.select(by, F.sha2(F.array_join(F.transform("rows", lambda x: x["h"]), ""), 256).alias("digest"))
+def digest(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, n, total, mixed: how many rows there are, and the sum and the exclusive or of their hashes (60 bits of the SHA-256
+    of their canonical JSON). Needs no order and gathers no rows; digests of parts add up. Equal rows count as
+    often as they occur, as the sum has them each time."""
+    row = F.conv(F.substring(F.sha2(text.canonical_json(**{c: F.col(c) for c in columns}), 256), 1, 15), 16, 10)
+    hashed = df.select(*by, row.cast("decimal(20,0)").alias("h"), row.cast("long").alias("b"))
+    return hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("h").cast("decimal(38,0)"), F.lit(0)).cast("string").alias("total"), F.coalesce(F.bit_xor("b"), F.lit(0)).cast("string").alias("mixed"))
+
+
+def add_digests(parts: DataFrame, by: list[str]) -> DataFrame:
+    """The digest of tables by those of their parts."""
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).cast("decimal(38,0)").cast("string").alias("total"), F.bit_xor(F.col("mixed").cast("long")).cast("string").alias("mixed"))
+
+
+def same_digest(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, equal: whether two tables of the same columns have the same rows, in any order."""
+    columns = sorted(a.columns)
+    both = digest(a, [], columns).unionByName(digest(b, [], columns))  # two rows
+    return both.agg((F.countDistinct("n", "total", "mixed") == 1).alias("equal"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:

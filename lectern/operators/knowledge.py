@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import text
 from lectern.operators.pages import FORMULA_RISKS
@@ -52,41 +50,57 @@ def mask_math(chunks: DataFrame) -> DataFrame:
     )
 
 
+#: More halvings than any text needs: 2^24 times the limit.
+_HALVINGS = 24
+
+
 def prompt_batches(chunks: DataFrame, limit: int = 12_000, most: int = 20) -> DataFrame:
     """chunks: chunk_id, doc_id, page_number, chunk_index, content, warnings. Ordered chunks packed into batches
     whose JSON has at most `limit` characters; a chunk that alone is longer is halved until it fits (one
     character that does not fit stays). n_json: characters of a part's JSON. More than `most` batches are flagged
-    by `too_many`. One document is one group, which its own length bounds."""
-    fixed = len(json.dumps({"chunks": []}, separators=(",", ":")))
-
-    def size(row: dict, content: str) -> int:
-        fields = {"source_chunk_id": row["chunk_id"], "resource_id": row["doc_id"], "page_number": row["page_number"], "chunk_index": row["chunk_index"], "content": content, "warnings": row["warnings"] or []}
-        label = f"[CHUNK_ID={row['chunk_id']} | PAGE={row['page_number']}]"
-        return len(json.dumps({**fields, "label": label}, ensure_ascii=False, separators=(",", ":")))
-
-    def parts(row: dict, content: str) -> list[tuple[int, int]]:
-        """Characters and JSON characters of each part."""
-        own = size(row, content)
-        if fixed + own <= limit or len(content) < 2:
-            return [(len(content), own)]
-        middle = len(content) // 2
-        return parts(row, content[:middle]) + parts(row, content[middle:])
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        rows, batch, room = [], -1, 0
-        for row in sorted(group.to_pylist(), key=lambda r: (r["chunk_index"], r["chunk_id"])):
-            for k, (n, own) in enumerate(parts(row, row["content"] or "")):
-                if batch < 0 or own + 1 > room:
-                    batch, room = batch + 1, limit - fixed + 1
-                room -= own + 1  # with a comma, which the first has no need of
-                rows.append({"doc_id": row["doc_id"], "batch": batch, "chunk_index": row["chunk_index"], "part": k, "n_chars": n, "n_json": own})
-        for r in rows:
-            r["too_many"] = batch + 1 > most
-        return pa.Table.from_pylist(rows, schema=schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("batch", pa.int32()), ("chunk_index", pa.int32()), ("part", pa.int32()), ("n_chars", pa.int64()), ("n_json", pa.int64()), ("too_many", pa.bool_())])
-    own = chunks.select("chunk_id", "doc_id", "page_number", "chunk_index", "content", "warnings")
-    return own.groupBy("doc_id").applyInArrow(run, "doc_id long, batch int, chunk_index int, part int, n_chars long, n_json long, too_many boolean")
+    by `too_many`. Sizes and cuts are worked out within the row; of a document only its parts' sizes meet."""
+    frame = len('{"chunks":[]}')
+    content = F.coalesce("content", F.lit(""))
+    show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    label = F.concat(F.lit("[CHUNK_ID="), show("chunk_id"), F.lit(" | PAGE="), show("page_number"), F.lit("]"))
+    fields = [F.col("chunk_id").alias("source_chunk_id"), F.col("doc_id").alias("resource_id"), "page_number", "chunk_index", F.lit("").alias("content"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"), label.alias("label")]
+    rows = chunks.select("chunk_id", "doc_id", "chunk_index", content.alias("content"), F.length(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).alias("own"))
+    too_long = lambda x: (F.length(x) >= 2) & (frame + F.col("own") + text.json_length(x) > limit)
+    halves = lambda x: F.array(F.substring(x, F.lit(1), F.floor(F.length(x) / 2).cast("int")), F.substring(x, F.floor(F.length(x) / 2).cast("int") + 1, F.length(x)))
+    once = lambda parts: F.flatten(F.transform(parts, lambda x: F.when(too_long(x), halves(x)).otherwise(F.array(x))))
+    cut = F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), F.array("content"), lambda parts, _: F.when(F.exists(parts, too_long), once(parts)).otherwise(parts))
+    pieces = rows.select("chunk_id", "doc_id", "chunk_index", "own", F.posexplode(F.when(too_long(F.col("content")), cut).otherwise(F.array("content"))).alias("part", "piece"))
+    sized = pieces.select("doc_id", F.struct("chunk_index", "chunk_id", "part", F.length("piece").cast("long").alias("n_chars"), (F.col("own") + text.json_length(F.col("piece"))).cast("long").alias("n_json")).alias("row"))
+    room = limit - frame + 1  # each part has a comma, which the first has no need of
+    begin = F.struct(F.lit(0).cast("long").alias("room"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
+
+    def step(state: Column, row: Column) -> Column:
+        new = (F.size(state["starts"]) == 0) | (row["n_json"] + 1 > state["room"])
+        left = F.when(new, F.lit(room)).otherwise(state["room"]) - row["n_json"] - 1
+        return F.struct(left.cast("long").alias("room"), (state["i"] + 1).alias("i"), F.when(new, F.array_append(state["starts"], state["i"])).otherwise(state["starts"]).alias("starts"))
+
+    grouped = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    packed = grouped.withColumn("starts", F.aggregate("rows", begin, step, lambda state: state["starts"]))
+    stop = lambda b: F.coalesce(F.get("starts", b + 1), F.size("rows"))
+    batches = F.transform("starts", lambda start, b: F.transform(F.slice("rows", start + 1, stop(b) - start), lambda r: F.struct(b.alias("batch"), r.alias("r"))))
+    out = packed.select("doc_id", (F.size("starts") > most).alias("too_many"), F.explode(F.flatten(batches)).alias("x"))
+    return out.select("doc_id", F.col("x.batch").alias("batch"), F.col("x.r.chunk_index").alias("chunk_index"), F.col("x.r.part").alias("part"), F.col("x.r.n_chars").alias("n_chars"), F.col("x.r.n_json").alias("n_json"), "too_many")
+
+
+def merge_items(items: DataFrame, most_questions: int = 5) -> DataFrame:
+    """doc_id, category, place, item: the items of a document's batches, each once and where it came first, five
+    questions at most. items: doc_id, batch, pos, category, item (its whole JSON)."""
+    first = items.groupBy("doc_id", "category", "item").agg(F.min(F.struct("batch", "pos")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("first"))
+    return first.withColumn("place", place).filter((F.col("category") != "questions") | (F.col("place") <= most_questions)).select("doc_id", "category", "place", "item")
+
+
+def merge_texts(outputs: DataFrame) -> DataFrame:
+    """doc_id, topic, overview: those of a document's batches that are not empty, each once, in order, an empty line
+    between two. outputs: doc_id, batch, topic, overview."""
+    own = outputs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("batch", "topic", "overview"))).alias("own"))
+    joined = lambda c: F.array_join(F.array_distinct(F.filter(F.transform("own", lambda o: o[c]), lambda x: x != "")), "\n\n")
+    return own.select("doc_id", joined("topic").alias("topic"), joined("overview").alias("overview"))
 
 
 #: Categories whose bad citations are dropped; those of others fail the batch.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lectern.operators import catalog, pages, sync
 from lectern.plans import health
 from lectern.plans.registry import query
 from lectern.sources.corpus import Corpus
+from lectern.sources.scratch import shared_dir
 
 _C = F.col
 
@@ -51,12 +54,29 @@ def listing_flatten(c: Corpus) -> DataFrame:
     return catalog.flatten_listing(c.documents.select("doc_id", F.expr(_LISTING).alias("json")))
 
 
-@query("replace_by_key", """
+_REPLACED = """
     SELECT chunk_id, doc_id, content FROM chunk WHERE doc_id % 3 <> 0
-    UNION ALL SELECT chunk_id, doc_id, substr(content, 1, 50) AS content FROM chunk WHERE doc_id % 3 = 0 AND chunk_index < 2""", "chunk")
+    UNION ALL SELECT chunk_id, doc_id, concat('new ', content) AS content FROM chunk WHERE doc_id % 3 = 0 AND chunk_index < 2"""
+
+
+def _replacement(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, the new ones of every third document, and the ids of these documents."""
+    new = c.chunk.filter("doc_id % 3 = 0 AND chunk_index < 2").select("chunk_id", "doc_id", F.concat(F.lit("new "), "content").alias("content"))
+    return c.chunk.select("chunk_id", "doc_id", "content"), new, c.chunk.filter("doc_id % 3 = 0").select("doc_id").distinct()
+
+
+@query("replace_by_key", _REPLACED, "chunk")
 def replace_by_key(c: Corpus) -> DataFrame:
-    new = c.chunk.filter("doc_id % 3 = 0 AND chunk_index < 2").select("chunk_id", "doc_id", F.substring("content", 1, 50).alias("content"))
-    return catalog.replace_by_key(c.chunk.select("chunk_id", "doc_id", "content"), new, c.chunk.filter("doc_id % 3 = 0").select("doc_id").distinct(), "doc_id")
+    return catalog.replace_by_key(*_replacement(c), "doc_id")
+
+
+@query("replace_on_disk", _REPLACED, "chunk")
+def replace_on_disk(c: Corpus) -> DataFrame:
+    """The same in place, in a table of 16 folders."""
+    old, new, keys = _replacement(c)
+    path = f"{shared_dir(c.spark)}/lectern-replaced-{uuid.uuid4().hex}"
+    catalog.write_bucketed(old, path, "doc_id", 16)
+    return catalog.replace_on_disk(path, new, keys, "doc_id", 16)
 
 
 @query("upsert_by_key", """

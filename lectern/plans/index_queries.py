@@ -16,7 +16,7 @@ from lectern.sources.scratch import written
 _C = F.col
 _MODEL, _VERSION, _DIMENSIONS = "m1", "v1", 64
 _USABLE = "length(trim(text)) > 0 AND (status IN ('parsed', 'completed') OR (status = 'failed' AND stage = 'knowledge'))"
-_SOURCE = "sha256(concat_ws('|', d.doc_id, d.source, d.n_chars))"
+_SOURCE = "sha256(CAST(json_object('n_chars', d.n_chars, 'resource_id', d.doc_id, 'week_id', d.source) AS VARCHAR))"
 _CURRENT = f"SELECT d.doc_id AS chunk_id, course_id, sha256(text) AS content_hash, {_SOURCE} AS source_hash, {_USABLE} AS usable FROM documents d JOIN resource ON doc_id = resource_id"
 _INDEX = f"""
     SELECT doc_id AS chunk_id, 'm1' AS model, CASE WHEN doc_id % 19 = 0 THEN 'v0' ELSE 'v1' END AS model_version, CASE WHEN doc_id % 29 = 0 THEN 32 ELSE 64 END AS dimensions, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, 'x') ELSE text END) AS content_hash, {_SOURCE} AS source_hash, doc_id % 23 <> 0 AS valid FROM documents d WHERE doc_id % 10 <> 0
@@ -41,12 +41,12 @@ oracle._NEEDS["diff"] = ["current", "idx"]
 
 def _current(c: Corpus) -> DataFrame:
     d = c.documents.join(c.resource.drop("n_chars"), _C("doc_id") == _C("resource_id"))
-    source = F.sha2(F.concat_ws("|", *[_C(x).cast("string") for x in ("doc_id", "source", "n_chars")]), 256)
+    source = F.sha2(text.canonical_json(n_chars=_C("n_chars"), resource_id=_C("doc_id"), week_id=_C("source")), 256)
     return d.select(_C("doc_id").alias("chunk_id"), "course_id", F.sha2("text", 256).alias("content_hash"), source.alias("source_hash"), retrieval.usable(_C("text"), _C("status"), _C("stage")).alias("usable"))
 
 
 def _index(c: Corpus) -> DataFrame:
-    source = F.sha2(F.concat_ws("|", *[_C(x).cast("string") for x in ("doc_id", "source", "n_chars")]), 256)
+    source = F.sha2(text.canonical_json(n_chars=_C("n_chars"), resource_id=_C("doc_id"), week_id=_C("source")), 256)
     old = F.when(_C("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(_C("text"))
     known = c.documents.filter("doc_id % 10 <> 0").select(_C("doc_id").alias("chunk_id"), F.lit(_MODEL).alias("model"), F.when(_C("doc_id") % 19 == 0, "v0").otherwise(_VERSION).alias("model_version"), F.when(_C("doc_id") % 29 == 0, 32).otherwise(_DIMENSIONS).alias("dimensions"), F.sha2(old, 256).alias("content_hash"), source.alias("source_hash"), (_C("doc_id") % 23 != 0).alias("valid"))
     gone = c.documents.filter("doc_id % 50 = 0").select((_C("doc_id") + 1_000_000).alias("chunk_id"), F.lit(_MODEL).alias("model"), F.lit(_VERSION).alias("model_version"), F.lit(_DIMENSIONS).alias("dimensions"), F.sha2("text", 256).alias("content_hash"), source.alias("source_hash"), F.lit(True).alias("valid"))
@@ -490,14 +490,20 @@ def review_template(c: Corpus) -> DataFrame:
     return c.gold.select("item_id", "expected", "question", F.lit(None).cast("boolean").alias("accepted"), F.lit(None).cast("string").alias("note"))
 
 
-@query("table_digest", "SELECT doc_id, sha256(string_agg(sha256(concat_ws('|', chunk_index, content)), '' ORDER BY chunk_index)) AS digest FROM chunk GROUP BY 1", "chunk")
+_DIGEST = "SELECT {by} count(*) AS n, CAST(sum(h) AS VARCHAR) AS total, CAST(bit_xor(h) AS VARCHAR) AS mixed FROM (SELECT *, CAST('0x' || substr(sha256(CAST({row} AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM {t}) {group}"
+
+
+@query("table_digest", _DIGEST.format(by="doc_id,", row="json_object('chunk_index', chunk_index, 'content', content)", t="chunk", group="GROUP BY doc_id") + " UNION ALL " + _DIGEST.format(by="NULL,", row="json_object('chunk_index', chunk_index, 'content', content)", t="chunk", group=""), "chunk")
 def table_digest(c: Corpus) -> DataFrame:
-    return evaluate.ordered_digest(c.chunk, "doc_id", "chunk_index", ["chunk_index", "content"])
+    """The digest of every document's chunks, and that of all chunks, added up from these."""
+    own = evaluate.digest(c.chunk, ["doc_id"], ["chunk_index", "content"])
+    return own.unionByName(evaluate.add_digests(own, []).withColumn("doc_id", F.lit(None).cast("long")))
 
 
-@query("snapshot_equal", "SELECT (SELECT count(*) FROM (SELECT * FROM snap_old EXCEPT ALL SELECT * FROM snap_new)) AS only_a, (SELECT count(*) FROM (SELECT * FROM snap_new EXCEPT ALL SELECT * FROM snap_old)) AS only_b", "snap_old", "snap_new")
+@query("snapshot_equal", "SELECT only_a, only_b, only_a = 0 AND only_b = 0 AS equal FROM (SELECT (SELECT count(*) FROM (SELECT * FROM snap_old EXCEPT ALL SELECT * FROM snap_new)) AS only_a, (SELECT count(*) FROM (SELECT * FROM snap_new EXCEPT ALL SELECT * FROM snap_old)) AS only_b)", "snap_old", "snap_new")
 def snapshot_equal(c: Corpus) -> DataFrame:
-    return evaluate.same_rows(c.snap_old, c.snap_new)
+    """How two snapshots differ, and whether their digests are equal."""
+    return evaluate.same_rows(c.snap_old, c.snap_new).join(F.broadcast(evaluate.same_digest(c.snap_old, c.snap_new)))  # one row each
 
 
 @query("constraint_audit", """

@@ -256,7 +256,7 @@ def items(c: Corpus) -> DataFrame:
     own = c.chunk
     ids = F.when(_C("doc_id") % 11 == 0, F.array("chunk_id", "chunk_id")).when(_C("doc_id") % 13 == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array("chunk_id"))
     page = F.when(_C("doc_id") % 17 == 0, _C("page_number") + 1).otherwise(_C("page_number"))
-    return own.select(_C("chunk_id").alias("item_id"), "doc_id", F.expr(_CATEGORY).alias("category"), _C("chunk_index").alias("idx"), ids.alias("ids"), F.array(page).alias("source_pages"), F.substring("content", 1, 10).alias("formula"), F.substring("content", 1, 40).alias("name"), F.substring("content", 1, 200).alias("point"), F.expr(_BODY).alias("body"), F.when(_C("doc_id") % 2 == 0, "A plain text").alias("also"), "page_number")
+    return own.select(_C("chunk_id").alias("item_id"), "doc_id", F.expr(_CATEGORY).alias("category"), _C("chunk_index").alias("idx"), ids.alias("ids"), F.array(page).alias("source_pages"), F.element_at(F.split("content", "\n", -1), 1).alias("formula"), F.element_at(F.split("content", "\n", -1), 1).alias("name"), _C("content").alias("point"), F.expr(_BODY).alias("body"), F.when(_C("doc_id") % 2 == 0, "A plain text").alias("also"), "page_number")
 
 
 def _warned_chunks(c: Corpus) -> DataFrame:
@@ -266,7 +266,7 @@ def _warned_chunks(c: Corpus) -> DataFrame:
 _RELIABLE = "NOT regexp_matches(content, '[\\x{FFFD}\\x{FFFC}\\p{Co}]') AND NOT contains(content, '[UNREADABLE_SYMBOL]') AND NOT regexp_matches(content, '[=＝]\\s*(?:\\.{2,}|…+|⋯+|\\[MATHEMATICAL EXPRESSION OMITTED[^\\]\\n]*\\])\\s*[=＝]')"
 _CUE = f"len(list_filter(string_split(content, chr(10)), lambda w: regexp_matches(w, '{text.EXAM_CUES}') AND NOT regexp_matches(w, '{text.NEGATED_CUES}'))) > 0"
 _GROUND = f"""{_ITEMS}, grounded AS (SELECT item_id, doc_id, category, idx, reason, CASE WHEN reason IS NULL THEN 'keep' WHEN reason IN ('ids', 'pages') AND category NOT IN ('examples', 'exam_focus') THEN 'fail' WHEN reason = 'symbols' AND category = 'concepts' AND doc_id % 2 = 0 THEN 'reduce' ELSE 'drop' END AS outcome FROM (
-    SELECT *, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'ids' WHEN doc_id % 17 = 0 THEN 'pages' WHEN category = 'formulas' AND NOT ({_RELIABLE} AND trim(substr(content, 1, 10)) <> '') THEN 'formula' WHEN doc_id % 9 = 4 THEN 'symbols' WHEN category = 'exam_focus' AND NOT ({_CUE}) THEN 'cue' END AS reason FROM items))"""
+    SELECT *, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'ids' WHEN doc_id % 17 = 0 THEN 'pages' WHEN category = 'formulas' AND NOT ({_RELIABLE} AND trim(string_split(content, chr(10))[1]) <> '') THEN 'formula' WHEN doc_id % 9 = 4 THEN 'symbols' WHEN category = 'exam_focus' AND NOT ({_CUE}) THEN 'cue' END AS reason FROM items))"""
 
 
 @query("grounding", f"WITH {_GROUND} SELECT item_id, doc_id, category, outcome, reason FROM grounded", "chunk")
@@ -288,18 +288,28 @@ def evidence_attach(c: Corpus) -> DataFrame:
 _JSON = "'{\"source_chunk_id\":' || chunk_id || ',\"resource_id\":' || doc_id || ',\"page_number\":' || page_number || ',\"chunk_index\":' || chunk_index || ',\"content\":' || to_json(content)::VARCHAR || ',\"warnings\":[],\"label\":\"[CHUNK_ID=' || chunk_id || ' | PAGE=' || page_number || ']\"}'"
 
 
+_LONG = "SELECT doc_id AS chunk_id, doc_id // 5 AS doc_id, 1 AS page_number, CAST(doc_id % 5 AS INTEGER) AS chunk_index, coalesce(text, '') AS content, [CASE WHEN doc_id % 2 = 0 THEN 'empty_text' ELSE 'a \"b\"' END] AS warnings FROM documents"
+_OWN_JSON = "length(CAST(json_object('source_chunk_id', chunk_id, 'resource_id', doc_id, 'page_number', page_number, 'chunk_index', chunk_index, 'content', piece, 'warnings', warnings, 'label', '[CHUNK_ID=' || chunk_id || ' | PAGE=' || page_number || ']') AS VARCHAR))"
+
+
 @query("prompt_batches", f"""
-    WITH sized AS (SELECT doc_id, chunk_index, length(content) AS n_chars, length({_JSON}) AS n_json FROM chunk),
-    packed AS (
-        SELECT doc_id, chunk_index, n_chars, n_json, 0 AS batch, 13 + n_json AS used FROM sized WHERE chunk_index = 0
-        UNION ALL SELECT s.doc_id, s.chunk_index, s.n_chars, s.n_json, CASE WHEN used + 1 + s.n_json > 12000 THEN batch + 1 ELSE batch END, CASE WHEN used + 1 + s.n_json > 12000 THEN 13 + s.n_json ELSE used + 1 + s.n_json END
-        FROM packed p JOIN sized s ON s.doc_id = p.doc_id AND s.chunk_index = p.chunk_index + 1)
-    SELECT doc_id, batch, chunk_index, 0 AS part, n_chars, n_json, max(batch) OVER (PARTITION BY doc_id) + 1 > 20 AS too_many FROM packed""", "chunk")
+    WITH halved AS (
+        SELECT *, content AS piece, '' AS path FROM ({_LONG})
+        UNION ALL SELECT chunk_id, doc_id, page_number, chunk_index, content, warnings, CASE WHEN h = 0 THEN substr(piece, 1, length(piece) // 2) ELSE substr(piece, length(piece) // 2 + 1) END, path || h FROM halved, (VALUES (0), (1)) AS v(h) WHERE 13 + {_OWN_JSON} > 12000 AND length(piece) >= 2
+    ), sized AS (
+        SELECT doc_id, chunk_index, CAST(row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY path) - 1 AS INTEGER) AS part, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, path) AS i, length(piece) AS n_chars, {_OWN_JSON} AS n_json FROM halved WHERE NOT (13 + {_OWN_JSON} > 12000 AND length(piece) >= 2)
+    ), packed AS (
+        SELECT *, 0 AS batch, 13 + n_json AS used FROM sized WHERE i = 1
+        UNION ALL SELECT s.*, CASE WHEN used + 1 + s.n_json > 12000 THEN batch + 1 ELSE batch END, CASE WHEN used + 1 + s.n_json > 12000 THEN 13 + s.n_json ELSE used + 1 + s.n_json END FROM packed p JOIN sized s ON s.doc_id = p.doc_id AND s.i = p.i + 1)
+    SELECT doc_id, batch, chunk_index, part, n_chars, n_json, max(batch) OVER (PARTITION BY doc_id) + 1 > 20 AS too_many FROM packed""")
 def prompt_batches(c: Corpus) -> DataFrame:
-    return knowledge.prompt_batches(_warned_chunks(c), 12_000, 20)
+    """Every five documents as the chunks of one, so that long ones are halved, some more than once."""
+    warning = F.when(_C("doc_id") % 2 == 0, "empty_text").otherwise('a "b"')
+    own = c.documents.select(_C("doc_id").alias("chunk_id"), F.floor(_C("doc_id") / 5).alias("doc_id"), F.lit(1).alias("page_number"), (_C("doc_id") % 5).cast("int").alias("chunk_index"), _C("text").alias("content"), F.array(warning).alias("warnings"))
+    return knowledge.prompt_batches(own, 12_000, 20)
 
 
-_CLAIMS = f"{_ITEMS}, claims AS (SELECT doc_id, category, idx, field, CASE field WHEN 'name' THEN substr(content, 1, 40) ELSE substr(content, 1, 200) END AS claim, CASE WHEN doc_id % 11 = 0 THEN item_id || ',' || item_id WHEN doc_id % 13 = 0 THEN '-1' ELSE CAST(item_id AS VARCHAR) END AS ids FROM items, (VALUES ('name'), ('point')) AS f(field))"
+_CLAIMS = f"{_ITEMS}, claims AS (SELECT doc_id, category, idx, field, CASE field WHEN 'name' THEN string_split(content, chr(10))[1] ELSE content END AS claim, CASE WHEN doc_id % 11 = 0 THEN item_id || ',' || item_id WHEN doc_id % 13 = 0 THEN '-1' ELSE CAST(item_id AS VARCHAR) END AS ids FROM items, (VALUES ('name'), ('point')) AS f(field))"
 
 
 @query("review_jobs", f"WITH {_CLAIMS} SELECT doc_id, concat_ws('.', category, idx, field) AS claim_id, claim, md5(ids) AS job FROM claims WHERE trim(claim) <> ''", "chunk")
@@ -318,7 +328,7 @@ def reviewed(c: Corpus) -> DataFrame:
     return knowledge.apply_review(items(c), decisions(c), ["name", "point"], ["name", "point"])
 
 
-_REVIEW = f"{_ITEMS}, reviewed AS (SELECT doc_id, category, idx, n AS name, p AS point, CASE WHEN trim(n) = '' AND trim(p) = '' THEN 'rejected' WHEN n <> on1 OR p <> op1 THEN 'reduced' ELSE 'accepted' END AS outcome FROM (SELECT *, substr(content, 1, 40) AS on1, substr(content, 1, 200) AS op1, CASE WHEN doc_id % 3 = 0 AND trim(substr(content, 1, 40)) <> '' THEN '' ELSE substr(content, 1, 40) END AS n, CASE WHEN doc_id % 6 = 0 AND trim(substr(content, 1, 200)) <> '' THEN '' ELSE substr(content, 1, 200) END AS p FROM items))"
+_REVIEW = f"{_ITEMS}, reviewed AS (SELECT doc_id, category, idx, n AS name, p AS point, CASE WHEN trim(n) = '' AND trim(p) = '' THEN 'rejected' WHEN n <> on1 OR p <> op1 THEN 'reduced' ELSE 'accepted' END AS outcome FROM (SELECT *, string_split(content, chr(10))[1] AS on1, content AS op1, CASE WHEN doc_id % 3 = 0 AND trim(string_split(content, chr(10))[1]) <> '' THEN '' ELSE string_split(content, chr(10))[1] END AS n, CASE WHEN doc_id % 6 = 0 AND trim(content) <> '' THEN '' ELSE content END AS p FROM items))"
 
 
 @query("apply_review", f"WITH {_REVIEW} SELECT * FROM reviewed", "chunk")
@@ -338,7 +348,7 @@ def claim_id_sets(c: Corpus) -> DataFrame:
     return evaluate.id_coverage(expected, decided, "claim")
 
 
-@query("knowledge_projection", f"WITH {_ITEMS} SELECT doc_id, idx, substr(content, 1, 40) AS name, CAST(page_number + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS INTEGER) AS source_page FROM items WHERE category = 'concepts'", "chunk")
+@query("knowledge_projection", f"WITH {_ITEMS} SELECT doc_id, idx, string_split(content, chr(10))[1] AS name, CAST(page_number + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS INTEGER) AS source_page FROM items WHERE category = 'concepts'", "chunk")
 def knowledge_projection(c: Corpus) -> DataFrame:
     return items(c).filter("category = 'concepts'").select("doc_id", "idx", "name", F.element_at("source_pages", 1).alias("source_page"))
 
@@ -348,19 +358,33 @@ def first_source_page(c: Corpus) -> DataFrame:
     return items(c).select("item_id", F.try_element_at("source_pages", F.lit(1)).alias("first_page"))
 
 
-@query("topic_overview", f"WITH {_ITEMS}, o AS (SELECT doc_id, list(substr(content, 1, 40) ORDER BY idx) AS names, list(substr(content, 1, 200) ORDER BY idx) AS points FROM items GROUP BY 1) SELECT doc_id, array_to_string((list_filter(names, lambda w, i: list_position(names, w) = i))[1:6], '; ') AS topic, array_to_string(points[1:6], ' ') AS overview FROM o", "chunk")
+@query("topic_overview", f"WITH {_ITEMS}, o AS (SELECT doc_id, list(string_split(content, chr(10))[1] ORDER BY idx) AS names, list(content ORDER BY idx) AS points FROM items GROUP BY 1) SELECT doc_id, array_to_string((list_filter(names, lambda w, i: list_position(names, w) = i))[1:6], '; ') AS topic, array_to_string(points[1:6], ' ') AS overview FROM o", "chunk")
 def topic_overview(c: Corpus) -> DataFrame:
     return knowledge.topic_overview(items(c).select("doc_id", "idx", "name", "point"))
 
 
-@query("merge_outputs", f"WITH {_ITEMS} SELECT doc_id, name, CAST(min(idx) AS INTEGER) AS first_idx FROM (SELECT doc_id, idx, substr(content, 1, 3) AS name FROM items) GROUP BY 1, 2", "chunk")
+# Outputs of batches of eight chunks: an item for each line of a chunk, a topic and an overview for each batch.
+_MERGED = "CASE chunk_index % 3 WHEN 0 THEN 'concepts' WHEN 1 THEN 'key_points' ELSE 'questions' END"
+_PIECES = f"SELECT doc_id, chunk_index // 8 AS batch, {_MERGED} AS category, chunk_index, i, CAST(json_object('name', ls[i], 'source_pages', [page_number // 4]) AS VARCHAR) AS item FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(content, chr(10)) AS ls FROM chunk))"
+
+
+@query("merge_outputs", f"""
+    WITH pieces AS ({_PIECES}), first1 AS (SELECT doc_id, category, item, min(chunk_index * 1000000 + i) AS spot FROM pieces GROUP BY ALL),
+    batches AS (SELECT doc_id, chunk_index // 8 AS batch, concat('Topic ', (chunk_index // 16) % 2) AS topic, CASE WHEN (chunk_index // 8) % 3 = 2 THEN '' ELSE concat('Overview ', chunk_index // 8) END AS overview FROM chunk GROUP BY ALL)
+    SELECT * FROM (SELECT doc_id, category, CAST(row_number() OVER (PARTITION BY doc_id, category ORDER BY spot) AS INTEGER) AS place, item FROM first1) WHERE category <> 'questions' OR place <= 5
+    UNION ALL SELECT doc_id, 'topic', 0, string_agg(topic, chr(10) || chr(10) ORDER BY batch) FROM (SELECT doc_id, topic, min(batch) AS batch FROM batches GROUP BY ALL) GROUP BY 1
+    UNION ALL SELECT doc_id, 'overview', 0, coalesce(string_agg(overview, chr(10) || chr(10) ORDER BY batch) FILTER (WHERE overview <> ''), '') FROM batches GROUP BY 1""", "chunk")
 def merge_outputs(c: Corpus) -> DataFrame:
-    """Items of equal name are one; the first stays."""
-    own = items(c).select("doc_id", F.substring("name", 1, 3).alias("name"), _C("idx").alias("first_idx"))
-    return pages.latest(own, ["doc_id", "name"], _C("first_idx").asc())
+    named = c.chunk.select("doc_id", "chunk_index", "page_number", F.expr(_MERGED).alias("category"), F.floor(_C("chunk_index") / 8).cast("int").alias("batch"), F.posexplode(F.split("content", "\n", -1)).alias("pos", "name"))
+    item = text.canonical_json(name=_C("name"), source_pages=F.array(F.floor(_C("page_number") / 4)))
+    merged = knowledge.merge_items(named.select("doc_id", "batch", F.struct("chunk_index", "pos").alias("pos"), "category", item.alias("item")))
+    n = _C("batch")
+    outputs = named.select("doc_id", "batch").distinct().select("doc_id", "batch", F.concat(F.lit("Topic "), F.floor(n / 2) % 2).alias("topic"), F.when(n % 3 == 2, "").otherwise(F.concat(F.lit("Overview "), n)).alias("overview"))
+    joined = knowledge.merge_texts(outputs).unpivot(["doc_id"], ["topic", "overview"], "category", "item")
+    return merged.unionByName(joined.withColumn("place", F.lit(0)))
 
 
-@query("week_summary", "SELECT r.course_id, r.week_id, r.resource_id, k.chunk_index AS idx, substr(k.content, 1, 40) AS overview, concat(substr(k.content, 1, 200), ' [Resource ', r.resource_id, ', pages ', k.page_number, ']') AS point FROM resource r JOIN chunk k ON k.doc_id = r.resource_id", "resource", "chunk")
+@query("week_summary", "SELECT r.course_id, r.week_id, r.resource_id, k.chunk_index AS idx, string_split(k.content, chr(10))[1] AS overview, concat(k.content, ' [Resource ', r.resource_id, ', pages ', k.page_number, ']') AS point FROM resource r JOIN chunk k ON k.doc_id = r.resource_id", "resource", "chunk")
 def week_summary(c: Corpus) -> DataFrame:
     named = items(c).select(_C("doc_id").alias("resource_id"), "idx", _C("name").alias("overview"), "point", F.array("page_number").alias("pages"))
     return knowledge.week_summary(named.join(c.resource.select("resource_id", "course_id", "week_id"), "resource_id"))
@@ -395,8 +419,8 @@ def current_siblings(c: Corpus) -> DataFrame:
 
 
 @query("invalidate_projections", f"""
-    WITH {_ITEMS} SELECT 'concept' AS tab, CAST(NULL AS VARCHAR) AS week_id, doc_id, idx, substr(content, 1, 40) AS line FROM items WHERE category = 'concepts' AND doc_id % 12 <> 0
-    UNION ALL SELECT 'summary', week_id, k.doc_id, k.chunk_index, concat(substr(k.content, 1, 200), ' [Resource ', k.doc_id, ', pages ', k.page_number, ']')
+    WITH {_ITEMS} SELECT 'concept' AS tab, CAST(NULL AS VARCHAR) AS week_id, doc_id, idx, string_split(content, chr(10))[1] AS line FROM items WHERE category = 'concepts' AND doc_id % 12 <> 0
+    UNION ALL SELECT 'summary', week_id, k.doc_id, k.chunk_index, concat(k.content, ' [Resource ', k.doc_id, ', pages ', k.page_number, ']')
     FROM resource r JOIN chunk k ON k.doc_id = r.resource_id WHERE k.doc_id % 12 <> 0 AND EXISTS (SELECT 1 FROM resource u WHERE u.course_id = r.course_id AND u.week_id = r.week_id AND u.resource_id % 12 = 0)""", "chunk", "resource")
 def invalidate_projections(c: Corpus) -> DataFrame:
     """Every twelfth document is updated: the concepts that stay, and the summaries that are made anew."""

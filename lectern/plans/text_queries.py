@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text, urls, vectors
@@ -196,21 +196,35 @@ def cosine(c: Corpus) -> DataFrame:
     return c.vectors.select("chunk_id", unit.alias("x")).join(other, "chunk_id").select("chunk_id", "other_id", F.round(vectors.cosine(_C("x"), _C("y")), 6).alias("score"))
 
 
-_SOURCE = "sha256(concat_ws('|', doc_id, page_number, chunk_index, week_id, revision, coalesce(path, '-')))"
+_REPORT = "CASE WHEN doc_id % 4 = 1 THEN {} END"
+_SOURCE = f"""sha256(CAST(json_object('chunk_index', chunk_index, 'page_number', page_number, 'parsing_report', {_REPORT.format("json_object('pages', doc_id % 7, 'status', 'review \"x\"')")}, 'path', path, 'resource_id', doc_id, 'revision', revision, 'updated_at', updated_at, 'week_id', week_id) AS VARCHAR))"""
+
+
+def source_hash() -> Column:
+    """Hash of all that a chunk's vector depends on besides its text: place, week, time, revision, file and report, but
+    not the role."""
+    report = F.expr(_REPORT.format("named_struct('pages', doc_id % 7, 'status', 'review \"x\"')"))
+    names = ("chunk_index", "page_number", "path", "revision", "updated_at", "week_id")
+    return F.sha2(text.canonical_json(**{n: _C(n) for n in names}, resource_id=_C("doc_id"), parsing_report=report), 256)
 
 
 @query("fingerprints", f"SELECT chunk_id, sha256(content) AS content_hash, {_SOURCE} AS source_hash FROM chunk JOIN resource ON resource_id = doc_id", "chunk", "resource")
 def fingerprints(c: Corpus) -> DataFrame:
     met = c.chunk.join(c.resource, _C("doc_id") == _C("resource_id"))
-    source = F.concat_ws("|", *(F.col(x).cast("string") for x in ("doc_id", "page_number", "chunk_index", "week_id", "revision")), F.coalesce("path", F.lit("-")))
-    return met.select("chunk_id", F.sha2("content", 256).alias("content_hash"), F.sha2(source, 256).alias("source_hash"))
+    return met.select("chunk_id", F.sha2("content", 256).alias("content_hash"), source_hash().alias("source_hash"))
 
 
-@query("corpus_fingerprint", "SELECT doc_id, sha256(string_agg(chunk_index || ':' || sha256(content), ',' ORDER BY chunk_index)) AS fingerprint FROM chunk GROUP BY doc_id", "chunk")
+@query("corpus_fingerprint", """
+    SELECT d.doc_id, sha256(CAST(json_object('chunks', coalesce(chunks, []), 'digest', sha256(text), 'updated_at', updated_at, 'week_id', week_id) AS VARCHAR)) AS fingerprint
+    FROM documents d JOIN resource ON resource_id = d.doc_id LEFT JOIN (SELECT doc_id, list({'hash': sha256(content), 'index': chunk_index, 'page': page_number} ORDER BY chunk_index) AS chunks FROM chunk GROUP BY 1) k ON k.doc_id = d.doc_id""", "chunk", "resource")
 def corpus_fingerprint(c: Corpus) -> DataFrame:
-    own = F.array_sort(F.collect_list(F.struct("chunk_index", F.sha2("content", 256).alias("h"))))
-    parts = F.transform("own", lambda x: F.concat_ws(":", x["chunk_index"].cast("string"), x["h"]))
-    return c.chunk.groupBy("doc_id").agg(own.alias("own")).select("doc_id", F.sha2(F.array_join(parts, ","), 256).alias("fingerprint"))
+    """Of a document's file, week, time and ordered chunks."""
+    own = F.array_sort(F.collect_list(F.struct("chunk_index", F.struct(F.sha2("content", 256).alias("hash"), _C("chunk_index").alias("index"), _C("page_number").alias("page")).alias("c"))))
+    listed = c.chunk.groupBy("doc_id").agg(own.alias("own")).select("doc_id", F.transform("own", lambda x: x["c"]).alias("chunks"))
+    met = c.documents.select("doc_id", F.sha2("text", 256).alias("digest")).join(c.resource.select(_C("resource_id").alias("doc_id"), "updated_at", "week_id"), "doc_id").join(listed, "doc_id", "left")
+    none = F.array().cast(listed.schema["chunks"].dataType)
+    made = text.canonical_json(chunks=F.coalesce("chunks", none), digest=_C("digest"), updated_at=_C("updated_at"), week_id=_C("week_id"))
+    return met.select("doc_id", F.sha2(made, 256).alias("fingerprint"))
 
 
 @query("file_type", """

@@ -27,7 +27,7 @@ RESOURCE = """
            CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 5 = 1 THEN 'parsed' WHEN doc_id % 5 = 2 THEN 'pending' ELSE 'completed' END AS status,
            CASE WHEN doc_id % 2 = 0 THEN 'knowledge' ELSE 'download' END AS stage,
            concat(source, '-', doc_id, CASE WHEN doc_id % 7 = 0 THEN '.PPTX' ELSE '.pdf' END) AS filename,
-           concat('r', doc_id % 11) AS revision,
+           concat('r', doc_id % 11) AS revision, CASE WHEN doc_id % 10 <> 3 THEN concat('2024-01-', 10 + doc_id % 20, ' 08:00:00+00:00') END AS updated_at,
            CASE WHEN doc_id % 4 <> 3 THEN concat('/files/', doc_id) END AS path
     FROM {documents}"""
 
