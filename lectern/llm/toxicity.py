@@ -3,9 +3,9 @@
 Training (on labelled rows; `sample` of them at most, a documented bound): words and word beginnings
 that occur in toxic documents far more often than in others form a lexicon, all that have enough
 evidence. Every term may be misspelled: it is found within its allowed distance (none below five letters,
-one from five, two from nine), whole words by the whole word and beginnings by the word's beginning. Terms
-are indexed by pieces that edits leave alone; those that share one with a word are run over it as
-Levenshtein automata, a few bit operations a letter. A task looks up each distinct word once.
+one from five, two from nine), whole words by the whole word and beginnings by the word's beginning. The terms
+are a trie that the Levenshtein automata of many words walk together, a few bit operations a letter; a
+word leaves a branch where its automaton dies. A task looks up each distinct word once, as far as it remembers them.
 
 Scoring: each matched word has a weight learned for its term and distance. A window around each match
 adds up the weights near it; a match within quotation marks or behind a reporting phrase counts apart,
@@ -31,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .words import slices
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = '"“”«»„'
 #: Words that announce somebody else's words, as plain English ones.
 _REPORTING = frozenset("said says wrote writes called calls quoted quote quotes quoting term word insult insulted slur".split())
 _SPAN = 8
+#: Texts, and about how much of them, whose words are looked up together.
+_ROWS, _BYTES = 4096, 8 << 20
 N_FEATURES = 8
 
 
@@ -45,92 +48,111 @@ def allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
+class _Node:
+    """A place of the lexicon trie: what leads on from it, and the term or beginning that ends here."""
+
+    __slots__ = ("children", "edits", "term", "whole", "begins")
+
+    def __init__(self) -> None:
+        self.children: dict[str, _Node] = {}
+        self.edits = 0  # most edits of any term from here on
+        self.term, self.whole, self.begins = None, False, False
+
+
 class Automaton:
     """terms: whole words; stems: beginnings of words. match(word) is (term, distance) or None: the shortest
     beginning that the word has exactly, or else the nearest term or beginning, the first of several in order.
 
-    A term that may be k edits away is cut into k + 1 pieces. One of them is free of edits, and if no outer
-    one is, the edits lie on both sides of it, so it stands at most k - 1 places from its own place. Only the
-    terms of the pieces that a word holds there are run: as Levenshtein automata, all states at once."""
+    The lexicon is a trie, walked once for many words together. Each word is a Levenshtein automaton: for 0, 1 and 2
+    edits, a number whose bits are the beginnings of the word that the letters walked so far may stand for. A
+    branch is left by the words whose automaton has died there, so few words are left on most of it."""
+
+    #: Letters of a word that count; no term is longer than that less its edits.
+    LETTERS = 62
+    #: Words that walk the trie together.
+    TOGETHER = 20_000
 
     def __init__(self, terms: list[str], stems: list[str]):
         self.terms, self.stems = frozenset(terms), frozenset(stems)
         self.lengths = sorted({len(t) for t in self.stems})
-        self.tables: dict[tuple[int, bool, int], dict[str, list[str]]] = {}  # length, whether a beginning, piece
-        self.masks: dict[str, dict[str, int]] = {}
-        for is_stem, own in ((False, self.terms), (True, self.stems)):
-            for t in sorted(own):
-                if k := allowed(len(t)):
-                    for j in range(k + 1):
-                        a, b = self._piece(len(t), k, j)
-                        self.tables.setdefault((len(t), is_stem, j), {}).setdefault(t[a:b], []).append(t)
-                    self.masks[t] = {c: sum(1 << i for i, x in enumerate(t) if x == c) for c in t}
-        self.letters = {t: frozenset(t) for t in self.masks}
-        self.plans: dict[int, list[tuple[int, int, dict[str, list[tuple[str, bool]]]]]] = {}
+        self.root = _Node()
+        for t in sorted(self.terms | self.stems):
+            k = allowed(len(t))
+            if not k or len(t) + k > self.LETTERS:
+                continue  # such a one is only met exactly
+            at = self.root
+            at.edits = max(at.edits, k)
+            for c in t:
+                at = at.children.setdefault(c, _Node())
+                at.edits = max(at.edits, k)
+            at.term, at.whole, at.begins = t, t in self.terms, t in self.stems
 
-    @staticmethod
-    def _piece(length: int, k: int, j: int) -> tuple[int, int]:
-        return j * length // (k + 1), (j + 1) * length // (k + 1)
-
-    def _plan(self, n: int) -> list[tuple[int, int, dict[str, list[tuple[str, bool]]]]]:
-        """Where a word of n letters may hold pieces, and of what."""
-        out: dict[tuple[int, int], dict[str, list[tuple[str, bool]]]] = defaultdict(lambda: defaultdict(list))
-        for (length, is_stem, j), table in self.tables.items():
-            k = allowed(length)
-            a, b = self._piece(length, k, j)
-            if n < length - k or not is_stem and n > length + k:
-                continue
-            if j == 0:
-                shifts = range(1)
-            elif j < k:
-                shifts = range(1 - k, k)
+    def match(self, word: str) -> tuple[str, int] | None:
+        return self.match_all([word])[0]
+
+    def match_all(self, words: list[str]) -> list[tuple[str, int] | None]:
+        out: list[tuple[str, int] | None] = [None] * len(words)
+        rest = []
+        for i, word in enumerate(words):
+            n = next((n for n in self.lengths if word[:n] in self.stems), None)
+            if n is not None:
+                out[i] = (word[:n], 0)
+            elif word in self.terms:
+                out[i] = (word, 0)
             else:
-                shifts = range(-k, k + 1) if is_stem else range(n - length, n - length + 1)
-            for x in shifts:
-                if a + x >= 0 and b + x <= n:
-                    for piece, own in table.items():
-                        out[a + x, b + x][piece] += [(t, is_stem) for t in own]
-        return [(a, b, dict(table)) for (a, b), table in sorted(out.items())]
-
-    def _distance(self, term: str, word: str, is_stem: bool) -> int:
-        """Edits from the term to the word, or to the nearest beginning of the word."""
-        masks, m = self.masks[term], len(term)
-        full, top = (1 << m) - 1, 1 << (m - 1)
-        more, less, edits, least = full, 0, m, m
-        for c in word[: m + allowed(m)] if is_stem else word:
-            same = masks.get(c, 0)
-            x = (((same & more) + more) ^ more) | same
-            up, down = less | ~(x | more) & full, more & x
-            if up & top:
-                edits += 1
-            elif down & top:
-                edits -= 1
-            least = min(least, edits)
-            same |= less
-            up, down = (up << 1 | 1) & full, (down << 1) & full
-            more, less = down | ~(same | up) & full, up & same
-        return least if is_stem else edits
+                rest.append(i)
+        for at in range(0, len(rest), self.TOGETHER):
+            own = rest[at : at + self.TOGETHER]
+            for i, found in zip(own, self._walk([words[i] for i in own]), strict=True):
+                out[i] = found
+        return out
 
-    def match(self, word: str) -> tuple[str, int] | None:
-        for n in self.lengths:
-            if word[:n] in self.stems:
-                return word[:n], 0
-        if word in self.terms:
-            return word, 0
-        plan = self.plans.get(len(word))
-        if plan is None:
-            plan = self.plans[len(word)] = self._plan(len(word))
-        met: set[tuple[str, bool]] = set()
-        for a, b, table in plan:
-            if own := table.get(word[a:b]):
-                met.update(own)
-        if not met:
-            return None
-        # Each letter that the word lacks is an edit.
-        has = frozenset(word)
-        near = [(t, is_stem) for t, is_stem in met if len(self.letters[t] - has) <= allowed(len(t))]
-        ends = [(e, t) for t, is_stem in near if (e := self._distance(t, word, is_stem)) <= allowed(len(t))]
-        return min(ends)[::-1] if ends else None
+    def _walk(self, words: list[str]) -> list[tuple[str, int] | None]:
+        if not words or not self.root.children:
+            return [None] * len(words)
+        n, one = len(words), np.uint64(1)
+        length = np.array([min(len(w), self.LETTERS + 1) for w in words])
+        letters = np.array([w[: self.LETTERS].replace("\0", "\ue000") for w in words], f"<U{self.LETTERS}").view(np.uint32).reshape(n, self.LETTERS)
+        power = one << np.arange(1, self.LETTERS + 1, dtype=np.uint64)
+        shown = np.minimum(length, self.LETTERS).astype(np.uint64)
+        full = (one << (shown + one)) - one
+        last = np.where(length <= self.LETTERS, one << shown, np.uint64(0))  # the bit of the whole word
+        masks: dict[str, np.ndarray] = {}
+
+        def mask(c: str) -> np.ndarray:
+            """Where each word has a letter."""
+            if c not in masks:
+                masks[c] = (letters == np.uint32(ord(c))) @ power
+            return masks[c]
+
+        best, ends = np.full(n, 3, np.int8), np.full(n, -1)
+        named: list[str] = []
+        begin = [np.full(n, (2 << k) - 1, np.uint64) & full for k in range(3)]
+        # Branches in the reverse order of letters, so that they are taken in order.
+        stack = [(c, child, np.arange(n), begin) for c, child in sorted(self.root.children.items(), reverse=True)]
+        while stack:
+            c, node, who, before = stack.pop()
+            all_of, same = full[who], mask(c)[who]
+            now = [(before[0] << one) & same]
+            for k in range(1, node.edits + 1):
+                # a letter as it stands; left out, exchanged; and a letter more
+                now.append((((before[k] << one) & same) | before[k - 1] | (before[k - 1] << one) | (now[k - 1] << one)) & all_of)
+            alive = np.flatnonzero(now[-1])
+            if not len(alive):
+                continue
+            who, now = who[alive], [r[alive] for r in now]
+            if node.term is not None:
+                named.append(node.term)
+                for k in range(min(allowed(len(node.term)), node.edits), -1, -1):
+                    hit = np.zeros(len(who), bool)
+                    if node.whole:
+                        hit |= (now[k] & last[who]) != 0
+                    if node.begins:
+                        hit |= now[k] != 0
+                    better = who[hit & (best[who] > k)]
+                    best[better], ends[better] = k, len(named) - 1
+            stack += [(x, child, who, now) for x, child in sorted(node.children.items(), reverse=True)]
+        return [(named[e], int(k)) if e >= 0 else None for e, k in zip(ends, best, strict=True)]
 
 
 @dataclass
@@ -146,28 +168,34 @@ class Model:
 
 
 class Matcher:
-    """Matches of whole texts; remembers the words it has met, up to a bound."""
+    """Matches of whole texts; remembers the words it has met, up to a bound in characters."""
 
-    def __init__(self, terms: list[str], stems: list[str], limit: int = 400_000):
-        self.automaton, self.limit = Automaton(terms, stems), limit
+    def __init__(self, terms: list[str], stems: list[str], limit: int = 24 << 20):
+        self.automaton, self.limit, self.left = Automaton(terms, stems), limit, limit
         self.known: dict[str, tuple[str, int] | None] = {}
 
     def matches(self, text: str | None) -> list[tuple[int, tuple[str, int], bool]]:
         """Position among the words, (term, distance), whether it is quoted."""
-        if not text:
-            return []
-        lowered = text.lower()
-        words, known = _WORD.findall(lowered), self.known
-        if len(known) > self.limit:
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str | None]) -> list[list[tuple[int, tuple[str, int], bool]]]:
+        """The matches of each text; the new words of all are looked up together."""
+        lowered = [(t or "").lower() for t in texts]
+        listed = [_WORD.findall(t) for t in lowered]
+        known = self.known
+        new = [*{w for words in listed for w in words}.difference(known)]
+        self.left -= sum(len(w) + 100 for w in new)
+        if self.left < 0:
             known.clear()
-        for w in {*words}:
-            if w not in known:
-                known[w] = self.automaton.match(w)
-        found = [(i, m) for i, w in enumerate(words) if (m := known[w]) is not None]
-        if not found:
-            return []
-        quoted = self._quoted(lowered, words) if any(c in text for c in _QUOTES) or not _REPORTING.isdisjoint(words) else frozenset()
-        return [(i, m, i in quoted) for i, m in found]
+            self.left = self.limit
+            new = [*{w for words in listed for w in words}]
+        known.update(zip(new, self.automaton.match_all(new), strict=True))
+        out = []
+        for text, low, words in zip(texts, lowered, listed, strict=True):
+            found = [(i, m) for i, w in enumerate(words) if (m := known[w]) is not None]
+            quoted = self._quoted(low, words) if found and (any(c in text for c in _QUOTES) or not _REPORTING.isdisjoint(words)) else frozenset()
+            out.append([(i, m, i in quoted) for i, m in found])
+        return out
 
     @staticmethod
     def _quoted(lowered: str, words: list[str]) -> set[int]:
@@ -273,8 +301,8 @@ def learn(labelled: DataFrame, sample: int = 20_000, least: int = 5, ratio: floa
 
     def match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(words, stems)
-        for batch in batches:
-            found = [own.matches(t) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, _ROWS, _BYTES):
+            found = own.batch(batch.column("text").to_pylist())
             kept = [[{"at": i, "term": m[0], "distance": m[1], "quoted": q} for i, m, q in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(kept, spans)], ["toxic", "found"])
 
@@ -320,8 +348,8 @@ def score(df: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(model.terms, model.stems)
-        for batch in batches:
-            found = [own.matches(t) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, _ROWS, _BYTES):
+            found = own.batch(batch.column("text").to_pylist())
             scores = [model.score(features(f, model.weights)) for f in found]
             arrays = [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([len(f) for f in found], pa.int32()), pa.array([[m[0] for _, m, _ in f] for f in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "n_matches", "matches"])
@@ -357,8 +385,8 @@ def clean(df: DataFrame, model: Model, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(model.terms, model.stems)
-        for batch in batches:
-            scores = [model.score(features(own.matches(t), model.weights)) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, _ROWS, _BYTES):
+            scores = [model.score(features(f, model.weights)) for f in own.batch(batch.column("text").to_pylist())]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return df.withColumn("text", F.col("text").cast("string")).mapInArrow(run, df.withColumn("text", F.col("text").cast("string")).schema)
