@@ -39,21 +39,26 @@ def opening_text(c: Corpus) -> DataFrame:
     return openings(c)
 
 
-# Pages whose links lead to files of the course (words from a to f) and to documents elsewhere (g to m).
-_MATERIAL = "SELECT page_id, url, regexp_replace(regexp_replace(html, 'href=\"/[a-f][^\"]*\"', concat('href=\"/files/', page_id + 1, '/download\"'){g}), 'href=\"/([g-m][^\"]*)\"', 'href=\"https://public.test/{one}.pdf\"'{g}) AS html FROM {pages}"
-_LINKED = f"linked AS ({oracle.VIEWS['link'].replace('FROM pages', 'FROM (' + _MATERIAL.format(g=", 'g'", one=chr(92) + '1', pages='pages') + ')')}), described AS (SELECT page_id, pos, href, link_text, CASE WHEN starts_with(href, '/files/') THEN 'file' WHEN ends_with(href, '.pdf') THEN 'document' ELSE 'unsupported' END AS kind FROM linked)"
+# Pages whose links lead to files of the course (words from a to f) and to documents elsewhere (g to m), below a part
+# with a list, a paragraph and an anchor that leads nowhere; every fiftieth page has too many links.
+_PART = """concat('<h2>Part <b>', page_id, '</b></h2><p>Read &amp; see</p><ul><li>See <a href="/files/77" title="T">this</a> now</li></ul><p>Then <a href="https://public.test/x.pdf?a=1#p">that</a></p><a name="z">no</a><h3>Sub</h3>', CASE WHEN page_id % 50 = 0 THEN repeat('<a href="/files/1">x</a>', 2000) ELSE '' END)"""
+_TURNED = "regexp_replace(regexp_replace(html, 'href=\"/[a-f][^\"]*\"', concat('href=\"/files/', page_id + 1, '/download\"'){g}), 'href=\"/([g-m][^\"]*)\"', 'href=\"https://public.test/{one}.pdf\"'{g})"
+_LINKED = f"""linked AS ({oracle.VIEWS['link'].replace('FROM pages', 'FROM (SELECT page_id, url, ' + _TURNED.format(g=", 'g'", one=chr(92) + '1') + ' AS html FROM pages)')}),
+    described AS (SELECT page_id, pos + 3 AS pos, href, link_text, concat('Part ', page_id, ' Sub') AS heading, '' AS before, trim(link_text) AS around, CASE WHEN starts_with(href, '/files/') AND url LIKE 'https://%' THEN 'file' WHEN ends_with(href, '.pdf') THEN 'document' ELSE 'unsupported' END AS kind, CASE WHEN starts_with(href, '/files/') AND url LIKE 'https://%' THEN page_id + 1 END AS file_id FROM linked
+        UNION ALL SELECT page_id, pos, href, link_text, concat('Part ', page_id), before, around, CASE WHEN kind = 'file' AND url NOT LIKE 'https://%' THEN 'unsupported' ELSE kind END, CASE WHEN url LIKE 'https://%' THEN file_id END FROM pages, (VALUES (0, '/files/77', 'this', 'Read & see', 'See this now', 'file', 77), (1, 'https://public.test/x.pdf?a=1#p', 'that', '', 'Then that', 'document', NULL), (2, NULL, 'no', '', '', 'unsupported', NULL)) AS v(pos, href, link_text, before, around, kind, file_id))"""
 
 
 def material_links(c: Corpus) -> DataFrame:
-    return links.page_links(c.sql(_MATERIAL.format(g="", one="$1", pages="{pages}"), pages=c.table("pages")))
+    turned = F.concat(F.expr(_PART), F.expr(_TURNED.format(g="", one="$1")))
+    return links.page_links(c.table("pages").select("page_id", "url", turned.alias("html")))
 
 
-@query("page_links", f"WITH {_LINKED} SELECT page_id, pos, href, link_text, kind, CASE WHEN kind = 'file' THEN page_id + 1 END AS file_id FROM described")
+@query("page_links", f"WITH {_LINKED} SELECT * FROM described WHERE page_id % 50 <> 0")
 def page_links(c: Corpus) -> DataFrame:
-    return material_links(c).filter("problem IS NULL").select("page_id", "pos", "href", "link_text", "kind", "file_id")
+    return material_links(c).filter("problem IS NULL").select("page_id", "pos", "href", "link_text", "heading", "before", "around", "kind", "file_id")
 
 
-@query("inactive_links", f"WITH {_LINKED} SELECT page_id, count(*) FILTER (WHERE kind <> 'unsupported') AS links, count(*) FILTER (WHERE kind = 'unsupported') AS unsupported, count(*) > 2000 AS too_many FROM described GROUP BY 1")
+@query("inactive_links", f"WITH {_LINKED} SELECT page_id, CASE WHEN page_id % 50 = 0 THEN 0 ELSE count(*) FILTER (WHERE kind <> 'unsupported') END AS links, CASE WHEN page_id % 50 = 0 THEN 0 ELSE count(*) FILTER (WHERE kind = 'unsupported') END AS unsupported, page_id % 50 = 0 AS too_many FROM described GROUP BY 1")
 def inactive_links(c: Corpus) -> DataFrame:
     followed = _C("kind") != "unsupported"
     return material_links(c).groupBy("page_id").agg(F.count_if(followed).alias("links"), F.count_if(~followed).alias("unsupported"), F.bool_or(_C("problem").isNotNull()).alias("too_many"))

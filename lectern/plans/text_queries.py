@@ -152,16 +152,15 @@ def url_normalize(c: Corpus) -> DataFrame:
     return links(c).select("page_id", "pos", "url")
 
 
-_FILE_URL = "concat(regexp_extract(url, '^([^?#]*)', 1), CASE WHEN page_id % 3 = 0 THEN '/files/' || page_id || '/download' WHEN page_id % 3 = 1 THEN '/files?preview=' || page_id ELSE '' END)"
+_FILE_URL = "concat(regexp_extract(url, '^(https?://[^/?#]*)', 1), CASE page_id % 8 WHEN 0 THEN concat('/files/', page_id + 1, '/download') WHEN 1 THEN concat('/courses/3/files?preview=', page_id) WHEN 2 THEN concat('/api/v1/courses/12/files/', page_id, '/') WHEN 3 THEN concat('/files/', page_id, '/evil/x') WHEN 4 THEN concat('/courses/3/files?preview=0&file_id=', page_id) WHEN 5 THEN concat('/files?preview=', page_id) WHEN 6 THEN concat('/files/0', page_id) ELSE concat('.evil.test/files/', page_id) END)"
 
 
 @query("file_id_from_url", f"""
-    SELECT page_id, CASE WHEN NOT starts_with(u, 'https://') THEN NULL WHEN regexp_matches(p, '/files/\\d+(?:/(?:download|preview))?/?$') THEN CAST(regexp_extract(p, '/files/(\\d+)', 1) AS BIGINT)
-        WHEN regexp_matches(p, '/files/?$') THEN TRY_CAST(regexp_extract(u, '[?&](?:preview|file_id)=(\\d+)', 1) AS BIGINT) END AS file_id
-    FROM (SELECT page_id, u, regexp_extract(u, '^https://[^/?#]*([^?#]*)', 1) AS p FROM (SELECT page_id, {_FILE_URL} AS u FROM pages))""")
+    SELECT page_id, CASE WHEN u LIKE 'https://%' AND page_id % 8 IN (0, 1, 2, 4) THEN CASE WHEN page_id % 8 = 0 THEN page_id + 1 ELSE page_id END END AS file_id FROM (SELECT page_id, {_FILE_URL} AS u FROM pages)""")
 def file_id_from_url(c: Corpus) -> DataFrame:
-    made = c.table("pages").select("page_id", F.expr(_FILE_URL).alias("u"))
-    return made.select("page_id", urls.file_id(_C("u"), F.lit("https://")).alias("file_id"))
+    """Eight forms of addresses, of which four name a file of the site."""
+    made = c.table("pages").select("page_id", F.expr(_FILE_URL).alias("u"), urls.site(_C("url")).alias("site"))
+    return made.select("page_id", urls.file_id(_C("u"), _C("site")).alias("file_id"))
 
 
 @query("source_key", f"WITH {_LINKS} SELECT page_id, pos, sha256(url) AS key, 'external:' || sha256(url) AS material_key FROM links WHERE url IS NOT NULL", "link")
