@@ -22,6 +22,9 @@ HEADINGS = {
 LECTURE_MARKERS = ["learning objectives", "topic introduction", "overview"]
 ROLES = ["lecture", "tutorial", "other"]
 
+#: Why a role was decided: for sure, less so, and not.
+REASONS = ["Direct role evidence.", "Low-strength or competing role evidence; review or fallback needed.", "Weak or conflicting role evidence."]
+
 
 def role_signals(materials: DataFrame) -> DataFrame:
     """material_id, weight, role: distinct signals of the metadata fields (column `metadata`, a map)."""
@@ -62,9 +65,10 @@ def role_decision(materials: DataFrame) -> DataFrame:
     s = s.select(
         "material_id", F.when(supported, F.col("winner")).otherwise("other").alias("role"),
         F.when(supported, F.when(sure, 0.9).otherwise(0.65)).otherwise(F.when(F.col("strength") > 0, 0.2).otherwise(0.0)).alias("confidence"),
+        F.when(supported, F.when(sure, REASONS[0]).otherwise(REASONS[1])).otherwise(REASONS[2]).alias("reason"),
     )
     out = materials.select("material_id").join(s, "material_id", "left")
-    return out.select("material_id", F.coalesce("role", F.lit("other")).alias("role"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return out.select("material_id", F.coalesce("role", F.lit("other")).alias("role"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("reason", F.lit(REASONS[2])).alias("reason"))
 
 
 def content_role(opening: Column) -> Column:
@@ -106,3 +110,12 @@ def combine_kind(hits: Column) -> list[Column]:
     kind = F.when(F.exists(hits, lambda h: h["kind"] == "READING"), "READING").when(F.exists(hits, lambda h: h["kind"] == "CORE"), "CORE").otherwise("UNKNOWN")
     reasons = F.slice(F.array_distinct(F.transform(F.filter(hits, lambda h: h["kind"] == kind), lambda h: h["reason"])), 1, 12)
     return [kind.alias("kind"), F.array_join(reasons, ",").alias("reasons")]
+
+
+def preview(decided: DataFrame, known: DataFrame, limit: int = 100) -> DataFrame:
+    """material_id, before, after, method, confidence of the first resources, changed or not; what was set by hand stays.
+    decided: material_id, role, method, confidence; known: material_id, role, manual."""
+    first = known.select("material_id", F.col("role").alias("before"), "manual").orderBy("material_id").limit(limit)
+    joined = first.join(decided, "material_id")
+    kept = lambda own, other: F.when(F.col("manual"), own).otherwise(F.col(other))
+    return joined.select("material_id", "before", kept(F.col("before"), "role").alias("after"), kept(F.lit("manual"), "method").alias("method"), kept(F.lit(1.0), "confidence").alias("confidence")).orderBy("material_id")

@@ -119,3 +119,21 @@ def bad_gold(gold: DataFrame, pages: DataFrame) -> DataFrame:
     joined = gold.join(known, (F.col("expected") == F.col("doc_id")) & (gold["course_id"] == known["course_id"]), "left")
     problem = F.when(F.col("has").isNull(), "document").when(F.size(F.array_except("pages", "has")) > 0, "pages")
     return joined.select("item_id", "expected", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def bad_questions(gold: DataFrame, id_column: str = "item_id") -> DataFrame:
+    """item_id, problem: questions of a retrieval gold that cannot be used. gold: item_id, question, expected, pages (null
+    for unresolved, else unique and positive)."""
+    pages = F.col("pages").isNotNull() & (F.exists("pages", lambda p: p.isNull() | (p <= 0)) | (F.size(F.array_distinct("pages")) != F.size("pages")))
+    problem = (
+        F.when(F.coalesce(~F.col("question").rlike(r"[^\s\p{Z}]"), F.lit(True)), "question").when(F.length("question") > 4000, "length")
+        .when(F.coalesce(F.col(id_column) <= 0, F.lit(True)), "id").when(F.coalesce(F.col("expected") <= 0, F.lit(True)), "expected").when(pages, "pages")
+    )
+    return gold.select(F.col(id_column).alias("item_id"), problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def bad_samples(gold: DataFrame, labels: list[str]) -> DataFrame:
+    """sample_id, problem: samples of a classification gold whose id is blank or repeated, or whose label is none."""
+    n = gold.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce(F.col("expected").isin(labels), F.lit(False))).alias("labelled"))
+    problem = F.when(F.coalesce(~F.col("sample_id").rlike(r"[^\s\p{Z}]"), F.lit(True)), "id").when(F.col("n") > 1, "repeated").when(~F.col("labelled"), "label")
+    return n.select("sample_id", problem.alias("problem")).filter("problem IS NOT NULL")

@@ -109,17 +109,20 @@ DROPPED = ["examples", "exam_focus"]
 
 def ground(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """items: item_id, doc_id, category, ids (cited chunk_ids), source_pages, formula, name, body; chunks: chunk_id,
-    doc_id, page_number, content, warnings. Adds outcome (keep, reduce, drop, fail) and reason of each item. An
+    doc_id, page_number, content, warnings. Adds outcome (keep, reduce, drop, fail) and reason of each item. A formula
+    whose column `reliable`, if there is one, is not true is dropped. An
     item with symbols that its sources lack is dropped; a concept whose name is safe is reduced to it and to
     what else is safe (here, if `also`, a second text, is). Columns name, body and also may be missing or null."""
     for column in ("name", "body", "also"):
         items = items if column in items.columns else items.withColumn(column, F.lit(None).cast("string"))
+    if "reliable" not in items.columns:
+        items = items.withColumn("reliable", F.lit(True))
     long = items.select("item_id", "doc_id", F.explode_outer("ids").alias("cited"))
     found = long.join(chunks.select(F.col("doc_id").alias("d"), "chunk_id", "page_number", "content", "warnings"), (F.col("cited") == F.col("chunk_id")) & (F.col("doc_id") == F.col("d")), "left")
     known = found.groupBy("item_id").agg(
         F.count_if(F.col("chunk_id").isNull()).alias("missing"),
         F.array_sort(F.collect_set("page_number")).alias("real_pages"),
-        F.bool_and(text.symbol_source_ok(F.col("content"), F.col("warnings"), FORMULA_RISKS)).alias("reliable"),
+        F.bool_and(text.symbol_source_ok(F.col("content"), F.col("warnings"), FORMULA_RISKS)).alias("sources_ok"),
         F.bool_or(text.exam_cue(F.col("content"))).alias("cue"),
         F.collect_list("content").alias("contents"),
         F.collect_list(F.when(text.symbol_source_ok(F.col("content"), F.col("warnings"), FORMULA_RISKS), F.col("content"))).alias("trusted"),
@@ -132,7 +135,7 @@ def ground(items: DataFrame, chunks: DataFrame) -> DataFrame:
     ids_ok = (F.size("ids") > 0) & (F.size(F.array_distinct("ids")) == F.size("ids")) & (F.col("missing") == 0)
     pages_ok = (F.array_sort(F.array_distinct("source_pages")) == F.col("real_pages")) & (F.size(F.array_distinct("source_pages")) == F.size("source_pages"))
     literal = F.exists("contents", lambda x: F.contains(x, F.col("formula")))
-    formula_ok = F.coalesce(F.col("reliable"), F.lit(False)) & (F.trim("formula") != "") & literal
+    formula_ok = F.coalesce(F.col("sources_ok"), F.lit(False)) & F.coalesce(F.col("reliable"), F.lit(False)) & (F.trim("formula") != "") & literal
     bad = F.when(~F.coalesce(ids_ok, F.lit(False)), "ids").when(~F.coalesce(pages_ok, F.lit(False)), "pages")
     reason = F.coalesce(bad, F.when((F.col("category") == "formulas") & ~F.coalesce(formula_ok, F.lit(False)), "formula").when(symbols, "symbols").when((F.col("category") == "exam_focus") & ~F.coalesce("cue", F.lit(False)), "cue"))
     outcome = F.when(reason.isNull(), "keep").when((reason == "symbols") & reduced, "reduce").when(bad.isNotNull() & ~F.col("category").isin(DROPPED), "fail").otherwise("drop")
@@ -220,3 +223,30 @@ def topic_overview(items: DataFrame, limit: int = 6000, most: int = 6) -> DataFr
     points = F.slice(F.transform("own", lambda x: x["point"]), 1, most)
     joined = F.aggregate(points, F.lit(""), lambda a, x: F.when(F.length(a) + F.length(x) + 1 <= limit, F.when(a == "", x).otherwise(F.concat(a, F.lit(" "), x))).otherwise(a))
     return made.select("doc_id", F.array_join(F.slice(F.array_distinct(F.transform("own", lambda x: x["name"])), 1, most), "; ").alias("topic"), joined.alias("overview"))
+
+
+def batch_conflicts(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """chunk_id, problem: chunks of a prompt that are not stored, or are of another document or page there. Both:
+    chunk_id, doc_id, page_number."""
+    b, o = batch.alias("b"), stored.alias("o")
+    joined = b.join(o, F.col("b.chunk_id") == F.col("o.chunk_id"), "left")
+    problem = F.when(F.col("o.chunk_id").isNull(), "missing").when(~F.col("b.doc_id").eqNullSafe(F.col("o.doc_id")), "document").when(~F.col("b.page_number").eqNullSafe(F.col("o.page_number")), "page")
+    return joined.select("b.chunk_id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def projection(items: DataFrame) -> DataFrame:
+    """kind, doc_id, idx, name, text, source_page: a document's concepts and questions as rows, with their first page. items:
+    doc_id, category, idx, name, body, source_pages."""
+    kind = F.when(F.col("category") == "concepts", "concept").when(F.col("category") == "questions", "question")
+    return items.withColumn("kind", kind).filter("kind IS NOT NULL").select("kind", "doc_id", "idx", "name", F.col("body").alias("text"), F.try_element_at("source_pages", F.lit(1)).alias("source_page"))
+
+
+def week_view(items: DataFrame, resources: DataFrame) -> DataFrame:
+    """course_id, week_id, category, doc_id, idx, text, pages, links: what a week shows, in the order of (category, doc_id,
+    idx). Formulas that are not reliable are left out; pages are the distinct ones above zero, each with a link to its file
+    if there is one. items: doc_id, category, idx, text, source_pages, reliable; resources: doc_id, course_id, week_id, path."""
+    own = items.filter((F.col("category") != "formulas") | F.coalesce(F.col("reliable"), F.lit(False))).join(resources.select("doc_id", "course_id", "week_id", "path"), "doc_id")
+    pages = F.array_sort(F.array_distinct(F.filter("source_pages", lambda p: p > 0)))
+    link = lambda p: F.concat(F.lit("/api/resources/"), F.col("doc_id").cast("string"), F.lit("/file#page="), p.cast("string"))
+    none = F.array().cast("array<string>")
+    return own.withColumn("pages", pages).select("course_id", "week_id", "category", "doc_id", "idx", "text", "pages", F.when(F.col("path").isNotNull(), F.transform("pages", link)).otherwise(none).alias("links"))

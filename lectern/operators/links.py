@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.functions import urls
+from lectern.sources.scratch import written
 
 #: Elements whose content is no part of the page, and those whose text is the text around a link.
 INACTIVE = ["script", "style", "form", "template"]
@@ -108,7 +109,7 @@ def page_links(pages: DataFrame, most: int = 2000, n_chars: int = 2_000_000) ->
     problem; null pages have no links. An element without its closing tag ends with the next closing tag of its kind."""
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     fits = given.filter(F.length("html") <= n_chars)
-    found = _contexts(_events(fits)).withColumn("anchors", F.count(F.lit(1)).over(Window.partitionBy("page_id")))
+    found = _contexts(written(_events(fits), "link-events")).withColumn("anchors", F.count(F.lit(1)).over(Window.partitionBy("page_id")))
     href, endpoint, named = _decoded(_attribute("href")), _decoded(_attribute("data-api-endpoint")), _attribute("data-file-id")
     links = found.withColumns({"href": href, "endpoint": endpoint, "named": named, "title": F.substring(F.coalesce(_decoded(_attribute("title")), F.lit("")), 1, TITLE)})
     links = links.filter((F.col("anchors") > most) | ~F.coalesce(F.col("href").startswith("#"), F.lit(False)))

@@ -30,16 +30,30 @@ def in_scope(resources: DataFrame, scope: DataFrame) -> DataFrame:
     return found.distinct().withColumn("missing", F.lit(False)).unionByName(missing.select(F.col("file").alias("resource_id"), F.lit(True).alias("missing")))
 
 
+#: Counters of a run: stage and outcome of the events that each counts, outcome None for any.
+COUNTERS = {
+    "discovered": [("discovery", "file"), ("discovery", "page_linked_file")], "downloaded": [("download", "downloaded")], "updated": [("download", "updated")], "skipped": [("skip", None)], "failed": [("error", None)],
+    "files_parsed": [("parse", "parsed")], "files_analyzed": [("knowledge", "analyzed")], "pages_inspected": [("page", None)], "page_links_found": [("link", None)], "page_linked_files": [("discovery", "page_linked_file")],
+    "page_links_unsupported": [("link", "unsupported")], "ignored_readings": [("skip", "ignored_reading_material")], "unsupported": [("skip", "unsupported")],
+}
+
+
 def counters(events: DataFrame) -> DataFrame:
-    """Counts of each stage of a run."""
-    kinds = {"discovered": "view", "downloaded": "click", "updated": "purchase", "skipped": "signup", "failed": "error"}
-    made = events.groupBy(F.col("user_id").alias("run_id")).agg(*[F.count_if(F.col("event_type") == v).alias(k) for k, v in kinds.items()])
+    """events: run_id, stage, outcome. All counters of each run, and whether it had errors. An updated file is a
+    downloaded one too."""
+    def hit(stage: str, outcome: str | None) -> Column:
+        return (F.col("stage") == stage) & (F.lit(True) if outcome is None else F.col("outcome") == outcome)
+
+    def counted(of: list) -> Column:
+        return F.count_if(F.array_contains(F.array(*[F.coalesce(hit(*x), F.lit(False)) for x in of]), True))
+
+    made = events.groupBy("run_id").agg(*[counted(of + COUNTERS["updated"] if k == "downloaded" else of).alias(k) for k, of in COUNTERS.items()])
     return made.withColumn("status", F.when(F.col("failed") > 0, "completed_with_errors").otherwise("completed"))
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """How far each run has come."""
-    spans = events.groupBy(F.col("user_id").alias("run_id")).agg(F.floor((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1_000_000).alias("seconds"))
+    """How far each run has come. events: run_id, stage, outcome, ts."""
+    spans = events.groupBy("run_id").agg(F.floor((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1_000_000).alias("seconds"))
     c = counters(events).join(spans, "run_id").filter("discovered > 0")
     done = F.col("downloaded") + F.col("skipped") + F.col("failed")
     settled = F.least("discovered", done)
@@ -48,9 +62,14 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 def first_discovery(links: DataFrame) -> DataFrame:
-    """The first row of each key in discovery order (page_id, pos), with how often the key was met."""
-    first = links.groupBy("key").agg(F.min(F.struct("page_id", "pos")).alias("f"), F.count(F.lit(1)).alias("times"))
-    return first.select("key", "f.page_id", "f.pos", "times")
+    """The first row of each key in discovery order (page_id, pos), with what later ones add: how often the key was met,
+    whether any was linked from a page, the first title that is not empty, and all evidence, each once and in
+    order. links: key, page_id, pos, linked, title, evidence (an array)."""
+    at = F.struct("page_id", "pos")
+    return links.groupBy("key").agg(
+        F.min(at).alias("f"), F.count(F.lit(1)).alias("times"), F.bool_or("linked").alias("linked"), F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", at)).alias("title"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence"),
+    ).select("key", "f.page_id", "f.pos", "times", "linked", "title", "evidence")
 
 
 def number_weeks(weeks: DataFrame) -> DataFrame:
@@ -84,24 +103,27 @@ def conflicts(df: DataFrame, column: str, owner: str, kind: str) -> DataFrame:
 
 
 def change_class(old: DataFrame, new: DataFrame) -> DataFrame:
-    """resource_id, change: by revision where both have one, else by time; a missing time is an error."""
+    """resource_id, change. External material goes by its revision alone; a file of the course by its time, without which
+    it cannot be told what it is (ERROR), while a known file without a stored time is UPDATED."""
     o, n = old.alias("o"), new.alias("n")
     joined = o.join(n, F.col("o.resource_id") == F.col("n.resource_id"), "full_outer")
-    both = F.col("o.revision").isNotNull() & F.col("n.revision").isNotNull()
     change = (
-        F.when(F.col("o.resource_id").isNull(), "NEW").when(F.col("n.resource_id").isNull(), "MISSING")
-        .when(both, F.when(F.col("o.revision") == F.col("n.revision"), "UNCHANGED").otherwise("UPDATED"))
-        .when(F.col("o.updated_at").isNull() | F.col("n.updated_at").isNull(), "ERROR")
-        .when(F.col("n.updated_at") > F.col("o.updated_at"), "UPDATED").otherwise("UNCHANGED")
+        F.when(F.col("n.resource_id").isNull(), "MISSING")
+        .when(F.col("n.revision").isNotNull(), F.when(F.col("o.resource_id").isNull(), "NEW").when(F.col("o.revision").eqNullSafe(F.col("n.revision")), "UNCHANGED").otherwise("UPDATED"))
+        .when(F.col("n.updated_at").isNull(), "ERROR").when(F.col("o.resource_id").isNull(), "NEW")
+        .when(F.col("o.updated_at").isNull() | (F.col("n.updated_at") > F.col("o.updated_at")), "UPDATED").otherwise("UNCHANGED")
     )
     return joined.select(F.coalesce("o.resource_id", "n.resource_id").alias("resource_id"), change.alias("change"))
 
 
-def next_action(locked: Column, change: Column, status: Column, stage: Column) -> Column:
-    """What to do next for a resource."""
+def next_action(locked: Column, change: Column, status: Column, stage: Column, file_type: Column | None = None) -> Column:
+    """What to do next for a resource. What was downloaded and is no PDF is unsupported."""
+    resumed = F.when(stage == "done", "knowledge").when(stage.isNotNull(), stage).when(status == "parsed", "knowledge").otherwise("download")
+    if file_type is not None:
+        resumed = F.when((resumed == "parse") & (F.lower(file_type) != ".pdf"), "unsupported").otherwise(resumed)
     return (
         F.when(locked, "error").when((change == "UNCHANGED") & status.isin("completed", "unsupported"), "skip").when(change == "NEW", "download").when(change == "UPDATED", "download+invalidate")
-        .when(stage == "done", "knowledge").when(stage.isNotNull(), stage).when(status == "parsed", "knowledge").otherwise("download")
+        .otherwise(resumed)
     )
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import text as text_functions
 from lectern.operators import catalog, pages, sync
 from lectern.plans import health
 from lectern.plans.registry import query
@@ -170,12 +171,24 @@ def dashboard_cards(c: Corpus) -> DataFrame:
     return cards.select("course_id", "modules", "last_module", F.coalesce("parsed", F.lit(0).cast("long")).alias("parsed"), F.coalesce("current_knowledge", F.lit(0).cast("long")).alias("current_knowledge")).orderBy("course_id")
 
 
-@query("sync_counters", """
-    SELECT user_id AS run_id, count(*) FILTER (WHERE event_type = 'view') AS discovered, count(*) FILTER (WHERE event_type = 'click') AS downloaded, count(*) FILTER (WHERE event_type = 'purchase') AS updated,
-           count(*) FILTER (WHERE event_type = 'signup') AS skipped, count(*) FILTER (WHERE event_type = 'error') AS failed, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status
-    FROM events GROUP BY 1""")
+# Runs: a user is one, and each event a stage and outcome.
+_STAGE = "CASE event_type WHEN 'view' THEN CASE WHEN event_id % 5 = 0 THEN 'page' WHEN event_id % 5 = 1 THEN 'link' ELSE 'discovery' END WHEN 'click' THEN CASE WHEN event_id % 4 = 0 THEN 'parse' ELSE 'download' END WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'knowledge' ELSE 'download' END WHEN 'signup' THEN 'skip' ELSE 'error' END"
+_OUTCOME = "CASE event_type WHEN 'view' THEN CASE WHEN event_id % 5 = 1 AND event_id % 2 = 0 THEN 'unsupported' WHEN event_id % 5 = 2 THEN 'page_linked_file' ELSE 'file' END WHEN 'click' THEN CASE WHEN event_id % 4 = 0 THEN 'parsed' ELSE 'downloaded' END WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'analyzed' ELSE 'updated' END WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'ignored_reading_material' WHEN event_id % 3 = 1 THEN 'unsupported' END END"
+_RUNS = f"runs AS (SELECT user_id AS run_id, ts, {_STAGE} AS stage, {_OUTCOME} AS outcome FROM events)"
+
+
+def _runs(c: Corpus) -> DataFrame:
+    return c.table("events").select(_C("user_id").alias("run_id"), "ts", F.expr(_STAGE).alias("stage"), F.expr(_OUTCOME).alias("outcome"))
+
+
+_COUNTED = """SELECT run_id, count(*) FILTER (WHERE stage = 'discovery') AS discovered, count(*) FILTER (WHERE stage = 'download') AS downloaded, count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE stage = 'skip') AS skipped, count(*) FILTER (WHERE stage = 'error') AS failed,
+    count(*) FILTER (WHERE stage = 'parse') AS files_parsed, count(*) FILTER (WHERE stage = 'knowledge') AS files_analyzed, count(*) FILTER (WHERE stage = 'page') AS pages_inspected, count(*) FILTER (WHERE stage = 'link') AS page_links_found, count(*) FILTER (WHERE outcome = 'page_linked_file') AS page_linked_files,
+    count(*) FILTER (WHERE stage = 'link' AND outcome = 'unsupported') AS page_links_unsupported, count(*) FILTER (WHERE outcome = 'ignored_reading_material') AS ignored_readings, count(*) FILTER (WHERE stage = 'skip' AND outcome = 'unsupported') AS unsupported FROM runs GROUP BY 1"""
+
+
+@query("sync_counters", f"WITH {_RUNS} SELECT *, CASE WHEN failed > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM ({_COUNTED})")
 def sync_counters(c: Corpus) -> DataFrame:
-    return sync.counters(c.table("events"))
+    return sync.counters(_runs(c))
 
 
 @query("token_usage", "SELECT user_id AS run_id, count(*) AS requests, count(*) FILTER (WHERE TRY_CAST(json_extract(props, '$.k') AS BIGINT) IS NOT NULL) AS with_usage, CAST(sum(TRY_CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1")
@@ -184,12 +197,11 @@ def token_usage(c: Corpus) -> DataFrame:
     return used.groupBy("run_id").agg(F.count(F.lit(1)).alias("requests"), F.count("k").alias("with_usage"), F.sum("k").alias("tokens"))
 
 
-@query("run_progress", """
-    SELECT user_id AS run_id, least(d, k + s + f) AS settled, CAST(floor(100 * least(d, k + s + f) / d) AS BIGINT) AS percent, greatest(d - k - s - f, 0) AS remaining, greatest(k - u, 0) AS new_downloads, seconds
-    FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS d, count(*) FILTER (WHERE event_type = 'click') AS k, count(*) FILTER (WHERE event_type = 'purchase') AS u, count(*) FILTER (WHERE event_type = 'signup') AS s,
-                 count(*) FILTER (WHERE event_type = 'error') AS f, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS seconds FROM events GROUP BY 1) WHERE d > 0""")
+@query("run_progress", f"""
+    WITH {_RUNS} SELECT k.run_id, least(discovered, downloaded + skipped + failed) AS settled, CAST(floor(100 * least(discovered, downloaded + skipped + failed) / discovered) AS BIGINT) AS percent, greatest(discovered - downloaded - skipped - failed, 0) AS remaining, greatest(downloaded - updated, 0) AS new_downloads, seconds
+    FROM ({_COUNTED}) k JOIN (SELECT run_id, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS seconds FROM runs GROUP BY 1) t ON t.run_id = k.run_id WHERE discovered > 0""")
 def run_progress(c: Corpus) -> DataFrame:
-    return sync.progress(c.table("events"))
+    return sync.progress(_runs(c))
 
 
 @query("latest_run", "SELECT user_id AS run_id, arg_max(event_id, ts) AS latest, arg_max(event_id, CASE WHEN event_type = 'view' THEN ts END) AS latest_running FROM events GROUP BY 1")
@@ -197,10 +209,16 @@ def latest_run(c: Corpus) -> DataFrame:
     return c.table("events").groupBy(_C("user_id").alias("run_id")).agg(F.max_by("event_id", "ts").alias("latest"), F.max_by("event_id", F.when(_C("event_type") == "view", _C("ts"))).alias("latest_running"))
 
 
+_EVIDENCE = "array('title', concat('p', page_id % 4))"
+
+
 @query("first_discovery", """
-    SELECT page_id, key, times FROM (SELECT page_id, href AS key, row_number() OVER (PARTITION BY href ORDER BY page_id, pos) AS n, count(*) OVER (PARTITION BY href) AS times FROM link) WHERE n = 1""", "link")
+    SELECT page_id, key, times, linked, title, evidence FROM (SELECT page_id, href AS key, row_number() OVER (PARTITION BY href ORDER BY page_id, pos) AS n FROM link)
+    JOIN (SELECT href, count(*) AS times, bool_or(page_id % 3 = 0) AS linked, arg_min(link_text, page_id * 100000 + pos) FILTER (WHERE page_id % 2 = 1) AS title, array_to_string(list_sort(list_distinct(list_concat(['title'], list(concat('p', page_id % 4))))), ',') AS evidence FROM link GROUP BY 1) a ON a.href = key WHERE n = 1""", "link")
 def first_discovery(c: Corpus) -> DataFrame:
-    return sync.first_discovery(c.link.withColumn("key", _C("href"))).select("page_id", "key", "times")
+    """Every second page gives no title, every third is linked from a page."""
+    met = c.link.select(_C("href").alias("key"), "page_id", "pos", (_C("page_id") % 3 == 0).alias("linked"), F.when(_C("page_id") % 2 == 1, _C("link_text")).otherwise("").alias("title"), F.expr(_EVIDENCE).alias("evidence"))
+    return sync.first_discovery(met).select("page_id", "key", "times", "linked", "title", F.array_join("evidence", ",").alias("evidence"))
 
 
 _WEEKS = "SELECT DISTINCT lang AS course_id, source AS title, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS pos, CASE WHEN CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 3 > 0 THEN CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 5 + 1 END AS parsed FROM documents"
@@ -233,20 +251,26 @@ def identity_conflicts(c: Corpus) -> DataFrame:
 
 
 @query("change_class", """
-    SELECT coalesce(o.resource_id, n.resource_id) AS resource_id, CASE WHEN o.resource_id IS NULL THEN 'NEW' WHEN n.resource_id IS NULL THEN 'MISSING' WHEN n.updated_at > o.updated_at THEN 'UPDATED' ELSE 'UNCHANGED' END AS change
-    FROM snap_old o FULL JOIN snap_new n ON o.resource_id = n.resource_id""", "snap_old", "snap_new")
+    SELECT coalesce(o.resource_id, n.resource_id) AS resource_id, CASE WHEN n.resource_id IS NULL THEN 'MISSING' WHEN n.resource_id % 10 = 1 THEN CASE WHEN o.resource_id IS NULL THEN 'NEW' WHEN n.resource_id % 20 = 1 THEN 'UNCHANGED' ELSE 'UPDATED' END
+        WHEN n.resource_id % 10 = 2 THEN 'ERROR' WHEN o.resource_id IS NULL THEN 'NEW' WHEN o.resource_id % 10 = 3 OR n.updated_at > o.updated_at THEN 'UPDATED' ELSE 'UNCHANGED' END AS change
+    FROM (SELECT * FROM snap_old WHERE resource_id % 9 <> 0) o FULL JOIN (SELECT * FROM snap_new WHERE resource_id % 7 <> 0) n ON o.resource_id = n.resource_id""", "snap_old", "snap_new")
 def change_class(c: Corpus) -> DataFrame:
-    blank = F.lit(None).cast("string")
-    return sync.change_class(c.snap_old.withColumn("revision", blank), c.snap_new.withColumn("revision", blank)).select("resource_id", "change")
+    """Some are external and have revisions, some have no new or no stored time."""
+    k = _C("resource_id")
+    timed = lambda df, lost: df.withColumn("updated_at", F.when(k % 10 != lost, _C("updated_at")))
+    old = timed(c.snap_old, 3).filter(k % 9 != 0).withColumn("revision", F.when(k % 20 == 1, "a").when(k % 20 == 11, "b"))
+    new = timed(c.snap_new, 2).filter(k % 7 != 0).withColumn("revision", F.when(k % 10 == 1, "a"))
+    return sync.change_class(old, new).select("resource_id", "change")
 
 
 @query("resume_stage", """
-    SELECT resource_id, CASE WHEN resource_id % 13 = 0 THEN 'error' WHEN c = 'UNCHANGED' AND status = 'completed' THEN 'skip' WHEN c = 'UNCHANGED' AND status = 'unsupported' THEN 'skip' WHEN c = 'NEW' THEN 'download'
-           WHEN c = 'UPDATED' THEN 'download+invalidate' WHEN stage = 'done' THEN 'knowledge' WHEN stage IS NOT NULL THEN stage WHEN status = 'parsed' THEN 'knowledge' ELSE 'download' END AS action
-    FROM (SELECT *, CASE resource_id % 3 WHEN 0 THEN 'UNCHANGED' WHEN 1 THEN 'NEW' ELSE 'UPDATED' END AS c FROM resource)""", "resource")
+    SELECT resource_id, CASE WHEN resource_id % 13 = 0 THEN 'error' WHEN c = 'UNCHANGED' AND status IN ('completed', 'unsupported') THEN 'skip' WHEN c = 'NEW' THEN 'download' WHEN c = 'UPDATED' THEN 'download+invalidate'
+           WHEN s = 'done' THEN 'knowledge' WHEN s = 'parse' AND filename LIKE '%.PPTX' THEN 'unsupported' WHEN s IS NOT NULL THEN s WHEN status = 'parsed' THEN 'knowledge' ELSE 'download' END AS action
+    FROM (SELECT *, CASE resource_id % 3 WHEN 0 THEN 'UNCHANGED' WHEN 1 THEN 'NEW' ELSE 'UPDATED' END AS c, CASE (resource_id // 3) % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'parse' WHEN 2 THEN 'parse' WHEN 3 THEN stage END AS s FROM resource)""", "resource")
 def resume_stage(c: Corpus) -> DataFrame:
     change = F.expr("CASE resource_id % 3 WHEN 0 THEN 'UNCHANGED' WHEN 1 THEN 'NEW' ELSE 'UPDATED' END")
-    return c.resource.select("resource_id", sync.next_action(_C("resource_id") % 13 == 0, change, _C("status"), _C("stage")).alias("action"))
+    stage = F.expr("CASE floor(resource_id / 3) % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'parse' WHEN 2 THEN 'parse' WHEN 3 THEN stage END")
+    return c.resource.select("resource_id", sync.next_action(_C("resource_id") % 13 == 0, change, _C("status"), stage, text_functions.file_type(_C("filename"))).alias("action"))
 
 
 @query("report_freshness", """

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text, vectors
-from lectern.operators import embed, evaluate, index, pages, retrieval
-from lectern.plans import health, oracle, text_queries
+from lectern.operators import classify, embed, evaluate, index, pages, retrieval
+from lectern.plans import health, material_queries, oracle, text_queries
 from lectern.plans.registry import query
 from lectern.sources.corpus import Corpus
 from lectern.sources.scratch import written
@@ -451,11 +451,21 @@ def rerank_eval(c: Corpus) -> DataFrame:
     return arm("before", hits(c)).unionByName(arm("after", reranked(c)))
 
 
-@query("gold_load", "SELECT item_id, problem FROM (SELECT item_id, CASE WHEN length(trim(text)) = 0 THEN 'question' WHEN length(text) > 4000 THEN 'length' WHEN item_id <= 0 THEN 'id' END AS problem FROM benchmark) WHERE problem IS NOT NULL")
+_PAGES = "CASE item_id % 6 WHEN 0 THEN NULL WHEN 1 THEN {0}1, 2{1} WHEN 2 THEN {0}2, 2{1} WHEN 3 THEN {0}0, 1{1} ELSE {0}3{1} END"
+_SAMPLE = "CASE WHEN doc_id % 50 = 0 THEN ' ' WHEN doc_id % 50 = 1 THEN 'same' ELSE concat('s', doc_id) END"
+_LABEL = "CASE doc_id % 4 WHEN 0 THEN 'lecture' WHEN 1 THEN 'tutorial' WHEN 2 THEN 'other' ELSE CASE WHEN doc_id % 8 = 3 THEN 'exam' END END"
+
+
+@query("gold_load", f"""
+    SELECT 'retrieval' AS gold, CAST(item_id AS VARCHAR) AS item, problem FROM (SELECT item_id, CASE WHEN NOT regexp_matches(text, '[^\\s\\p{{Z}}]') THEN 'question' WHEN length(text) > 4000 THEN 'length' WHEN item_id <= 0 THEN 'id' WHEN item_id % 7 = 0 THEN 'expected' WHEN item_id % 6 IN (2, 3) THEN 'pages' END AS problem FROM benchmark) WHERE problem IS NOT NULL
+    UNION ALL SELECT 'classification', sample, CASE WHEN trim(sample) = '' THEN 'id' WHEN n > 1 THEN 'repeated' ELSE 'label' END FROM (SELECT {_SAMPLE} AS sample, count(*) AS n, count(*) FILTER (WHERE {_LABEL} IS NULL OR {_LABEL} = 'exam') AS bad FROM documents GROUP BY 1) WHERE trim(sample) = '' OR n > 1 OR bad > 0""")
 def gold_load(c: Corpus) -> DataFrame:
-    b = c.table("benchmark")
-    problem = F.when(F.length(F.trim("text")) == 0, "question").when(F.length("text") > 4000, "length").when(_C("item_id") <= 0, "id")
-    return b.select("item_id", problem.alias("problem")).filter("problem IS NOT NULL")
+    """Retrieval gold with pages that are repeated or not positive, and classification gold with blank and repeated ids and
+    labels that are none."""
+    asked = c.table("benchmark").select("item_id", _C("text").alias("question"), F.when(_C("item_id") % 7 == 0, 0).otherwise(5).alias("expected"), F.expr(_PAGES.format("array(", ")")).alias("pages"))
+    samples = c.documents.select(F.expr(_SAMPLE).alias("sample_id"), F.expr(_LABEL).alias("expected"))
+    named = lambda df, gold, key: df.select(F.lit(gold).alias("gold"), _C(key).cast("string").alias("item"), "problem")
+    return named(evaluate.bad_questions(asked), "retrieval", "item_id").unionByName(named(evaluate.bad_samples(samples, ["lecture", "tutorial", "other"]), "classification", "sample_id"))
 
 
 @query("gold_check", f"WITH {_HITS}, {_GOLD_PAGES} SELECT * FROM (SELECT gp.item_id, gp.expected, CASE WHEN r.course_id <> a.course_id THEN 'document' WHEN gp.item_id % 2 = 1 AND pages IS NOT NULL THEN 'pages' END AS problem FROM gp JOIN asked a ON a.item_id = gp.item_id JOIN resource r ON r.resource_id = gp.expected) WHERE problem IS NOT NULL", *_RETRIEVAL_VIEWS)
@@ -467,21 +477,25 @@ def gold_check(c: Corpus) -> DataFrame:
     return evaluate.bad_gold(gold, own)
 
 
-_PREDICTED = "SELECT l.doc_id, quality AS expected, CASE WHEN d.n_chars >= 400 THEN 1 ELSE 0 END AS predicted FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
-_ACCURACY = "SELECT w.expected, count(p.doc_id) AS total, count(*) FILTER (WHERE p.expected = p.predicted) AS correct, round(count(*) FILTER (WHERE p.expected = p.predicted) / nullif(count(p.doc_id), 0), 6) AS accuracy FROM (VALUES (0), (1), (2), (NULL)) AS w(expected) LEFT JOIN p ON w.expected IS NULL OR w.expected = p.expected GROUP BY 1"
+# Roles by rules against gold: the resources' own roles, without those of no known label.
+_PREDICTED = f"SELECT material_id AS doc_id, r.role AS expected, d.role AS predicted FROM ({material_queries._DECISION}) d JOIN resource r ON r.resource_id = material_id WHERE material_id % 5 <> 0"
+_ACCURACY = "SELECT w.expected, count(p.doc_id) AS total, count(*) FILTER (WHERE p.expected = p.predicted) AS correct, round(count(*) FILTER (WHERE p.expected = p.predicted) / nullif(count(p.doc_id), 0), 6) AS accuracy FROM (VALUES ('lecture'), ('tutorial'), ('other'), ('none'), (NULL)) AS w(expected) LEFT JOIN p ON w.expected IS NULL OR w.expected = p.expected GROUP BY 1"
 
 
 def predicted(c: Corpus) -> DataFrame:
-    return c.table("labels").join(c.documents.select("doc_id", "n_chars"), "doc_id").select("doc_id", _C("quality").alias("expected"), F.when(_C("n_chars") >= 400, 1).otherwise(0).alias("predicted"))
+    """The classifier by metadata rules, on four of five resources, whose roles are the gold."""
+    gold = c.resource.filter("resource_id % 5 <> 0").select(_C("resource_id").alias("material_id"), _C("role").alias("expected"))
+    return classify.role_decision(material_queries.materials(c)).join(gold, "material_id").select(_C("material_id").alias("doc_id"), "expected", _C("role").alias("predicted"))
 
 
-@query("label_accuracy", f"WITH p AS ({_PREDICTED}) {_ACCURACY}")
+@query("label_accuracy", f"WITH p AS ({_PREDICTED}) {_ACCURACY}", "resource")
 def label_accuracy(c: Corpus) -> DataFrame:
-    return evaluate.label_accuracy(predicted(c), c.spark.createDataFrame([(0,), (1,), (2,)], "expected int"))
+    return evaluate.label_accuracy(predicted(c), c.spark.createDataFrame([("lecture",), ("tutorial",), ("other",), ("none",)], "expected string"))
 
 
-@query("classification_eval", f"WITH p AS ({_PREDICTED}) SELECT doc_id, expected, predicted FROM p WHERE expected <> predicted")
+@query("classification_eval", f"WITH p AS ({_PREDICTED}) SELECT doc_id, expected, predicted FROM p WHERE expected <> predicted", "resource")
 def classification_eval(c: Corpus) -> DataFrame:
+    """The failures of the classifier."""
     return predicted(c).filter("expected <> predicted")
 
 

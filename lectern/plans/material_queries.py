@@ -145,7 +145,8 @@ def _signals_sql() -> str:
 _SIGNALS = _signals_sql()
 _SCORES = f"""SELECT material_id, lecture, tutorial, CASE WHEN direct THEN least(other, 6) ELSE other END AS other, twos FROM (SELECT material_id, {', '.join(f"CAST(coalesce(max(weight) FILTER (WHERE role = '{r}') + CASE WHEN count(DISTINCT weight) FILTER (WHERE role = '{r}') > 1 THEN 1 ELSE 0 END, 0) AS INTEGER) AS {r}" for r in classify.ROLES)},
     bool_or(weight >= 8 AND role IN ('lecture', 'tutorial')) AS direct, coalesce(list(role) FILTER (WHERE weight = 2), []) AS twos FROM ({_SIGNALS}) GROUP BY 1)"""
-_DECISION = f"""SELECT doc_id AS material_id, coalesce(CASE WHEN ok THEN winner ELSE 'other' END, 'other') AS role, coalesce(CASE WHEN ok THEN CASE WHEN strength >= 7 AND margin >= 3 THEN 0.9 ELSE 0.65 END WHEN strength > 0 THEN 0.2 ELSE 0.0 END, 0.0) AS confidence
+_DECISION = f"""SELECT doc_id AS material_id, coalesce(CASE WHEN ok THEN winner ELSE 'other' END, 'other') AS role, coalesce(CASE WHEN ok THEN CASE WHEN strength >= 7 AND margin >= 3 THEN 0.9 ELSE 0.65 END WHEN strength > 0 THEN 0.2 ELSE 0.0 END, 0.0) AS confidence,
+    coalesce(CASE WHEN ok THEN CASE WHEN strength >= 7 AND margin >= 3 THEN 'Direct role evidence.' ELSE 'Low-strength or competing role evidence; review or fallback needed.' END END, 'Weak or conflicting role evidence.') AS reason
     FROM documents LEFT JOIN (SELECT *, (strength >= 4 OR list_contains(twos, winner)) AND margin >= 2 AS ok FROM (SELECT material_id, twos, greatest(lecture, tutorial, other) AS strength, CASE WHEN lecture >= tutorial AND lecture >= other THEN 'lecture' WHEN tutorial >= other THEN 'tutorial' ELSE 'other' END AS winner,
         greatest(lecture, tutorial, other) - list_sort([lecture, tutorial, other])[2] AS margin FROM ({_SCORES}))) ON material_id = doc_id"""
 
@@ -214,11 +215,14 @@ def manual_override(c: Corpus) -> DataFrame:
     return classify.role_decision(materials(c)).join(manual, "material_id", "left").select("material_id", F.coalesce("manual", "role").alias("role"))
 
 
-@query("reclassify_preview", f"SELECT material_id, r.role AS before, d.role AS after, confidence FROM ({_DECISION}) d JOIN resource r ON r.resource_id = material_id WHERE r.course_id = 'en' AND material_id % 6 <> 0 AND r.role <> d.role ORDER BY material_id LIMIT 100", "resource")
+@query("reclassify_preview", f"""
+    SELECT material_id, r.role AS before, CASE WHEN material_id % 6 = 0 THEN r.role ELSE d.role END AS after, CASE WHEN material_id % 6 = 0 THEN 'manual' ELSE method END AS method, CAST(CASE WHEN material_id % 6 = 0 THEN 1.0 ELSE confidence END AS DOUBLE) AS confidence
+    FROM (SELECT * FROM resource WHERE course_id = 'en' ORDER BY resource_id LIMIT 100) r JOIN (SELECT k.material_id, k.role, k.method, c.confidence FROM ({_CASCADE}) k JOIN ({_DECISION}) c ON c.material_id = k.material_id) d ON material_id = resource_id""", "resource", "chunk")
 def reclassify_preview(c: Corpus) -> DataFrame:
-    known = c.resource.filter("course_id = 'en' AND resource_id % 6 <> 0").select(_C("resource_id").alias("material_id"), _C("role").alias("before"))
-    joined = classify.role_decision(materials(c)).join(known, "material_id").filter("before <> role")
-    return joined.select("material_id", "before", _C("role").alias("after"), "confidence").orderBy("material_id").limit(100)
+    """The first hundred resources of a course, as they are and as they would be; every sixth was set by hand."""
+    decided = cascaded(c).join(classify.role_decision(materials(c)).select("material_id", "confidence"), "material_id")
+    known = c.resource.filter("course_id = 'en'").select(_C("resource_id").alias("material_id"), "role", (_C("resource_id") % 6 == 0).alias("manual"))
+    return classify.preview(decided, known, 100)
 
 
 _PHRASES = {"READING": ["reading", "chapter notes"], "CORE": ["lecture", "tutorial exercises", "slides"]}
@@ -257,6 +261,10 @@ _BODY = "CASE WHEN doc_id % 9 = 4 THEN 'x ∯ y' ELSE 'Some words' END"
 _ITEMS = f"items AS (SELECT chunk_id AS item_id, doc_id, {_CATEGORY} AS category, chunk_index AS idx, page_number, content FROM chunk)"
 
 
+#: An item's name: the first line of its chunk.
+_NAME = "string_split(content, chr(10))[1]"
+
+
 def items(c: Corpus) -> DataFrame:
     own = c.chunk
     ids = F.when(_C("doc_id") % 11 == 0, F.array("chunk_id", "chunk_id")).when(_C("doc_id") % 13 == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array("chunk_id"))
@@ -353,9 +361,11 @@ def claim_id_sets(c: Corpus) -> DataFrame:
     return evaluate.id_coverage(expected, decided, "claim")
 
 
-@query("knowledge_projection", f"WITH {_ITEMS} SELECT doc_id, idx, string_split(content, chr(10))[1] AS name, CAST(page_number + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS INTEGER) AS source_page FROM items WHERE category = 'concepts'", "chunk")
+@query("knowledge_projection", f"WITH {_ITEMS} SELECT CASE category WHEN 'concepts' THEN 'concept' ELSE 'question' END AS kind, doc_id, idx, {_NAME} AS name, content AS text, CAST(page_number + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS INTEGER) AS source_page FROM items WHERE category IN ('concepts', 'exam_focus')", "chunk")
 def knowledge_projection(c: Corpus) -> DataFrame:
-    return items(c).filter("category = 'concepts'").select("doc_id", "idx", "name", F.element_at("source_pages", 1).alias("source_page"))
+    """Concepts and, here those that speak of exams, questions."""
+    own = items(c).withColumn("category", F.when(_C("category") == "exam_focus", "questions").otherwise(_C("category"))).withColumn("body", _C("point"))
+    return knowledge.projection(own)
 
 
 @query("first_source_page", f"WITH {_ITEMS} SELECT item_id, CAST(page_number + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS INTEGER) AS first_page FROM items", "chunk")
@@ -395,12 +405,15 @@ def week_summary(c: Corpus) -> DataFrame:
     return knowledge.week_summary(named.join(c.resource.select("resource_id", "course_id", "week_id"), "resource_id"))
 
 
-@query("week_learning_view", f"WITH {_ITEMS} SELECT course_id, week_id, category, count(*) AS items, count(DISTINCT doc_id) AS resources FROM items JOIN resource ON resource_id = doc_id WHERE category <> 'formulas' OR {_RELIABLE} GROUP BY ALL", "chunk", "resource")
+@query("week_learning_view", f"""
+    WITH {_ITEMS} SELECT course_id, week_id, category, doc_id, idx, content AS text, CAST(page_number + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS pages, CASE WHEN path IS NOT NULL THEN concat('/api/resources/', doc_id, '/file#page=', page_number + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END) ELSE '' END AS links
+    FROM items JOIN resource ON resource_id = doc_id WHERE category <> 'formulas' OR {_RELIABLE}""", "chunk", "resource")
 def week_learning_view(c: Corpus) -> DataFrame:
-    reliable = text.symbol_source_ok(_C("content"), F.array().cast("array<string>"), pages.FORMULA_RISKS)
-    own = items(c).join(c.chunk.select(_C("chunk_id").alias("item_id"), "content"), "item_id").filter((_C("category") != "formulas") | reliable)
-    joined = own.join(c.resource.select(_C("resource_id").alias("doc_id"), "course_id", "week_id"), "doc_id")
-    return joined.groupBy("course_id", "week_id", "category").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("doc_id").alias("resources"))
+    reliable = text.symbol_source_ok(_C("point"), F.array().cast("array<string>"), pages.FORMULA_RISKS)
+    twice = F.concat("source_pages", "source_pages", F.array(F.lit(0)))  # pages count once, and only those above zero
+    own = items(c).select("doc_id", "category", "idx", _C("point").alias("text"), twice.alias("source_pages"), reliable.alias("reliable"))
+    made = knowledge.week_view(own, c.resource.select(_C("resource_id").alias("doc_id"), "course_id", "week_id", "path"))
+    return made.withColumns({"pages": F.array_join(F.transform("pages", lambda p: p.cast("string")), ","), "links": F.array_join("links", ",")})
 
 
 # Stored knowledge: fingerprints of every document but each ninth, out of date for each fourth.

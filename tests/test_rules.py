@@ -163,12 +163,57 @@ def test_mask_math(spark):
 
 
 def test_change_class(spark):
+    """A known file without a stored time is updated, one without a new time an error; external material goes by revision."""
     s = "resource_id long, revision string, updated_at int"
-    old = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, None, 1), (4, None, 2), (5, None, None)], s)
-    new = spark.createDataFrame([(1, "a", 9), (2, "b", 1), (3, None, 2), (4, None, 2), (5, None, 1), (6, None, 1)], s)
-    assert {r["resource_id"]: r["change"] for r in sync.change_class(old, new).collect()} == {1: "UNCHANGED", 2: "UPDATED", 3: "UPDATED", 4: "UNCHANGED", 5: "ERROR", 6: "NEW"}
+    old = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, None, 1), (4, None, 2), (5, None, None), (7, None, 1), (8, None, 3), (9, None, 1), (11, None, 5)], s)
+    new = spark.createDataFrame([(1, "a", 9), (2, "b", 1), (3, None, 2), (4, None, 2), (5, None, 1), (6, None, 1), (7, None, None), (8, None, 2), (10, None, None), (11, "a", None), (12, "a", None)], s)
+    want = {1: "UNCHANGED", 2: "UPDATED", 3: "UPDATED", 4: "UNCHANGED", 5: "UPDATED", 6: "NEW", 7: "ERROR", 8: "UNCHANGED", 9: "MISSING", 10: "ERROR", 11: "UPDATED", 12: "NEW"}
+    assert {r["resource_id"]: r["change"] for r in sync.change_class(old, new).collect()} == want
 
 
+def test_next_action(spark):
+    rows = [(False, "UNCHANGED", "completed", "done", ".pdf"), (False, "UNCHANGED", "failed", "done", ".pdf"), (False, "UNCHANGED", "failed", "parse", ".PDF"), (False, "UNCHANGED", "failed", "parse", ".pptx"), (False, "UNCHANGED", "parsed", None, ".pdf"), (True, "NEW", "parsed", None, ".pdf"), (False, "UPDATED", "parsed", "parse", ".pptx")]
+    df = spark.createDataFrame(rows, "l boolean, c string, s string, g string, t string").coalesce(1)
+    got = df.select(sync.next_action(F.col("l"), F.col("c"), F.col("s"), F.col("g"), F.col("t"))).collect()
+    assert [r[0] for r in got] == ["skip", "knowledge", "parse", "unsupported", "knowledge", "error", "download+invalidate"]
+
+
+def test_counters(spark):
+    events = [(1, "discovery", "file"), (1, "discovery", "page_linked_file"), (1, "download", "updated"), (1, "download", "downloaded"), (1, "skip", "ignored_reading_material"), (1, "skip", None), (2, "error", None), (2, None, None)]
+    got = {r["run_id"]: r for r in sync.counters(spark.createDataFrame(events, "run_id long, stage string, outcome string")).collect()}
+    assert [got[1][c] for c in ("discovered", "page_linked_files", "downloaded", "updated", "skipped", "ignored_readings", "failed", "status")] == [2, 1, 2, 1, 2, 1, 0, "completed"]
+    assert (got[2]["failed"], got[2]["status"]) == (1, "completed_with_errors")
+
+
+def test_first_discovery_merges_later_ones(spark):
+    rows = [("k", 2, 0, False, "late", ["b", "c"]), ("k", 1, 5, False, "", ["a", "b"]), ("k", 3, 0, True, "later", None), ("m", 1, 1, False, None, [])]
+    got = {r["key"]: tuple(r)[1:] for r in sync.first_discovery(spark.createDataFrame(rows, "key string, page_id long, pos int, linked boolean, title string, evidence array<string>")).collect()}
+    assert got == {"k": (1, 5, 3, True, "late", ["a", "b", "c"]), "m": (1, 1, 1, False, None, [])}
+
+
+def test_gold_rules(spark):
+    asked = [(1, "q", 5, None), (2, "q", 5, [1, 2]), (3, " ", 5, None), (4, None, 5, None), (5, "x" * 4001, 5, None), (0, "q", 5, None), (6, "q", 0, None), (7, "q", 5, [1, 1]), (8, "q", 5, [0]), (9, "q", 5, [None]), (10, "q", None, None), (11, "q", 5, [])]
+    got = {r["item_id"]: r["problem"] for r in evaluate.bad_questions(spark.createDataFrame(asked, "item_id long, question string, expected long, pages array<int>")).collect()}
+    assert got == {3: "question", 4: "question", 5: "length", 0: "id", 6: "expected", 7: "pages", 8: "pages", 9: "pages", 10: "expected"}
+    samples = [("a", "lecture"), ("b", "exam"), ("c", None), ("d", "other"), ("d", "other"), (" ", "other"), (None, "other")]
+    got = {r["sample_id"]: r["problem"] for r in evaluate.bad_samples(spark.createDataFrame(samples, "sample_id string, expected string"), ["lecture", "other"]).collect()}
+    assert got == {"b": "label", "c": "label", "d": "repeated", " ": "id", None: "id"}
+
+
+def test_projection_and_week_view(spark):
+    items = spark.createDataFrame([(1, "concepts", 0, "n", "t", [3, 4], True), (1, "questions", 1, "q", "a", [], None), (1, "formulas", 2, "f", "x", [2, 2, 0, -1], False), (2, "formulas", 0, "g", "y", [2, 2, 0, -1], True)], "doc_id long, category string, idx int, name string, body string, source_pages array<int>, reliable boolean")
+    rows = [tuple(r) for r in knowledge.projection(items).orderBy("idx").collect()]
+    assert rows == [("concept", 1, 0, "n", "t", 3), ("question", 1, 1, "q", "a", None)]
+    resources = spark.createDataFrame([(1, "c", "w", "p"), (2, "c", "w", None)], "doc_id long, course_id string, week_id string, path string")
+    view = {(r["doc_id"], r["idx"]): (r["pages"], r["links"]) for r in knowledge.week_view(items.withColumnRenamed("body", "text"), resources).collect()}
+    assert view == {(1, 0): ([3, 4], ["/api/resources/1/file#page=3", "/api/resources/1/file#page=4"]), (1, 1): ([], []), (2, 0): ([2], [])}
+
+
+def test_batch_conflicts(spark):
+    s = "chunk_id long, doc_id long, page_number int"
+    got = knowledge.batch_conflicts(spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 2), (4, 1, 1)], s), spark.createDataFrame([(1, 1, 1), (2, 2, 1), (3, 1, 1)], s))
+    assert {r["chunk_id"]: r["problem"] for r in got.collect()} == {2: "document", 3: "page", 4: "missing"}
+
 def test_hit_at_k_unresolved(spark):
     gold = spark.createDataFrame([(1, 10, [2, 3]), (2, 10, None)], "item_id long, expected long, pages array<int>")
     hits = spark.createDataFrame([(1, 1, 11, 2), (1, 2, 10, 9), (1, 3, 10, 3)], "item_id long, rank int, doc_id long, page_number int")
