@@ -14,8 +14,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Fixed value: the tokens of a window, at most.
 WINDOW = 480
-#: Windows that a model is given at once.
-AT_ONCE = 16
+#: Windows that a model is given at once, and about as many words as the built-in embedder counts at once.
+AT_ONCE, WORDS = 16, 500_000
 
 
 class Hashed:
@@ -40,11 +40,16 @@ class Hashed:
     def _place(self, word: str) -> int:
         return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % self.dimensions
 
-    def pooled(self, words: list[str], window: int) -> np.ndarray:
-        places = np.array(self.places(words))
-        parts = [places[at : at + window] for at in range(0, len(places), window)]
-        counts = np.array([np.bincount(p, minlength=self.dimensions) for p in parts], float)
-        return _unit((_unit(counts) * np.array([len(p) for p in parts])[:, None]).sum(0))
+    def pooled(self, rows: list[list[str]], window: int) -> np.ndarray:
+        """The vectors of rows of words, of which each has one at least; all windows are counted at once."""
+        sizes = np.array([len(w) for w in rows])
+        windows = -(-sizes // window)
+        starts = np.cumsum(windows) - windows
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.repeat(starts, sizes) + within // window
+        places = np.array(self.places([w for words in rows for w in words]))
+        counts = np.bincount(at * self.dimensions + places, minlength=windows.sum() * self.dimensions).reshape(-1, self.dimensions).astype(float)
+        return _unit(np.add.reduceat(_unit(counts) * counts.sum(1)[:, None], starts))
 
 
 def embed_words(rows: DataFrame, key: str | list[str], words: Column, dimensions: int, window: int = WINDOW) -> DataFrame:
@@ -56,7 +61,13 @@ def embed_words(rows: DataFrame, key: str | list[str], words: Column, dimensions
         model = Hashed(dimensions)
         for batch in batches:
             listed = [(i, w) for i, t in enumerate(batch.column("_words").to_pylist()) if t and (w := [x for x in t.split(" ") if x])]
-            found = np.array([model.pooled(w, window) for _, w in listed]).reshape(len(listed), dimensions)
+            parts, begin, size = [np.zeros((0, dimensions))], 0, 0
+            for end, (_, words) in enumerate(listed, 1):
+                size += len(words)
+                if size >= WORDS or end == len(listed):
+                    parts.append(model.pooled([w for _, w in listed[begin:end]], window))
+                    begin, size = end, 0
+            found = np.concatenate(parts)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(listed) + 1) * dimensions, pa.int32()), pa.array(found.ravel()))
             kept = batch.take(pa.array([i for i, _ in listed], pa.int64())).drop_columns("_words")
             yield pa.RecordBatch.from_arrays([*kept.columns, vectors], [*kept.schema.names, "embedding"])

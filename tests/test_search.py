@@ -72,6 +72,10 @@ def test_built_in_embedder(spark):
         own = np.bincount([place(w) for w in words[at : at + 480]], minlength=8).astype(float)
         total += own / np.linalg.norm(own) * len(words[at : at + 480])
     rows = [(1, " ".join(words)), (2, ""), (3, None)]
+    many = spark.createDataFrame([(i, " ".join(words[: i + 1])) for i in range(9)], "key long, body string").coalesce(1)
+    counted = {i: np.bincount([place(w) for w in words[: i + 1]], minlength=8) for i in range(9)}
+    found = {r["key"]: r["embedding"] for r in embed.embed_words(many, "key", F.col("body"), 8).collect()}
+    assert set(found) == set(counted) and all(found[i] == pytest.approx(list(c / np.linalg.norm(c))) for i, c in counted.items())
     got = embed.embed_words(spark.createDataFrame(rows, "key long, body string"), "key", F.col("body"), 8).collect()
     assert [r["key"] for r in got] == [1] and got[0]["embedding"] == pytest.approx(total / np.linalg.norm(total))
     small = embed.Hashed(8, room=200)
