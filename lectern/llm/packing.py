@@ -1,11 +1,14 @@
 """Hierarchical residual packing of documents into sequences (operator 5).
 
-Every partition cuts its documents into pieces and packs them best-fit by falling length. Sequences
-that are nearly full are done. All others are taken apart again, and their pieces, however many, are
-packed best-fit together with those of all other partitions. There are no more lengths than the capacity,
-so that round needs only how many pieces of each length there are: it packs lengths with their numbers
-into patterns, on the driver, and each piece finds its sequence by its rank among those of its length.
-The ranks are sums over partitions, so no task holds the pieces of others, and no piece is left out.
+Every partition cuts its documents into pieces and packs them best-fit by falling length. Sequences that
+are nearly full are done. All others, however many, are bins that go up a tree: a node takes the bins of
+`fan_in` children as items, packs them best-fit, calls the nearly full results done and hands the rest to
+its parent. Bins of equal size are alike, and there are no more sizes than the capacity, so what a node
+takes and hands up is a number of bins for each size, and no task holds the bins of others. Once the tree
+stands, every piece finds its way by the size and rank of its bin, one join a level.
+
+What even the root leaves underfull is opened, as bins of two 700s and bins of one 1,300 never meet again
+as bins: its pieces are packed best-fit once more, by the numbers of each length.
 
 Nulls and edge cases: a null or empty text is one piece with the end id alone; a null doc_id is kept;
 repeated rows are packed as often as they occur; other columns are ignored; an empty table packs into
@@ -20,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -29,11 +33,14 @@ from .common import materialize
 from .tokens import encoder
 from .words import slices
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, unit long, nth long"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("unit", pa.int64()), ("nth", pa.int64())])
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+#: Pieces, and for those in an underfull bin its node, its size and its rank among the node's bins of that size.
+_BINS = PACKED + ", node long, size long, rank long"
+_SCHEMA = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in _BINS.split(", ")])
+_MOVES = "node long, size long, start long, upto long, each long, place long, total long, done boolean, to long, fresh long"
 #: Pieces that a task packs at a time, which make no more sequences than that.
 FLUSH = 100_000
-_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -103,10 +110,80 @@ def best_fit_counts(sizes: dict[int, int], capacity: int) -> list[tuple[int, int
     return out
 
 
-def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, full: float = 0.98, broadcast_rows: int = 1_000_000) -> DataFrame:
+def merge_bins(sizes: dict[int, int], capacity: int, least: float) -> list[tuple]:
+    """One best-fit round over `sizes[size]` bins of each size. Returns rows size, start, upto, each, place,
+    total, done, to, fresh: the bins of that size with ranks from start up to upto go, `each` together from
+    `place` on, into new bins of `total` tokens. Those are done from `least` tokens on. The first is number `to`
+    of the node if done, else the one of that rank among those of equal total; fresh counts new bins once."""
+    rows = np.array(best_fit_counts(sizes, capacity), np.int64).reshape(-1, 6)
+    edges = np.unique(np.concatenate([rows[:, 4], rows[:, 4] + rows[:, 2]]))
+    begins, ends = np.searchsorted(edges, rows[:, 4]), np.searchsorted(edges, rows[:, 4] + rows[:, 2])
+    total = np.zeros(max(len(edges) - 1, 0), np.int64)
+    for (size, _, _, each, _, _), a, b in zip(rows, begins, ends, strict=True):
+        total[a:b] += size * each
+    to, met = edges[:-1].copy(), Counter()
+    for k in np.flatnonzero(total < least).tolist():
+        to[k] = met[total[k]]
+        met[total[k]] += int(edges[k + 1] - edges[k])
+    out = []
+    for (size, rank, _, each, first, place), a, b in zip(rows.tolist(), begins, ends, strict=True):
+        for k in range(a, b):
+            start, upto = (rank + each * int(e - first) for e in (edges[k], edges[k + 1]))
+            fresh = 0 if place else int(edges[k + 1] - edges[k])
+            out.append((size, start, upto, each, place, int(total[k]), bool(total[k] >= least), int(to[k]), fresh))
+    return out
+
+
+def tree(bins: DataFrame, parts: int, flushed: bool, capacity: int, least: float, fan_in: int) -> list[tuple[int, DataFrame]]:
+    """bins: node, size, n. Returns for each level how many parts a node spans and a table node, size, parent,
+    before, moves."""
+
+    def node(key: tuple, sizes: pd.DataFrame) -> pd.DataFrame:
+        rows = merge_bins(dict(zip(sizes["size"].tolist(), sizes["n"].tolist(), strict=True)), capacity, least)
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split()[0] for c in _MOVES.split(", ")])
+
+    # A part is one table of bins unless it was flushed: then its own come together first.
+    levels, divisor, span = [], *((1 << 30, 1) if flushed else (fan_in << 30, fan_in))
+    while True:
+        earlier = F.sum("n").over(Window.partitionBy("parent", "size").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+        bins = bins.withColumn("parent", F.expr(f"node div {divisor}")).withColumn("before", F.coalesce(earlier, F.lit(0)))
+        joint = bins.groupBy(F.col("parent").alias("node"), "size").agg(F.sum("n").alias("n"))
+        moves = materialize(joint.groupBy("node").applyInPandas(node, _MOVES), "moves")
+        ways = moves.groupBy(F.col("node").alias("parent"), "size").agg(F.collect_list(F.struct("start", "upto", "each", "place", "total", "done", "to")).alias("moves"))
+        levels.append((span, materialize(bins.drop("n").join(ways, ["parent", "size"]), "level")))
+        if span >= parts:
+            return levels
+        bins = moves.filter("NOT done").groupBy("node", F.col("total").alias("size")).agg(F.sum("fresh").alias("n"))
+        divisor, span = fan_in, span * fan_in
+
+
+def climb(pieces: DataFrame, level: int, span: int, table: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Pieces with the bins that theirs became part of at this level; those that are done stay."""
+    size = table.agg(F.sum(F.size("moves")).alias("n")).first()["n"] or 0
+    table = F.broadcast(table) if size <= broadcast_rows else table
+    # Pieces that are done meet no node, spread over many keys.
+    key = F.coalesce("node", -1 - F.pmod(F.xxhash64("doc_id", "piece"), F.lit(4096)))
+    met = pieces.withColumn("node", key).join(table, ["node", "size"], "left").withColumn("rank", F.col("rank") + F.col("before"))
+    met = met.withColumn("move", F.filter("moves", lambda m: (m["start"] <= F.col("rank")) & (F.col("rank") < m["upto"]))[0])
+    ahead = F.col("rank") - F.col("move.start")
+    number = F.col("move.to") + F.floor(ahead / F.col("move.each"))
+    moved, done = F.col("move").isNotNull(), F.col("move.done")
+    first = F.lit(level << 58) + F.col("parent") * (span << 30)
+    return met.select(
+        *_COLUMNS[:5],
+        F.when(moved & done, first + number).otherwise(F.col("sequence_id")).alias("sequence_id"),
+        F.when(moved, F.col("offset") + F.col("move.place") + ahead % F.col("move.each") * F.col("size")).otherwise(F.col("offset")).alias("offset"),
+        F.when(moved & ~done, F.col("parent")).alias("node"),
+        F.when(moved & ~done, F.col("move.total")).alias("size"),
+        F.when(moved & ~done, number).alias("rank"),
+    )
+
+
+def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, full: float = 0.98, fan_in: int = 32, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    full: share of the capacity from which a sequence is nearly full. broadcast_rows: numbers of pieces by
-    part and length that are broadcast, and joined by a shuffle beyond that."""
+    full: share of the capacity from which a sequence is nearly full. fan_in: children of a node of the tree.
+    broadcast_rows: moves of a level, or numbers of pieces by part and length, that are broadcast, and joined by a
+    shuffle beyond that."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(tokenizer_path, True), TaskContext.get().partitionId()
@@ -132,29 +209,50 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int =
             own.clear()
 
     def fit(pieces: list[tuple], unit: int) -> pa.RecordBatch:
-        """unit: number of the first sequence, which also tells these pieces from others."""
+        """unit: number of the first sequence, which also tells these bins from others."""
         sizes = np.array([p[3] for p in pieces], dtype=np.int64)
-        sequence: list[int | None] = [None] * len(pieces)
-        offset: list[int | None] = [None] * len(pieces)
-        nth: list[int | None] = [None] * len(pieces)
+        places: list[tuple] = [()] * len(pieces)
         met: Counter = Counter()
         for number, members in enumerate(best_fit(sizes, capacity)):
             lengths = sizes[members].tolist()
-            done, at = sum(lengths) >= full * capacity, 0
+            total, at = sum(lengths), 0
             for i, length in zip(members, lengths, strict=True):
-                if done:
-                    sequence[i], offset[i] = unit + number, at
-                    at += length
-                else:
-                    nth[i] = met[length]
-                    met[length] += 1
-        columns = [*zip(*pieces, strict=True), sequence, offset, [unit] * len(pieces), nth]
+                places[i] = (unit + number, at, None, None, None) if total >= least else (None, at, unit, total, met[total])
+                at += length
+            met[total] += 1
+        columns = [*zip(*pieces, strict=True), *zip(*places, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
-    pieces = materialize(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE), "pieces")
-    done, left = pieces.filter("sequence_id IS NOT NULL"), pieces.filter("sequence_id IS NULL")
-    counts = left.groupBy("unit", "length").agg(F.count(F.lit(1)).alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1))
+    least = full * capacity
+    pieces = materialize(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _BINS), "pieces")
+    bins = materialize(pieces.filter("node IS NOT NULL").groupBy("node", "size").agg((F.max("rank") + 1).alias("n")), "bins")
+    spread = bins.agg(F.max(F.shiftright("node", 30)).alias("part"), F.max(F.col("node").bitwiseAND((1 << 30) - 1)).alias("flush")).first()
+    if spread["part"] is None:
+        return pieces.select(*_COLUMNS)
+    levels = tree(bins, spread["part"] + 1, spread["flush"] > 0, capacity, least, fan_in)
+    for level, (span, table) in enumerate(levels, 1):
+        pieces = climb(pieces, level, span, table, broadcast_rows)
+    opened = open_bins(pieces.filter("sequence_id IS NULL"), len(levels) + 1, capacity, broadcast_rows)
+    return pieces.filter("sequence_id IS NOT NULL").select(*_COLUMNS).unionByName(opened)
+
+
+def open_bins(pieces: DataFrame, level: int, capacity: int, broadcast_rows: int) -> DataFrame:
+    """Pieces of bins that stayed underfull, packed best-fit by the numbers of each length."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each piece's rank among those of its length that this task reads."""
+        part, met = TaskContext.get().partitionId(), Counter()
+        for batch in batches:
+            nth = []
+            for length in batch.column("length").to_pylist():
+                nth.append(met[length])
+                met[length] += 1
+            columns = [*(batch.column(c) for c in _COLUMNS[:5]), pa.array([part] * len(nth), pa.int64()), pa.array(nth, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*_COLUMNS[:5], "part", "nth"])
+
+    left = materialize(pieces.select(*_COLUMNS[:5]).mapInArrow(number, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"), "underfull")
+    counts = left.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = materialize(counts.withColumn("before", F.coalesce(earlier, F.lit(0))), "lengths")
     # At most as many rows as the capacity.
     sizes = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -172,11 +270,10 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int =
                 own[here] = first + np.searchsorted(ranks, rank[here], side="right") - 1
             _, begin, _, each, number, offset = classes[own].T
             which, place = np.divmod(rank - begin, each)
-            found = [pa.array((1 << 58) + number + which), pa.array(offset + place * length)]
+            found = [pa.array((level << 58) + number + which), pa.array(offset + place * length)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _COLUMNS[:5]), *found], _COLUMNS)
 
-    side = counts.select("unit", "length", "before")
+    side = counts.select("part", "length", "before")
     side = F.broadcast(side) if counts.count() <= broadcast_rows else side
-    ranked = left.join(side, ["unit", "length"]).select(*_COLUMNS[:5], (F.col("before") + F.col("nth")).alias("rank"))
-    placed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return done.select(*_COLUMNS).unionByName(placed)
+    ranked = left.join(side, ["part", "length"]).select(*_COLUMNS[:5], (F.col("before") + F.col("nth")).alias("rank"))
+    return ranked.mapInArrow(place, PACKED)

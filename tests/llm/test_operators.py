@@ -218,6 +218,52 @@ def test_packing_of_numbers_equals_packing_of_items(items):
     assert sorted(used.values()) == sorted(sum(items[i] for i in b) for b in packing.best_fit(np.array(items, np.int64), 40))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=120))
+def test_merged_bins_equal_packing_of_items(items):
+    """Every rank moves once, the moves lay bins end to end, and totals and ranks above are those of the new bins."""
+    sizes = {s: items.count(s) for s in items}
+    inside, ranks = {}, {s: [] for s in sizes}
+    for size, start, upto, each, place, total, done, to, _ in packing.merge_bins(sizes, 40, 0.9 * 40):
+        ranks[size] += range(start, upto)
+        assert done == (total >= 36)
+        for r in range(start, upto):
+            new = (done, None if done else total, to + (r - start) // each)
+            inside.setdefault(new, [total]).append((place + (r - start) % each * size, size))
+    assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in sizes.items()}
+    for total, *own in inside.values():
+        assert [o for o, _ in sorted(own)] == np.cumsum([0, *(n for _, n in sorted(own)[:-1])]).tolist()
+        assert sum(n for _, n in own) == total
+    assert sorted(v[0] for v in inside.values()) == sorted(sum(items[i] for i in b) for b in packing.best_fit(np.array(items, np.int64), 40))
+    handed = {}
+    for size, start, upto, each, place, total, done, to, fresh in packing.merge_bins(sizes, 40, 0.9 * 40):
+        if not done:
+            handed[total] = handed.get(total, 0) + fresh
+    for total, n in handed.items():  # what goes up is numbered from 0 without gaps
+        assert sorted(k[2] for k in inside if k[:2] == (False, total)) == list(range(n))
+
+
+@pytest.mark.parametrize("flush, broadcast_rows", [(packing.FLUSH, 1_000_000), (2, 1_000_000), (packing.FLUSH, 0)])
+def test_packing_tree_of_rounds(spark, monkeypatch, flush, broadcast_rows):
+    """Nine partitions with bins that fit those of others, some only after two rounds: bins climb the tree whole."""
+    monkeypatch.setattr(packing, "FLUSH", flush)
+    lengths = [(5, 5), (5, 4), (20, 20), (40,), (21,), (19,), (30,), (7, 3), (33, 31, 1)]
+    data = [(p, k, "and " * (n - 1)) for p, own in enumerate(lengths) for k, n in enumerate(own)]
+    df = spark.createDataFrame([(10 * p + k, t) for p, k, t in data], "doc_id long, text string").repartitionByRange(9, F.floor(F.col("doc_id") / 10))
+    assert df.rdd.getNumPartitions() == 9
+    got = packing.pack(df, P.path("word_bpe_49k.json"), 40, 0, fan_in=2, broadcast_rows=broadcast_rows).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == [(10 * p + k, n) for p, own in enumerate(lengths) for k, n in enumerate(own)]
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        assert [o for o, _ in sorted(own)] == np.cumsum([0, *(n for _, n in sorted(own)[:-1])]).tolist()
+        assert sum(n for _, n in own) <= 40
+    total = sum(sum(own) for own in lengths)
+    assert len(places) <= -(-total // 40) + 1
+    assert any(r["sequence_id"] >> 58 in (1, 2, 3, 4) for r in got)  # some were done in the tree
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(700, 16)) / 4
