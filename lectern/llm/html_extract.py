@@ -9,11 +9,12 @@ its element's marginal is at least one half. Potentials are smoothed counts over
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined
 in page order by one newline. <br> is white space. What is never shown (head, script, style, form
-controls, comments, markup) has no text at all.
+controls, comments, markup) has no text at all, and within a block it does not part it; formulas are text
+of their block. Forms are elements like others, about which the model decides, as pages may lie in one.
 
 Nulls and edge cases: a null or empty html gives an empty text, as does a page without main text; a null
 page_id or url is kept; repeated rows give repeated results; unclosed, misnested and stray tags are
-tolerated; other columns are ignored; an empty table gives an empty result.
+tolerated; a page without block elements is one block, kept if it is as long as such labelled pages are; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +32,14 @@ from pyspark.sql import functions as F
 
 from . import labelled_pages
 
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mtable mtr mtd semantics".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("head title script style template noscript textarea select option button input object iframe svg math canvas audio video datalist form".split())
+_SILENT = frozenset("head title script style template noscript textarea select option button input object iframe svg canvas audio video datalist annotation annotation-xml".split())
+#: Those that stand within a line of text without parting it.
+_UNSEEN = _SILENT - {"head", "title", "option"}
 _RAW = frozenset("script style textarea title noscript iframe".split())
 #: Start tags that end an open element of these kinds.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -41,7 +47,7 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[a-z]{2,}")
 _WHITE = re.compile(r"\s+")
 
 
@@ -130,7 +136,7 @@ def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int
         nonlocal links, silent
         while len(stack) > upto:
             tag = stack[-1][0]
-            if tag not in _INLINE:
+            if tag not in _INLINE and not silent:
                 flush()
             stack.pop()
             is_open[tag] -= 1
@@ -147,6 +153,13 @@ def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int
                 return None
         return None
 
+    def skipped(tag: str, at: int) -> int:
+        """Where reading goes on behind a start tag: the content of some elements holds no tags."""
+        if tag not in _RAW:
+            return at
+        stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+        return stop.start() if stop else end
+
     at, end = 0, len(html)
     while at < end:
         found = markup.next(at)
@@ -180,6 +193,13 @@ def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int
                 is_open[tag] += 1
                 links += tag == "a"
             continue
+        if silent or tag in _UNSEEN:  # no text of its own, so no element of the tree
+            if tag not in _VOID and not (tag == "svg" and attributes.endswith("/")):
+                stack.append((tag, stack[-1][1]))
+                is_open[tag] += 1
+                silent += tag in _SILENT
+                at = skipped(tag, at)
+            continue
         flush()
         words, label = [], None
         for a in _ATTRIBUTE.finditer(attributes):
@@ -189,22 +209,25 @@ def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int
             elif labelled and name == "data-main":
                 label = int(a[2])
         nodes.append(Node(tag, stack[-1][1], tuple(words), label))
-        nodes[-1].quiet = bool(silent) or tag in _SILENT
+        nodes[-1].quiet = tag in _SILENT
         nodes[nodes[-1].parent].children.append(len(nodes) - 1)
         if tag not in _VOID:
             stack.append((tag, len(nodes) - 1))
             is_open[tag] += 1
             silent += tag in _SILENT
-            if tag in _RAW:  # its content holds no tags
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = stop.start() if stop else end
+            at = skipped(tag, at)
     close(0)
     return nodes, blocks
 
 
+def _long(length: int) -> int:
+    return min(6, int(math.log(1 + length, 4)))
+
+
 def _features(node: Node, length: int, linked: int) -> list[str]:
     words = sorted(set(node.words))
-    return ["tag " + node.tag, *("word " + w for w in words), f"linked {round(3 * linked / length) if length else '-'}", f"length {min(6, int(math.log(1 + length, 4)))}", f"classed {bool(words)}"]
+    share = round(3 * linked / length) if length else "-"
+    return ["tag " + node.tag, *("word " + w for w in words), f"tag {node.tag} {share} {_long(length)}", f"linked {share}", f"length {_long(length)}", f"classed {bool(words)}"]
 
 
 def _kind(node: Node) -> str:
@@ -218,9 +241,14 @@ class Model:
         self.seen: tuple[Counter, Counter] = (Counter(), Counter())
         self.total = [0, 0]
         self.edges: Counter = Counter()
+        self.loose: Counter = Counter()  # length of text outside all block elements, and the page's label
         for page in pages:
             nodes, _ = parse(page, labelled=True)
             labels: list[int] = []
+            if len(nodes) == 1:  # nothing but text
+                nodes[0].label = 1
+            if nodes[0].text:
+                self.loose[_long(nodes[0].text), nodes[0].label or 0] += 1
             sums = subtree(nodes)
             for k, node in enumerate(nodes):
                 own = node.label if node.label is not None else (labels[node.parent] if k else 0)
@@ -256,6 +284,13 @@ class Model:
             table.append(tuple(max(1e-4, x / sum(own)) for x in own))
         return tuple(table)
 
+    def page(self, node: Node) -> tuple[float, float]:
+        """Potential of the page itself: it is main text only where text lies outside all block elements."""
+        if not node.text:
+            return 1.0, 1e-6
+        no, yes = (self.loose[_long(node.text), y] + 0.5 for y in (0, 1))
+        return no / (no + yes), yes / (no + yes)
+
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability that each node is main text: messages up from the leaves, then down."""
         n, sums = len(nodes), subtree(nodes)
@@ -271,7 +306,7 @@ class Model:
             z = sum(self.weight(f) for f in own_features if not f.startswith("word ")) + sum(named) * min(1.0, 8 / max(1, len(named)))
             z = max(-30.0, min(30.0, z))
             p = 1 / (1 + math.exp(-z))
-            own.append((1 - p, p) if k else (1.0, 1e-6))
+            own.append((1 - p, p) if k else self.page(node))
             tables.append(self.edge(_kind(node)))
         below = [list(x) for x in own]  # own potential times the messages of all children
         message: list[tuple[float, float]] = [(1.0, 1.0)] * n

@@ -98,6 +98,33 @@ _HOLDERS = [
 ]
 
 
+def _made(r: random.Random) -> str:
+    """A class name as style sheets in scripts make them, which says nothing."""
+    return r.choice(["css", "sc", "jsx", "x", "_"]) + "-" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(4, 8)))
+
+
+#: What pages with such names have around an article, and what holds it.
+_MADE_AROUND = [
+    lambda r: f'<nav class="{_made(r)}"><a href="/">{_words(r, 1, 2)}</a> <a href="/">{_words(r, 1, 2)}</a></nav>',
+    lambda r: f'<div class="{_made(r)}"><ul class="{_made(r)}">{_links(r)}</ul></div>',
+    lambda r: f'<header class="{_made(r)}"><a href="/">{_words(r, 1, 3)}</a></header>',
+    lambda r: f'<footer class="{_made(r)}">&copy; {_words(r, 2, 8)}</footer>',
+    lambda r: f'<aside class="{_made(r)}"><h3>{_words(r, 1, 3)}</h3><ul>{_links(r)}</ul></aside>',
+]
+_MADE_HOLDERS = [
+    lambda r, x: f'<div class="{_made(r)}" data-main="1">{x}</div>',
+    lambda r, x: f'<div class="{_made(r)}"><div class="{_made(r)}" data-main="1">{x}</div></div>',
+    lambda r, x: f'<div data-main="1">{x}</div>',
+    lambda r, x: f'<form method="post" data-main="1">{x}</form>',
+    lambda r, x: f'<form id="{r.choice(["form1", "aspnetForm", "mainform"])}" method="post">{r.choice(_HOLDERS)(r, x)}</form>',
+]
+
+
+def _plain(r: random.Random) -> str:
+    """Text with no element that makes a block."""
+    return _prose(r, 1, 12) + r.choice(["", f" <b>{_words(r, 1, 3)}</b> " + _prose(r), "<br>" + _prose(r)])
+
+
 def pages(count: int = 600, seed: int = 7) -> list[str]:
     """Labelled pages of varied layout."""
     rng, out = random.Random(seed), []
@@ -110,4 +137,16 @@ def pages(count: int = 600, seed: int = 7) -> list[str]:
             after += "</div>"
         head = f"<head><title>{_words(rng, 2, 6)}</title><style>p{{margin:0}}</style><script>var a = '<p>{_words(rng, 1, 3)}</p>';</script></head>"
         out.append(f"<!DOCTYPE html><html lang=xx>{head}<body>{before}{main}{after}</body></html>")
+    # One in five has names that tell nothing, lies in a form, is all text or has stray text around it.
+    for k in range(0, count, 5):
+        kind, body = k // 5 % 6, "".join(_body(rng))
+        if kind == 0:
+            out[k] = _plain(rng)
+        elif kind == 1:
+            out[k] = _words(rng, 1, 1) + out[k]
+        elif kind == 2:
+            out[k] = f'<html><body data-main="1">{body}</body></html>'
+        else:
+            around = ["".join(x(rng) for x in rng.sample(_MADE_AROUND, rng.randint(0, 2))) for _ in range(2)]
+            out[k] = f"<html><body>{around[0]}{rng.choice(_MADE_HOLDERS)(rng, body)}{around[1]}</body></html>"
     return out

@@ -582,11 +582,20 @@ def test_html_held_out_pages():
     assert wrong <= 0.01 * total
 
 
+_LONG = " ".join(["Some words of the main text go on here."] * 8)
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
         ("<body><nav><a href=x>menu</a></nav><article><h1>Ti&amp;tle</h1><p><b>One  two<br>three.<p>Four</p></article><footer>end</footer>", "Ti&tle\nOne two three.\nFour"),
         ("<article><p>Kept.</p><script>var a='<p>no</p>';</script><aside>more</aside><form><p>mail</p></form></article>", "Kept."),
+        ("<article><p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn></math> hold for <button>copy <div>it</button> all <svg/>numbers <script>var x = '<p>';</script>that we <select><option>a</select>have.</p><p>Next.</p></article>", "Let x+1 hold for all numbers that we have.\nNext."),
+        (f"<body><form id=aspnetForm><div class=content><h1>A title</h1><p>{_LONG}</p></div></form></body>", f"A title\n{_LONG}"),
+        (f"<body><form action=x><p>{_LONG}</p><p>{_LONG}</p></form></body>", f"{_LONG}\n{_LONG}"),
+        (f"<body><nav class=css-9z><a href=a>Home</a> <a href=b>News</a></nav><div class=css-1a2b3c><p>{_LONG}</p><p>{_LONG}</p><p>{_LONG}</p></div><footer class=css-77>By us</footer></body>", "\n".join([_LONG] * 3)),
+        (f"  {_LONG}\n{_LONG}  ", f"{_LONG} {_LONG}"),
+        (f"<article><h1>A title</h1><p>{_LONG}</p><form class=newsletter><label>Your address</label><input name=q><button>Send</button></form></article><form class=search><label>Search for</label></form><section class=comments><form><p>Leave a reply</p><textarea>x</textarea></form><p>Nice text, thanks!</p></section>", f"A title\n{_LONG}"),
         ("", ""),
         (None, ""),
         ("<<<>>> <p", ""),
