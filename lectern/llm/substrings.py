@@ -249,11 +249,11 @@ def repeats(df: DataFrame, width: int = 20, hot: int = 20_000) -> DataFrame:
     return later.groupBy("place.doc_id", "place.text_key").agg(F.collect_list("place.start").alias("starts"))
 
 
-def _copies(docs: DataFrame, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+def _copies(docs: DataFrame, width: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
     """Ids and text_keys of the documents whose whole text a document of smaller doc_id has (all their windows
     start earlier there), and the others. They are broadcast up to broadcast_rows, and joined by a shuffle
-    beyond that."""
-    keyed = docs.select("doc_id", "text_key", F.md5("text").alias("whole"))
+    beyond that. Texts too short for a window, empty ones above all, are not looked up."""
+    keyed = docs.filter(F.length("text") >= 2 * width - 1).select("doc_id", "text_key", F.md5("text").alias("whole"))
     firsts = keyed.groupBy("whole").agg(F.min(F.struct("doc_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("whole", F.col("first.doc_id").alias("first"))
     later = keyed.join(firsts, "whole").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("copy_id"), F.col("text_key").alias("copy_key")).distinct()
     later = materialize(later, "copies")
@@ -269,7 +269,7 @@ def _with_repeats(docs: DataFrame, width: int, broadcast_rows: int = 1_000_000)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = _keyed(docs.select(F.col("doc_id").cast("long"), text.alias("text")), broadcast_rows)
     repeated_ids = bool(plain.filter("text_key <> 0").limit(1).count())
-    side, others = _copies(plain, broadcast_rows)
+    side, others = _copies(plain, width, broadcast_rows)
     found = repeats(others, width)
     doc_id = F.col("doc_id").cast("long")
     # A row with its own id has the key 0, any other the hash of its text; a key of one kind is not that of the other.

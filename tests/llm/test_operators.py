@@ -435,6 +435,15 @@ def test_substrings_edges(spark):
     assert substrings.digest(df.limit(0)).count() == 0
 
 
+def test_substrings_of_shortest_windows_and_empty_texts(spark):
+    """A text of 39 characters holds a window; empty and shorter texts, however many, are no copies of each other."""
+    letters = " ".join("abcdefghijklmnopqrst")
+    rows = [(1, letters), (2, letters), (3, letters[:-2]), (4, letters[:-2])] + [(k, "" if k % 2 else None) for k in range(5, 505)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == [(20, 0), (20, 20), (19, 0), (19, 0)]
+    assert len(got) == 504 and all(got[k] == (0, 0) for k in range(5, 505))
+
+
 def runs_and_periods(seed=7):
     """Passages of 20 words and more, each in two texts, with long runs of a word or a few, amid other words or that run."""
     rng, out = random.Random(seed), []
