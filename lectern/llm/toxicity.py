@@ -39,7 +39,7 @@ _QUOTES = '"“”«»„'
 _REPORTING = frozenset("said says wrote writes called calls quoted quote quotes quoting term word insult insulted slur".split())
 _SPAN = 8
 #: Texts, and about how much of them, whose words are looked up together.
-_ROWS, _BYTES = 4096, 8 << 20
+_ROWS, _BYTES = 4096, 4 << 20
 N_FEATURES = 8
 
 
