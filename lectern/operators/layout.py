@@ -32,26 +32,35 @@ def neighbours(spans: DataFrame, bin_width: float = 50.0, most: int = 64) -> Dat
     """doc_id, page_number, span, base: smaller spans with their larger neighbours of the same line from whose baseline
     they lie off. Spans meet in bins of x, a base in all that its own size reaches, so that a line with many
     spans is not compared with itself; a pair counts in the first bin that both have."""
+    return _near(spans, bin_width, most).select(*PAGE, "span", "base")
+
+
+def _symbol() -> Column:
+    return (~F.col("text").rlike(r"[\p{L}\p{N}]")).alias("symbol")
+
+
+def _near(spans: DataFrame, bin_width: float = 50.0, most: int = 64) -> DataFrame:
+    """neighbours with `symbol` of the span. Only what is smaller than some span of the table can be small, and only what is larger
+    than some can be a base; the others stay out of the join."""
     shown = spans.filter(_shown(F.col("text")))
+    bounds = F.broadcast(spans.agg(F.min("size").alias("least"), F.max("size").alias("largest")))  # one row
     bin_of = lambda x: F.greatest(F.lit(-1), F.least(F.lit(most), F.floor(x / bin_width))).cast("int")
     reach = lambda name, low, high: F.explode(F.sequence(bin_of(low), F.greatest(bin_of(low), bin_of(high)))).alias(name)
-    small = shown.filter(F.abs("dir_y") <= LEAN).select(*LINE, F.col("span_index").alias("span"), F.col("x0").alias("s0"), F.col("x1").alias("s1"), F.col("origin_y").alias("sy"), F.col("size").alias("ss"), bin_of(F.col("x0")).alias("sb"), reach("bin", F.col("x0"), F.col("x1")))
+    fit = shown.crossJoin(bounds)
     low, high = F.col("x0") - F.col("size"), F.col("x1") + F.col("size")
-    base = shown.select(*LINE, F.col("span_index").alias("base"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("origin_y").alias("by"), F.col("size").alias("bs"), bin_of(low).alias("bb"), reach("bin", low, high))
+    small = fit.filter((F.abs("dir_y") <= LEAN) & (F.col("size") < F.col("largest") * SMALLER)).select(*LINE, F.col("span_index").alias("span"), _symbol(), F.col("x0").alias("s0"), F.col("x1").alias("s1"), F.col("origin_y").alias("sy"), F.col("size").alias("ss"), bin_of(F.col("x0")).alias("sb"), reach("bin", F.col("x0"), F.col("x1")))
+    base = fit.filter(F.col("least") < F.col("size") * SMALLER).select(*LINE, F.col("span_index").alias("base"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("origin_y").alias("by"), F.col("size").alias("bs"), bin_of(low).alias("bb"), reach("bin", low, high))
     gap = F.greatest(F.col("b0") - F.col("s1"), F.col("s0") - F.col("b1"), F.lit(0.0))
     off = F.abs(F.col("sy") - F.col("by"))
     near = (F.col("ss") < F.col("bs") * SMALLER) & (gap <= F.col("bs")) & (off >= OFF[0] * F.col("bs")) & (off <= OFF[1] * F.col("bs"))
-    met = small.join(base, [*LINE, "bin"]).filter((F.col("bin") == F.greatest("sb", "bb")) & (F.col("span") != F.col("base")) & near)
-    return met.select(*PAGE, "span", "base")
+    return small.join(base, [*LINE, "bin"]).filter((F.col("bin") == F.greatest("sb", "bb")) & (F.col("span") != F.col("base")) & near)
 
 
 def shifted(spans: DataFrame, **bins) -> DataFrame:
     """doc_id, page_number, span, symbol: spans that lie off a larger neighbour's baseline, or are flagged as
     superscript; symbol: without a letter or digit."""
-    flagged = spans.filter(_shown(F.col("text")) & (F.abs("dir_y") <= LEAN) & (F.col("flags").bitwiseAND(1) == 1)).select(*PAGE, F.col("span_index").alias("span"))
-    found = neighbours(spans, **bins).select(*PAGE, "span").unionByName(flagged).distinct()
-    own = spans.select(*PAGE, F.col("span_index").alias("span"), (~F.col("text").rlike(r"[\p{L}\p{N}]")).alias("symbol"))
-    return own.join(found, [*PAGE, "span"], "left_semi")
+    flagged = spans.filter(_shown(F.col("text")) & (F.abs("dir_y") <= LEAN) & (F.col("flags").bitwiseAND(1) == 1)).select(*PAGE, F.col("span_index").alias("span"), _symbol())
+    return _near(spans, **bins).select(*PAGE, "span", "symbol").unionByName(flagged).distinct()
 
 
 def body_fonts(spans: DataFrame, pages: DataFrame) -> DataFrame:
@@ -115,9 +124,12 @@ def strip_margins(spans: DataFrame, pages: DataFrame) -> DataFrame:
     found = found.withColumn("pattern", F.concat(F.lit(r"(?U)^\s*"), one, F.lit(r"(?:\s+"), one, F.lit(r")*\s*$")))
     raw = F.coalesce("raw_text", F.lit(""))
     joined = pages.select(*PAGE, raw.alias("raw_text")).join(found, PAGE, "left").withColumn("lines", F.split("raw_text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", -1))
+    # A line that goes holds a margin and is the only one of its text, so few are matched and it is told by that text.
+    holds = lambda x: F.exists("margins", lambda m: F.contains(x, m["line_text"]))
     once = lambda x: F.size(F.filter("lines", lambda y: y == x)) == 1
-    goes = lambda x: F.coalesce(F.regexp_like(x, F.col("pattern")) & once(x), F.lit(False))
-    cut = joined.withColumn("gone", F.filter("lines", goes)).withColumn("kept", F.filter("lines", lambda x: ~goes(x)))
+    goes = lambda x: F.when(holds(x), F.when(once(x), F.coalesce(F.regexp_like(x, F.col("pattern")), F.lit(False))).otherwise(False)).otherwise(False)
+    cut = joined.withColumn("gone", F.when(F.col("pattern").isNotNull(), F.filter("lines", goes)).otherwise(F.array().cast("array<string>")))
+    cut = cut.withColumn("kept", F.when(F.size("gone") > 0, F.filter("lines", lambda x: ~F.array_contains("gone", x))).otherwise(F.col("lines")))
     cut = cut.withColumn("hit", F.flatten(F.transform("gone", lambda x: F.filter("margins", lambda m: F.contains(x, m["line_text"])))))
     hit = F.coalesce("hit", F.array().cast(cut.schema["hit"].dataType))
     removed = lambda zone: F.size(F.filter(hit, lambda m: m["zone"] == zone)).cast("int")

@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame
 
 from lectern.operators import layout, pages
 from lectern.sources.corpus import Corpus
+from lectern.sources.scratch import written
+
+
+def _once(c: Corpus, name: str, made) -> DataFrame:
+    """Written once for a corpus, as reports use it several times and filters on it would work it out anew."""
+    if name not in c.memo:
+        c.memo[name] = written(made(), name)
+    return c.memo[name]
 
 
 def stripped(c: Corpus) -> DataFrame:
-    return layout.strip_margins(c.spans, c.sheets)
+    return _once(c, "stripped", lambda: layout.strip_margins(c.spans, c.sheets))
 
 
 def quality(c: Corpus) -> DataFrame:
-    return pages.page_quality(c.sheets, c.spans)
+    return _once(c, "quality", lambda: pages.page_quality(c.sheets, c.spans))
 
 
 def issues(c: Corpus) -> DataFrame:
