@@ -1,7 +1,10 @@
 """Steps whose work must grow with the input, not with the square of a line, a page or a table."""
 
+import time
 
-from lectern.operators import layout
+from pyspark.sql import functions as F
+
+from lectern.operators import knowledge, layout
 from lectern.plans import health
 from lectern.sources.corpus import Corpus
 
@@ -31,3 +34,18 @@ def test_equal_sizes_meet_no_base(spark):
     rows = [(1, 1, 0, i, "x", 20.0 * i, 0.0, 20.0 * i + 10, 10.0, 10.0, 12.0, 0, 0.0) for i in range(20)]
     spans = spark.createDataFrame(rows, "doc_id long, page_number int, line_index int, span_index int, text string, x0 double, y0 double, x1 double, y1 double, origin_y double, size double, flags int, dir_y double")
     assert "largest" in optimized(layout.neighbours(spans)) and layout.neighbours(spans).isEmpty()
+
+
+def test_a_long_word_is_masked_in_linear_time(spark):
+    """A word is not tried again from each of its letters."""
+    page = spark.createDataFrame([(1, 1, "a" * 200_000 + " x = 2", True)], "doc_id long, page_number int, content string, warned boolean")
+    begin = time.monotonic()
+    row = knowledge.mask_math(page).first()
+    assert row["n_masked"] == 1 and row["masked"].endswith("a " + knowledge.OMITTED) and time.monotonic() - begin < 10
+
+
+def test_fast_mathematics_has_the_same_matches(spark):
+    texts = ["a=2x=3", "\\pα=b c", "2.5.1=3", "ab²c₁=d", "a=2x²", "x+(y) z", "αβ ≠ γ", "1.=2", "well-known a_b^c", "√x=1 y→z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    mark = lambda p: F.regexp_replace("t", p, "<$0>")
+    assert df.filter(mark(knowledge.MATH_IN_LINE) != mark(knowledge._MATH_FAST)).isEmpty()
