@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from lectern.functions import text
 from lectern.operators import knowledge, layout
 from lectern.plans import health
 from lectern.sources.corpus import Corpus
@@ -49,3 +50,10 @@ def test_fast_mathematics_has_the_same_matches(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     mark = lambda p: F.regexp_replace("t", p, "<$0>")
     assert df.filter(mark(knowledge.MATH_IN_LINE) != mark(knowledge._MATH_FAST)).isEmpty()
+
+
+def test_only_texts_that_may_change_go_to_python(spark):
+    df = spark.createDataFrame([("Plain Übung",), ("ﬁne é x",), (None,)], "t string")
+    made = df.select("t", text.normalize_words(F.col("t"), normal_form=True).alias("w"))
+    assert "nfkc(CASE WHEN" in optimized(made) or "CASE WHEN RLIKE" in optimized(made)
+    assert [r["w"] for r in made.collect()] == ["plain übung", "fine é x", None]
