@@ -1,5 +1,6 @@
 """Steps whose work must grow with the input, not with the square of a line, a page or a table."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -52,6 +53,23 @@ def test_fast_mathematics_has_the_same_matches(spark):
     assert df.filter(mark(knowledge.MATH_IN_LINE) != mark(knowledge._MATH_FAST)).isEmpty()
 
 
+def test_fast_mathematics_anywhere_has_the_same_matches(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "b2", "α", "é", "1", ".5", "=", "-", "+", "(", ")", "{x}", "\\", "²", "₁", "√", " ", "\n", "∈", "x", "/"]) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    assert df.filter((found(knowledge.MATH) != found(knowledge._MATH_ANYWHERE)) | ((F.size(found(knowledge.MATH)) > 0) & ~F.col("t").rlike(knowledge._MATH_SIGN))).isEmpty()
+
+
+def test_sources_are_made_bare_once(spark):
+    """Not again for each expression of an item, of which there are as many as the source is long."""
+    body = " ; ".join(f"a{i} = b{i}" for i in range(8000))
+    items = spark.createDataFrame([(1, 1, "concepts", [1], [3], "a", "plain", body, body)], "item_id long, doc_id long, category string, ids array<long>, source_pages array<int>, formula string, name string, body string, also string")
+    chunks = spark.createDataFrame([(1, 1, 3, body, [])], "chunk_id long, doc_id long, page_number int, content string, warnings array<string>")
+    begin = time.monotonic()
+    assert knowledge.ground(items, chunks).first()["outcome"] == "keep" and time.monotonic() - begin < 20
+
+
 def test_only_texts_that_may_change_go_to_python(spark):
     df = spark.createDataFrame([("Plain Übung",), ("ﬁne é x",), (None,)], "t string")
     made = df.select("t", text.normalize_words(F.col("t"), normal_form=True).alias("w"))
