@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -27,27 +28,30 @@ class Hashed:
         self.known: dict[str, int] = {}
 
     def places(self, words: list[str]) -> list[int]:
-        known = self.known
-        for w in {*words}.difference(known):
-            self.left -= len(w) + 64
-            if self.left < 0:
-                known.clear()
-                self.left = self.room
-                return [self._place(w) for w in words]
-            known[w] = self._place(w)
-        return [known[w] for w in words]
+        known, found = self.known, []
+        for w in words:
+            if (place := known.get(w)) is None:
+                place = self._place(w)
+                self.left -= len(w) + 64
+                if self.left < 0:
+                    known.clear()
+                    self.left = self.room
+                known[w] = place
+            found.append(place)
+        return found
 
     def _place(self, word: str) -> int:
-        return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % self.dimensions
+        return int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4]) % self.dimensions
 
-    def pooled(self, rows: list[list[str]], window: int) -> np.ndarray:
-        """The vectors of rows of words, of which each has one at least; all windows are counted at once."""
-        sizes = np.array([len(w) for w in rows])
+    def pooled(self, words: pa.Array, sizes: np.ndarray, window: int) -> np.ndarray:
+        """The vectors of rows of so many words each, one at least; all windows are counted at once, and every word is
+        looked up once."""
         windows = -(-sizes // window)
         starts = np.cumsum(windows) - windows
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.repeat(starts, sizes) + within // window
-        places = np.array(self.places([w for words in rows for w in words]))
+        coded = words.dictionary_encode()
+        places = np.array(self.places(coded.dictionary.to_pylist()))[coded.indices.to_numpy(zero_copy_only=False)]
         counts = np.bincount(at * self.dimensions + places, minlength=windows.sum() * self.dimensions).reshape(-1, self.dimensions).astype(float)
         return _unit(np.add.reduceat(_unit(counts) * counts.sum(1)[:, None], starts))
 
@@ -60,17 +64,23 @@ def embed_words(rows: DataFrame, key: str | list[str], words: Column, dimensions
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Hashed(dimensions)
         for batch in batches:
-            listed = [(i, w) for i, t in enumerate(batch.column("_words").to_pylist()) if t and (w := [x for x in t.split(" ") if x])]
-            parts, begin, size = [np.zeros((0, dimensions))], 0, 0
-            for end, (_, words) in enumerate(listed, 1):
-                size += len(words)
-                if size >= WORDS or end == len(listed):
-                    parts.append(model.pooled([w for _, w in listed[begin:end]], window))
-                    begin, size = end, 0
+            texts = batch.column("_words")
+            parts, kept, begin = [np.zeros((0, dimensions))], [np.zeros(0, np.int64)], 0
+            sums = np.cumsum(pc.add(pc.fill_null(pc.count_substring(texts, " "), 0), 1).to_numpy(zero_copy_only=False).astype(np.int64))
+            while begin < len(texts):  # about WORDS words at a time
+                end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + WORDS, "right")))
+                lists = pc.split_pattern(pc.fill_null(texts.slice(begin, end - begin), ""), " ")
+                words, owners = lists.flatten(), pc.list_parent_indices(lists)
+                full = pc.not_equal(words, "")
+                sizes = np.bincount(owners.filter(full).to_numpy(zero_copy_only=False), minlength=end - begin)
+                if sizes.any():
+                    parts.append(model.pooled(words.filter(full), sizes[sizes > 0], window))
+                    kept.append(begin + np.flatnonzero(sizes))
+                begin = end
             found = np.concatenate(parts)
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(listed) + 1) * dimensions, pa.int32()), pa.array(found.ravel()))
-            kept = batch.take(pa.array([i for i, _ in listed], pa.int64())).drop_columns("_words")
-            yield pa.RecordBatch.from_arrays([*kept.columns, vectors], [*kept.schema.names, "embedding"])
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * dimensions, pa.int32()), pa.array(found.ravel()))
+            rows = batch.drop_columns("_words").take(pa.array(np.concatenate(kept)))
+            yield pa.RecordBatch.from_arrays([*rows.columns, vectors], [*rows.schema.names, "embedding"])
 
     return own.mapInArrow(run, StructType([*own.drop("_words").schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
 

@@ -210,8 +210,8 @@ def _asked(c: Corpus) -> DataFrame:
 def searchable(c: Corpus) -> DataFrame:
     """Chunks that a search may find: not blank, of parsed resources, no covers and outlines."""
     own = c.resource.select(_C("resource_id").alias("doc_id"), "course_id", "status", "stage")
-    told = text_queries.covered(c).select("chunk_id", text.low_information(_C("content")).alias("reason")).filter("reason IS NOT NULL").select("chunk_id")
-    return c.chunk.join(own, "doc_id").filter(retrieval.usable(_C("content"), _C("status"), _C("stage"))).join(told, "chunk_id", "left_anti")
+    told = c.chunk.filter(text.low_information(text_queries.shown()).isNull())
+    return told.join(own, "doc_id").filter(retrieval.usable(_C("content"), _C("status"), _C("stage")))
 
 
 def hits(c: Corpus, dimensions: int = 64) -> DataFrame:

@@ -118,9 +118,13 @@ _LOW = f"""
                  flatten(list_transform(({oracle.lines('content')})[2:], lambda x: regexp_split_to_array(x, '\\s{{3,}}'))) AS items FROM (SELECT chunk_id, {COVERED} AS content FROM chunk))"""
 
 
+def shown() -> Column:
+    """The content of chunks, of which the first of some documents are covers, outlines and nearly such."""
+    return F.expr(COVERED.replace("chr(10)", "'\\n'"))
+
+
 def covered(c: Corpus) -> DataFrame:
-    """Chunks, of which the first of some documents are covers, outlines and nearly such."""
-    return c.chunk.withColumn("content", F.expr(COVERED.replace("chr(10)", "'\\n'")))
+    return c.chunk.withColumn("content", shown())
 
 
 @query("low_information", _LOW, "chunk")

@@ -6,8 +6,8 @@ import time
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import knowledge, layout
-from lectern.plans import health
+from lectern.operators import knowledge, layout, retrieval
+from lectern.plans import health, index_queries
 from lectern.sources.corpus import Corpus
 
 
@@ -75,3 +75,25 @@ def test_only_texts_that_may_change_go_to_python(spark):
     made = df.select("t", text.normalize_words(F.col("t"), normal_form=True).alias("w"))
     assert "nfkc(CASE WHEN" in optimized(made) or "CASE WHEN RLIKE" in optimized(made)
     assert [r["w"] for r in made.collect()] == ["plain übung", "fine é x", None]
+
+
+def test_searchable_chunks_meet_their_resources_only(spark, sf_dir):
+    """Covers and outlines are told in the row, without a second join of all chunks."""
+    assert "LeftAnti" not in optimized(index_queries.searchable(Corpus(spark, sf_dir)))
+
+
+def test_clean_texts_are_left_alone(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "b\n", "\n", " ", "\t", "\r", "\r\n", "\0", "\u3000", "\xa0", "\x85", "\u2028", "\x1c", "c d", "é"]) for _ in range(rng.randrange(12))) for _ in range(5000)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    assert df.filter(~text.clean_text(F.col("t")).eqNullSafe(text._cleaned(F.col("t")))).isEmpty()
+    low = [*texts, " \nCOMP 1234 : x\nWeek 1: y\nSchool of z\nd", "Outline\n1. a\n2. b\n3. c", "\u3000SYLLABUS\n- a\n- b\n- c", "x Outline"]
+    told = spark.createDataFrame([(t,) for t in low], "t string").select(text.low_information(F.col("t")).alias("a"), text._low_information(F.col("t")).alias("b"))
+    assert told.filter("NOT a <=> b").isEmpty() and {r["a"] for r in told.collect()} == {None, "cover", "outline"}
+
+
+def test_rules_on_neighbours_follow_the_join(spark):
+    anchors = spark.createDataFrame([(1, "which topic", 1, 1, 2, "Topic a", "t")], "query_id long, question string, rank int, doc_id long, page_number int, content string, title string")
+    chunks = spark.createDataFrame([(1, 1, 0, 5, "Topic b")], "doc_id long, page_number int, chunk_index int, chunk_id long, content string")
+    for made in (retrieval.adjacent(anchors, chunks), retrieval.bridges(anchors, chunks)):
+        assert not any("Filter" in line and "[A-Za-z]+" in line for line in optimized(made).split("\n"))
