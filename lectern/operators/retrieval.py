@@ -13,6 +13,7 @@ from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from lectern.functions import text, vectors
+from lectern.sources.scratch import written
 
 
 def usable(content: Column, status: Column, stage: Column) -> Column:
@@ -101,6 +102,12 @@ def rerank(hits: DataFrame, score: Column, keep: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
 
 
+def _met(anchor: Column, fits: Column) -> Column:
+    """fits, a rule on chunks, for those alone that met an anchor, of which `anchor` is a condition: a rule that names no
+    column of the anchors would be worked out for all chunks, before they meet."""
+    return F.when(anchor, fits)
+
+
 def adjacent(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, anchor_rank, chunk_id: chunks with body on the pages next to an anchor whose headings share
     the query's terms, exercises left out. anchors: query_id, question, rank, doc_id, page_number, content,
@@ -109,7 +116,7 @@ def adjacent(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     near = own.select("query_id", "question", "title", "terms", "rank", "doc_id", F.explode(F.array(F.col("page_number") - 1, F.col("page_number") + 1)).alias("page_number"))
     met = near.join(chunks.select("doc_id", "page_number", "chunk_id", "chunk_index", "content"), ["doc_id", "page_number"])
     fits = text.has_body(F.col("content")) & F.arrays_overlap("terms", text.section_terms(F.col("content"), F.col("question")))
-    return met.filter(fits & ~text.exercise_prompt(F.col("content"), F.col("title"))).select("query_id", F.col("rank").alias("anchor_rank"), "doc_id", "page_number", "chunk_index", "chunk_id")
+    return met.filter(_met(F.size("terms") > 0, fits & ~text.exercise_prompt(F.col("content"), F.col("title")))).select("query_id", F.col("rank").alias("anchor_rank"), "doc_id", "page_number", "chunk_index", "chunk_id")
 
 
 def bridges(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -122,7 +129,7 @@ def bridges(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     gaps = met.select("l.query_id", "l.doc_id", "l.heading", "l.title", F.struct(F.col("l.rank"), F.col("r.rank").alias("other")).alias("anchor_rank"), F.explode(F.sequence(F.col("l.page_number") + 1, F.col("r.page_number") - 1)).alias("page_number"))
     found = gaps.join(chunks.select("doc_id", "page_number", "chunk_id", "chunk_index", "content"), ["doc_id", "page_number"])
     keep = (text.section_heading(F.col("content")) == F.col("heading")) & text.has_body(F.col("content")) & text.low_information(F.col("content")).isNull() & ~text.exercise_prompt(F.col("content"), F.col("title"))
-    return found.filter(keep).groupBy("query_id", "doc_id", "page_number", "chunk_index", "chunk_id").agg(F.min("anchor_rank").alias("anchor_rank"))
+    return found.filter(_met(F.col("heading") != "", keep)).groupBy("query_id", "doc_id", "page_number", "chunk_index", "chunk_id").agg(F.min("anchor_rank").alias("anchor_rank"))
 
 
 def select_context(ranked: DataFrame, chunks: DataFrame, limit: int = 3, most: int = 5, additions: int = 2) -> DataFrame:
@@ -136,6 +143,7 @@ def select_context(ranked: DataFrame, chunks: DataFrame, limit: int = 3, most: i
     of_query = Window.partitionBy("query_id")
     marked = marked.withColumn("balanced", F.max("prompt").over(of_query) & F.max("explains").over(of_query))
     marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "prompt").orderBy("rank")))
+    marked = written(marked, "marked")  # used by each step below
     first = marked.filter(~F.col("balanced") | F.col("explains") | (F.col("prompt") & (F.col("nth") == 1)))
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("balanced") & F.col("prompt"), 1).otherwise(0), "rank")
     chosen = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
@@ -150,7 +158,7 @@ def select_context(ranked: DataFrame, chunks: DataFrame, limit: int = 3, most: i
         best = once.withColumn("nth", nth).filter(F.col("nth") <= additions)
         return so_far.unionByName(best.select("query_id", (after + F.col("nth")).alias("place"), F.col("f.id").alias("chunk_id"), F.lit(True).alias("added")))
 
-    near = more(adjacent(anchors, chunks), base, ["chunk_id"], limit)
+    near = written(more(adjacent(anchors, chunks), base, ["chunk_id"], limit), "near")
     over = more(bridges(chosen.withColumn("rank", F.col("place")), chunks), near, ["doc_id", "page_number"], limit + additions)
     together = over.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
     return together.filter(F.col("place") <= most)
