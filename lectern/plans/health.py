@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from lectern.operators import layout, pages
 from lectern.sources.corpus import Corpus
-from lectern.sources.scratch import written
+from lectern.sources.scratch import sent, written
 
 
 def _once(c: Corpus, name: str, made) -> DataFrame:
@@ -28,6 +28,18 @@ def issues(c: Corpus) -> DataFrame:
     return pages.issues(quality(c), stripped(c))
 
 
+def issues_on(c: Corpus, wanted: DataFrame) -> DataFrame:
+    """issues of some pages (doc_id, page_number; written). Margins need all pages of these documents, the other warnings just the
+    page, so neither spans nor texts of other documents are written."""
+    of = written(wanted.select("doc_id").distinct(), "wanted")
+    own = written(c.cleaned(c.pages_of(c.documents.join(sent(of), "doc_id", "left_semi"))), "pages")
+    met = sent(wanted)
+    there = lambda df: df.join(met, layout.PAGE, "left_semi")
+    shown = there(own)
+    cut = written(there(layout.strip_margins(c.spans_of(own), c.sheets_of(own))), "stripped")
+    return pages.issues(pages.page_quality(c.sheets_of(shown), c.spans_of(shown)), cut)
+
+
 def totals(c: Corpus) -> DataFrame:
     return pages.document_totals(stripped(c), quality(c))
 

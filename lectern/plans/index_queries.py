@@ -11,7 +11,7 @@ from lectern.operators import classify, embed, evaluate, index, pages, retrieval
 from lectern.plans import health, material_queries, oracle, text_queries
 from lectern.plans.registry import query
 from lectern.sources.corpus import Corpus
-from lectern.sources.scratch import written
+from lectern.sources.scratch import sent, written
 
 _C = F.col
 _MODEL, _VERSION, _DIMENSIONS = "m1", "v1", 64
@@ -209,9 +209,8 @@ def _asked(c: Corpus) -> DataFrame:
 
 def searchable(c: Corpus) -> DataFrame:
     """Chunks that a search may find: not blank, of parsed resources, no covers and outlines."""
-    own = c.resource.select(_C("resource_id").alias("doc_id"), "course_id", "status", "stage")
-    told = c.chunk.filter(text.low_information(text_queries.shown()).isNull())
-    return told.join(own, "doc_id").filter(retrieval.usable(_C("content"), _C("status"), _C("stage")))
+    told = c.course_chunk.filter(text.low_information(text_queries.shown()).isNull())
+    return told.filter(retrieval.usable(_C("content"), _C("status"), _C("stage")))
 
 
 def hits(c: Corpus, dimensions: int = 64) -> DataFrame:
@@ -220,8 +219,8 @@ def hits(c: Corpus, dimensions: int = 64) -> DataFrame:
         asked = _asked(c)
         vector = lambda df, key, x: embed.embed_words(df, [key, "course_id"], text.normalize_words(_C(x)), dimensions)
         found = retrieval.top_k(vector(asked, "item_id", "question").withColumnRenamed("item_id", "query_id"), vector(searchable(c), "chunk_id", "content"), 5)
-        named = found.withColumnRenamed("query_id", "item_id").drop("course_id")
-        c.memo[dimensions] = written(named.join(c.chunk, "chunk_id").join(asked.select("item_id", "question", "expected"), "item_id"), "hits")
+        named = written(found.withColumnRenamed("query_id", "item_id").drop("course_id"), "found")
+        c.memo[dimensions] = written(c.chunk.join(sent(named), "chunk_id").join(asked.select("item_id", "question", "expected"), "item_id"), "hits")
     return c.memo[dimensions]
 
 
@@ -364,7 +363,9 @@ def qa_evidence(c: Corpus) -> DataFrame:
 
 @query("page_warnings", f"WITH {_RERANKED} SELECT item_id, r.chunk_id, coalesce(w.codes, '') AS warnings FROM reranked r LEFT JOIN (SELECT doc_id, page_number, string_agg(code, ',' ORDER BY code) AS codes FROM issue GROUP BY ALL) w ON w.doc_id = r.doc_id AND w.page_number = r.page_number", *_RETRIEVAL_VIEWS, "issue")
 def page_warnings(c: Corpus) -> DataFrame:
-    codes = pages.issues_by_page(health.issues(c)).select("doc_id", "page_number", _C("codes").alias("warnings"))
+    """Pages are judged where a hit lies on them."""
+    met = written(hits(c).select("doc_id", "page_number").distinct(), "met")
+    codes = pages.issues_by_page(health.issues_on(c, met)).select("doc_id", "page_number", _C("codes").alias("warnings"))
     return reranked(c).join(codes, ["doc_id", "page_number"], "left").select("item_id", "chunk_id", F.coalesce("warnings", F.lit("")).alias("warnings"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text
 from lectern.operators import knowledge, layout, retrieval
 from lectern.plans import health, index_queries
+from lectern.sources import scratch
 from lectern.sources.corpus import Corpus
 
 
@@ -97,3 +98,47 @@ def test_rules_on_neighbours_follow_the_join(spark):
     chunks = spark.createDataFrame([(1, 1, 0, 5, "Topic b")], "doc_id long, page_number int, chunk_index int, chunk_id long, content string")
     for made in (retrieval.adjacent(anchors, chunks), retrieval.bridges(anchors, chunks)):
         assert not any("Filter" in line and "[A-Za-z]+" in line for line in optimized(made).split("\n"))
+
+
+def same(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_a_search_shuffles_no_texts(spark, sf_dir):
+    """The course and state of a chunk's resource are told in its row; a join of all chunks would write their texts."""
+    c = Corpus(spark, sf_dir)
+    found = index_queries.searchable(c)
+    assert "Join" not in optimized(found)
+    own = c.resource.select(F.col("resource_id").alias("doc_id"), "course_id", "status", "stage")
+    assert same(found, found.select(*c.chunk.columns).join(own, "doc_id").select(*found.columns))
+
+
+def test_only_pages_with_hits_are_judged(spark, tmp_path, monkeypatch):
+    """Spans, margins and texts of documents without hits are not written."""
+    page = lambda i, p: "\n".join(f"doc{i} page{p} line{k} x=..=y" if k == 3 else f"word{i}_{p}_{k} of the course" for k in range(8))
+    docs = [(i, "\n".join(page(i, p) for p in range(4)), "en", f"src{i % 3}", 1) for i in range(300)]
+    passage = "word121_2_4 of the course\nword121_2_5 of the course"
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    c = Corpus(spark, str(tmp_path))
+    made = {r["chunk_id"]: r["warnings"] for r in index_queries.page_warnings(c).collect()}
+    met = index_queries.hits(c).select("doc_id").distinct().count()
+    written = {p.name.split("-")[1]: spark.read.parquet(str(p)).count() for p in (tmp_path / "shared").glob("lectern-*")}
+    assert len(made) == 5 and 121 in {k // 1_000_000 for k in made} and all("suspicious_symbolic_expression" in w for w in made.values())
+    assert "spans" not in written and "quality" not in written and written["stripped"] <= 5 and written["pages"] == 4 * met <= 20
+
+
+def test_issues_of_some_pages_are_those_of_all(spark, sf_dir):
+    """Margins are told by all pages of a document, also where few of them are asked for."""
+    c = Corpus(spark, sf_dir)
+    wanted = c.pages.filter("page_number % 3 = 2").select("doc_id", "page_number")
+    made, of_all = health.issues_on(c, wanted), health.issues(c).filter("page_number % 3 = 2")
+    assert same(made, of_all) and {"repeated_header_footer", "suspicious_formula_layout", "unusual_symbol_position"} <= {r["code"] for r in made.select("code").distinct().collect()}
+    assert health.issues_on(c, wanted.limit(0)).isEmpty()
+
+
+def test_long_lists_of_ids_are_shuffled_with_the_same_result(spark, sf_dir, monkeypatch):
+    sent = index_queries.page_warnings(Corpus(spark, sf_dir))
+    monkeypatch.setattr(scratch, "SENT", 0)
+    assert same(index_queries.page_warnings(Corpus(spark, sf_dir)), sent)
